@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, media, token_files, url_rules
+from . import common, decontaminate, media, token_files, url_rules
 
 URL_RULES = [
     url_rules.Rule("allow", "com", "/"),
@@ -43,10 +43,15 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_features(index).drop("shard", "offset")  # copies in two shards have two places
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches", "longest")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_token_files": op2_token_files,
     "op3_media_columns": op3_media_columns,
+    "op5_decontamination": op5_decontamination,
 }
 
 ORACLE_SQL = {
@@ -60,4 +65,19 @@ ORACLE_SQL = {
                  FROM hosts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
         SELECT page_id, parts.host, parts.path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path
     """,
+    "op5_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bw AS (SELECT item_id, len(w) AS n, w, unnest(range(1, greatest(len(w) - 13 + 1, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item_id, least(n, 13) AS n, array_to_string(w[i : i + least(n, 13) - 1], ' ') AS t FROM bw),
+        sizes AS (SELECT DISTINCT n FROM windows),
+        dw AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+        dt AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS t FROM dw, sizes WHERE i + n - 1 <= len(w)),
+        found AS (SELECT doc_id, i, n, item_id FROM dt JOIN windows USING (n, t)),
+        hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS k FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM found) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(k, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }
