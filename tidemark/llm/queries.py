@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, media, ngram_join, token_files, url_rules
+from . import common, decontaminate, media, ngram_join, quality, token_files, url_rules
 
 URL_RULES = [
     url_rules.Rule("allow", "com", "/"),
@@ -47,6 +47,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches", "longest")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.learnable(table(spark, sf_dir, "labels")))
+    return quality.classify(docs, model, common.crc32_mod("doc_id", 3) == 1)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_media_columns": op3_media_columns,
     "op5_decontamination": op5_decontamination,
+    "op8_quality": op8_quality,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 

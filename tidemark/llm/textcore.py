@@ -115,7 +115,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
             h = words[at].copy()
             for i in range(1, size):
                 h = h * _C + words[at + i]
-            out[out_bounds[:-1][which]] = h + np.uint64(size) * _B
+            out[out_bounds[:-1][which]] = h + np.uint64(size * int(_B) % (1 << 64))
     return mix(out), out_bounds
 
 
