@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, media, ngram_join, quality, token_files, url_rules
+from . import common, decontaminate, lm_score, media, ngram_join, quality, token_files, url_rules
 
 URL_RULES = [
     url_rules.Rule("allow", "com", "/"),
@@ -43,6 +43,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_features(index).drop("shard", "offset")  # copies in two shards have two places
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"), common.crc32_mod("doc_id", 7) == 2)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches", "longest")
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_token_files": op2_token_files,
     "op3_media_columns": op3_media_columns,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_decontamination": op5_decontamination,
     "op8_quality": op8_quality,
     "op9_ngram_jaccard": op9_ngram_jaccard,
