@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, lm_score, media, ngram_join, quality, token_files, url_rules
+from . import common, decontaminate, lm_score, media, ngram_join, quality, sharding, token_files, url_rules
 
 URL_RULES = [
     url_rules.Rule("allow", "com", "/"),
@@ -51,6 +51,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches", "longest")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, quality.learnable(table(spark, sf_dir, "labels")))
@@ -67,6 +71,7 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_decontamination": op5_decontamination,
+    "op6_sharding": op6_sharding,
     "op8_quality": op8_quality,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }

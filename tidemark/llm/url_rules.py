@@ -75,12 +75,12 @@ def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str
     if small:
         # All of the index goes to each task as one map from token to rules: a URL looks its own tokens up.
         held = index.groupBy("token").agg(F.collect_list(F.struct("pattern", rank.alias("rank"))).alias("rules"))
-        held = held.agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("held"))
+        held = held.agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("held")).withColumn("one", F.lit(1))
         tokens = F.concat("tokens", F.array(F.lit("")))
         fetched = F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at("held", t)), lambda x: x.isNotNull()))
         fits = F.filter(fetched, lambda r: F.rlike(F.concat("host", "path"), r["pattern"]))
         best = F.array_max(F.transform(fits, lambda r: r["rank"]))
-        judged = urls.crossJoin(F.broadcast(held)).withColumn("best", best)  # held is one row
+        judged = urls.withColumn("one", F.lit(1)).join(F.broadcast(held), "one").withColumn("best", best)  # held is one row
         return judged.select(F.col("key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
     distinct = urls.select("host", "path", "tokens").distinct()
     fetched = distinct.select("host", "path", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("token")).join(index, "token")
