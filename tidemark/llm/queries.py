@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, lm_score, media, ngram_join, quality, sharding, token_files, url_rules
+from . import common, decontaminate, lm_score, media, mixing, ngram_join, quality, sharding, token_files, url_rules
 
 URL_RULES = [
     url_rules.Rule("allow", "com", "/"),
@@ -65,6 +65,16 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(table(spark, sf_dir, "documents"))
 
 
+LANGS = {"en": 50, "de": 20, "fr": 20, "es": 10}
+DOMAINS = {"web": (50, {f"src{i}": 5 if i == 0 else 1 for i in range(10)}), "books": (30, {f"src{i}": 1 for i in range(10, 15)}), "forums": (20, {f"src{i}": 1 for i in range(15, 20)})}
+MIX_TREE = {d: (w, {g: (gw, sources) for g, gw in LANGS.items()}) for d, (w, sources) in DOMAINS.items()}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.targets_table(spark, MIX_TREE), share=0.75, epochs=2, seed=20240229)
+    return mixed.select("doc_id", "domain", "lang", "source", "tokens", "alloc", "copies")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_token_files": op2_token_files,
@@ -74,6 +84,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op8_quality": op8_quality,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
@@ -102,4 +113,33 @@ ORACLE_SQL = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op10_mixing": r"""
+        WITH doms(domain, domain_weight, lo, hi) AS (VALUES ('web', 50, 0, 9), ('books', 30, 10, 14), ('forums', 20, 15, 19)),
+        langs(lang, lang_weight) AS (VALUES ('en', 50), ('de', 20), ('fr', 20), ('es', 10)),
+        leaf AS (SELECT domain, domain_weight, lang, lang_weight, 'src' || i AS source, CASE WHEN i = 0 THEN 5 ELSE 1 END AS source_weight
+                 FROM doms, langs, range(0, 20) r(i) WHERE i BETWEEN lo AND hi),
+        sized AS (SELECT d.doc_id, l.domain, d.lang, d.source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens
+                  FROM documents d JOIN leaf l ON d.lang = l.lang AND d.source = l.source),
+        stock AS (SELECT leaf.*, coalesce(s, 0)::BIGINT AS supply, coalesce(s, 0)::BIGINT * 2 AS room FROM leaf LEFT JOIN (SELECT lang, source, sum(tokens) AS s FROM sized GROUP BY ALL) x USING (lang, source)),
+        root AS (SELECT least(floor(sum(supply) * 0.75), sum(room))::BIGINT AS b FROM stock),
+        d0 AS (SELECT domain, max(domain_weight) AS w, sum(room)::BIGINT AS room FROM stock GROUP BY domain),
+        d1 AS (SELECT d0.*, b - coalesce(sum(room) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rem, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws, room / w AS ratio FROM d0, root WINDOW o AS (ORDER BY room / w, domain)),
+        d2 AS (SELECT *, room * ws <= rem * w AS full_ FROM d1),
+        d3 AS (SELECT *, min(CASE WHEN NOT full_ THEN {'r': ratio, 'n': domain, 'rem': rem, 'ws': ws} END) OVER () AS f FROM d2),
+        d4 AS (SELECT domain, (CASE WHEN full_ THEN room ELSE (f.rem * w) // f.ws END)::BIGINT AS b FROM d3),
+        g0 AS (SELECT domain, lang, max(lang_weight) AS w, sum(room)::BIGINT AS room FROM stock GROUP BY ALL),
+        g1 AS (SELECT g0.*, b - coalesce(sum(room) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rem, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws, room / w AS ratio FROM g0 JOIN d4 USING (domain) WINDOW o AS (PARTITION BY domain ORDER BY room / w, lang)),
+        g2 AS (SELECT *, room * ws <= rem * w AS full_ FROM g1),
+        g3 AS (SELECT *, min(CASE WHEN NOT full_ THEN {'r': ratio, 'n': lang, 'rem': rem, 'ws': ws} END) OVER (PARTITION BY domain) AS f FROM g2),
+        g4 AS (SELECT domain, lang, (CASE WHEN full_ THEN room ELSE (f.rem * w) // f.ws END)::BIGINT AS b FROM g3),
+        s1 AS (SELECT stock.domain, stock.lang, source, supply, room, source_weight AS w, b - coalesce(sum(room) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rem, sum(source_weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws, room / source_weight AS ratio
+               FROM stock JOIN g4 USING (domain, lang) WINDOW o AS (PARTITION BY stock.domain, stock.lang ORDER BY room / source_weight, source)),
+        s2 AS (SELECT *, room * ws <= rem * w AS full_ FROM s1),
+        s3 AS (SELECT *, min(CASE WHEN NOT full_ THEN {'r': ratio, 'n': source, 'rem': rem, 'ws': ws} END) OVER (PARTITION BY domain, lang) AS f FROM s2),
+        plan AS (SELECT domain, lang, source, supply, (CASE WHEN full_ THEN room ELSE (f.rem * w) // f.ws END)::BIGINT AS alloc FROM s3),
+        plan2 AS (SELECT *, CASE WHEN supply > 0 THEN alloc // supply ELSE 0 END AS e FROM plan),
+        ranked AS (SELECT doc_id, z.domain, z.lang, z.source, tokens, alloc, e, alloc - e * supply AS rest, md5('20240229:' || (e + 1)::BIGINT || ':' || doc_id) AS h FROM sized z JOIN plan2 p ON z.lang = p.lang AND z.source = p.source),
+        ends AS (SELECT *, sum(tokens) OVER (PARTITION BY lang, source ORDER BY h, doc_id::VARCHAR ROWS UNBOUNDED PRECEDING) AS end_ FROM ranked)
+        SELECT doc_id, domain, lang, source, tokens, alloc, (e + CASE WHEN end_ <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM ends WHERE e + CASE WHEN end_ <= rest THEN 1 ELSE 0 END > 0
+    """,
 }
