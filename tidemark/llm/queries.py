@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, lm_score, media, mixing, ngram_join, quality, sharding, token_files, url_rules
+from . import common, decontaminate, licenses, lm_score, media, mixing, ngram_join, quality, sharding, token_files, url_rules
 
 URL_RULES = [
     url_rules.Rule("allow", "com", "/"),
@@ -55,6 +55,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, quality.learnable(table(spark, sf_dir, "labels")))
@@ -82,6 +86,7 @@ QUERIES = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_license_scan": op7_license_scan,
     "op8_quality": op8_quality,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mixing": op10_mixing,
@@ -142,4 +147,16 @@ ORACLE_SQL = {
         ends AS (SELECT *, sum(tokens) OVER (PARTITION BY lang, source ORDER BY h, doc_id::VARCHAR ROWS UNBOUNDED PRECEDING) AS end_ FROM ranked)
         SELECT doc_id, domain, lang, source, tokens, alloc, (e + CASE WHEN end_ <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM ends WHERE e + CASE WHEN end_ <= rest THEN 1 ELSE 0 END > 0
     """,
+    "op7_license_scan": """
+        WITH templates(name, text) AS (VALUES """ + ", ".join(f"('{t.name}', '{t.text}')" for t in licenses.NOTICES) + r"""),
+        tw AS (SELECT name, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM templates),
+        ts AS (SELECT DISTINCT name, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT name, w, unnest(range(1, len(w) - 3)) AS i FROM tw)),
+        size AS (SELECT *, (ceil((m - 1) / step) + 1) * step AS span FROM (SELECT name, count(*) AS m, greatest(1, (count(*) + 3) // 4) AS step FROM ts GROUP BY name)),
+        dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+        ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+        hit AS (SELECT doc_id, pos, ts.name, s, m, step, span FROM ds JOIN ts USING (s) JOIN size USING (name)),
+        win AS (SELECT doc_id, name, m, s, unnest(range(greatest(0, ceil((pos - span + 1) / step))::BIGINT, (pos // step)::BIGINT + 1)) * step AS start FROM hit),
+        good AS (SELECT doc_id, name, start, count(DISTINCT s) / any_value(m) AS c FROM win GROUP BY ALL HAVING count(DISTINCT s) * 100 >= any_value(m) * 80)
+        SELECT doc_id, name AS license, count(*) AS windows, round(max(c), 4) AS containment, min(start)::INTEGER AS first_word FROM good GROUP BY doc_id, name
+    """,
 }
