@@ -34,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round writes the edges to the shared folder and stops when they no longer change. Loops of one node, repeated
     and reversed edges are allowed; edges with a null end are left out; no edges give no rows.
     """
-    both = edges.where("a is not null and b is not null")
+    both = common.written(edges.where("a is not null and b is not null").distinct())
     loops = both.select(F.col("a").alias("node")).union(both.select("b")).distinct()
     now = common.written(both.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(now)

@@ -282,7 +282,8 @@ def candidate_groups(sets: DataFrame, seed: int) -> DataFrame:
     n = common.parts(sets.sparkSession)
     packed = sets.select("node", "grp", "tokens").mapInArrow(_pack_sets(n), _PACK)
     counted = packed.groupBy("b").applyInArrow(_shared(n), f"{_PACK}, extra binary")
-    chosen = counted.groupBy("b").applyInArrow(_prefixes(n, seed), _PACK)
+    # Prefixes are a fifth of some of the tokens: fewer, wider ranges, so that a text meets its partners in few.
+    chosen = counted.groupBy("b").applyInArrow(_prefixes(max(1, n // 8), seed), _PACK)
     edges = chosen.groupBy("b").applyInArrow(_edges, "a long, b long")
     return graph.components(edges).withColumnRenamed("root", "grp")
 
