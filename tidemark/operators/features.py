@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import InsufficientDataError
 from tidemark.functions import series
 from tidemark.operators.metrics import shares
+from tidemark.plans.tables import kept
 
 NAMES = [
     "ret_1d", "ret_5d", "ret_21d", "ret_63d", "ema_spread_sm", "ema_spread_ml", "price_vs_ema_long", "realised_vol_21d",
@@ -82,17 +83,18 @@ class Explainer:
         if self.model is None:
             raise InsufficientDataError("fit first")
         base, places = self.accuracy(self.rows), Window.partitionBy("symbol")
-        placed = self.rows.withColumn("_p", F.row_number().over(places.orderBy("ts")))
-        every = None
-        for k in range(repeats):
-            mixed = F.row_number().over(places.orderBy(F.xxhash64(F.lit(self.seed + k), "ts"), "ts"))
-            dealt = self.rows.select("symbol", mixed.alias("_p"), *[F.col(n).alias(f"_{n}") for n in NAMES])
-            variants = F.array(*[F.struct(F.lit(n).alias("feature"), *[F.col(f"_{m}" if m == n else m).alias(m) for m in NAMES]) for n in NAMES])
-            made = placed.join(dealt, ["symbol", "_p"]).select("direction", F.lit(k).alias("k"), F.explode(variants).alias("v")).select("direction", "k", "v.*")
-            every = made if every is None else every.unionByName(made)
-        scored = self.model.transform(self.scaler.transform(self.assembler.transform(every)))
-        lost = scored.groupBy("feature", "k").agg((F.lit(base) - F.avg((F.col("prediction") == F.col("direction") + 1).cast("double"))).alias("x"))
-        return lost.groupBy("feature").agg(F.avg("x").alias("importance_mean"), F.stddev_pop("x").alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
+        placed = kept(self.rows.withColumn("_p", F.row_number().over(places.orderBy("ts"))))
+        out = []
+        for name in NAMES:
+            lost = []
+            for k in range(repeats):
+                mixed = F.row_number().over(places.orderBy(F.xxhash64(F.lit(self.seed + k), "ts"), "ts"))
+                dealt = placed.select("symbol", name, mixed.alias("_p"))
+                lost.append(base - self.accuracy(placed.drop(name).join(dealt, ["symbol", "_p"])))
+            mean = sum(lost) / repeats
+            out.append((name, mean, math.sqrt(sum((x - mean) ** 2 for x in lost) / repeats)))
+        spark = self.rows.sparkSession
+        return spark.createDataFrame(out, "feature string, importance_mean double, importance_std double").orderBy(F.desc("importance_mean"), "feature")
 
     def shap_values(self) -> None:
         """Not available without an optional package, which is not among the requirements."""
