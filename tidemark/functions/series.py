@@ -83,31 +83,36 @@ def ema(df: DataFrame, columns: dict[str, tuple[str, float]], keys: list[str], o
     after it must not occur (fill them first).
     """
     w = ordered(keys, order)
-    out = df
-    for name, (column, alpha) in columns.items():
-        if not 0 < alpha <= 1:
-            raise ValueError("alpha must be above 0 and at most 1")
-        if alpha == 1:
-            out = out.withColumn(name, F.col(column))
-            continue
-        keep = 1 - alpha
+    if any(not 0 < alpha <= 1 for _, alpha in columns.values()):
+        raise ValueError("alpha must be above 0 and at most 1")
+    out = df.withColumns({name: F.col(c) for name, (c, alpha) in columns.items() if alpha == 1})
+    for column in dict.fromkeys(c for c, alpha in columns.values() if alpha < 1):
+        # All averages of one column share its blocks, and one join.
+        keeps = {name: 1 - alpha for name, (c, alpha) in columns.items() if c == column and alpha < 1}
         x = F.col(column)
         out = out.withColumn("_n", F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-        out = out.withColumn("_b", F.floor(F.col("_n") / BLOCK_ROWS)).withColumn("_j", F.col("_n") % BLOCK_ROWS)
-        drive = F.when(F.col("_n") == 0, x).otherwise(alpha * x)
+        out = out.withColumns({"_b": F.floor(F.col("_n") / BLOCK_ROWS), "_j": F.col("_n") % BLOCK_ROWS})
         inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn("_y", F.when(x.isNotNull(), F.sum(drive * F.pow(F.lit(keep), -F.col("_j"))).over(inside) * F.pow(F.lit(keep), F.col("_j"))))
-        back = max(1, math.ceil(math.log(NEGLIGIBLE) / (BLOCK_ROWS * math.log(keep))))
-        ends = out.where(F.col("_j") == BLOCK_ROWS - 1).where(x.isNotNull()).select(*keys, (F.col("_b") + 1).alias("_b"), "_y")
-        before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(-(back - 1), 0)
-        carry = F.aggregate(F.collect_list("_y").over(before), F.lit(0.0), lambda a, y: a * keep**BLOCK_ROWS + y)
-        ends = ends.withColumn("_carry", carry).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"), "_carry")
+
+        def within(keep: float, x: Column = x, inside: WindowSpec = inside) -> Column:
+            drive = F.when(F.col("_n") == 0, x).otherwise((1 - keep) * x)
+            return F.when(x.isNotNull(), F.sum(drive * F.pow(F.lit(keep), -F.col("_j"))).over(inside) * F.pow(F.lit(keep), F.col("_j")))
+
+        out = out.withColumns({f"_y_{name}": within(keep) for name, keep in keeps.items()})
+        ends = out.where((F.col("_j") == BLOCK_ROWS - 1) & x.isNotNull()).select(*keys, (F.col("_b") + 1).alias("_b"), *[f"_y_{name}" for name in keeps])
+
+        def carry(name: str, keep: float) -> Column:
+            back = max(1, math.ceil(math.log(NEGLIGIBLE) / (BLOCK_ROWS * math.log(keep))))
+            before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(-(back - 1), 0)
+            return F.aggregate(F.collect_list(f"_y_{name}").over(before), F.lit(0.0), lambda a, y: a * keep**BLOCK_ROWS + y)
+
+        ends = ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"), *[carry(name, keep).alias(f"_c_{name}") for name, keep in keeps.items()])
         same = F.col("_b") == F.col("_kb")
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
         joined = out.join(ends, same, "left")
-        value = F.col("_y") + F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_j") + 1)
-        out = joined.withColumn(name, value).drop("_n", "_b", "_j", "_y", "_kb", "_carry", *[f"_k_{k}" for k in keys])
+        out = joined.withColumns({name: F.col(f"_y_{name}") + F.coalesce(F.col(f"_c_{name}"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_j") + 1) for name, keep in keeps.items()})
+        out = out.drop("_n", "_b", "_j", "_kb", *[f"_k_{k}" for k in keys], *[f"_{t}_{name}" for t in "yc" for name in keeps])
     return out
 
 
