@@ -48,11 +48,13 @@ class CsvFolder:
         self.spark, self.path, self.fill = spark, path, fill
 
     def _raw(self) -> DataFrame:
-        # Each file may have its own header, so lines are read as text and split by their own file's names.
-        lines = self.spark.read.text(f"{self.path}/*.csv", lineSep="\n").select(F.regexp_replace("value", "\r$", "").alias("line"), F.upper(F.regexp_extract("_metadata.file_name", r"^(.*)\.[cC][sS][vV]$", 1)).alias("symbol"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_path").alias("path"))
-        heads = self.spark.read.option("wholetext", True).text(f"{self.path}/*.csv").select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "").alias("head"))
+        # Each file may have its own header: the line that has a cell named as an opening price.
+        path = F.col("_metadata.file_path")
+        lines = self.spark.read.text(f"{self.path}/*.csv").select(F.regexp_replace("value", "\r$", "").alias("line"), F.upper(F.regexp_extract("_metadata.file_name", r"^(.*)\.[cC][sS][vV]$", 1)).alias("symbol"), path.alias("path"))
+        parts = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
+        heads = lines.where(F.arrays_overlap(parts(F.lower("line")), F.array(*map(F.lit, ALIASES["open"])))).groupBy("path").agg(F.min("line").alias("head"))
         body = lines.join(heads, "path").where(F.col("line") != F.col("head")).where(F.trim("line") != "")
-        cells = F.map_from_arrays(F.transform(F.split(F.lower("head"), ","), lambda c: F.trim(F.regexp_replace(c, '"', ""))), F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(c, '"', ""))))
+        cells = F.map_from_arrays(parts(F.lower("head")), parts(F.col("line")))
         cell = lambda names: F.coalesce(*[F.try_element_at("cells", F.lit(n)) for n in names])
         made = body.where(F.size(F.split("head", ",")) == F.size(F.split("line", ","))).select("symbol", cells.alias("cells"))
         return made.select("symbol", *[cell(names).alias(c) for c, names in ALIASES.items()])
