@@ -68,7 +68,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, budget: int | None = None, share
     that of md5(seed:epoch:key); rows of one key come together, a null key counts as the text "null". A leaf's prefix
     ends before the first document that would go beyond its budget. Null and empty texts have no tokens and come with
     the prefix they lie in. Leaves without rows give up their share; an empty table gives no rows. Other columns, also
-    such as clash in name with those added, are kept and win; nothing is sampled.
+    such as clash in name with those added, are kept and win (none may be named __leaf, __copies or __i).
     """
     spark = docs.sparkSession
     leaves = common.written(targets.select(*[F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], _TARGETS).schema]))
@@ -98,13 +98,15 @@ def mix(docs: DataFrame, targets: DataFrame, *, budget: int | None = None, share
     inside = ranked.join(small(last), list(LEVELS)).where("part = last_part")
     run = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("rank", "k").rowsBetween(Window.unboundedPreceding, 0))
     cut = inside.withColumn("end", run + F.col("base")).where("end <= rest").groupBy(*LEVELS).agg(F.max(F.struct("rank", "k")).alias("cut"))
-    final = plan.join(last, list(LEVELS), "left").join(cut, list(LEVELS), "left").select(F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("alloc").alias("_alloc"), F.col("full").alias("_full"), "last_part", "cut")
-    final = common.written(final)
-    held = docs.join(small(final), (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source"))).withColumn("_rank", rank(F.col("_full"), ids))
-    # Without a range that goes beyond it, the budget takes all of the epoch only if there is nothing to take.
-    taken = (F.substring("_rank", 1, 3) < F.col("last_part")) | ((F.substring("_rank", 1, 3) == F.col("last_part")) & (F.struct("_rank", ids) <= F.struct("cut.rank", "cut.k")))
-    held = held.withColumn("_copies", F.col("_full") + F.coalesce(taken, F.lit(False)).cast("int")).where("_copies > 0")
+    final = plan.join(last, list(LEVELS), "left").join(cut, list(LEVELS), "left").select(*LEVELS, "alloc", "full", "last_part", "cut")
+    # One column, so that no name of the documents clashes.
+    final = common.written(final.select(F.struct("*").alias("__leaf")))
+    held = docs.join(small(final), (F.col("lang") == F.col("__leaf.lang")) & (F.col("source") == F.col("__leaf.source")))
+    mine = rank(F.col("__leaf.full"), ids)
+    part = F.substring(mine, 1, 3)
+    taken = (part < F.col("__leaf.last_part")) | ((part == F.col("__leaf.last_part")) & (F.struct(mine, ids) <= F.struct("__leaf.cut.rank", "__leaf.cut.k")))
+    held = held.withColumn("__copies", F.col("__leaf.full") + F.coalesce(taken, F.lit(False)).cast("int")).where("__copies > 0")
     if repeat:
-        return held.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
-    more = {"domain": F.col("_domain"), "tokens": token_count(text), "alloc": F.col("_alloc"), "copies": F.col("_copies")}
+        return held.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    more = {"domain": F.col("__leaf.domain"), "tokens": token_count(text), "alloc": F.col("__leaf.alloc"), "copies": F.col("__copies")}
     return held.select(*docs.columns, *[c.alias(n) for n, c in more.items() if n not in docs.columns])

@@ -66,6 +66,7 @@ def minimax_cuts(groups: DataFrame, shards: int, atoms: int = ATOMS) -> tuple[in
         return 0, []
     low = max(-(-total // shards), largest)
     high = low + largest
+    atoms = max(atoms, 4 * shards)  # ranges of small groups stay below half of any capacity in question
     near, bytes_near = groups.select("start", "size", (F.col("start") + F.col("size")).alias("end")), total
     while True:
         exact = count <= atoms
@@ -74,7 +75,7 @@ def minimax_cuts(groups: DataFrame, shards: int, atoms: int = ATOMS) -> tuple[in
         else:
             # Small groups whose ends lie close make a range of less than twice the span; a larger one is a range.
             span = max(1, bytes_near // atoms)
-            ends = near.groupBy(F.floor(F.col("end") / span)).agg(F.max("end").alias("end")).select("end").union(near.where(F.col("size") > span).select("start").where("start > 0"))
+            ends = near.groupBy(F.floor(F.col("end") / span)).agg(F.max("end").alias("end")).select("end").union(near.where(F.col("size") > span).select(F.explode(F.array("start", "end"))).where("col > 0"))
         last = near.sparkSession.range(1).select(F.lit(total).cast("long").alias("end"))
         row = common.written(ends.union(last).distinct().agg(F.sort_array(F.collect_list("end")).alias("ends")))
         high = smallest_capacity(row, low, high, shards)
