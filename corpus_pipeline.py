@@ -6,6 +6,7 @@ Each stage takes ``(spark, docs, sf_dir)``; all but the last return rows of ``do
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import common, decontaminate, mixing, ngram_join, quality, queries
 
@@ -19,10 +20,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least id; rows without an id stay."""
-    found = ngram_join.near_components(docs)
-    copies = found.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies, one row with the least id; rows without an id or with a blank text stay. Rows are
+    told apart by id and text, so that rows of one id with other texts stay or go by themselves."""
+    found = common.written(ngram_join.near_rows(docs).where("key is not null and n > 0").select("row", "key", "root"))
+    least = found.groupBy("root").agg(F.min(F.struct("key", "row")).alias("least")).select(F.col("least.row").alias("_row"))
+    rows = found.groupBy(F.col("row").alias("_row")).count()
+    copies = rows.join(least, "_row", "left_anti").select("_row")
+    repeated = rows.join(least, "_row", "left_semi").where("count > 1").select("_row")
+    stay = docs.withColumn("_row", ngram_join.row_hash()).join(copies, "_row", "left_anti")
+    once = stay.join(repeated, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return stay.join(repeated, "_row", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.conftest import SCHEMA, prose, rows_of
 from tidemark.llm import common, decontaminate, graph, licenses, lm_score, media, mixing, ngram_join, queries, quality, sharding, textcore, token_files, url_rules
 
@@ -334,6 +335,19 @@ def test_jaccard_chains_and_large_groups(spark, block, monkeypatch):
     assert got == plain_components([(r[0], r[1]) for r in rows])
 
 
+def test_jaccard_links_by_text_where_keys_repeat_or_lack(spark):
+    words = prose(7, 100).split()
+    a, mid, b = (" ".join([*[f"new{j}" for j in range(m)], *words[m:]]) for m in (0, 6, 12))
+    other, far = prose(8, 90), prose(9, 80)
+    rows = [(1, a), (None, mid), (2, b), (7, other), (7, far), (7, a), (9, far + " end"), (5, other + " end"), (7, "far away from all"), (None, "no key at all in here"), (None, "no key at all in here x y")]
+    rows += [(20, "twice the same text of one key")] * 2 + [(4, ""), (4, "blank and text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(map(tuple, ngram_join.near_components(df).collect())) == plain_components(rows)
+    kept = collections.Counter(map(tuple, corpus_pipeline.keep_one_of_near_copies(spark, df, "").collect()))
+    gone = [(2, b), (7, a), (7, other), (9, far + " end"), (20, "twice the same text of one key")]
+    assert kept == collections.Counter(rows) - collections.Counter(gone)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(40, 41), (41, 40), (50, 50), (None, 3), (7, 7)], "a long, b long")
     got = dict(map(tuple, graph.components(edges).collect()))

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, graph, textcore
@@ -89,13 +89,13 @@ def _texts(batches: Iterator[pa.RecordBatch], k: int, most: int = textcore.CHUNK
     for batch in batches:
         data, offs = textcore.buffers(batch.column(1))
         for lo, hi in textcore.chunks(offs, most):
-            yield batch.column(0).slice(lo, hi - lo), *token_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)
+            yield batch.slice(lo, hi - lo), *token_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)
 
 
 def _meta(k: int) -> Callable:
     def meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, _, bounds, sids in _texts(batches, k):
-            yield pa.RecordBatch.from_arrays([keys, pa.array(textcore.signed(sids)), pa.array(np.diff(bounds))], names=["key", "sid", "n"])
+        for rows, _, bounds, sids in _texts(batches, k):
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(textcore.signed(sids)), pa.array(np.diff(bounds))], names=["row", "key", "sid", "n"])
 
     return meta
 
@@ -185,19 +185,19 @@ def key_filter(keys: DataFrame) -> np.ndarray:
 
 
 def _sets(k: int, held: np.ndarray) -> Callable:
-    """Token sets of the documents whose keys pass the filter."""
+    """Token sets of the documents whose row hashes pass the filter."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def passing() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                batch = batch.filter(batch.column(0).is_valid())
                 bits = _key_bits(np.asarray(batch.column(0)))
                 yield batch.filter(pa.array((held[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8) & 1).astype(bool)))
 
-        for keys, tokens, bounds, sids in _texts(passing(), k):
-            pairs = np.unique(np.stack([np.asarray(keys), textcore.signed(sids)]), axis=1, return_index=True)[1]
+        for rows, tokens, bounds, sids in _texts(passing(), k):
+            hashes = rows.column(0)
+            pairs = np.unique(np.stack([np.asarray(hashes), textcore.signed(sids)]), axis=1, return_index=True)[1]
             packed = [tokens[bounds[i] : bounds[i + 1]].tobytes() for i in pairs]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(pairs)), pa.array(textcore.signed(sids)[pairs]), pa.array(packed, pa.binary())], names=["key", "sid", "tokens"])
+            yield pa.RecordBatch.from_arrays([hashes.take(pa.array(pairs)), pa.array(textcore.signed(sids)[pairs]), pa.array(packed, pa.binary())], names=["row", "sid", "tokens"])
 
     return sets
 
@@ -348,34 +348,52 @@ def exact_components(sets: DataFrame) -> DataFrame:
     return whole.toDF("node", "root").union(graph.components(pairs))
 
 
+def row_hash(key: str = "doc_id", text: str = "text") -> Column:
+    """A hash of a row's key and text."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"))
+
+
 def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, orders: int = ORDERS, counted: float = COUNTED) -> DataFrame:
     """One row for each row of ``docs``: ``key, n_shingles, component_id``.
 
     Words are runs of bytes other than white space, A-Z lower-cased. A text of fewer than ``shingle`` words has all of
     them as its one shingle. Null, empty and blank texts have none, link with nothing and are their own component.
-    Component ids are the least key reachable by links of ``SIMILAR`` hundredths or more; equal texts are linked. A
-    row with a null key has its text's component, or null if no row with a key is in it. Repeated keys and rows each
-    get a row. An empty table gives no rows. Texts are compared whole, by 64-bit hashes of their shingles. Columns
-    other than key and text are ignored.
+    Component ids are the least key reachable by links of ``SIMILAR`` hundredths or more; equal texts are linked, and
+    links go by text, whether its rows have keys or not, or one key has several texts. A row with a null key has its
+    text's component, or null if no row with a key is in it. Repeated keys and rows each get a row. An empty table
+    gives no rows. Texts are compared whole, by 64-bit hashes of their shingles. Columns other than key and text are
+    ignored.
     """
+    out = near_rows(docs, key=key, text=text, shingle=shingle, orders=orders, counted=counted)
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def near_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, orders: int = ORDERS, counted: float = COUNTED) -> DataFrame:
+    """``row`` (its ``row_hash``), ``key, n, root, component_id`` of each row of ``docs``, as in ``near_components``.
+    Of two components that one key is the least of, the roots differ; a text without shingles has none."""
     spark = docs.sparkSession
     n = common.parts(spark)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("t"))
-    meta = common.written(rows.mapInArrow(_meta(shingle), "key long, sid long, n long"))
+    rows = docs.select(row_hash(key, text).alias("row"), F.col(text).cast("string").alias("t"), F.col(key).cast("long").alias("key"))
+    meta = common.written(rows.mapInArrow(_meta(shingle), "row long, key long, sid long, n long"))
     # Order one: what only one text has.
     packs = rows.mapInArrow(_counted(shingle, n, counted), _PACK)
     alone = packs.groupBy("b").applyInArrow(_unique(n), "b int, nodes binary, counts binary").groupBy("b").applyInArrow(_summed, "sid long, alone long")
-    texts = common.written(meta.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"), F.min("key").alias("node")))
-    left = texts.where("node is not null").join(alone, "sid", "left").where(f"100 * (n - coalesce(alone, 0)) >= {SIMILAR} * n")
-    left = common.written(left.select("sid", "node"))
-    held = key_filter(left.select("node"))
-    sets = rows.mapInArrow(_sets(shingle, held), "key long, sid long, tokens binary").join(left, "sid").where("key = node")
-    sets = common.written(sets.groupBy("node").agg(F.first("tokens").alias("tokens")).withColumn("grp", F.lit(0).cast("long")))
+    # A text is its own node; one of its rows stands for it where its tokens are made again.
+    texts = common.written(meta.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"), F.min("key").alias("least"), F.min("row").alias("row")))
+    left = texts.join(alone, "sid", "left").where(f"100 * (n - coalesce(alone, 0)) >= {SIMILAR} * n")
+    left = common.written(left.select("sid", "row"))
+    held = key_filter(left.select("row"))
+    sets = rows.mapInArrow(_sets(shingle, held), "row long, sid long, tokens binary").join(left, ["sid", "row"])
+    sets = common.written(sets.groupBy(F.col("sid").alias("node")).agg(F.first("tokens").alias("tokens")).withColumn("grp", F.lit(0).cast("long")))
     for order in range(orders):
         groups = candidate_groups(sets, 0x5851F42D4C957F2D * (order + 1) % (1 << 63))
         sets = common.written(sets.drop("grp").join(groups, "node").select("node", "tokens", "grp"))
-    found = exact_components(sets)
-    of_text = texts.join(found, "node", "left").select("sid", F.coalesce("root", "node").alias("component_id"))
-    out = meta.join(of_text, "sid", "left")
+    found = common.written(exact_components(sets).join(texts.select(F.col("sid").alias("node"), "least"), "node"))
+    # The roots have stars of their other texts alone, so each root is added to its component.
+    roots = found.select(F.col("root").alias("node")).distinct().join(texts.select(F.col("sid").alias("node"), "least"), "node")
+    least = found.select("root", "least").union(roots).groupBy("root").agg(F.min("least").alias("of_root"))
+    of_text = texts.select("sid", "least").join(found.select(F.col("node").alias("sid"), "root"), "sid", "left")
+    of_text = of_text.withColumn("root", F.coalesce("root", "sid")).join(least, "root", "left")
+    out = meta.join(of_text.select("sid", "root", F.coalesce("of_root", "least").alias("component_id")), "sid", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("row", "key", "n", "root", own.alias("component_id"))
