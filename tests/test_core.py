@@ -227,6 +227,21 @@ def kendall(x, y):
     return s / (len(x) * (len(x) - 1) / 2)
 
 
+def test_kendall_with_ties_and_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    series_ = {"a": rng.integers(0, 9, 70), "b": rng.normal(size=70).round(1), "c": np.arange(70.0)}
+    rows = returns(spark, series_["a"], "a").union(returns(spark, series_["b"], "b")).union(returns(spark, series_["c"], "c"))
+    for size in (4096, 5):
+        monkeypatch.setattr(risk, "RANGE_ROWS", size)
+        made = risk.correlation(rows, "kendall")
+        assert "collect_list" not in made._jdf.queryExecution().toString()
+        got = {(r.a, r.b): r.corr for r in made.collect()}
+        for x in series_:
+            for y in series_:
+                u, v = (np.sign(s[:, None] - s[None, :]) for s in (series_[x], series_[y]))
+                assert math.isclose(got[x, y], (u * v).sum() / math.sqrt(abs(u).sum() * abs(v).sum()), abs_tol=1e-12)
+
+
 def test_walk_forward(spark):
     df = spark.createDataFrame(frame(200), BARS)
     w = walkforward.windows(df, 100, 50, 25).orderBy("window").collect()

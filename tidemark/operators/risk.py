@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import RiskError
 from tidemark.operators import metrics
+from tidemark.plans.tables import kept
 
 BETA_ROWS, REPORT_ROWS = 10, 5
+#: Ranges of a series' values, and ranks of a range of y.
+RANGES, RANGE_ROWS = 64, 4096
 
 
 def beta(returns: DataFrame, benchmark: DataFrame, keys: list[str] = ["series_id"], method: str = "ols") -> DataFrame:  # noqa: B006
@@ -38,24 +41,46 @@ def correlation(returns: DataFrame, method: str = "pearson", key: str = "series_
     elif method not in ("pearson", "kendall"):
         raise RiskError(f"unknown method {method!r}")
     x, y = rows.select("ts", F.col(key).alias("a"), F.col("r").alias("x")), rows.select("ts", F.col(key).alias("b"), F.col("r").alias("y"))
-    pairs = x.join(y, "ts")
-    if method != "kendall":
-        return pairs.groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
-    return pairs.groupBy("a", "b").agg(kendall_tau().alias("corr"))
-
-
-def kendall_tau():
-    """Tau-b of columns x and y of a group, from pairs of its rows held in one array each."""
-    points = F.collect_list(F.struct("x", "y"))
-
-    def against(p):
-        sign = lambda q: F.struct((F.signum(q["x"] - p["x"]) * F.signum(q["y"] - p["y"])).alias("s"), F.abs(F.signum(q["x"] - p["x"])).alias("u"), F.abs(F.signum(q["y"] - p["y"])).alias("v"))
-        add = lambda t, q: F.struct((t["s"] + sign(q)["s"]).alias("s"), (t["u"] + sign(q)["u"]).alias("u"), (t["v"] + sign(q)["v"]).alias("v"))
-        return F.aggregate(points, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v")), add)
-
-    sums = F.transform(points, against)
-    total = lambda c: F.aggregate(sums, F.lit(0.0), lambda t, q: t + q[c])
-    return total("s") / F.nullif(F.sqrt(total("u") * total("v")), F.lit(0.0))
+    if method == "kendall":
+        return kendall_tau(rows, key)
+    return x.join(y, "ts").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+
+
+def dense_ranks(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``i``, the rank from 0 of ``r`` among its series' distinct values: by ranges of values and their totals."""
+    values = rows.groupBy(key, "r").agg(F.count(F.lit(1)).alias("_n"))
+    cuts = values.groupBy(key).agg(F.percentile_approx("r", [k / RANGES for k in range(1, RANGES)]).alias("_cuts"))
+    dealt = values.join(cuts, key).select(key, "r", F.size(F.filter("_cuts", lambda c: c < F.col("r"))).alias("_range"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n")).select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy("r")) - 1
+    ranks = dealt.withColumn("_in", inside).join(totals, [key, "_range"]).select(key, "r", (F.col("_base") + F.col("_in")).alias("i"))
+    return rows.join(ranks, [key, "r"])
+
+
+def kendall_tau(rows: DataFrame, key: str) -> DataFrame:
+    """``a, b, corr``: tau-b of all pairs of series, in n log n rows. Two points that x tells apart part at one bit of
+    their ranks in x; so at each bit, among ranks equal above it, those without it are counted against those with it
+    and a lesser y, by running totals inside ranges of y and over the ranges."""
+    ranks = kept(dense_ranks(rows, key).select("ts", F.col(key).alias("a"), "i"))
+    cells = ranks.join(ranks.select("ts", F.col("a").alias("b"), F.col("i").alias("j")), "ts")
+    cells = kept(cells.groupBy("a", "b", "i", "j").agg(F.count(F.lit(1)).alias("m")))
+    two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    tied = lambda by, name: cells.groupBy("a", "b", by).agg(F.sum("m").alias("m")).groupBy("a", "b").agg(two("m").alias(name))
+    out = cells.groupBy("a", "b").agg((F.sum("m") * (F.sum("m") - 1) / 2).alias("all"), two("m").alias("xy")).join(tied("i", "tx"), ["a", "b"]).join(tied("j", "ty"), ["a", "b"])
+    bits = int(ranks.agg(F.max("i")).first()[0] or 0).bit_length()
+    by = ["a", "b", "bit", "above", "range"]
+    at = cells.withColumn("bit", F.explode(F.array(*[F.lit(k) for k in range(max(1, bits))])))
+    at = at.withColumns({"above": F.expr("shiftright(i, bit + 1)"), "has": F.expr("shiftright(i, bit) % 2 = 1"), "range": F.floor(F.col("j") / RANGE_ROWS)})
+    side = at.groupBy(*by, "j").agg(F.sum(F.when(~F.col("has"), F.col("m")).otherwise(0)).alias("low"), F.sum(F.when(F.col("has"), F.col("m")).otherwise(0)).alias("high"))
+    earlier = lambda w: F.coalesce(F.sum("high").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    side = side.withColumn("lesser", earlier(Window.partitionBy(*by).orderBy("j")))
+    ranges = side.groupBy(*by).agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum(F.col("low") * F.col("lesser")).alias("inside"))
+    ranges = ranges.withColumn("lesser", earlier(Window.partitionBy(*by[:-1]).orderBy("range")))
+    crossed = ranges.groupBy("a", "b").agg(F.sum(F.col("inside") + F.col("low") * F.col("lesser")).alias("d"))
+    free = F.sqrt((F.col("all") - F.col("tx")) * (F.col("all") - F.col("ty")))
+    tau = (F.col("all") - F.col("tx") - F.col("ty") + F.col("xy") - 2 * F.col("d")) / F.nullif(free, F.lit(0.0))
+    return out.join(crossed, ["a", "b"]).select("a", "b", tau.alias("corr"))
 
 
 def matrix(correlations: DataFrame) -> DataFrame:
@@ -66,10 +91,10 @@ def matrix(correlations: DataFrame) -> DataFrame:
 def report(returns: DataFrame, benchmark: DataFrame | None = None, keys: list[str] = ["series_id"], **options) -> DataFrame:  # noqa: B006
     """Metrics of each series with five returns or more, with beta and correlation where a benchmark has enough."""
     seen = returns.where("r is not null")
-    kept = seen.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("_n") >= REPORT_ROWS).drop("_n")
-    out = metrics.compute(kept, keys, **options)
+    enough = seen.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("_n") >= REPORT_ROWS).drop("_n")
+    out = metrics.compute(enough, keys, **options)
     if benchmark is None:
         return out.withColumns({"beta": F.lit(None).cast("double"), "correlation": F.lit(None).cast("double")})
-    both = kept.join(benchmark.select("ts", "b"), "ts").dropna(subset=["b"])
+    both = enough.join(benchmark.select("ts", "b"), "ts").dropna(subset=["b"])
     pair = both.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= BETA_ROWS, F.regr_slope("r", "b")).alias("beta"), F.corr("r", "b").alias("correlation"))
     return out.join(pair, keys, "left")

@@ -337,6 +337,16 @@ def corr_kendall(spark: SparkSession, d: str) -> DataFrame:
     return rounded(risk.correlation(made, "kendall"))
 
 
+_ALL_HOURS_ALIGNED = "rets AS (SELECT symbol AS series_id, ts, close AS r FROM hourly), al AS (SELECT *, count(*) OVER (PARTITION BY ts) AS k FROM rets), ok AS (SELECT series_id, ts, r FROM al WHERE k = (SELECT count(DISTINCT series_id) FROM rets))"
+
+
+@query(f"""WITH {HOURLY}, {_ALL_HOURS_ALIGNED}, p AS (SELECT a.series_id AS a, b.series_id AS b, ts, a.r AS x, b.r AS y FROM ok a JOIN ok b USING (ts))
+SELECT p.a, p.b, round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))::DOUBLE) * sum(abs(sign(p.y - q.y))::DOUBLE)), 6) + 0.0 AS corr FROM p JOIN p q ON p.a = q.a AND p.b = q.b GROUP BY 1, 2""")
+def corr_kendall_all_hours(spark: SparkSession, d: str) -> DataFrame:
+    made = hourly(spark, d).select(F.col("symbol").alias("series_id"), "ts", F.col("close").alias("r"))
+    return rounded(risk.correlation(made, "kendall"))
+
+
 @query(f"WITH {DAILY}, {RETURNS}, {BENCH}, {metrics_sql('rets', 'series_id', 'product(1 + r) OVER (PARTITION BY series_id ORDER BY ts)')}, p AS (SELECT series_id, round(regr_slope(r, b), 6) + 0.0 AS beta, round(corr(r, b), 6) + 0.0 AS correlation FROM rets JOIN bench USING (ts) GROUP BY series_id) SELECT m.*, beta, correlation FROM m LEFT JOIN p USING (series_id)")
 def risk_report(spark: SparkSession, d: str) -> DataFrame:
     made = small_returns(daily(spark, d))
