@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -137,13 +138,113 @@ def test_lm_scores(spark, docs, empty):
     assert {r.n_known for r in nothing} == {0} and {r.train_tokens for r in nothing} == {0}
 
 
-def test_class_model_is_normalised_and_learns():
-    features = lm_score._features()
-    logits = lm_score._slice_logits(np.random.default_rng(0).normal(size=(lm_score.BUCKETS, lm_score.CLASSES)), features[:100])
-    assert np.allclose(np.exp(logits).sum(1), 1)
-    cls = np.array([1, 2, 3, 0, 4, 5, 0], np.uint8)
-    k = lm_score.CLASSES
-    assert lm_score._contexts(cls, np.array([0, 4])).tolist() == [0, k * k, 2 * k * k + k, 3 * k * k + 2 * k + 1, 0, 4 * k * k, 5 * k * k + 4 * k]
+def small_layout(side=4, rows=(64, 128)):
+    rng = np.random.default_rng(1)
+    words, counts = rng.integers(1, 1 << 60, 30).astype(np.uint64), np.arange(30, 0, -1)
+    kinds = rng.integers(0, 4096, 30)
+    shared = np.zeros((2, side * side), np.int64)
+    places = lm_score.Layout.shared_places(kinds, side)
+    np.add.at(shared[0], places, counts)
+    np.add.at(shared[1], places, 1)
+    return lm_score.Layout.of(words, kinds, counts, *shared, side, rows), words, kinds, counts
+
+
+def test_word_probabilities_add_up_to_one():
+    layout, words, kinds, counts = small_layout()
+    rng = np.random.default_rng(2)
+    weights = tuple(rng.normal(size=(r, layout.side)).astype(np.float32) for r in (layout.class_rows, layout.place_rows))
+    places, shares = layout.places_of(words, kinds)
+    assert (~shares).sum() == 8 and layout.tokens.sum() == layout.train_tokens == counts.sum() and layout.distinct.sum() == 30
+    context = rng.integers(0, 1 << 60, (lm_score.FEATURES, 1)).astype(np.uint64)
+    every = np.arange(layout.side**2)
+    of_place = 10 ** lm_score.log_probabilities(np.repeat(context, len(every), 1), every, layout, weights)
+    assert abs(of_place.sum() - 1) < 1e-5
+    known = (of_place[places] * 10 ** layout.log_shared(places, shares, counts)).sum()
+    shared = np.setdiff1d(every, layout.common_places)
+    unseen = (of_place[shared] / (layout.tokens[shared] + layout.distinct[shared] + 1)).sum()
+    assert abs(known + unseen - 1) < 1e-5
+
+
+def test_contexts_see_words_before_but_not_other_texts():
+    tokens = np.array([11, 12, 13, 14, 11, 12, 13], np.uint64)
+    c = lm_score.contexts(tokens, np.array([1, 2, 3, 4, 1, 2, 3]), np.array([4, 3]))
+    assert (c[:, 0] == c[:, 4]).all() and (c[:, 2] == c[:, 6]).all() and (c[:, 1] != c[:, 2])[0]
+    other = lm_score.contexts(tokens, np.array([1, 2, 3, 4, 1, 2, 3]), np.array([7]))
+    assert (other[:, 4] != c[:, 4]).any() and (other[:, :4] == c[:, :4]).all()
+
+
+def test_lm_equals_plain_model(spark):
+    """One gradient step over one chunk, with loops and dictionaries."""
+    texts = [" ".join(f"{'abc'[j % 3]}{(i * j) % 7}" for j in range(4 + 3 * i)) for i in range(9)]
+    got = {r.doc_id: r.score for r in lm_score.score_texts(spark.createDataFrame(rows_of(texts), SCHEMA).coalesce(1), F.col("doc_id") == 4, steps=1).collect()}
+
+    def hashed(w):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return textcore.word_hashes(raw, np.array([0]), np.array([len(raw)]))[0], int(lm_score.word_kinds(raw, np.array([0]), np.array([len(raw)]))[0])
+
+    docs = [[*map(hashed, t.split()), (lm_score._END, 0)] for t in texts]
+    counts = collections.Counter(w for i, d in enumerate(docs) if i != 4 for w in d)
+    side, *rows = lm_score.Layout.sizes(len(counts))
+    common = {w: r % side * side + r // side for r, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], int(x[0][0].view(np.int64))))[: side * (side // 2)])}
+    place = lambda w: common.get(w, w[1] % side * side + side // 2 + w[1] // side % (side - side // 2))
+    n, d = collections.Counter(), collections.Counter()
+    for w, c in counts.items():
+        n[place(w)] += c
+        d[place(w)] += 1
+    assert len(counts) > len(common) or side == 8
+
+    def features(doc, i):
+        before = lambda k: doc[i - k] if i >= k else None
+        made = [0 if before(k) is None else place(before(k)) + 1 for k in range(1, lm_score.BACK + 1)]
+        one, two = (0 if before(k) is None else int(before(k)[0]) for k in (1, 2))
+        made.append((one * int(lm_score._ODD) + two) % 2**64)
+        return [int(textcore.mix(np.array([(x + (k + 1) * int(lm_score._ODD)) % 2**64], np.uint64))[0]) for k, x in enumerate(made)]
+
+    weights = [collections.defaultdict(float), collections.defaultdict(float)]
+
+    def factors(f, c):
+        of_class = [h % rows[0] for h in f]
+        of_place = [int(textcore.mix(np.array([(h + c * int(lm_score._SALT)) % 2**64], np.uint64))[0]) % rows[1] for h in f]
+        a = [math.log(sum(n[k * side + s] for s in range(side)) + 1) + sum(weights[0][r, k] for r in of_class) for k in range(side)]
+        b = [math.log(n[c * side + s] + 0.5) + sum(weights[1][r, s] for r in of_place) for s in range(side)]
+        return [(r, [math.exp(v) / sum(map(math.exp, x)) for v in x]) for r, x in ((of_class, a), (of_place, b))]
+
+    seen, expected = [collections.Counter() for _ in range(2)], [collections.Counter() for _ in range(2)]
+    for j, doc in enumerate(docs):
+        for i, w in enumerate(doc if j != 4 else []):
+            c, s = divmod(place(w), side)
+            for k, (r, p) in enumerate(factors(features(doc, i), c)):
+                for row in r:
+                    seen[k][row, (c, s)[k]] += 1
+                    for y, v in enumerate(p):
+                        expected[k][row, y] += v
+    for k in range(2):
+        for at in set(seen[k]) | set(expected[k]):
+            a, b = seen[k][at], expected[k][at]
+            weights[k][at] += lm_score.RATE / lm_score.FEATURES * (a - b) / ((a + b) / 2 + 1)
+    for j, doc in enumerate(docs):
+        want = 0.0
+        for i, w in enumerate(doc):
+            c, s = divmod(place(w), side)
+            (_, a), (_, b) = factors(features(doc, i), c)
+            want += math.log10(a[c] * b[s]) + (0 if w in common else math.log10((counts[w] + 1) / (n[place(w)] + d[place(w)] + 1)))
+        assert abs(got[j] - want) < 0.01 * len(doc), j
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_lm_beats_unigrams_on_held_out_documents(spark):
+    got = queries.op4_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("a"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (got.a - got.b) / got.n > 0.15
+
+
+def test_long_words_and_texts_hash_alike_in_pieces(monkeypatch):
+    raw = ("ab " * 40 + "c" * 1000 + " dé " + "Xy" * 90 + " z").encode()
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends, _ = textcore.spans(data, np.array([0, len(data)]), textcore.BY_SPACE)
+    want = textcore.word_hashes(data, starts, ends)
+    for size in (64, 7, 1):
+        monkeypatch.setattr(textcore, "CHUNK_BYTES", size)
+        assert (textcore.word_hashes(data, starts, ends) == want).all()
 
 
 def test_lm_beats_unigrams_on_patterns(spark):

@@ -86,11 +86,30 @@ def spans(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word, with A-Z lower-cased."""
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A hash of each word, with A-Z lower-cased. Words are hashed by runs of ``CHUNK_BYTES`` and a longer word in
+    pieces, so that a long text needs no more memory than its words do."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK_BYTES, "right")))
+        a, z = int(starts[lo]), int(ends[hi - 1])
+        if z - a > CHUNK_BYTES:
+            out[lo] = _long_word_sum(data[a:z])
+        else:
+            up, down = _power(z - a + 1)
+            sums = np.zeros(z - a + 1, np.uint64)
+            np.cumsum(_BYTE[data[a:z]] * up[: z - a], out=sums[1:])
+            out[lo:hi] = (sums[ends[lo:hi] - a] - sums[starts[lo:hi] - a]) * down[starts[lo:hi] - a]
+        lo = hi
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def _long_word_sum(word: np.ndarray) -> np.uint64:
+    total, up = 0, _power(CHUNK_BYTES + 1)[0]
+    for at in range(0, len(word), CHUNK_BYTES):
+        piece = _BYTE[word[at : at + CHUNK_BYTES]]
+        total += int((piece * up[: len(piece)]).sum(dtype=np.uint64)) * pow(int(_B), at, 1 << 64)
+    return np.uint64(total % (1 << 64))
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
