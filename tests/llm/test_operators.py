@@ -205,7 +205,7 @@ def test_lm_equals_plain_model(spark):
     def factors(f, c):
         of_class = [h % rows[0] for h in f]
         of_place = [int(textcore.mix(np.array([(h + c * int(lm_score._SALT)) % 2**64], np.uint64))[0]) % rows[1] for h in f]
-        a = [math.log(sum(n[k * side + s] for s in range(side)) + 1) + sum(weights[0][r, k] for r in of_class) for k in range(side)]
+        a = [math.log((sum(n[k * side + s] for s in range(side)) + 1) / (sum(n.values()) + side)) + sum(weights[0][r, k] for r in of_class) for k in range(side)]
         b = [math.log(n[c * side + s] + 0.5) + sum(weights[1][r, s] for r in of_place) for s in range(side)]
         return [(r, [math.exp(v) / sum(map(math.exp, x)) for v in x]) for r, x in ((of_class, a), (of_place, b))]
 
