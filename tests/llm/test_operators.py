@@ -373,15 +373,73 @@ def test_quality(spark, docs, empty):
     assert all(len(s) == 1 for s in by_text.values())
     assert quality.keep_good(rows, model).columns == rows.columns
     assert quality.classify(empty, model, F.lit(False)).count() == 0
+    assert {s for t, ss in by_text.items() if not t for s in ss} == {0.0}
     none = quality.fit(rows, labels.limit(0))
     assert {r.score for r in quality.classify(rows, none, F.lit(False)).collect()} == {0.5}
 
 
+def test_quality_learns_one_text_a_key(spark):
+    rows, labels = labelled(spark, 40)
+    twice = rows.union(rows).union(rows.where("doc_id = 3"))
+    one, two = quality.fit(rows, labels, sample=80), quality.fit(twice, labels, sample=80)
+    assert len(two.labels) == 80 and two.labels.sum() == 40
+    assert np.allclose(one.vectors, two.vectors) and (one.labels == two.labels).all()
+    blanks = spark.createDataFrame(rows_of(["", None, " ", "good words here"]), SCHEMA)
+    kinds = spark.createDataFrame([(0, 1), (1, 1), (2, 1), (3, 1)], "doc_id long, quality int")
+    assert quality.fit(blanks, kinds).blank == 3 / 4
+
+
+def test_fit_equals_plain_space(spark):
+    """Terms counted by loops, idf and singular vectors by definition: the same cosines."""
+    rows, labels = labelled(spark, 15)
+    model = quality.fit(rows, labels)
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    x = []
+    for i in sorted(texts):
+        raw, row = texts[i].encode(), np.zeros(quality.TERMS)
+        for a in range(len(raw) - 2):
+            p, q, r = (int(quality._SHAPE[c]) for c in raw[a : a + 3])
+            row[quality._TERM[(p * quality._KINDS + q) * quality._KINDS + r]] += 1
+        row[: quality.TRIGRAMS] /= max(1, row[: quality.TRIGRAMS].sum())
+        seen, before = set(), None
+        for w in spaced(texts[i]):
+            b = np.frombuffer(w.encode(), np.uint8)
+            row[quality.TRIGRAMS + int(textcore.word_hashes(b, np.array([0]), np.array([len(b)]))[0] % np.uint64(quality.WORDS))] += 1 / len(spaced(texts[i]))
+            row[quality.TERMS - 3 + (w in seen) + (w == before)] += 1 / len(spaced(texts[i]))
+            seen.add(w)
+            before = w
+        x.append(np.sqrt(row))
+    x = np.array(x)
+    idf = 1 + np.log((1 + len(x)) / (1 + (x > 0).sum(0)))
+    axes = np.linalg.svd(x * idf, full_matrices=False)[2][: quality.DIMENSIONS]
+    latent = (x * idf) @ axes.T
+    latent /= np.linalg.norm(latent, axis=1, keepdims=True)
+    got = np.sort((model.vectors @ model.vectors.T).ravel())
+    assert np.abs(got - np.sort((latent @ latent.T).ravel())).max() < 0.02
+
+
+def test_nearest_ties_go_by_number():
+    c = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.1, 0.2, 0.3, 0.4, 0.5]])
+    assert [sorted(r) for r in quality.nearest(c, 3).tolist()] == [[0, 1, 2], [2, 3, 4]]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
+def test_quality_of_held_out_labels(spark):
+    """Held-out rows of ``labels``: accuracy and how often a good text scores above a bad one."""
+    d = "/root/testdata/sf0.1"
+    got = queries.op8_quality(spark, d).where("held_out").join(queries.table(spark, d, "labels"), "doc_id").select("score", "predicted", "quality").toPandas()
+    assert len(got) > 1000 and (got.predicted == got.quality).mean() > 0.97
+    good, bad = np.sort(got.score[got.quality == 1]), got.score[got.quality == 0]
+    auc = ((np.searchsorted(good, bad, "left") + np.searchsorted(good, bad, "right")) / 2 / len(good)).mean()
+    assert 1 - auc > 0.97
+
+
 def test_votes_equal_brute_force():
     rng = np.random.default_rng(3)
     data = [prose(i, 20).encode() for i in range(40)]
     x = quality.term_shares(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
-    assert np.allclose(np.linalg.norm(x[:, :-3], axis=1), 1) and np.allclose(np.linalg.norm(x[:, -3:], axis=1), 1)
+    cuts = [slice(0, quality.TRIGRAMS), slice(quality.TRIGRAMS, -3), slice(-3, None)]
+    assert all(np.allclose(np.linalg.norm(x[:, c], axis=1), 1) for c in cuts)
     model = quality.Model(rng.normal(size=(quality.TERMS, 8)).astype(np.float32), quality._unit(rng.normal(size=(50, 8)).astype(np.float32)), rng.integers(0, 2, 50).astype(float))
     got = model.score(x)
     for row, s in zip(x, got, strict=True):

@@ -63,11 +63,12 @@ def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def chunks(offs: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most so many bytes together, or of one text."""
+def chunks(offs: np.ndarray, most: int = CHUNK_BYTES, texts: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most so many bytes (and so many texts) together, or of one text."""
     lo, n = 0, len(offs) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
+        hi = hi if texts is None else min(hi, lo + texts)
         yield lo, hi
         lo = hi
 
