@@ -36,6 +36,8 @@ ORDERS = 2
 BLOCK_DOCS = 1024
 #: Bytes of text packed together.
 PACK_BYTES = 8 << 20
+#: Bytes of tokens that a task holds as one group; as many ranges are made as the tokens need.
+RANGE_BYTES = 32 << 20
 #: Bits of the filter of candidates' keys that every task gets: 1 MB, however many candidates there are.
 FILTER_BITS = 23
 
@@ -43,6 +45,11 @@ _PACK = "b int, nodes binary, sizes binary, counts binary, tokens binary"
 _SEED = np.uint64(0xA24BAED4963EE407)
 
 
+def ranges_for(tokens: float, least: int) -> int:
+    """Ranges for so many tokens of 8 bytes, with their texts' hashes and sizes."""
+    return max(least, -(-int(16 * tokens) // RANGE_BYTES))
+
+
 def token_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending within it; their bounds; and a hash of each text's set."""
     starts, ends, bounds = textcore.spans(data, offs, textcore.BY_SPACE)
@@ -277,14 +284,17 @@ def _edges(table: pa.Table) -> pa.Table:
     return pa.table({"a": node[node != root], "b": root[node != root]})
 
 
-def candidate_groups(sets: DataFrame, seed: int) -> DataFrame:
-    """``(node, grp)`` of the texts that share a prefix token with another of their group, under one order."""
+def candidate_groups(sets: DataFrame, seed: int, tokens: int) -> DataFrame:
+    """``(node, grp)`` of the texts that share a prefix token with another of their group, under one order; the sets
+    have ``tokens`` tokens at most."""
     n = common.parts(sets.sparkSession)
-    packed = sets.select("node", "grp", "tokens").mapInArrow(_pack_sets(n), _PACK)
-    counted = packed.groupBy("b").applyInArrow(_shared(n), f"{_PACK}, extra binary")
+    whole = ranges_for(tokens, n)
     # Prefixes are a fifth of some of the tokens: fewer, wider ranges, so that a text meets its partners in few.
-    chosen = counted.groupBy("b").applyInArrow(_prefixes(max(1, n // 8), seed), _PACK)
-    edges = chosen.groupBy("b").applyInArrow(_edges, "a long, b long")
+    few = ranges_for(tokens * (100 - SIMILAR) / 100, max(1, n // 8))
+    packed = sets.select("node", "grp", "tokens").mapInArrow(_pack_sets(whole), _PACK)
+    counted = packed.repartition(whole, "b").groupBy("b").applyInArrow(_shared(whole), f"{_PACK}, extra binary")
+    chosen = counted.repartition(whole, "b").groupBy("b").applyInArrow(_prefixes(few, seed), _PACK)
+    edges = chosen.repartition(few, "b").groupBy("b").applyInArrow(_edges, "a long, b long")
     return graph.components(edges).withColumnRenamed("root", "grp")
 
 
@@ -331,13 +341,13 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def exact_components(sets: DataFrame) -> DataFrame:
+def exact_components(sets: DataFrame, tokens: int) -> DataFrame:
     """``(node, root)`` by exact links between texts of one candidate group; texts without a link are left out."""
-    n = common.parts(sets.sparkSession)
+    n = ranges_for(tokens, common.parts(sets.sparkSession))
     blocks = sets.groupBy("grp").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK_DOCS).cast("int"))
     large = common.written(blocks.where("blocks > 1").select("grp", "blocks"))
     small = sets.join(large, "grp", "left_anti").select("node", "grp", "tokens", F.pmod(F.xxhash64("grp"), F.lit(n)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
-    whole = small.groupBy("g", "i", "j").applyInArrow(_verify, "a long, b long")
+    whole = small.repartition(n, "g", "i", "j").groupBy("g", "i", "j").applyInArrow(_verify, "a long, b long")
     if large.isEmpty():
         return whole.toDF("node", "root")
     # Each document meets every block of its group in one task; a pair of blocks is a task.
@@ -376,19 +386,22 @@ def near_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shing
     rows = docs.select(row_hash(key, text).alias("row"), F.col(text).cast("string").alias("t"), F.col(key).cast("long").alias("key"))
     meta = common.written(rows.mapInArrow(_meta(shingle), "row long, key long, sid long, n long"))
     # Order one: what only one text has.
-    packs = rows.mapInArrow(_counted(shingle, n, counted), _PACK)
-    alone = packs.groupBy("b").applyInArrow(_unique(n), "b int, nodes binary, counts binary").groupBy("b").applyInArrow(_summed, "sid long, alone long")
+    whole = ranges_for(counted * (meta.agg(F.sum("n")).first()[0] or 0), n)
+    packs = rows.mapInArrow(_counted(shingle, whole, counted), _PACK)
+    alone = packs.repartition(whole, "b").groupBy("b").applyInArrow(_unique(n), "b int, nodes binary, counts binary").groupBy("b").applyInArrow(_summed, "sid long, alone long")
     # A text is its own node; one of its rows stands for it where its tokens are made again.
     texts = common.written(meta.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"), F.min("key").alias("least"), F.min("row").alias("row")))
     left = texts.join(alone, "sid", "left").where(f"100 * (n - coalesce(alone, 0)) >= {SIMILAR} * n")
-    left = common.written(left.select("sid", "row"))
+    left = common.written(left.select("sid", "row", "n"))
+    tokens = left.agg(F.sum("n")).first()[0] or 0
+    left = left.drop("n")
     held = key_filter(left.select("row"))
     sets = rows.mapInArrow(_sets(shingle, held), "row long, sid long, tokens binary").join(left, ["sid", "row"])
     sets = common.written(sets.groupBy(F.col("sid").alias("node")).agg(F.first("tokens").alias("tokens")).withColumn("grp", F.lit(0).cast("long")))
     for order in range(orders):
-        groups = candidate_groups(sets, 0x5851F42D4C957F2D * (order + 1) % (1 << 63))
+        groups = candidate_groups(sets, 0x5851F42D4C957F2D * (order + 1) % (1 << 63), tokens)
         sets = common.written(sets.drop("grp").join(groups, "node").select("node", "tokens", "grp"))
-    found = common.written(exact_components(sets).join(texts.select(F.col("sid").alias("node"), "least"), "node"))
+    found = common.written(exact_components(sets, tokens).join(texts.select(F.col("sid").alias("node"), "least"), "node"))
     # The roots have stars of their other texts alone, so each root is added to its component.
     roots = found.select(F.col("root").alias("node")).distinct().join(texts.select(F.col("sid").alias("node"), "least"), "node")
     least = found.select("root", "least").union(roots).groupBy("root").agg(F.min("least").alias("of_root"))
