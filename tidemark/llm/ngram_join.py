@@ -399,7 +399,8 @@ def near_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shing
     sets = rows.mapInArrow(_sets(shingle, held), "row long, sid long, tokens binary").join(left, ["sid", "row"])
     sets = common.written(sets.groupBy(F.col("sid").alias("node")).agg(F.first("tokens").alias("tokens")).withColumn("grp", F.lit(0).cast("long")))
     for order in range(orders):
-        groups = candidate_groups(sets, 0x5851F42D4C957F2D * (order + 1) % (1 << 63), tokens)
+        # Written first, so that Spark knows its size when it joins: a small one goes to the sets, which stay where they are.
+        groups = common.written(candidate_groups(sets, 0x5851F42D4C957F2D * (order + 1) % (1 << 63), tokens))
         sets = common.written(sets.drop("grp").join(groups, "node").select("node", "tokens", "grp"))
     found = common.written(exact_components(sets, tokens).join(texts.select(F.col("sid").alias("node"), "least"), "node"))
     # The roots have stars of their other texts alone, so each root is added to its component.
