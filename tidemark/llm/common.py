@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, one machine) a
-    temporary folder is made and set, so that later calls use the same one.
+    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset on one machine (tests)
+    a temporary folder is made and set, so that later calls use the same one; on a cluster that is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
