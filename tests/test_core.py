@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark import errors
 from tidemark.functions import series
-from tidemark.operators import bars, engine, metrics, montecarlo, risk, strategies, walkforward
+from tidemark.operators import bars, engine, features, metrics, montecarlo, risk, strategies, walkforward
 from tidemark.plans.service import Service, Settings
 from tidemark.sources import files
 from tidemark.sources.store import Store
+from tidemark.streaming import live
 
 BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 
@@ -95,7 +96,7 @@ def test_volume_alone_is_not_filled(spark):
     assert [r.volume for r in bars.fill(df).orderBy("ts").collect()] == [1e6, None, 1e6]
 
 
-@pytest.mark.parametrize("alpha", [2 / 3, 2 / 21, 1 / 14, 2 / 401])
+@pytest.mark.parametrize("alpha", [2 / 3, 2 / 21, 1 / 14, 2 / 401, 0.999999, 1 - 1e-200])
 def test_exponential_average_equals_pandas(spark, alpha):
     d = frame(1000)
     want = d.close.ewm(alpha=alpha, adjust=False).mean()
@@ -257,6 +258,10 @@ def test_walk_forward(spark):
 def test_monte_carlo(spark):
     rng = np.random.default_rng(0)
     history = returns(spark, rng.normal(0.0003, 0.015, 500)).select("ts", "r")
+    two = returns(spark, rng.normal(0.0, 0.01, 80), "a").union(returns(spark, rng.normal(0.0, 0.03, 90), "b"))
+    both = {r.series_id: r for r in montecarlo.summary(montecarlo.terminals(montecarlo.sampled(montecarlo.histories(two), 100, 30))).collect()}
+    alone = montecarlo.summary(montecarlo.terminals(montecarlo.sampled(montecarlo.histories(two.where("series_id = 'b'")), 100, 30))).first()
+    assert set(both) == {"a", "b"} and both["b"] == alone and both["b"].var_95 > both["a"].var_95
     sims = montecarlo.histories(history, [montecarlo.Shock("a", -0.1, 1.5), montecarlo.Shock("b", -0.2, 2.0)])
     rows = {r.scenario: r for r in montecarlo.summary(montecarlo.terminals(montecarlo.sampled(sims, 200, 40))).collect()}
     assert set(rows) == {"baseline", "a", "b"} and rows["a"].n_sims == 200
@@ -276,11 +281,13 @@ def test_csv_folder(spark, tmp_path):
     valid(5).rename(columns={"ts": "Date", "close": "Adj Close", "volume": "Vol"}).drop(columns="symbol").to_csv(tmp_path / "abc.csv", index=False)
     valid(4).rename(columns={"ts": "timestamp"}).drop(columns="symbol").assign(extra="x").to_csv(tmp_path / "DEF.csv", index=False)
     source = files.CsvFolder(spark, str(tmp_path))
-    assert source.symbols() == ["ABC", "DEF"]
+    assert source.symbols() == ["ABC", "DEF"] and isinstance(source, files.CsvFolder)
     assert source.fetch().count() == 9 and source.fetch(["abc"]).orderBy("ts").first().close == 100
     assert source.fetch(["abc"], "2022-01-02", "2022-01-03").count() == 2
     with pytest.raises(errors.IngestionError):
         source.fetch(["none"])
+    (tmp_path / "odd.csv").write_text('date,open,high,low,close,volume\n2024-01-01,1,2,1,2,5\n2024-01-02,1,2,1,2\n2024-01-03,1,2,1,2,"5,000"\n"2024-01-04","1",2,1,2,7\n')
+    assert [r.volume for r in source.fetch(["odd"]).orderBy("ts").collect()] == [5, None, None, 7]
     (tmp_path / "bad.csv").write_text("date,open,high,low,close,volume\nnever,1,1,1,1,1\n")
     with pytest.raises(errors.IngestionError, match="times"):
         source.fetch(["bad"])
@@ -304,6 +311,98 @@ def test_vendor_retries_and_errors(spark):
         files.VendorHttp(spark, "u", "k", get).fetch(["a"], interval="3d")
 
 
+def test_zero_prices_give_nulls_not_errors(spark):
+    d = frame(200)
+    d.loc[[70, 90], ["open", "low", "close"]] = 0.0
+    df = spark.createDataFrame(d, BARS)
+    w = series.ordered(["symbol"], "ts")
+    got = df.select("ts", series.change(F.col("close"), w).alias("c"), series.log_change(F.col("close"), w).alias("l")).orderBy("ts").collect()
+    assert got[71].c is None and got[70].l is None and got[71].l is None and got[70].c == -1
+    built = features.build(df)
+    assert 0 < built.count() < 200 and built.where("atr_pct is null").count() == 0
+    for name in strategies.names():
+        rows = engine.run(strategies.get(name).signals(df)).collect()
+        assert rows and all(r.direction is not None and r.equity is not None for r in rows)
+    flat = spark.createDataFrame(d.assign(open=0.0, high=0.0, low=0.0, close=0.0), BARS)
+    assert features.build(flat).count() == 0 and engine.run(strategies.get("momentum").signals(flat)).where("traded != 0").count() == 0
+    assert metrics.drawdowns(flat, ["symbol"], equity="close").where("drawdown is not null").count() == 0
+
+
+def test_explainer(spark, made):
+    rng = np.random.default_rng(3)
+    n = 240
+    values = {c: rng.normal(size=n) for c in features.NAMES}
+    d = pd.DataFrame({"symbol": "X", "ts": pd.date_range("2020-01-01", periods=n), **values})
+    signals = spark.createDataFrame(d[["symbol", "ts"]].assign(direction=np.sign(values["rsi_14"]).astype(int)), "symbol string, ts timestamp_ntz, direction int")
+    table = spark.createDataFrame(d, "symbol string, ts timestamp_ntz, " + ", ".join(f"{c} double" for c in features.NAMES))
+    model = features.Explainer(trees=5, folds=3).fit(table, signals, cross_validated=True)
+    assert model.diagnostics["n_samples"] == n and model.diagnostics["train_accuracy"] > 0.95 and model.diagnostics["cv_accuracy_mean"] > 0.9
+    rows = model.importance(repeats=4).collect()
+    assert len(rows) == 16 and rows[0].feature == "rsi_14" and rows[0].importance_mean > 0.3 and rows[0].importance_std > 0
+    assert all(abs(r.importance_mean) < 0.05 for r in rows[1:])
+    with pytest.raises(errors.InsufficientDataError):
+        features.Explainer(trees=1).fit(table.limit(20), signals)
+
+
+def test_live_bars_and_portfolio(spark, tmp_path, made):
+    rows = strategies.get("momentum", lookback=5, vol_window=5).signals(made).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "open", "close", "direction").cache()
+    cuts = [r.ts for r in rows.orderBy("ts").collect()]
+    for i, (lo, hi) in enumerate(((0, 100), (100, len(cuts)))):
+        rows.where(F.col("ts").between(cuts[lo], cuts[hi - 1])).coalesce(1).write.mode("append").parquet(f"{tmp_path}/s{i}")
+    for i in range(2):
+        for f in (tmp_path / f"s{i}").glob("*.parquet"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            f.rename(tmp_path / "in" / f"{i}-{f.name}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = live.portfolio(stream).writeStream.format("memory").queryName("book").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = engine.run(rows).orderBy("ts").toPandas()
+    got = spark.table("book").orderBy("ts").toPandas()
+    assert np.allclose(got.equity, want.equity)
+    ticks = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    query = live.bars(ticks, "symbol", "ts", "close", "7 days").writeStream.format("memory").queryName("weeks").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.table("weeks").orderBy("ts").collect()
+    assert len(out) > 20 and all(r.low <= r.open <= r.high and r.low <= r.close <= r.high for r in out)
+
+
+def test_errors_of_the_service(spark, made):
+    service = Service(Settings(n_sims=100, horizon=20))
+    with pytest.raises(errors.InsufficientDataError):
+        service.backtest(made.limit(20), "momentum")
+    with pytest.raises(errors.WalkForwardError):
+        service.walk_forward(made, "momentum", {"lookback": [5]})
+    with pytest.raises(errors.SimulationError):
+        Service(Settings(n_sims=99)).monte_carlo(returns(spark, [0.01] * 50))
+    short = returns(spark, [0.01, 0.02, 0.03], "a")
+    assert risk.report(short).count() == 0
+
+
+def test_stored_runs_are_told_apart(spark, tmp_path, made):
+    store = Store(spark, f"file://{tmp_path}")
+    service = Service(Settings(n_sims=100, horizon=20, train=100, test=50, step=50), store)
+    whole = service.backtest(made, "momentum", {"lookback": 20})
+    part = service.backtest(made.orderBy("ts").limit(200), "momentum", {"lookback": 20})
+    again = service.backtest(made.repartition(3), "momentum", {"lookback": 20})
+    assert whole.run_id == again.run_id != part.run_id
+    curve = store.table("equity_curve")
+    assert curve.where(F.col("run_id") == whole.run_id).count() == whole.equity.count() and store.runs().count() == 2
+    run = store.run(whole.run_id).first()
+    assert (run.interval, run.capital) == ("1d", 100_000.0) and run.start_at < run.end_at
+    joined = store.fills_of_runs()
+    assert joined.count() == whole.fills.count() + part.fills.count() and {r.strategy for r in joined.collect()} == {"momentum"}
+    store.delete_run(part.run_id)
+    assert store.runs().count() == 1 and store.table("fills").where(F.col("run_id") == part.run_id).count() == 0
+    service.backtest(made.orderBy("ts").limit(200), "momentum", {"lookback": 20})
+    assert store.runs().count() == 2
+    service.walk_forward(made, "momentum", {"lookback": [5, 10], "vol_window": [5]})
+    rows = store.table("walkforward_runs").collect()
+    assert len(rows) == 4 and {r.train for r in rows} == {100} and json.loads(rows[0].param_grid)["lookback"] == [5, 10]
+    service.monte_carlo_of_run(whole.run_id, "X")
+    found = store.table("montecarlo_runs").first()
+    assert found.backtest_run_id == whole.run_id and found.n_sims == 100 and found.var_95 is not None
+
+
 def test_store_and_service(spark, tmp_path, made):
     store = Store(spark, f"file://{tmp_path}")
     assert store.upsert_bars(made) == 300 and store.upsert_bars(made) == 0

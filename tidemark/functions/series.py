@@ -11,8 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Rows of a block of an exponential average; blocks are joined by their carry.
-BLOCK_ROWS = 64
+#: Rows of a block of an exponential average, at most; blocks are joined by their carry. Near alpha 1 they are shorter:
+#: weights within a block don't fall below ``LEAST_WEIGHT``, so that their inverses stay exact enough.
+BLOCK_ROWS, LEAST_WEIGHT = 64, 1e-150
 #: What a carry from further back would add at most, as a share.
 NEGLIGIBLE = 1e-18
 
@@ -31,14 +32,20 @@ def frame(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, and null where b is zero."""
+    return F.try_divide(a, b)
+
+
 def change(c: Column, w: WindowSpec, k: int = 1) -> Column:
-    """Relative change over k rows."""
-    before = F.lag(c, k).over(w)
-    return c / F.nullif(before, F.lit(0.0)) - 1
+    """Relative change over k rows; null after a zero."""
+    return ratio(c, F.lag(c, k).over(w)) - 1
 
 
 def log_change(c: Column, w: WindowSpec, k: int = 1) -> Column:
-    return F.log(c / F.lag(c, k).over(w))
+    """Logarithm of the change over k rows; null where either end is not positive."""
+    before = F.lag(c, k).over(w)
+    return F.when((c > 0) & (before > 0), F.log(ratio(c, before)))
 
 
 def rolling(f, c: Column, w: WindowSpec, n: int, least: int | None = None) -> Column:
@@ -60,9 +67,14 @@ def rolling_volatility(c: Column, w: WindowSpec, n: int = 21, annualise: bool =
     return rolling_deviation(c, w, n, max(n // 2, 5)) * (math.sqrt(days) if annualise else 1.0)
 
 
-def rolling_var(c: Column, w: WindowSpec, n: int = 252, confidence: float = 0.95) -> Column:
-    """Historical value at risk: the loss at the exact, interpolated percentile of the last n returns."""
-    return -rolling(lambda x: F.percentile(x, F.lit(1 - confidence)), c, w, n, n // 2)
+def rolling_quantile(c: Column, w: WindowSpec, n: int, share: float, least: int | None = None) -> Column:
+    """The exact, interpolated percentile of the last n values."""
+    return rolling(lambda x: F.percentile(x, F.lit(share)), c, w, n, least)
+
+
+def rolling_var(c: Column, w: WindowSpec, n: int = 252, confidence: float = 0.95, least: int | None = None) -> Column:
+    """Historical value at risk: the loss at a percentile of the last n returns, of which half (by default) must be there."""
+    return -rolling_quantile(c, w, n, 1 - confidence, n // 2 if least is None else least)
 
 
 def rolling_cvar(c: Column, w: WindowSpec, n: int = 252, confidence: float = 0.95) -> Column:
@@ -79,8 +91,8 @@ def ema(df: DataFrame, columns: dict[str, tuple[str, float]], keys: list[str], o
 
     A first-order recurrence is split into blocks of rows: within a block it is a running sum with weights, and what a
     block takes over from those before is a sum over their ends, of which only so many matter as the weights allow. So
-    long series are neither folded row by row nor held in one place. Nulls before the first value are skipped; nulls
-    after it must not occur (fill them first).
+    no series is folded row by row; its rows are numbered and summed in the task of its key. Nulls before the first
+    value are skipped; nulls after it must not occur (fill them first).
     """
     w = ordered(keys, order)
     if any(not 0 < alpha <= 1 for _, alpha in columns.values()):
@@ -89,9 +101,10 @@ def ema(df: DataFrame, columns: dict[str, tuple[str, float]], keys: list[str], o
     for column in dict.fromkeys(c for c, alpha in columns.values() if alpha < 1):
         # All averages of one column share its blocks, and one join.
         keeps = {name: 1 - alpha for name, (c, alpha) in columns.items() if c == column and alpha < 1}
+        size = max(1, min(BLOCK_ROWS, *(math.floor(math.log(LEAST_WEIGHT) / math.log(keep)) for keep in keeps.values())))
         x = F.col(column)
         out = out.withColumn("_n", F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-        out = out.withColumns({"_b": F.floor(F.col("_n") / BLOCK_ROWS), "_j": F.col("_n") % BLOCK_ROWS})
+        out = out.withColumns({"_b": F.floor(F.col("_n") / size), "_j": F.col("_n") % size})
         inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
         def within(keep: float, x: Column = x, inside: WindowSpec = inside) -> Column:
@@ -99,12 +112,12 @@ def ema(df: DataFrame, columns: dict[str, tuple[str, float]], keys: list[str], o
             return F.when(x.isNotNull(), F.sum(drive * F.pow(F.lit(keep), -F.col("_j"))).over(inside) * F.pow(F.lit(keep), F.col("_j")))
 
         out = out.withColumns({f"_y_{name}": within(keep) for name, keep in keeps.items()})
-        ends = out.where((F.col("_j") == BLOCK_ROWS - 1) & x.isNotNull()).select(*keys, (F.col("_b") + 1).alias("_b"), *[f"_y_{name}" for name in keeps])
+        ends = out.where((F.col("_j") == size - 1) & x.isNotNull()).select(*keys, (F.col("_b") + 1).alias("_b"), *[f"_y_{name}" for name in keeps])
 
-        def carry(name: str, keep: float) -> Column:
-            back = max(1, math.ceil(math.log(NEGLIGIBLE) / (BLOCK_ROWS * math.log(keep))))
+        def carry(name: str, keep: float, size: int = size) -> Column:
+            back = max(1, math.ceil(math.log(NEGLIGIBLE) / (size * math.log(keep))))
             before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(-(back - 1), 0)
-            return F.aggregate(F.collect_list(f"_y_{name}").over(before), F.lit(0.0), lambda a, y: a * keep**BLOCK_ROWS + y)
+            return F.aggregate(F.collect_list(f"_y_{name}").over(before), F.lit(0.0), lambda a, y: a * keep**size + y)
 
         ends = ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"), *[carry(name, keep).alias(f"_c_{name}") for name, keep in keeps.items()])
         same = F.col("_b") == F.col("_kb")
@@ -139,11 +152,11 @@ def with_rsi(df: DataFrame, n: int, keys: list[str], order: str, close: str = "c
     made = df.withColumn("_up", F.greatest(delta, F.lit(0.0))).withColumn("_down", F.greatest(-delta, F.lit(0.0)))
     made = made.withColumn("_up", F.when(delta.isNotNull(), F.col("_up"))).withColumn("_down", F.when(delta.isNotNull(), F.col("_down")))
     made = ema(made, {"_gain": ("_up", 1 / n), "_loss": ("_down", 1 / n)}, keys, order)
-    ratio = F.col("_gain") / F.nullif(F.col("_loss"), F.lit(0.0))
-    return made.withColumn(name, 100 - 100 / (1 + ratio)).drop("_up", "_down", "_gain", "_loss")
+    strength = ratio(F.col("_gain"), F.col("_loss"))
+    return made.withColumn(name, 100 - 100 / (1 + strength)).drop("_up", "_down", "_gain", "_loss")
 
 
 def drawdown(c: Column, w: WindowSpec, n: int | None = None) -> Column:
     """Distance from the highest value so far, or of the last n rows, as a share of it."""
     top = F.max(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) if n is None else rolling(F.max, c, w, n)
-    return (c - top) / top
+    return ratio(c - top, top)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import ConfigurationError
+from tidemark.functions import series
 from tidemark.operators import folds, metrics
 
 
@@ -31,6 +32,10 @@ class Costs:
             raise ConfigurationError("capital must be positive; costs and lag must not be negative")
 
 
+# The least order, the least position, and what an order may take of the cash (price with a margin; part of it).
+LEAST_ORDER, LEAST_POSITION, CASH_MARGIN, CASH_PART = 1e-6, 1e-8, 1.001, 0.99
+
+
 class _Account:
     """Cash and position of one run, bar by bar."""
 
@@ -45,11 +50,11 @@ class _Account:
         if not self.c.allow_short:
             target = max(target, 0.0)
         delta = target - self.qty
-        if abs(delta) < 1e-6:
+        if abs(delta) < LEAST_ORDER:
             return 0.0
-        if delta > 0 and delta * close * 1.001 > self.cash:
-            delta = self.cash * 0.99 / close
-            if delta < 1e-6:
+        if delta > 0 and delta * close * CASH_MARGIN > self.cash:
+            delta = self.cash * CASH_PART / close
+            if delta < LEAST_ORDER:
                 return 0.0
         return delta
 
@@ -66,7 +71,7 @@ class _Account:
                     self.episode += 1
                 self.qty += delta
                 self.cash -= delta * fill + fee + (slip if c.double_slippage else 0.0)
-                if abs(self.qty) < 1e-8:
+                if abs(self.qty) < LEAST_POSITION:
                     self.qty = 0.0
             else:
                 delta = 0.0
@@ -94,7 +99,7 @@ def run(signals: DataFrame, costs: Costs = Costs(), keys: list[str] = ["symbol"]
         made = made.withColumn("equity", F.col("cash") + held * F.col("close"))
     else:
         made = made.withColumn("equity", F.col("cash") + F.col("qty") * F.col("close"))
-    return made.withColumn("r", F.col("equity") / F.lag("equity").over(w) - 1).drop("episode")
+    return made.withColumn("r", series.change(F.col("equity"), w)).drop("episode")
 
 
 def fills(runs: DataFrame, keys: list[str] = ["symbol"]) -> DataFrame:  # noqa: B006

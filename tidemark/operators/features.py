@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tidemark.functions import series
 from tidemark.operators.metrics import shares
 from tidemark.plans.tables import kept
 
+# Names of the features.
 NAMES = [
     "ret_1d", "ret_5d", "ret_21d", "ret_63d", "ema_spread_sm", "ema_spread_ml", "price_vs_ema_long", "realised_vol_21d",
     "vol_ratio", "parkinson_vol", "z_score_21d", "rsi_14", "volume_ratio", "log_volume", "drawdown_from_high", "atr_pct",
@@ -29,15 +32,15 @@ def build(bars: DataFrame, short: int = 10, medium: int = 21, long: int = 63, vo
     w = series.ordered(keys, "ts")
     close = F.col("close")
     made = made.withColumn("ret_1d", series.log_change(close, w))
-    made = made.withColumn("_hl", F.pow(F.log(F.col("high") / F.col("low")), F.lit(2.0)) / (4 * math.log(2)))
+    made = made.withColumn("_hl", F.when((F.col("high") > 0) & (F.col("low") > 0), F.pow(F.log(series.ratio(F.col("high"), F.col("low"))), F.lit(2.0)) / (4 * math.log(2))))
     year = math.sqrt(252)
     out = {
         "ret_5d": series.log_change(close, w, 5),
         "ret_21d": series.log_change(close, w, medium),
         "ret_63d": series.log_change(close, w, long),
-        "ema_spread_sm": (F.col("_s") - F.col("_m")) / F.col("_m"),
-        "ema_spread_ml": (F.col("_m") - F.col("_l")) / F.col("_l"),
-        "price_vs_ema_long": (close - F.col("_l")) / F.col("_l"),
+        "ema_spread_sm": series.ratio(F.col("_s") - F.col("_m"), F.col("_m")),
+        "ema_spread_ml": series.ratio(F.col("_m") - F.col("_l"), F.col("_l")),
+        "price_vs_ema_long": series.ratio(close - F.col("_l"), F.col("_l")),
         "realised_vol_21d": series.rolling_deviation(F.col("ret_1d"), w, vol) * year,
         "vol_ratio": series.rolling_deviation(F.col("ret_1d"), w, short) / F.nullif(series.rolling_deviation(F.col("ret_1d"), w, long), F.lit(0.0)),
         "parkinson_vol": F.sqrt(F.greatest(series.rolling_mean(F.col("_hl"), w, vol), F.lit(0.0))) * year,
@@ -45,7 +48,7 @@ def build(bars: DataFrame, short: int = 10, medium: int = 21, long: int = 63, vo
         "volume_ratio": F.col("volume") / F.nullif(series.rolling_mean(F.col("volume"), w, medium), F.lit(0.0)),
         "log_volume": F.log1p("volume"),
         "drawdown_from_high": series.drawdown(close, w, long),
-        "atr_pct": F.col("_atr") / close,
+        "atr_pct": series.ratio(F.col("_atr"), close),
     }
     whole = series.rolling_mean(F.col("_hl"), w, vol)
     out["parkinson_vol"] = F.when(whole.isNotNull(), out["parkinson_vol"])
@@ -53,52 +56,86 @@ def build(bars: DataFrame, short: int = 10, medium: int = 21, long: int = 63, vo
 
 
 class Explainer:
-    """Boosted trees that tell signals apart by features, and what shuffling each feature costs them."""
+    """Boosted trees that tell signals apart by features, and what shuffling each feature costs them. Each direction has
+    a model of its own against the others; the one with the greatest margin is predicted."""
 
-    def __init__(self, trees: int = 20, depth: int = 3, step: float = 0.05, seed: int = 42):
-        self.trees, self.depth, self.step, self.seed, self.model = trees, depth, step, seed, None
+    def __init__(self, trees: int = 100, depth: int = 3, step: float = 0.05, seed: int = 42, folds: int = 5, threads: int = 8):
+        self.trees, self.depth, self.step, self.seed, self.folds, self.threads, self.models = trees, depth, step, seed, folds, threads, None
 
     def aligned(self, features: DataFrame, signals: DataFrame) -> DataFrame:
         return features.join(signals.select("symbol", "ts", "direction"), ["symbol", "ts"]).dropna(subset=[*NAMES, "direction"])
 
-    def fit(self, features: DataFrame, signals: DataFrame) -> Explainer:
+    def _fitted(self, rows: list[DataFrame]) -> list[dict]:
+        """Models by direction for each table of ``raw`` and ``direction``; Spark fits them beside each other."""
+        found = [[r.direction for r in x.select("direction").distinct().orderBy("direction").collect()] for x in rows]
+        scaled = [StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x) for x in rows]
+        tasks = [(i, c) for i, classes in enumerate(found) for c in classes]
+
+        def fit(task: tuple[int, int]):
+            i, c = task
+            trees = GBTClassifier(maxIter=self.trees, maxDepth=self.depth, stepSize=self.step, subsamplingRate=0.8, seed=self.seed)
+            return trees.fit(scaled[i].transform(rows[i]).select("features", (F.col("direction") == c).cast("double").alias("label")))
+
+        with ThreadPoolExecutor(self.threads) as pool:
+            made = list(pool.map(fit, tasks))
+        return [{"scaler": scaled[i], "models": {c: m for (j, c), m in zip(tasks, made, strict=True) if j == i}} for i in range(len(rows))]
+
+    def _raw(self, rows: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=NAMES, outputCol="raw").transform(rows)
+
+    @staticmethod
+    def _right(fitted: dict, rows: DataFrame) -> DataFrame:
+        """``rows`` (with ``raw``) and whether the predicted direction is theirs."""
+        made = fitted["scaler"].transform(rows)
+        margins = []
+        for k, (c, m) in enumerate(fitted["models"].items()):
+            made = m.copy().setRawPredictionCol(f"_r{k}").setProbabilityCol(f"_p{k}").setPredictionCol(f"_y{k}").transform(made)
+            margins.append(F.struct(vector_to_array(f"_r{k}")[1].alias("margin"), F.lit(c).alias("direction")))
+        best = F.greatest(*margins) if len(margins) > 1 else margins[0]
+        return made.withColumn("right", (best["direction"] == F.col("direction")).cast("double")).select(*rows.columns, "right")
+
+    def fit(self, features: DataFrame, signals: DataFrame, cross_validated: bool = False) -> Explainer:
+        """Fits on all rows. With ``cross_validated``, ``diagnostics`` also has the accuracies of ``folds`` models that are
+        each fitted without one fold (by a hash of symbol and time) and tried on it."""
         rows = self.aligned(features, signals)
-        if rows.count() < LEAST_ROWS:
-            raise InsufficientDataError(f"{LEAST_ROWS} rows with features and a signal are needed")
-        self.assembler = VectorAssembler(inputCols=NAMES, outputCol="raw")
-        made = self.assembler.transform(rows).withColumn("label", (F.col("direction") + 1).cast("double"))
-        self.scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(made)
-        trees = GBTClassifier(maxIter=self.trees, maxDepth=self.depth, stepSize=self.step, subsamplingRate=0.8, seed=self.seed)
-        self.model = OneVsRest(classifier=trees).fit(self.scaler.transform(made).select("features", "label"))
-        self.rows = rows
+        self.rows = kept(self._raw(rows).select("symbol", "ts", "direction", "raw", F.pmod(F.xxhash64("symbol", "ts"), F.lit(self.folds)).alias("fold")))
+        n = self.rows.count()
+        if n < LEAST_ROWS:
+            raise InsufficientDataError(f"{LEAST_ROWS} rows with features and a signal are needed, not {n}")
+        parts = [self.rows] + [self.rows.where(F.col("fold") != k) for k in range(self.folds)] * cross_validated
+        self.models, *others = self._fitted(parts)
+        self.diagnostics = {"n_samples": n, "n_features": len(NAMES), "train_accuracy": round(self._accuracy(self.models, self.rows), 4)}
+        if cross_validated:
+            scores = [self._accuracy(m, self.rows.where(F.col("fold") == k)) for k, m in enumerate(others)]
+            mean = sum(scores) / len(scores)
+            self.diagnostics |= {"cv_accuracy_mean": round(mean, 4), "cv_accuracy_std": round(math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores)), 4)}
         return self
 
-    def accuracy(self, rows: DataFrame) -> float:
-        made = self.scaler.transform(self.assembler.transform(rows)).withColumn("label", (F.col("direction") + 1).cast("double"))
-        return self.model.transform(made.select("features", "label")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    def _accuracy(self, fitted: dict, rows: DataFrame) -> float:
+        return self._right(fitted, rows).agg(F.avg("right")).first()[0]
 
-    def importance(self, repeats: int = 2) -> DataFrame:
-        """``feature, importance_mean, importance_std``: the accuracy lost when a feature's values are dealt anew, by
-        joining places in the order of time with places in a hashed order."""
-        if self.model is None:
+    def importance(self, repeats: int = 20) -> DataFrame:
+        """``feature, importance_mean, importance_std``: the accuracy lost when a feature's values are dealt anew among the
+        rows of a symbol. All features and repeats are rows of one plan: for each repeat, a row meets the row whose
+        place in a hashed order is its own in the order of time, and takes one feature at a time from it."""
+        if self.models is None:
             raise InsufficientDataError("fit first")
-        base, places = self.accuracy(self.rows), Window.partitionBy("symbol")
-        placed = kept(self.rows.withColumn("_p", F.row_number().over(places.orderBy("ts"))))
-        out = []
-        for name in NAMES:
-            lost = []
-            for k in range(repeats):
-                mixed = F.row_number().over(places.orderBy(F.xxhash64(F.lit(self.seed + k), "ts"), "ts"))
-                dealt = placed.select("symbol", name, mixed.alias("_p"))
-                lost.append(base - self.accuracy(placed.drop(name).join(dealt, ["symbol", "_p"])))
-            mean = sum(lost) / repeats
-            out.append((name, mean, math.sqrt(sum((x - mean) ** 2 for x in lost) / repeats)))
-        spark = self.rows.sparkSession
-        return spark.createDataFrame(out, "feature string, importance_mean double, importance_std double").orderBy(F.desc("importance_mean"), "feature")
+        base = self._accuracy(self.models, self.rows)
+        placed = self.rows.select("symbol", "ts", "direction", vector_to_array("raw").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("k"))
+        w = Window.partitionBy("symbol", "k")
+        placed = placed.withColumn("place", F.row_number().over(w.orderBy("ts"))).withColumn("dealt", F.row_number().over(w.orderBy(F.xxhash64(F.lit(self.seed), "k", "ts"), "ts")))
+        donors = placed.select("symbol", "k", F.col("dealt").alias("place"), F.col("own").alias("other"))
+        pairs = placed.join(donors, ["symbol", "k", "place"]).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(NAMES) - 1))))
+        mixed = F.transform("own", lambda x, i: F.when(i == F.col("f"), F.get("other", i)).otherwise(x))
+        tried = self._right(self.models, pairs.select("f", "k", "direction", array_to_vector(mixed).alias("raw")))
+        lost = tried.groupBy("f", "k").agg((F.lit(base) - F.avg("right")).alias("lost"))
+        name = F.element_at(F.array(*map(F.lit, NAMES)), F.col("f") + 1)
+        out = lost.groupBy(name.alias("feature")).agg(F.avg("lost").alias("importance_mean"), F.stddev_pop("lost").alias("importance_std"))
+        return out.orderBy(F.desc("importance_mean"), "feature")
 
     def shap_values(self) -> None:
         """Not available without an optional package, which is not among the requirements."""
         return None
 
-    def report(self, repeats: int = 2) -> dict:
+    def report(self, repeats: int = 20) -> dict:
         return {"signal_distribution": shares(self.rows, "direction"), "importance": (table := self.importance(repeats)), "top_features": table.limit(10), "shap_available": False}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Names of the metrics.
 NAMES = [
     "annualised_return", "annualised_volatility", "sharpe_ratio", "sortino_ratio", "max_drawdown", "calmar_ratio", "hit_rate",
     "profit_factor", "skewness", "kurtosis", "var_95", "var_99", "cvar_95", "cvar_99", "n_periods",
@@ -15,6 +16,16 @@ def _inf() -> Column:
     return F.lit("Infinity").cast("double")
 
 
+def with_quantiles(rows: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """Adds exact, interpolated percentiles of a column within each key: aggregated once (partly before the shuffle) and
+    joined back; null keys are a key."""
+    quantiles = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*[F.percentile(column, F.lit(q)).alias(name) for name, q in shares.items()])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(quantiles, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def compute(series: DataFrame, keys: list[str], *, order: str = "ts", r: str = "r", equity: str | None = None, risk_free: float = 0.04, days: int = 252) -> DataFrame:
     """All metrics (NAMES) of each key's returns ``r``; drawdown is that of ``equity``, or of the compounded returns.
 
@@ -24,8 +35,7 @@ def compute(series: DataFrame, keys: list[str], *, order: str = "ts", r: str = "
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     level = F.col(equity) if equity else F.product(1 + F.col(r)).over(w)
     made = series.withColumn("_level", level).withColumn("_top", F.max("_level").over(w))
-    every = Window.partitionBy(*keys)
-    made = made.withColumns({f"_q{c}": F.percentile(r, F.lit(round(1 - c / 100, 2))).over(every) for c in (95, 99)})
+    made = with_quantiles(made, keys, r, {f"_q{c}": round(1 - c / 100, 2) for c in (95, 99)})
     x = F.col(r)
     sums = made.groupBy(*keys).agg(
         F.count(x).alias("n"),
@@ -33,7 +43,7 @@ def compute(series: DataFrame, keys: list[str], *, order: str = "ts", r: str = "
         F.stddev_samp(x).alias("deviation"),
         F.count_if(x < 0).alias("n_neg"),
         F.stddev_samp(F.when(x < 0, x)).alias("neg_deviation"),
-        F.min((F.col("_level") - F.col("_top")) / F.col("_top")).alias("max_drawdown"),
+        F.min(F.try_divide(F.col("_level") - F.col("_top"), F.col("_top"))).alias("max_drawdown"),
         F.avg((x > 0).cast("double")).alias("hit_rate"),
         F.sum(F.when(x > 0, x)).alias("gain"),
         F.sum(F.when(x < 0, -x)).alias("loss"),
@@ -73,7 +83,7 @@ def drawdowns(series: DataFrame, keys: list[str], order: str = "ts", equity: str
     """Adds each row's distance from the highest equity so far."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     top = F.max(equity).over(w)
-    return series.withColumn("drawdown", (F.col(equity) - top) / top)
+    return series.withColumn("drawdown", F.try_divide(F.col(equity) - top, top))
 
 
 def histogram(values: DataFrame, column: str, bins: int = 80) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Monte Carlo paths of returns: block bootstrap or normal draws, for all scenarios in one job.
+"""Monte Carlo paths of returns: block bootstrap or normal draws, for all series and scenarios in one job.
 
 Draws come from integer arithmetic on (seed, scenario, path, block), so they don't depend on partitions or engines.
 """
@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import SimulationError
+from tidemark.operators.metrics import with_quantiles
 
 MODULUS = 2147483647
-HISTORY_ROWS, SERIES_ROWS = 100, 30
+#: Returns that a history needs.
+SERIES_ROWS = 30
+KEY = "series_id"
+# Reported percentiles of last values, and bands of a fan.
 PERCENTILES = [5, 10, 25, 50, 75, 90, 95]
 BANDS = [5, 25, 50, 75, 95]
 
@@ -42,60 +46,66 @@ def draw(seed: int, *parts: Column) -> Column:
     return x
 
 
-def histories(returns: DataFrame, shocks: list[Shock] = ()) -> DataFrame:
-    """``scenario, number, i, r, n``: the history, in order, of the baseline and of each shock, which comes first."""
-    rows = returns.where("r is not null").withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)  # one series
-    out = rows.select(F.lit("baseline").alias("scenario"), F.lit(0).alias("number"), "i", "r")
-    spark = returns.sparkSession
-    for k, s in enumerate(shocks, 1):
-        name = s.name or "unnamed_shock"
-        first = spark.range(1).select(F.lit(name).alias("scenario"), F.lit(k).alias("number"), F.lit(0).alias("i"), F.lit(float(s.return_shock)).alias("r"))
-        out = out.unionByName(first).unionByName(rows.select(F.lit(name).alias("scenario"), F.lit(k).alias("number"), (F.col("i") + 1).alias("i"), (F.col("r") * s.vol_multiplier).alias("r")))
-    return out.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("number")))
-
-
-def sampled(history: DataFrame, sims: int, horizon: int, *, method: str = "bootstrap", block: int = 10, seed: int = 42) -> DataFrame:
-    """``scenario, sim, step, r`` (steps from 1)."""
+def histories(returns: DataFrame, shocks: list[Shock] = (), key: str = KEY) -> DataFrame:
+    """``series_id, scenario, number, i, r, n``: each series' history, in order, of the baseline and of each shock, which
+    comes first. A table without the key column is one series."""
+    made = returns if key in returns.columns else returns.withColumn(key, F.lit(""))
+    rows = made.where("r is not null").select(F.col(key).alias(KEY), "ts", "r")
+    rows = rows.select(KEY, (F.row_number().over(Window.partitionBy(KEY).orderBy("ts")) - 1).alias("i"), "r")
+    # One pass: each return goes to all scenarios, with the place and the factor that it has there.
+    scenarios = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(k).alias("number"), F.lit(float(f)).alias("factor")) for k, (n, f) in enumerate([("baseline", 1.0), *((s.name or "unnamed_shock", s.vol_multiplier) for s in shocks)])])
+    spread = rows.withColumn("s", F.explode(scenarios)).select(KEY, "s.scenario", "s.number", (F.col("i") + (F.col("s.number") > 0).cast("int")).alias("i"), (F.col("r") * F.col("s.factor")).alias("r"))
+    if shocks:
+        first = F.array(*[F.struct(F.lit(s.name or "unnamed_shock").alias("scenario"), F.lit(k).alias("number"), F.lit(float(s.return_shock)).alias("r")) for k, s in enumerate(shocks, 1)])
+        begun = rows.where("i = 0").withColumn("s", F.explode(first)).select(KEY, "s.scenario", "s.number", F.lit(0).alias("i"), "s.r")
+        spread = spread.unionByName(begun)
+    return spread.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(KEY, "number")))
+
+
+def sampled(history: DataFrame, sims: int, horizon: int, *, method: str = "bootstrap", block: int = 10, seed: int = 42, least: int = SERIES_ROWS) -> DataFrame:
+    """``series_id, scenario, sim, step, r`` (steps from 1). All series take the same draws, so that what they did at the
+    same places of their histories goes together."""
     if sims < 1 or horizon < 1 or block < 1:
         raise SimulationError("paths, steps and blocks must be positive")
-    facts = history.groupBy("scenario", "number").agg(F.max("n").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("deviation"))
-    least = facts.agg(F.min("n")).first()[0]
-    if least is None or least < SERIES_ROWS:
-        raise SimulationError(f"a history needs {SERIES_ROWS} returns")
-    spark = history.sparkSession
-    paths = spark.range(sims).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("step"))
-    paths = paths.withColumn("one", F.lit(1)).join(F.broadcast(facts.withColumn("one", F.lit(1))), "one")  # a row for each scenario
+    if method not in ("bootstrap", "parametric"):
+        raise SimulationError(f"unknown method {method!r}")
+    facts = history.groupBy(KEY, "scenario", "number").agg(F.max("n").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("deviation"))
+    fewest = facts.agg(F.min("n")).first()[0]
+    if fewest is None or fewest < least:
+        raise SimulationError(f"a history needs {least} returns")
+    paths = facts.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long")))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))))
     if method == "parametric":
         u = lambda k: (draw(seed, F.col("number"), F.col("sim"), F.col("step"), F.lit(k)) + 1) / F.lit(float(MODULUS + 1))
         normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2))
-        return paths.select("scenario", "sim", (F.col("step") + 1).alias("step"), (F.col("mean") + F.col("deviation") * normal).alias("r"))
-    if method != "bootstrap":
-        raise SimulationError(f"unknown method {method!r}")
+        return paths.select(KEY, "scenario", "sim", (F.col("step") + 1).alias("step"), (F.col("mean") + F.col("deviation") * normal).alias("r"))
     size = F.least(F.lit(block), F.floor(F.col("n") / 4)).cast("int")
     start = draw(seed, F.col("number"), F.col("sim"), F.floor(F.col("step") / size)) % (F.col("n") - size + 1)
-    placed = paths.select("scenario", "number", "sim", (F.col("step") + 1).alias("step"), (start + F.col("step") % size).cast("int").alias("i"))
-    return placed.join(history.select("number", "i", "r"), ["number", "i"]).select("scenario", "sim", "step", "r")
+    placed = paths.select(KEY, "scenario", "number", "sim", (F.col("step") + 1).alias("step"), (start + F.col("step") % size).cast("int").alias("i"))
+    return placed.join(history.select(KEY, "number", "i", "r"), [KEY, "number", "i"]).select(KEY, "scenario", "sim", "step", "r")
+
+
+def shocked(samples: DataFrame, shock: Shock) -> DataFrame:
+    """Sampled returns with a shock on the paths themselves: the first step falls by it, all are scaled by its factor."""
+    r = F.col("r") * shock.vol_multiplier
+    return samples.withColumn("scenario", F.lit(shock.name)).withColumn("r", F.when(F.col("step") == 1, (1 + r) * (1 + shock.return_shock) - 1).otherwise(r))
 
 
 def paths(samples: DataFrame, value: float = 1.0) -> DataFrame:
-    """``scenario, sim, step, value``: the compounded value after each step."""
-    w = Window.partitionBy("scenario", "sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return samples.select("scenario", "sim", "step", (value * F.product(1 + F.col("r")).over(w)).alias("value"))
+    """``series_id, scenario, sim, step, value``: the compounded value after each step."""
+    w = Window.partitionBy(KEY, "scenario", "sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return samples.select(KEY, "scenario", "sim", "step", (value * F.product(1 + F.col("r")).over(w)).alias("value"))
 
 
 def terminals(samples: DataFrame, value: float = 1.0) -> DataFrame:
-    """``scenario, sim, value``: each path's last value."""
-    return samples.groupBy("scenario", "sim").agg((value * F.product(1 + F.col("r"))).alias("value"))
+    """``series_id, scenario, sim, value``: each path's last value."""
+    return samples.groupBy(KEY, "scenario", "sim").agg((value * F.product(1 + F.col("r"))).alias("value"))
 
 
 def summary(ends: DataFrame, value: float = 1.0, confidences: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
-    """For each scenario: paths, percentiles of the last value, and loss at risk and its mean beyond it."""
-    w = Window.partitionBy("scenario")
-    gain = F.col("value") / value - 1
-    made = ends.withColumn("_g", gain)
-    for c in confidences:
-        made = made.withColumn(f"_q{round(c * 100)}", F.percentile("_g", F.lit(round(1 - c, 6))).over(w))
-    return made.groupBy("scenario").agg(
+    """For each series and scenario: paths, percentiles of the last value, and loss at risk and its mean beyond it."""
+    names = {f"_q{round(c * 100)}": round(1 - c, 6) for c in confidences}
+    made = with_quantiles(ends.withColumn("_g", F.col("value") / value - 1), [KEY, "scenario"], "_g", names)
+    return made.groupBy(KEY, "scenario").agg(
         F.count(F.lit(1)).alias("n_sims"),
         *[F.percentile("value", F.lit(p / 100)).alias(f"p{p}") for p in PERCENTILES],
         *[(-F.max(f"_q{round(c * 100)}")).alias(f"var_{round(c * 100)}") for c in confidences],
@@ -105,4 +115,4 @@ def summary(ends: DataFrame, value: float = 1.0, confidences: tuple[float, ...]
 
 def fan(paths_: DataFrame) -> DataFrame:
     """Percentile bands of the value after each step."""
-    return paths_.groupBy("scenario", "step").agg(*[F.percentile("value", F.lit(p / 100)).alias(f"p{p}") for p in BANDS])
+    return paths_.groupBy(KEY, "scenario", "step").agg(*[F.percentile("value", F.lit(p / 100)).alias(f"p{p}") for p in BANDS])

@@ -42,6 +42,10 @@ class Strategy:
         return replace(self, **{k: v for k, v in params.items() if k in asdict(self)})
 
 
+# Days of a year, and how far strengths reach in momentum and in breakouts.
+YEAR, MOST_MOMENTUM, MOST_BREAKOUT = 252, 3.0, 5.0
+
+
 def _clip(c, most: float):
     return F.greatest(F.lit(-most), F.least(F.lit(most), c))
 
@@ -68,7 +72,7 @@ class MovingAverageCrossover(Strategy):
         down = (F.lag("_f").over(w) >= F.lag("_s").over(w)) & (F.col("_f") < F.col("_s"))
         made = made.withColumn("_e", F.when(F.col("i") < self.needs(), F.lit(None)).when(up, F.lit(1)).when(down, F.lit(-1 if self.short else 0)))
         made = made.withColumn("direction", F.coalesce(F.last("_e", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-        made = made.withColumn("strength", (F.col("_f") - F.col("_s")) / F.col("_s"))
+        made = made.withColumn("strength", series.ratio(F.col("_f") - F.col("_s"), F.col("_s")))
         return made.where(F.col("i") >= self.needs()).drop("_f", "_s", "_e", "i")
 
 
@@ -135,12 +139,13 @@ class Momentum(Strategy):
 
     def signals(self, bars: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         w = series.ordered(keys, "ts")
-        made = numbered(bars, keys).withColumn("_l", series.log_change(F.col("close"), w)).withColumn("_r", F.col("close") / F.lag("close", self.lookback).over(w) - 1)
-        made = made.withColumn("_v", series.rolling_deviation(F.col("_l"), w, self.vol_window) * 252**0.5).where(F.col("i") >= self.needs())
+        made = numbered(bars, keys).withColumn("_l", series.log_change(F.col("close"), w)).withColumn("_r", series.change(F.col("close"), w, self.lookback))
+        made = made.withColumn("_v", series.rolling_deviation(F.col("_l"), w, self.vol_window) * YEAR**0.5).where(F.col("i") >= self.needs())
         sign = F.signum("_r").cast("int")
+        sign = F.coalesce(sign, F.lit(0))
         direction = sign if self.short else F.greatest(sign, F.lit(0))
-        strength = F.when(F.lit(self.scaled) & (F.col("_v") > 0), F.col("_r") / F.col("_v")).otherwise(F.signum("_r"))
-        return made.withColumn("direction", direction).withColumn("strength", _clip(strength, 3.0)).drop("_l", "_r", "_v", "i")
+        strength = F.when(F.lit(self.scaled) & (F.col("_v") > 0), F.col("_r") / F.col("_v")).otherwise(F.coalesce(F.signum("_r"), F.lit(0.0)))
+        return made.withColumn("direction", direction).withColumn("strength", _clip(strength, MOST_MOMENTUM)).drop("_l", "_r", "_v", "i")
 
 
 @dataclass(frozen=True)
@@ -161,7 +166,7 @@ class VolatilityBreakout(Strategy):
         made = made.withColumn("_m", series.rolling_mean(F.col("close"), w, self.bands)).withColumn("_d", series.rolling_deviation(F.col("close"), w, self.bands))
         made = made.where(F.col("i") >= self.needs())
         direction = F.when(F.col("close") > F.col("_m") + self.width * F.col("_d"), F.lit(1)).when(F.col("close") < F.col("_m") - self.width * F.col("_d"), F.lit(-1 if self.short else 0)).otherwise(F.lit(0))
-        strength = F.when(F.col("_atr") > 0, _clip((F.col("close") - F.col("_m")) / F.col("_atr"), 5.0)).otherwise(F.lit(0.0))
+        strength = F.when(F.col("_atr") > 0, _clip((F.col("close") - F.col("_m")) / F.col("_atr"), MOST_BREAKOUT)).otherwise(F.lit(0.0))
         return made.withColumn("direction", direction).withColumn("strength", strength).drop("_m", "_d", "_atr", "i")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import WalkForwardError
 from tidemark.operators import engine, metrics, strategies
+from tidemark.plans.tables import kept
 
 RUN = ["symbol", "window", "grid"]
 
@@ -41,8 +42,12 @@ def grid(space: dict[str, list]) -> list[dict]:
     return [dict(zip(space, values, strict=True)) for values in itertools.product(*space.values())]
 
 
-def _runs(cut: DataFrame, strategy: str, params: list[dict], costs: engine.Costs) -> DataFrame:
-    made = [strategies.get(strategy, **p).signals(cut.withColumn("grid", F.lit(k)), RUN) for k, p in enumerate(params)]
+def _runs(cut: DataFrame, strategy: str, params: list[dict], costs: engine.Costs, chosen: DataFrame | None = None) -> DataFrame:
+    """Runs of all parameter sets on all windows or, with ``chosen``, of each window's set alone. The bars of windows are
+    written once, and each set's signals are made from that."""
+    cut = kept(cut if chosen is None else cut.join(chosen.select("symbol", "window", "grid"), ["symbol", "window"]))
+    of_set = lambda k: cut.withColumn("grid", F.lit(k)) if chosen is None else cut.where(F.col("grid") == k)
+    made = [strategies.get(strategy, **p).signals(of_set(k), RUN) for k, p in enumerate(params)]
     return engine.run(reduce(DataFrame.unionByName, made), costs, RUN)
 
 
@@ -58,14 +63,13 @@ def select(bars: DataFrame, strategy: str, params: list[dict], *, train: int = 2
 def out_of_sample(bars: DataFrame, chosen: DataFrame, strategy: str, params: list[dict], *, train: int = 252, test: int = 63, step: int = 21, costs: engine.Costs = engine.Costs()) -> DataFrame:  # noqa: B008
     """Bars of each window's test part under its chosen set. Each part starts cold: what a strategy needs is taken from
     the part's own bars. Windows may overlap; their rows are all kept, in the order of time and window."""
-    runs = _runs(_cut(bars, train, test, step, "test"), strategy, params, costs)
-    return runs.join(chosen.select("symbol", "window", "grid"), RUN, "left_semi")
+    return _runs(_cut(bars, train, test, step, "test"), strategy, params, costs, chosen)
 
 
 def report(bars: DataFrame, strategy: str, space: dict[str, list], *, train: int = 252, test: int = 63, step: int = 21, costs: engine.Costs = engine.Costs(), **options) -> DataFrame:  # noqa: B008
     """One row for each symbol and window: chosen parameters (JSON), ratios in and out of sample, and test bars."""
     params = grid(space)
-    chosen = select(bars, strategy, params, train=train, test=test, step=step, costs=costs, **options)
+    chosen = kept(select(bars, strategy, params, train=train, test=test, step=step, costs=costs, **options))
     oos = out_of_sample(bars, chosen, strategy, params, train=train, test=test, step=step, costs=costs)
     tested = engine.performance(oos, ["symbol", "window"], **options).select("symbol", "window", F.round("sharpe_ratio", 4).alias("oos_sharpe"), F.col("n_periods").alias("oos_n_bars"))
     text = F.element_at(F.array(*[F.lit(json.dumps(p, sort_keys=True)) for p in params]), F.col("grid") + 1)

@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass, field, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.errors import ConfigurationError, SimulationError
+from tidemark.errors import ConfigurationError, InsufficientDataError, RiskError, SimulationError, WalkForwardError
 from tidemark.functions import series
 from tidemark.operators import engine, metrics, montecarlo, risk, strategies, walkforward
 from tidemark.sources.store import Store
@@ -48,6 +48,13 @@ class Settings:
         return engine.Costs(self.capital, self.commission, self.slippage, self.max_position, self.allow_short)
 
 
+def run_key(data: DataFrame, asked: dict) -> str:
+    """A digest of all rows of the data, in any order, and of what was asked for."""
+    columns = sorted(data.columns)
+    rows = data.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")), F.bit_xor(F.xxhash64(F.lit(1), *columns))).first()
+    return hashlib.sha256(json.dumps({"data": [str(x) for x in rows], "columns": columns, **asked}, sort_keys=True).encode()).hexdigest()[:32]
+
+
 @dataclass(frozen=True)
 class Backtest:
     run_id: str
@@ -64,40 +71,53 @@ class Service:
     def strategies(self) -> list[str]:
         return strategies.names()
 
-    def backtest(self, bars: DataFrame, strategy: str, params: dict | None = None, semantics: str = "corrected") -> Backtest:
-        """Runs a strategy on all symbols; the run's id is a digest of what it was asked for."""
+    def backtest(self, bars: DataFrame, strategy: str, params: dict | None = None, semantics: str = "corrected", interval: str = "1d") -> Backtest:
+        """Runs a strategy on all symbols; the run's id is a digest of the bars and of what was asked for."""
         rule, s = strategies.get(strategy, **(params or {})), self.settings
-        asked = json.dumps({"strategy": strategy, "params": rule.params(), "settings": asdict(s), "semantics": semantics}, sort_keys=True)
-        run_id = hashlib.sha256(asked.encode()).hexdigest()[:32]
+        if bars.groupBy("symbol").count().where(F.col("count") > rule.needs()).isEmpty():
+            raise InsufficientDataError(f"more than {rule.needs()} bars of a symbol are needed")
+        run_id = run_key(bars, {"strategy": strategy, "params": rule.params(), "settings": asdict(s), "semantics": semantics})
         made = engine.run(rule.signals(bars), s.costs(), semantics=semantics)
         out = Backtest(run_id, made.select("symbol", "ts", "equity", "r"), engine.fills(made), engine.performance(made, risk_free=s.risk_free, days=s.days))
         if self.store:
-            self.store.save_run(run_id, strategy, rule.params(), out.equity, out.fills, out.metrics)
+            self.store.save_run(run_id, strategy, rule.params(), out.equity, out.fills, out.metrics, {"interval": interval, "capital": s.capital, "commission": s.commission, "slippage": s.slippage})
         return out
 
     def walk_forward(self, bars: DataFrame, strategy: str, space: dict[str, list]) -> DataFrame:
         s = self.settings
-        return walkforward.report(bars, strategy, space, train=s.train, test=s.test, step=s.step, costs=s.costs(), risk_free=s.risk_free, days=s.days)
+        if walkforward.windows(bars, s.train, s.test, s.step).isEmpty():
+            raise WalkForwardError(f"no series has the {s.train + s.test} bars of a window")
+        out = walkforward.report(bars, strategy, space, train=s.train, test=s.test, step=s.step, costs=s.costs(), risk_free=s.risk_free, days=s.days)
+        if self.store:
+            run_id = run_key(bars, {"walk_forward": strategy, "space": space, "settings": asdict(s)})
+            self.store.save_walk_forward(run_id, strategy, space, (s.train, s.test, s.step), out)
+        return out
 
-    def monte_carlo(self, returns: DataFrame, shocks: list[montecarlo.Shock] = (), method: str = "bootstrap", value: float = 1.0) -> DataFrame:
+    def monte_carlo(self, returns: DataFrame, shocks: list[montecarlo.Shock] = (), method: str = "bootstrap", value: float = 1.0, of_run: str | None = None) -> DataFrame:
         s = self.settings
         if not 100 <= s.n_sims <= 10_000:
             raise SimulationError("from 100 to 10,000 paths")
         history = montecarlo.histories(returns, list(shocks))
-        return montecarlo.summary(montecarlo.terminals(montecarlo.sampled(history, s.n_sims, s.horizon, method=method, block=s.block, seed=s.seed), value), value)
+        out = montecarlo.summary(montecarlo.terminals(montecarlo.sampled(history, s.n_sims, s.horizon, method=method, block=s.block, seed=s.seed), value), value)
+        if self.store:
+            run_id = run_key(returns, {"monte_carlo": method, "shocks": [asdict(x) for x in shocks], "value": value, "settings": asdict(s)})
+            self.store.save_monte_carlo(run_id, out, s.horizon, method, of_run)
+        return out
 
     def monte_carlo_of_run(self, run_id: str, symbol: str, **options) -> DataFrame:
         if self.store is None:
             raise ConfigurationError("a store is needed")
         self.store.run(run_id)
         curve = self.store.table("equity_curve").where((F.col("run_id") == run_id) & (F.col("symbol") == symbol))
-        return self.monte_carlo(curve.select("ts", "r"), **options)
+        return self.monte_carlo(curve.select("ts", "r"), of_run=run_id, **options)
 
     def risk(self, run_id: str, benchmark: DataFrame | None = None) -> DataFrame:
         if self.store is None:
             raise ConfigurationError("a store is needed")
         self.store.run(run_id)
         curve = self.store.table("equity_curve").where(F.col("run_id") == run_id)
+        if curve.where("r is not null").groupBy("symbol").count().where(f"count >= {risk.REPORT_ROWS}").isEmpty():
+            raise RiskError(f"{risk.REPORT_ROWS} returns are needed")
         return risk.report(curve.select(F.col("symbol").alias("series_id"), "ts", "r"), benchmark, risk_free=self.settings.risk_free, days=self.settings.days)
 
     def rolling_risk(self, run_id: str, window: int = 21) -> DataFrame:

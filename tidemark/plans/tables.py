@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df``, written as Parquet under ``spark.checkpoint.dir`` and read again. Only where that is unset (tests) a
-    temporary folder is taken."""
+    """``df``, written as Parquet under ``spark.checkpoint.dir`` and read again. Only where that is unset on one machine
+    (tests) a temporary folder is taken; on a cluster that is an error."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/tidemark-{uuid.uuid4().hex}"

@@ -163,10 +163,10 @@ def ema(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {HOURLY}, {NUMBERED}, {ema_sql('a', 'n', 'close', '(2.0::DOUBLE / 13)')}, {ema_sql('b', 'n', 'close', '(2.0::DOUBLE / 27)')}
-SELECT symbol, ts, round((a.y - b.y) / b.y, 6) + 0.0 AS spread FROM a JOIN b USING (symbol, i) JOIN n USING (symbol, i)""")
+SELECT symbol, ts, round((a.y - b.y) / nullif(b.y, 0), 6) + 0.0 AS spread FROM a JOIN b USING (symbol, i) JOIN n USING (symbol, i)""")
 def macd_spread(spark: SparkSession, d: str) -> DataFrame:
     made = series.ema(hourly(spark, d), {"a": ("close", series.span_alpha(12)), "b": ("close", series.span_alpha(26))}, ["symbol"], "ts")
-    return rounded(made.select("symbol", "ts", ((F.col("a") - F.col("b")) / F.col("b")).alias("spread")))
+    return rounded(made.select("symbol", "ts", series.ratio(F.col("a") - F.col("b"), F.col("b")).alias("spread")))
 
 
 _TR = "tr AS (SELECT symbol, ts, i, close, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS x FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
@@ -185,7 +185,7 @@ def rsi(spark: SparkSession, d: str) -> DataFrame:
     return rounded(series.with_rsi(hourly(spark, d), 14, ["symbol"], "ts").select("symbol", "ts", "rsi").where("rsi is not null"), 4)
 
 
-@query(f"WITH {HOURLY} SELECT symbol, ts, round((close - m) / m, 6) + 0.0 AS drawdown FROM (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY ts) AS m FROM hourly)")
+@query(f"WITH {HOURLY} SELECT symbol, ts, round((close - m) / nullif(m, 0), 6) + 0.0 AS drawdown FROM (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY ts) AS m FROM hourly)")
 def drawdown(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.drawdowns(hourly(spark, d), ["symbol"], equity="close").select("symbol", "ts", "drawdown"))
 
@@ -241,9 +241,9 @@ def signal_meanrev_long(spark: SparkSession, d: str) -> DataFrame:
     return rounded(strategies.get("mean_reversion", short=False).signals(hourly(spark, d)).select("symbol", "ts", "direction", "strength"))
 
 
-_MOM = """lr AS (SELECT *, ln(close / lag(close) OVER w) AS l, close / lag(close, 63) OVER w - 1 AS p FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-mom AS (SELECT symbol, ts, i, open, close, p, stddev_samp(l) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) * sqrt(252) AS v FROM lr),
-sig AS (SELECT symbol, ts, i - 64 AS i, open, close, sign(p)::INTEGER AS direction, greatest(-3, least(3, CASE WHEN v > 0 THEN p / v ELSE sign(p) END)) AS strength FROM mom WHERE i > 64)"""
+_MOM = """lr AS (SELECT *, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) END AS l, close / nullif(lag(close, 63) OVER w, 0) - 1 AS p FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+mom AS (SELECT symbol, ts, i, open, close, p, CASE WHEN count(l) OVER v = 21 THEN stddev_samp(l) OVER v * sqrt(252) END AS v FROM lr WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
+sig AS (SELECT symbol, ts, i - 64 AS i, open, close, coalesce(sign(p), 0)::INTEGER AS direction, greatest(-3, least(3, CASE WHEN v > 0 THEN p / v ELSE coalesce(sign(p), 0) END)) AS strength FROM mom WHERE i > 64)"""
 
 
 @query(f"WITH {HOURLY}, {NUMBERED}, {_MOM} SELECT symbol, ts, direction, round(strength, 6) + 0.0 AS strength FROM sig")
@@ -327,21 +327,19 @@ def corr_spearman(spark: SparkSession, d: str) -> DataFrame:
     return rounded(risk.correlation(small_returns(daily(spark, d)), "spearman"))
 
 
-_HOURLY_ALIGNED = "rets AS (SELECT symbol AS series_id, ts, close AS r FROM hourly WHERE ts < TIMESTAMP '2024-01-06'), al AS (SELECT *, count(*) OVER (PARTITION BY ts) AS k FROM rets), ok AS (SELECT series_id, ts, r FROM al WHERE k = (SELECT count(DISTINCT series_id) FROM rets))"
+_TAU = """p AS (SELECT a.series_id AS a, b.series_id AS b, ts, a.r AS x, b.r AS y FROM ok a JOIN ok b USING (ts))
+SELECT p.a, p.b, round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))::DOUBLE) * sum(abs(sign(p.y - q.y))::DOUBLE)), 6) + 0.0 AS corr FROM p JOIN p q ON p.a = q.a AND p.b = q.b GROUP BY 1, 2"""
 
 
-@query(f"""WITH {HOURLY}, {_HOURLY_ALIGNED}, p AS (SELECT a.series_id AS a, b.series_id AS b, ts, a.r AS x, b.r AS y FROM ok a JOIN ok b USING (ts))
-SELECT p.a, p.b, round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))::DOUBLE) * sum(abs(sign(p.y - q.y))::DOUBLE)), 6) + 0.0 AS corr FROM p JOIN p q ON p.a = q.a AND p.b = q.b GROUP BY 1, 2""")
+@query(f"WITH {DAILY}, {RETURNS}, {_ALIGNED}, {_TAU}")
 def corr_kendall(spark: SparkSession, d: str) -> DataFrame:
-    made = hourly(spark, d).where("ts < timestamp_ntz '2024-01-06'").select(F.col("symbol").alias("series_id"), "ts", F.col("close").alias("r"))
-    return rounded(risk.correlation(made, "kendall"))
+    return rounded(risk.correlation(small_returns(daily(spark, d)), "kendall"))
 
 
 _ALL_HOURS_ALIGNED = "rets AS (SELECT symbol AS series_id, ts, close AS r FROM hourly), al AS (SELECT *, count(*) OVER (PARTITION BY ts) AS k FROM rets), ok AS (SELECT series_id, ts, r FROM al WHERE k = (SELECT count(DISTINCT series_id) FROM rets))"
 
 
-@query(f"""WITH {HOURLY}, {_ALL_HOURS_ALIGNED}, p AS (SELECT a.series_id AS a, b.series_id AS b, ts, a.r AS x, b.r AS y FROM ok a JOIN ok b USING (ts))
-SELECT p.a, p.b, round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))::DOUBLE) * sum(abs(sign(p.y - q.y))::DOUBLE)), 6) + 0.0 AS corr FROM p JOIN p q ON p.a = q.a AND p.b = q.b GROUP BY 1, 2""")
+@query(f"WITH {HOURLY}, {_ALL_HOURS_ALIGNED}, {_TAU}")
 def corr_kendall_all_hours(spark: SparkSession, d: str) -> DataFrame:
     made = hourly(spark, d).select(F.col("symbol").alias("series_id"), "ts", F.col("close").alias("r"))
     return rounded(risk.correlation(made, "kendall"))
@@ -383,7 +381,7 @@ def walkforward_select(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_WF} SELECT tag.sym AS symbol, tag.wnd AS "window", tag.g AS grid, eq.ts, round(equity, 3) + 0.0 AS equity FROM eq JOIN tag USING (symbol) JOIN best USING (sym, wnd, g) WHERE part = 'test'""")
 def walkforward_oos(spark: SparkSession, d: str) -> DataFrame:
     made, params = _walk(spark, d)
-    chosen = walkforward.select(made, "momentum", params, **WF)
+    chosen = kept(walkforward.select(made, "momentum", params, **WF))
     return rounded(walkforward.out_of_sample(made, chosen, "momentum", params, **WF).select("symbol", "window", "grid", "ts", "equity"), 3)
 
 
@@ -392,14 +390,10 @@ def param_stability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(walkforward.stability(walkforward.report(hourly(spark, d), "momentum", WF_SPACE, **WF), WF_SPACE), 4)
 
 
-MC = {"sims": 500, "horizon": 60, "block": 10, "seed": 42}
+MC = {"sims": 1000, "horizon": 252, "block": 10, "seed": 42}
 SHOCKS = [montecarlo.Shock("crash", -0.10, 1.5), montecarlo.Shock("panic", -0.20, 2.0)]
 
 
-def one_series(spark: SparkSession, d: str) -> DataFrame:
-    return small_returns(daily(spark, d)).where("series_id = '1-URGENT'").select("ts", "r")
-
-
 def _lcg(*parts: str) -> str:
     x = "(42)::BIGINT"
     for p in parts:
@@ -409,21 +403,23 @@ def _lcg(*parts: str) -> str:
     return x
 
 
-_MC = f"""WITH {DAILY}, {RETURNS}, h0 AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS i, r FROM rets WHERE series_id = '1-URGENT'),
-h AS (SELECT 'baseline' AS scenario, 0 AS number, i, r FROM h0 UNION ALL SELECT 'crash', 1, 0, -0.10::DOUBLE UNION ALL SELECT 'crash', 1, i + 1, r * 1.5::DOUBLE FROM h0 UNION ALL SELECT 'panic', 2, 0, -0.20::DOUBLE UNION ALL SELECT 'panic', 2, i + 1, r * 2.0::DOUBLE FROM h0),
-f AS (SELECT scenario, number, count(*) AS n, least(10, count(*) // 4) AS b FROM h GROUP BY ALL), g AS (SELECT scenario, number, n, b, s AS sim, t AS step FROM f, range(0, 500) x(s), range(0, 60) y(t)),
-smp AS (SELECT g.scenario, g.sim, (g.step + 1)::INTEGER AS step, h.r FROM g JOIN h ON h.number = g.number AND h.i = {_lcg('g.number', 'g.sim', 'g.step // g.b')} % (g.n - g.b + 1) + g.step % g.b),
-en AS (SELECT scenario, sim, product(1 + r) AS value FROM smp GROUP BY scenario, sim),
-pa AS (SELECT scenario, sim, step, product(1 + r) OVER (PARTITION BY scenario, sim ORDER BY step) AS value FROM smp),
-qs AS (SELECT *, value - 1 AS gn, quantile_cont(value - 1, 0.05) OVER (PARTITION BY scenario) AS q5, quantile_cont(value - 1, 0.01) OVER (PARTITION BY scenario) AS q1 FROM en),
-su AS (SELECT scenario, count(*) AS n_sims, {", ".join(f"round(quantile_cont(value, {p / 100}), 6) + 0.0 AS p{p}" for p in montecarlo.PERCENTILES)}, round(-max(q5), 6) + 0.0 AS var_95, round(-max(q1), 6) + 0.0 AS var_99, round(-avg(gn) FILTER (gn <= q5), 6) + 0.0 AS cvar_95, round(-avg(gn) FILTER (gn <= q1), 6) + 0.0 AS cvar_99 FROM qs GROUP BY scenario)"""
+_MC = f"""WITH {DAILY}, {RETURNS}, h0 AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, r FROM rets), ids AS (SELECT DISTINCT series_id FROM h0),
+h AS (SELECT series_id, 'baseline' AS scenario, 0 AS number, i, r FROM h0 UNION ALL SELECT series_id, 'crash', 1, 0, -0.10::DOUBLE FROM ids UNION ALL SELECT series_id, 'crash', 1, i + 1, r * 1.5::DOUBLE FROM h0 UNION ALL SELECT series_id, 'panic', 2, 0, -0.20::DOUBLE FROM ids UNION ALL SELECT series_id, 'panic', 2, i + 1, r * 2.0::DOUBLE FROM h0),
+f AS (SELECT series_id, scenario, number, count(*) AS n, least(10, count(*) // 4) AS b FROM h GROUP BY ALL), g0 AS (SELECT series_id, scenario, number, n, b, s AS sim, t AS step FROM f, range(0, 1000) x(s), range(0, 252) y(t)),
+g AS MATERIALIZED (SELECT series_id, scenario, number, sim, step, {_lcg('number', 'sim', 'step // b')} % (n - b + 1) + step % b AS i FROM g0),
+smp AS (SELECT g.series_id, g.scenario, g.sim, (g.step + 1)::INTEGER AS step, h.r FROM g JOIN h ON h.series_id = g.series_id AND h.number = g.number AND h.i = g.i),
+en AS (SELECT series_id, scenario, sim, product(1 + r) AS value FROM smp GROUP BY series_id, scenario, sim),
+pa AS (SELECT series_id, scenario, sim, step, product(1 + r) OVER (PARTITION BY series_id, scenario, sim ORDER BY step) AS value FROM smp),
+qs AS (SELECT *, value - 1 AS gn, quantile_cont(value - 1, 0.05) OVER (PARTITION BY series_id, scenario) AS q5, quantile_cont(value - 1, 0.01) OVER (PARTITION BY series_id, scenario) AS q1 FROM en),
+su AS (SELECT series_id, scenario, count(*) AS n_sims, {", ".join(f"round(quantile_cont(value, {p / 100}), 6) + 0.0 AS p{p}" for p in montecarlo.PERCENTILES)}, round(-max(q5), 6) + 0.0 AS var_95, round(-max(q1), 6) + 0.0 AS var_99, round(-avg(gn) FILTER (gn <= q5), 6) + 0.0 AS cvar_95, round(-avg(gn) FILTER (gn <= q1), 6) + 0.0 AS cvar_99 FROM qs GROUP BY series_id, scenario)"""
 
 
-def _mc(spark: SparkSession, d: str, shocks: list[montecarlo.Shock] = ()) -> DataFrame:
-    return montecarlo.sampled(montecarlo.histories(one_series(spark, d), list(shocks)), MC["sims"], MC["horizon"], block=MC["block"], seed=MC["seed"])
+def _mc(spark: SparkSession, d: str, shocks: list[montecarlo.Shock] = (), method: str = "bootstrap") -> DataFrame:
+    history = montecarlo.histories(small_returns(daily(spark, d)), list(shocks))
+    return montecarlo.sampled(history, MC["sims"], MC["horizon"], method=method, block=MC["block"], seed=MC["seed"])
 
 
-@query(f"{_MC} SELECT scenario, sim, round(value, 6) + 0.0 AS value FROM en WHERE scenario = 'baseline'")
+@query(f"{_MC} SELECT series_id, scenario, sim, round(value, 6) + 0.0 AS value FROM en WHERE scenario = 'baseline'")
 def mc_bootstrap_terminal(spark: SparkSession, d: str) -> DataFrame:
     return rounded(montecarlo.terminals(_mc(spark, d)))
 
@@ -433,7 +429,7 @@ def mc_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(montecarlo.summary(montecarlo.terminals(_mc(spark, d))))
 
 
-@query(f"""{_MC} SELECT scenario, step, {", ".join(f"round(quantile_cont(value, {p / 100}), 6) + 0.0 AS p{p}" for p in montecarlo.BANDS)} FROM pa WHERE scenario = 'baseline' GROUP BY scenario, step""")
+@query(f"""{_MC} SELECT series_id, scenario, step, {", ".join(f"round(quantile_cont(value, {p / 100}), 6) + 0.0 AS p{p}" for p in montecarlo.BANDS)} FROM pa WHERE scenario = 'baseline' GROUP BY series_id, scenario, step""")
 def mc_fan(spark: SparkSession, d: str) -> DataFrame:
     return rounded(montecarlo.fan(montecarlo.paths(_mc(spark, d))))
 
@@ -446,20 +442,24 @@ def mc_stress(spark: SparkSession, d: str) -> DataFrame:
 _U = [f"(({_lcg('0', 's', 't', str(k))} + 1) / 2147483648.0::DOUBLE)" for k in (1, 2)]
 
 
-@query(f"""WITH {DAILY}, {RETURNS}, f AS (SELECT avg(r) AS m, stddev_samp(r) AS sd FROM rets WHERE series_id = '1-URGENT')
-SELECT 'baseline' AS scenario, s AS sim, round(product(1 + m + sd * sqrt(-2 * ln({_U[0]})) * cos(2 * pi() * {_U[1]})), 6) + 0.0 AS value FROM f, range(0, 500) x(s), range(0, 60) y(t) GROUP BY s""")
+@query(f"""WITH {DAILY}, {RETURNS}, f AS (SELECT series_id, avg(r) AS m, stddev_samp(r) AS sd FROM rets GROUP BY series_id)
+SELECT series_id, 'baseline' AS scenario, s AS sim, round(product(1 + m + sd * sqrt(-2 * ln({_U[0]})) * cos(2 * pi() * {_U[1]})), 6) + 0.0 AS value FROM f, range(0, 1000) x(s), range(0, 252) y(t) GROUP BY series_id, s""")
 def mc_parametric(spark: SparkSession, d: str) -> DataFrame:
-    samples = montecarlo.sampled(montecarlo.histories(one_series(spark, d)), MC["sims"], MC["horizon"], method="parametric", seed=MC["seed"])
-    return rounded(montecarlo.terminals(samples))
+    return rounded(montecarlo.terminals(_mc(spark, d, method="parametric")))
+
+
+def _ln(a: str, b: str) -> str:
+    """Logarithm of a / b, null unless both are positive."""
+    return f"CASE WHEN {a} > 0 AND {b} > 0 THEN ln({a} / {b}) END"
 
 
 _FEATURES = f"""WITH RECURSIVE {HOURLY}, {NUMBERED}, {_TR}, {ema_sql('ea', 'tr', 'x', '(2.0::DOUBLE / 15)')}, {ema_sql('es', 'n', 'close', '(2.0::DOUBLE / 11)')}, {ema_sql('em', 'n', 'close', '(2.0::DOUBLE / 22)')}, {ema_sql('el', 'n', 'close', '(2.0::DOUBLE / 64)')}, {_RSI},
-b AS (SELECT *, ln(close / lag(close) OVER w) AS r1, pow(ln(high / low), 2) / (4 * ln(2)) AS hl FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-c AS (SELECT *, ln(close / lag(close, 5) OVER w) AS r5, ln(close / lag(close, 21) OVER w) AS r21, ln(close / lag(close, 63) OVER w) AS r63, stddev_samp(r1) OVER w21 AS s21, stddev_samp(r1) OVER w10 AS s10, stddev_samp(r1) OVER w63 AS s63, avg(hl) OVER w21 AS park, avg(close) OVER w21 AS m21, stddev_samp(close) OVER w21 AS d21, avg(volume) OVER w21 AS v21, max(close) OVER w63 AS top
+b AS (SELECT *, {_ln('close', 'lag(close) OVER w')} AS r1, pow({_ln('high', 'low')}, 2) / (4 * ln(2)) AS hl FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+c AS (SELECT *, {', '.join(f"{_ln('close', f'lag(close, {k}) OVER w')} AS r{k}" for k in (5, 21, 63))}, {', '.join(f"CASE WHEN count(r1) OVER w{k} = {k} THEN stddev_samp(r1) OVER w{k} END AS s{k}" for k in (21, 10, 63))}, CASE WHEN count(hl) OVER w21 = 21 THEN avg(hl) OVER w21 END AS park, avg(close) OVER w21 AS m21, stddev_samp(close) OVER w21 AS d21, avg(volume) OVER w21 AS v21, max(close) OVER w63 AS top
 FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts), w21 AS (PARTITION BY symbol ORDER BY ts ROWS 20 PRECEDING), w10 AS (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING), w63 AS (PARTITION BY symbol ORDER BY ts ROWS 62 PRECEDING))
-SELECT c.symbol, c.ts, round(r1, 6) + 0.0 AS ret_1d, round(r5, 6) + 0.0 AS ret_5d, round(r21, 6) + 0.0 AS ret_21d, round(r63, 6) + 0.0 AS ret_63d, round((es.y - em.y) / em.y, 6) + 0.0 AS ema_spread_sm, round((em.y - el.y) / el.y, 6) + 0.0 AS ema_spread_ml, round((close - el.y) / el.y, 6) + 0.0 AS price_vs_ema_long,
-round(s21 * sqrt(252), 6) + 0.0 AS realised_vol_21d, round(s10 / nullif(s63, 0), 6) + 0.0 AS vol_ratio, round(sqrt(greatest(park, 0)) * sqrt(252), 6) + 0.0 AS parkinson_vol, round((close - m21) / nullif(d21, 0), 6) + 0.0 AS z_score_21d, round(rsi, 6) + 0.0 AS rsi_14, round(volume / nullif(v21, 0), 6) + 0.0 AS volume_ratio, round(ln(1 + volume), 6) + 0.0 AS log_volume, round((close - top) / top, 6) + 0.0 AS drawdown_from_high, round(ea.y / close, 6) + 0.0 AS atr_pct
-FROM c JOIN es USING (symbol, i) JOIN em USING (symbol, i) JOIN el USING (symbol, i) JOIN ea USING (symbol, i) JOIN rsi ON rsi.symbol = c.symbol AND rsi.ts = c.ts WHERE i > 63 AND s63 <> 0 AND d21 <> 0 AND v21 <> 0"""
+SELECT * FROM (SELECT c.symbol, c.ts, round(r1, 6) + 0.0 AS ret_1d, round(r5, 6) + 0.0 AS ret_5d, round(r21, 6) + 0.0 AS ret_21d, round(r63, 6) + 0.0 AS ret_63d, round((es.y - em.y) / nullif(em.y, 0), 6) + 0.0 AS ema_spread_sm, round((em.y - el.y) / nullif(el.y, 0), 6) + 0.0 AS ema_spread_ml, round((close - el.y) / nullif(el.y, 0), 6) + 0.0 AS price_vs_ema_long,
+round(s21 * sqrt(252), 6) + 0.0 AS realised_vol_21d, round(s10 / nullif(s63, 0), 6) + 0.0 AS vol_ratio, round(sqrt(greatest(park, 0)) * sqrt(252), 6) + 0.0 AS parkinson_vol, round((close - m21) / nullif(d21, 0), 6) + 0.0 AS z_score_21d, round(rsi, 6) + 0.0 AS rsi_14, round(volume / nullif(v21, 0), 6) + 0.0 AS volume_ratio, round(ln(1 + volume), 6) + 0.0 AS log_volume, round((close - top) / nullif(top, 0), 6) + 0.0 AS drawdown_from_high, round(ea.y / nullif(close, 0), 6) + 0.0 AS atr_pct
+FROM c JOIN es USING (symbol, i) JOIN em USING (symbol, i) JOIN el USING (symbol, i) JOIN ea USING (symbol, i) JOIN rsi ON rsi.symbol = c.symbol AND rsi.ts = c.ts WHERE i > 63) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in features.NAMES)}"""
 
 
 @query(_FEATURES)
@@ -467,12 +467,21 @@ def features_all(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.build(hourly(spark, d)))
 
 
+def _explainer(spark: SparkSession, d: str, **options) -> features.Explainer:
+    made = hourly(spark, d)
+    return features.Explainer().fit(features.build(made), strategies.get("momentum").signals(made), **options)
+
+
 @query()
 def explain_importance(spark: SparkSession, d: str) -> DataFrame:
-    made = hourly(spark, d)
-    rows = kept(features.build(made).join(strategies.get("momentum").signals(made).select("symbol", "ts", "direction"), ["symbol", "ts"]))
-    model = features.Explainer(trees=3).fit(rows.drop("direction"), rows.select("symbol", "ts", "direction"))
-    return model.importance(repeats=1)
+    return _explainer(spark, d).importance()
+
+
+@query()
+def explain_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Samples, features, and the accuracies on the training rows and over five folds."""
+    found = _explainer(spark, d, cross_validated=True).diagnostics
+    return spark.createDataFrame([found], "n_samples long, n_features long, train_accuracy double, cv_accuracy_mean double, cv_accuracy_std double")
 
 
 @query(f"WITH {HOURLY} SELECT symbol, ts, round(close, 4) + 0.0 AS close FROM hourly WHERE ts >= TIMESTAMP '2024-01-15'")

@@ -11,7 +11,7 @@ import urllib.request
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import IngestionError
@@ -27,6 +27,8 @@ ALIASES = {
     "volume": ["volume", "vol"],
 }
 DAILY_ONLY = "1d"
+#: Columns of a CSV file that are looked at.
+MOST_COLUMNS = 64
 
 
 class Source(Protocol):
@@ -40,8 +42,9 @@ class Source(Protocol):
 class CsvFolder:
     """A folder of ``SYMBOL.csv`` files, read as one DataFrame with the symbol from the file's name.
 
-    All columns are read as text. A time that can't be read is an error; numbers that can't be are missing values,
-    filled as ``fill`` says. Bars then are resampled to the interval and checked.
+    All columns are read as text, with quoted cells kept together (a quoted line end is not). A time that can't be read
+    is an error; numbers that can't be (also such as "5,000"), and cells that a short line lacks, are missing values,
+    filled as ``fill`` says; no line is left out. Bars then are resampled to the interval and checked.
     """
 
     def __init__(self, spark: SparkSession, path: str, fill: str = "ffill"):
@@ -51,13 +54,23 @@ class CsvFolder:
         # Each file may have its own header: the line that has a cell named as an opening price.
         path = F.col("_metadata.file_path")
         lines = self.spark.read.text(f"{self.path}/*.csv").select(F.regexp_replace("value", "\r$", "").alias("line"), F.upper(F.regexp_extract("_metadata.file_name", r"^(.*)\.[cC][sS][vV]$", 1)).alias("symbol"), path.alias("path"))
-        parts = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
-        heads = lines.where(F.arrays_overlap(parts(F.lower("line")), F.array(*map(F.lit, ALIASES["open"])))).groupBy("path").agg(F.min("line").alias("head"))
-        body = lines.join(heads, "path").where(F.col("line") != F.col("head")).where(F.trim("line") != "")
-        cells = F.map_from_arrays(parts(F.lower("head")), parts(F.col("line")))
-        cell = lambda names: F.coalesce(*[F.try_element_at("cells", F.lit(n)) for n in names])
-        made = body.where(F.size(F.split("head", ",")) == F.size(F.split("line", ","))).select("symbol", cells.alias("cells"))
-        return made.select("symbol", *[cell(names).alias(c) for c, names in ALIASES.items()])
+        names = [f"c{i}" for i in range(MOST_COLUMNS)]
+        schema = ", ".join(f"{n} string" for n in names)
+
+        def cells(line: Column) -> Column:
+            """The cells of a line; quotes are kept together, and cells that a line lacks are null."""
+            parsed = F.from_csv(line, schema, {"mode": "PERMISSIVE", "escape": '"'})
+            return F.array(*[F.trim(parsed[n]) for n in names])
+
+        named = lines.withColumn("cells", F.transform(cells(F.col("line")), lambda x: F.lower(x)))
+        heads = named.where(F.arrays_overlap("cells", F.array(*map(F.lit, ALIASES["open"])))).groupBy("path").agg(F.min(F.struct("line", "cells")).alias("head"))
+        body = lines.join(heads, "path").where(F.col("line") != F.col("head.line")).where(F.trim("line") != "").withColumn("cells", cells(F.col("line")))
+
+        def cell(aliases: list[str]) -> Column:
+            places = [F.array_position("head.cells", n) for n in aliases]
+            return F.coalesce(*[F.when(at > 0, F.get("cells", (at - 1).cast("int"))) for at in places])
+
+        return body.select("symbol", *[cell(aliases).alias(c) for c, aliases in ALIASES.items()])
 
     def symbols(self) -> list[str]:
         return [r.symbol for r in self._raw().select("symbol").distinct().orderBy("symbol").collect()]
