@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Up to so many index rows (one a rule) go to every task with their join; a longer list is joined by shuffle.
 BROADCAST_RULES = 20_000
+#: Up to so many go there as one map, whose keys are looked through for each token; beyond it tokens are joined.
+MAP_RULES = 128
 
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,7 +74,7 @@ def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str
     rarest = per_token.join(counts, "token", "left").groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("urls", F.lit(0)), "token")).alias("token"))
     index = listed.drop("tokens").join(rarest, "rule_id")
     rank = F.struct(F.length("rule").alias("a"), F.length("rule_host").alias("b"), (F.col("rule_verdict") == "block").alias("c"), F.col("rule"), F.col("rule_verdict"))
-    if small:
+    if len(rules) <= min(MAP_RULES, BROADCAST_RULES):
         # All of the index goes to each task as one map from token to rules: a URL looks its own tokens up.
         held = index.groupBy("token").agg(F.collect_list(F.struct("pattern", rank.alias("rank"))).alias("rules"))
         held = held.agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("held")).withColumn("one", F.lit(1))
@@ -83,6 +85,6 @@ def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str
         judged = urls.withColumn("one", F.lit(1)).join(F.broadcast(held), "one").withColumn("best", best)  # held is one row
         return judged.select(F.col("key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
     distinct = urls.select("host", "path", "tokens").distinct()
-    fetched = distinct.select("host", "path", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("token")).join(index, "token")
+    fetched = distinct.select("host", "path", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("token")).join(hint(index), "token")
     best = fetched.where(F.expr("concat(host, path) rlike pattern")).groupBy("host", "path").agg(F.max(rank).alias("best"))
     return urls.join(best, ["host", "path"], "left").select(F.col("key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
