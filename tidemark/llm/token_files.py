@@ -9,7 +9,9 @@ number of ids before the part, which is a prefix sum over parts.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,18 +28,36 @@ NULL_ID = -(1 << 63)
 CACHE_WORDS = 400_000
 
 
+# A pattern whose matches hold no white space, and normalizers that change nothing across a space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer, by its file, is known to give a text the ids of its words by spaces, end to end: white space
+    is dropped before pieces are merged, nothing is put before a text or between words, and no added token has a space."""
+    normalizer, before, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = before.get("pretokenizers") or [before]
+    cut = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    plain = all(x in NORMALIZERS for x in normalizer.get("normalizers", [normalizer] if normalizer else []))
+    rest = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in steps[1:])
+    added = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens") or [])
+    return plain and steps[0] == cut and rest and added and model.get("type") == "BPE" and not model.get("dropout")
+
+
 class WordEncoder:
-    """Ids of whole texts by a ``tokenizers`` file whose pieces never cross a space or line end.
+    """Ids of whole texts by a ``tokenizers`` file.
 
-    Such a tokenizer gives a text the ids of its words, end to end, so each distinct word is encoded once and looked
-    up after that. ``by_word=False`` encodes whole texts, for tokenizers for which this does not hold.
+    Where ``splits_at_spaces`` holds, each distinct word is encoded once and looked up after that; the ids are those of
+    the whole text. Any other tokenizer gets whole texts. ``by_word`` overrides what the file says.
     """
 
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str, by_word: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = splits_at_spaces(json.loads(self.tokenizer.to_str())) if by_word is None else by_word
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
 
@@ -61,14 +81,14 @@ class WordEncoder:
 _encoders: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str, by_word: bool) -> WordEncoder:
+def encoder(path: str, by_word: bool | None) -> WordEncoder:
     """One for each worker process and file."""
     if (path, by_word) not in _encoders:
         _encoders[path, by_word] = WordEncoder(path, by_word)
     return _encoders[path, by_word]
 
 
-def _writer(folder: str, tokenizer: str, end_id: int, by_word: bool) -> Callable:
+def _writer(folder: str, tokenizer: str, end_id: int, by_word: bool | None) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -99,7 +119,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, by_word: bool) -> Callable
     return write
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, *, key: str = "doc_id", text: str = "text", by_word: bool = True) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, *, key: str = "doc_id", text: str = "text", by_word: bool | None = None) -> DataFrame:
     """Encode all texts, in ascending order of ``key``, into files under ``folder``; returns the manifest.
 
     A null text counts as empty and gets the end id alone; a null key sorts first. Rows with equal keys follow each
