@@ -13,6 +13,7 @@ import hashlib
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ WINDOW = 13
 #: Bytes of text in a shard of documents, and in a block of test items; a longer text stands alone, whole.
 SHARD_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
 _LEAD_BITS = 22
+#: Blocks that a task holds at once, each some 100 MB at most.
+HELD_BLOCKS = 2
 _MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_pos", pa.int64()), ("doc_pos", pa.int64()), ("length", pa.int64())]))
 
 
@@ -133,9 +136,9 @@ def longest(words: np.ndarray, bounds: np.ndarray, block: Block, at: np.ndarray,
     return at, item, pos - block.bounds[item], n
 
 
-def _finder(blocks: list[str], window: int, share: int, text_at: int, only_clean: bool) -> Callable:
+def _finder(blocks: list[str], window: int, share: int, text_at: int, only_clean: bool, detail: bool = True) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = None
+        load = lru_cache(HELD_BLOCKS)(lambda name: Block(name, window))
         for batch in batches:
             data, offs = textcore.buffers(batch.column(text_at))
             for first, last in textcore.chunks(offs, SHARD_BYTES):
@@ -145,18 +148,22 @@ def _finder(blocks: list[str], window: int, share: int, text_at: int, only_clean
                 cover = np.zeros(len(words) + 1, np.int64)
                 items: dict[int, set] = defaultdict(set)
                 matches: dict[int, list] = defaultdict(list)
+                greatest = np.zeros(last - first, np.int64)
                 for name in blocks if len(words) else []:
-                    if loaded is None or loaded[0] != name:
-                        loaded = name, Block(name, window)
-                    block = loaded[1]
+                    block = load(name)
                     for at, suffix in search(words, bounds, block):
                         at, item, pos, n = longest(words, bounds, block, at, suffix)
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + n, -1)
                         doc = np.searchsorted(bounds, at, "right") - 1
-                        for d, i, p, a, m in zip(doc.tolist(), item.tolist(), pos.tolist(), (at - bounds[doc]).tolist(), n.tolist(), strict=True):
+                        np.maximum.at(greatest, doc, n)
+                        if only_clean:
+                            continue
+                        for d, i in zip(*np.unique(np.stack([doc, item]), axis=1).tolist(), strict=True):
                             items[d].add(block.ids[i])
-                            matches[d].append({"item_id": block.ids[i], "item_pos": p, "doc_pos": a, "length": m})
+                        if detail:
+                            for d, i, p, a, m in zip(doc.tolist(), item.tolist(), pos.tolist(), (at - bounds[doc]).tolist(), n.tolist(), strict=True):
+                                matches[d].append({"item_id": block.ids[i], "item_pos": p, "doc_pos": a, "length": m})
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
                 n_words, n_hit = np.diff(bounds), hit[bounds[1:]] - hit[bounds[:-1]]
                 contaminated = (n_hit > 0) & (share * n_hit >= n_words)
@@ -172,8 +179,8 @@ def _finder(blocks: list[str], window: int, share: int, text_at: int, only_clean
                         pa.array([len(items.get(d, ())) for d in docs], pa.int64()),
                         pa.array([hashlib.sha256(",".join(sorted(items.get(d, ()))).encode()).hexdigest() for d in docs], pa.string()),
                         pa.array(contaminated),
-                        pa.array([max((m["length"] for m in matches.get(d, ())), default=0) for d in docs], pa.int64()),
-                        pa.array([matches.get(d, []) for d in docs], _MATCHES),
+                        pa.array(greatest),
+                        pa.array([matches.get(d, []) if detail else None for d in docs], _MATCHES),
                     ],
                     names=["key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "matches"],
                 )
@@ -188,9 +195,10 @@ def _write_blocks(spark: SparkSession, items: DataFrame, item_key: str, item_tex
     return sorted(r.file for r in blocks.collect())  # one name for each block of up to 4 MB of items
 
 
-def find_matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:
+def find_matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20, detail: bool = True) -> DataFrame:
     """One row for each row of ``docs``: its words, words inside occurrences, items found (count and digest of their
-    ids), whether ``share`` times the hit words reach its words, its longest match, and all maximal matches.
+    ids), whether ``share`` times the hit words reach its words, its longest match, and all maximal matches (null without
+    ``detail``).
 
     Words are runs of letters, digits and non-ASCII characters, with A-Z lower-cased. An item of fewer than
     ``window`` words, but not none, must occur whole. Null and empty texts have no words, are hit by nothing and hit
@@ -200,7 +208,7 @@ def find_matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text
     names = _write_blocks(docs.sparkSession, items, item_key, item_text)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("t"))
     ddl = "key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, matches array<struct<item_id:string,item_pos:bigint,doc_pos:bigint,length:bigint>>"
-    return rows.mapInArrow(_finder(names, window, share, 1, False), ddl).withColumnRenamed("key", key)
+    return rows.mapInArrow(_finder(names, window, share, 1, False, detail), ddl).withColumnRenamed("key", key)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:

@@ -48,7 +48,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches", "longest")
+    return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), detail=False).drop("matches", "longest")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
