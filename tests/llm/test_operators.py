@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import os
 import re
@@ -45,9 +46,10 @@ def plain_verdict(url):
     return host, path, best.text if best else None, best.verdict if best else "allow"
 
 
-@pytest.mark.parametrize("limit", [url_rules.BROADCAST_RULES, 0])
-def test_url_rules(spark, limit, monkeypatch):
+@pytest.mark.parametrize(("limit", "of_map"), [(url_rules.BROADCAST_RULES, url_rules.MAP_RULES), (url_rules.BROADCAST_RULES, 0), (0, 0)])
+def test_url_rules(spark, limit, of_map, monkeypatch):
     monkeypatch.setattr(url_rules, "BROADCAST_RULES", limit)
+    monkeypatch.setattr(url_rules, "MAP_RULES", of_map)
     pages = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate([*URLS, URLS[4]])] + [(None, URLS[8], "h", 1)], "page_id long, url string, host string, token int")
     got = url_rules.judge(pages, queries.URL_RULES).collect()
     assert len(got) == len(URLS) + 2
@@ -90,6 +92,16 @@ def test_encoding_by_word_equals_whole_texts(texts):
         assert by_word.encode(t or "") == whole.encode(t or "")
 
 
+def test_only_known_tokenizers_go_by_word():
+    import public_tokenizers
+
+    assert token_files.WordEncoder(queries.tokenizer_path()).by_word
+    assert not token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).by_word
+    spec = json.loads(open(queries.tokenizer_path()).read())
+    for change in ({"normalizer": {"type": "Prepend", "prepend": "_"}}, {"pre_tokenizer": None}, {"added_tokens": [{"content": "a b", "lstrip": False, "rstrip": False, "single_word": False}]}):
+        assert not token_files.splits_at_spaces({**spec, **change})
+
+
 # 3: media columns
 
 
@@ -279,6 +291,9 @@ def test_decontamination(spark, docs, empty, texts, block, monkeypatch):
     want = collections.Counter((i, *plain_hits(t, items, 13)) for i, t in all_rows(docs))
     assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
     assert {r.longest for r in got if r.doc_id == 1} == {len(lettered(texts[1]))}
+    assert all(r.longest == max((m.length for m in r.matches), default=0) for r in got)
+    brief = decontaminate.find_matches(docs, bench, detail=False)
+    assert collections.Counter(tuple(r)[:7] for r in brief.collect()) == collections.Counter(tuple(r)[:7] for r in got)
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not r.contaminated for r in got)
     assert decontaminate.find_matches(empty, bench).count() == 0
@@ -347,6 +362,20 @@ def test_license_scan(spark, docs, empty):
     assert {r.doc_id for r in licenses.scan(ids).collect()} == {None}
 
 
+def test_changed_notices_are_found(spark):
+    """One word of a notice changed, in many texts: all that hold 80 hundredths of the shingles are found."""
+    rng, rows, want = np.random.default_rng(4), [], 0
+    sets = {t.name: {tuple(w[i : i + 5]) for w in [re.findall(r"[a-z0-9]+", t.text.lower())] for i in range(len(w) - 4)} for t in licenses.NOTICES}
+    for i in range(300):
+        t = licenses.NOTICES[i % len(licenses.NOTICES)]
+        words = re.findall(r"[A-Za-z0-9]+", t.text)
+        words[int(rng.integers(len(words)))] = "changed"
+        held = {tuple(w.lower() for w in words[k : k + 5]) for k in range(len(words) - 4)}
+        rows.append(f"{prose(i, 9 + i % 7)} {' '.join(words)} {prose(i + 900, 30)}")
+        want += sum(5 * len(s & held) >= 4 * len(s) for s in sets.values())
+    assert licenses.scan(spark.createDataFrame(rows_of(rows), SCHEMA)).count() == want > 50
+
+
 # 8: quality classifier
 
 
@@ -450,6 +479,61 @@ def test_votes_equal_brute_force():
         assert abs(s - (votes * model.labels[best]).sum() / votes.sum()) < 1e-3
 
 
+# the pipeline, and the operators' SQL
+
+
+def test_stages_keep_columns_and_odd_rows(spark, tmp_path, docs, empty):
+    """Each stage on nulls, blanks, repeats, clashing columns and no rows at all: what goes is what the operator says."""
+    d = str(tmp_path)
+    texts = [r.text for r in docs.collect() if r.text and len(r.text.split()) > 20]
+    spark.createDataFrame([(1, texts[2])], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i not in (16, 17, 18, 21))) for i in range(24)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    rows = collections.Counter(map(tuple, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, d)
+        assert kept.columns == docs.columns, name
+        got = collections.Counter(map(tuple, kept.collect()))
+        assert got <= rows and got, name
+        none = stage(spark, empty, d)
+        assert none.columns == docs.columns and none.count() == 0, name
+        if name == "quality":
+            assert not any(not r[1] for r in got)
+        if name == "decontamination":
+            want = collections.Counter({r: n for r, n in rows.items() if not plain_hits(r[1], [(1, texts[2])], 13)[4]})
+            assert got == want
+        if name == "near_copies":
+            components = collections.Counter(c for (_, n, c), m in plain_components([(r[0], r[1]) for r in rows.elements()]).items() if n and c is not None)
+            assert len({(spaced(r[1]) and tuple(spaced(r[1]))) for r in got if r[0] is not None and spaced(r[1])}) == len(components)
+    name, last = corpus_pipeline.STAGES[-1]
+    assert last(spark, docs, d).count() == docs.count() and last(spark, empty, d).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_operator_equals_sql(spark, name):
+    import duckdb
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, d).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
+    columns = sorted(got.columns)
+    rows = lambda x: sorted(map(repr, x[columns].astype(object).where(x[columns].notna(), None).itertuples(index=False, name=None)))
+    assert columns == sorted(want.columns) and rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_pipeline_runs_its_stages_in_order(spark):
+    d = "/root/testdata/sf0.001"
+    docs = queries.table(spark, d, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, d).cache()
+    ids = sorted(r.doc_id for r in docs.collect())
+    got = corpus_pipeline.run(spark, d).orderBy("start").collect()
+    assert [r.doc_id for r in got] == ids and 0 < len(ids) < queries.table(spark, d, "documents").count()
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
 # 9: n-gram Jaccard join
 
 
