@@ -561,7 +561,9 @@ def plain_components(rows, k=5, similar=80):
     return collections.Counter((i, len(s), least.get(find(a)) if s else i) for a, (i, s) in enumerate(sets))
 
 
-def test_jaccard_components(docs, empty):
+@pytest.mark.parametrize("limit", [ngram_join.BROADCAST_NODES, 0])
+def test_jaccard_components(docs, empty, limit, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_NODES", limit)
     got = collections.Counter(map(tuple, ngram_join.near_components(docs).collect()))
     assert got == plain_components(all_rows(docs))
     assert ngram_join.near_components(empty).count() == 0

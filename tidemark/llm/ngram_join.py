@@ -38,6 +38,8 @@ BLOCK_DOCS = 1024
 PACK_BYTES = 8 << 20
 #: Bytes of tokens that a task holds as one group; as many ranges are made as the tokens need.
 RANGE_BYTES = 32 << 20
+#: Candidates (two numbers each) up to so many rows go to every task with their join; beyond it the token sets are shuffled.
+BROADCAST_NODES = 500_000
 #: Bits of the filter of candidates' keys that every task gets: 1 MB, however many candidates there are.
 FILTER_BITS = 23
 
@@ -50,6 +52,11 @@ def ranges_for(tokens: float, least: int) -> int:
     return max(least, -(-int(16 * tokens) // RANGE_BYTES))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has few enough rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
+
+
 def token_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending within it; their bounds; and a hash of each text's set."""
     starts, ends, bounds = textcore.spans(data, offs, textcore.BY_SPACE)
@@ -396,12 +403,13 @@ def near_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shing
     tokens = left.agg(F.sum("n")).first()[0] or 0
     left = left.drop("n")
     held = key_filter(left.select("row"))
-    sets = rows.mapInArrow(_sets(shingle, held), "row long, sid long, tokens binary").join(left, ["sid", "row"])
+    # Joined by text alone, so that a shuffle for the join serves for the grouping by text as well.
+    sets = rows.mapInArrow(_sets(shingle, held), "row long, sid long, tokens binary").join(_small(left.withColumnRenamed("row", "_row")), "sid").where("(row ^ _row) = 0")
     sets = common.written(sets.groupBy(F.col("sid").alias("node")).agg(F.first("tokens").alias("tokens")).withColumn("grp", F.lit(0).cast("long")))
     for order in range(orders):
-        # Written first, so that Spark knows its size when it joins: a small one goes to the sets, which stay where they are.
+        # Written first, so that its size is known: a small one goes to the sets, which stay where they are.
         groups = common.written(candidate_groups(sets, 0x5851F42D4C957F2D * (order + 1) % (1 << 63), tokens))
-        sets = common.written(sets.drop("grp").join(groups, "node").select("node", "tokens", "grp"))
+        sets = common.written(sets.drop("grp").join(_small(groups), "node").select("node", "tokens", "grp"))
     found = common.written(exact_components(sets, tokens).join(texts.select(F.col("sid").alias("node"), "least"), "node"))
     # The roots have stars of their other texts alone, so each root is added to its component.
     roots = found.select(F.col("root").alias("node")).distinct().join(texts.select(F.col("sid").alias("node"), "least"), "node")
