@@ -52,6 +52,11 @@ def ranges_for(tokens: float, least: int) -> int:
     return max(least, -(-int(16 * tokens) // RANGE_BYTES))
 
 
+def _dealt(rows: DataFrame, ranges: int, *columns: str) -> DataFrame:
+    """Rows dealt out into more partitions than the session has, if there are more ranges; else as Spark deals them."""
+    return rows.repartition(ranges, *columns) if ranges > common.parts(rows.sparkSession) else rows
+
+
 def _small(rows: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if it has few enough rows."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
@@ -299,9 +304,9 @@ def candidate_groups(sets: DataFrame, seed: int, tokens: int) -> DataFrame:
     # Prefixes are a fifth of some of the tokens: fewer, wider ranges, so that a text meets its partners in few.
     few = ranges_for(tokens * (100 - SIMILAR) / 100, max(1, n // 8))
     packed = sets.select("node", "grp", "tokens").mapInArrow(_pack_sets(whole), _PACK)
-    counted = packed.repartition(whole, "b").groupBy("b").applyInArrow(_shared(whole), f"{_PACK}, extra binary")
-    chosen = counted.repartition(whole, "b").groupBy("b").applyInArrow(_prefixes(few, seed), _PACK)
-    edges = chosen.repartition(few, "b").groupBy("b").applyInArrow(_edges, "a long, b long")
+    counted = _dealt(packed, whole, "b").groupBy("b").applyInArrow(_shared(whole), f"{_PACK}, extra binary")
+    chosen = _dealt(counted, whole, "b").groupBy("b").applyInArrow(_prefixes(few, seed), _PACK)
+    edges = _dealt(chosen, few, "b").groupBy("b").applyInArrow(_edges, "a long, b long")
     return graph.components(edges).withColumnRenamed("root", "grp")
 
 
@@ -354,7 +359,7 @@ def exact_components(sets: DataFrame, tokens: int) -> DataFrame:
     blocks = sets.groupBy("grp").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK_DOCS).cast("int"))
     large = common.written(blocks.where("blocks > 1").select("grp", "blocks"))
     small = sets.join(large, "grp", "left_anti").select("node", "grp", "tokens", F.pmod(F.xxhash64("grp"), F.lit(n)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
-    whole = small.repartition(n, "g", "i", "j").groupBy("g", "i", "j").applyInArrow(_verify, "a long, b long")
+    whole = _dealt(small, n, "g", "i", "j").groupBy("g", "i", "j").applyInArrow(_verify, "a long, b long")
     if large.isEmpty():
         return whole.toDF("node", "root")
     # Each document meets every block of its group in one task; a pair of blocks is a task.
@@ -395,7 +400,7 @@ def near_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shing
     # Order one: what only one text has.
     whole = ranges_for(counted * (meta.agg(F.sum("n")).first()[0] or 0), n)
     packs = rows.mapInArrow(_counted(shingle, whole, counted), _PACK)
-    alone = packs.repartition(whole, "b").groupBy("b").applyInArrow(_unique(n), "b int, nodes binary, counts binary").groupBy("b").applyInArrow(_summed, "sid long, alone long")
+    alone = _dealt(packs, whole, "b").groupBy("b").applyInArrow(_unique(n), "b int, nodes binary, counts binary").groupBy("b").applyInArrow(_summed, "sid long, alone long")
     # A text is its own node; one of its rows stands for it where its tokens are made again.
     texts = common.written(meta.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"), F.min("key").alias("least"), F.min("row").alias("row")))
     left = texts.join(alone, "sid", "left").where(f"100 * (n - coalesce(alone, 0)) >= {SIMILAR} * n")
