@@ -84,10 +84,16 @@ def minimax_cuts(groups: DataFrame, shards: int, atoms: int = ATOMS) -> tuple[in
         # A greedy pass over ranges with the lower bound lags behind any in question, and one with the upper bound and
         # a range more is ahead of it: between the two lies each cut.
         lag, lead = row.select(_greedy(F.col("ends"), F.lit(low).cast("long")), _greedy(F.col("ends"), F.lit(high + 2 * span).cast("long"))).first()
-        windows = [(lag[j], lead[j] if j < len(lead) else total) for j in range(min(shards, len(lag)))]
-        inside = F.lit(False)
-        for lo, hi in windows:
-            inside = inside | F.col("end").between(lo, hi)
+        # Windows that meet are one, so an end lies in a window if more windows begin up to it than end before it.
+        windows: list[list[int]] = []
+        for lo, hi in sorted((lag[j], lead[j] if j < len(lead) else total) for j in range(min(shards, len(lag)))):
+            if windows and lo <= windows[-1][1]:
+                windows[-1][1] = max(windows[-1][1], hi)
+            else:
+                windows.append([lo, hi])
+        begun = F.filter(_longs([lo for lo, _ in windows]), lambda lo: lo <= F.col("end"))
+        over = F.filter(_longs([hi for _, hi in windows]), lambda hi: hi < F.col("end"))
+        inside = F.size(begun) > F.size(over)
         fewer = common.written(near.where(inside))
         now, bytes_near = fewer.agg(F.count(F.lit(1)), F.sum("size")).first()
         if now == count:  # nothing falls out any more: finer ranges decide
@@ -95,25 +101,38 @@ def minimax_cuts(groups: DataFrame, shards: int, atoms: int = ATOMS) -> tuple[in
         near, count = fewer, now
 
 
+def _longs(values: list[int]) -> Column:
+    return F.lit(values).cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def _even_cuts(row: DataFrame, capacity: int, total: int, shards: int) -> list[int]:
-    """Ends of shards, none over the capacity. From the end, greedy shards give the least place for each cut; from the
-    start, each cut is the last one within an even share of the rest, not before that place nor beyond the capacity."""
-    cap = F.lit(capacity).cast("long")
-    back = row.select(_greedy(F.transform(F.reverse(F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))), lambda e: F.lit(total).cast("long") - e), cap)).first()[0]
-    back = [total - x for x in back]  # back[i]: from here on, i + 1 shards are enough
-    cuts, start = [], 0
-    for j in range(shards - 1):
-        left = shards - 1 - j
-        least = back[left - 1] if left <= len(back) else 0
-        share = start + (total - start) // (left + 1)
-        within = F.filter("ends", lambda e: (e >= F.lit(max(start, least))) & (e <= F.lit(start + capacity)))
-        below = F.array_max(F.filter(within, lambda e: e <= F.lit(share)))
-        above = F.array_min(F.filter(within, lambda e: e > F.lit(share)))
-        a, b = row.select(below, above).first()
-        picks = [x for x in (a, b) if x is not None]
-        start = min(picks, key=lambda x: (abs(x - share), x)) if picks else start
-        cuts.append(start)
-    return [*cuts, total]
+    """Ends of shards, none over the capacity, in one query. From the end, greedy shards give the least place for each
+    cut; from the start, each cut is the end nearest to an even share of the rest, not before that place nor beyond the
+    capacity."""
+    whole = F.lit(total).cast("long")
+    mirrored = F.transform(F.reverse(F.concat(_longs([0]), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))), lambda e: whole - e)
+    # back[i]: from total - back[i] on, i + 1 shards are enough.
+    row = row.select("ends", _greedy(mirrored, F.lit(capacity).cast("long")).alias("back"))
+
+    def pick(b: Column) -> Column:
+        share = b["share"]
+        below = F.array_max(F.filter("ends", lambda e: (e >= b["low"]) & (e <= b["high"]) & (e <= share)))
+        above = F.array_min(F.filter("ends", lambda e: (e >= b["low"]) & (e <= b["high"]) & (e > share)))
+        pair = F.transform(F.array(F.struct(below.alias("below"), above.alias("above"))), lambda p: F.when(p["above"].isNull() | (share - p["below"] <= p["above"] - share), p["below"]).otherwise(p["above"]))
+        return F.coalesce(F.get(pair, F.lit(0)), b["start"])
+
+    def step(s: Column, left: Column) -> Column:
+        start = s["start"]
+        least = F.when(left <= F.size("back"), whole - F.get("back", left - 1)).otherwise(F.lit(0))
+        rest, n = whole - start, left.cast("long") + 1
+        bounds = F.struct(start.alias("start"), F.greatest(start, least).alias("low"), (start + capacity).alias("high"), (start + ((rest - rest % n) / n).cast("long")).alias("share"))
+        cut = F.transform(F.array(bounds), pick)
+        return F.struct(F.get(cut, F.lit(0)).alias("start"), F.concat(s["cuts"], cut).alias("cuts"))
+
+    if shards < 2:
+        return [total]
+    begin = F.struct(F.lit(0).cast("long").alias("start"), _longs([]).alias("cuts"))
+    return [*row.select(F.aggregate(F.sequence(F.lit(shards - 1), F.lit(1), F.lit(-1)), begin, step, lambda s: s["cuts"])).first()[0], total]
 
 
 def shard(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,7 +157,7 @@ def shard(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "tex
     groups = placed.groupBy("first", "digest").agg(F.min("before").alias("start"), F.sum("size").alias("size")).select("start", "size")
     _, cuts = minimax_cuts(common.written(groups), shards)
     # A row lies in the shard whose end is the first beyond its place; ends are at most as many as shards.
-    number = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col("before"))).cast("int")
+    number = F.size(F.filter(_longs(cuts), lambda c: c <= F.col("before"))).cast("int")
     dealt = placed.withColumn("shard", number)
     firsts = dealt.groupBy("shard").agg(F.min("rank").alias("first_rank"))
     out = dealt.join(F.broadcast(firsts), "shard")  # a row for each shard
