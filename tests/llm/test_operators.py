@@ -344,6 +344,27 @@ def test_sharding(docs, empty, shards, atoms, monkeypatch):
     assert sharding.shard(empty, 3).count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 2, 7, 40])
+def test_even_cuts_equal_a_plain_loop(spark, shards):
+    rng = np.random.default_rng(shards)
+    ends = [int(x) for x in np.cumsum(rng.integers(1, 90, 300))] if shards < 40 else [5, 9, 400, 410]
+    row = spark.createDataFrame([(ends,)], "ends array<long>")
+    total = ends[-1]
+    largest = max(b - a for a, b in zip([0, *ends], ends, strict=False))
+    capacity = sharding.smallest_capacity(row, max(largest, -(-total // shards)), total, shards)
+    least, place = [], total  # from the end: where the last i + 1 shards can begin
+    while place > 0:
+        place = min(e for e in [0, *ends] if place - e <= capacity)
+        least.append(place)
+    want, start = [], 0
+    for left in range(shards - 1, 0, -1):
+        low = max(start, least[left - 1] if left <= len(least) else 0)
+        share = start + (total - start) // (left + 1)
+        start = min((e for e in ends if low <= e <= start + capacity), key=lambda e: (abs(e - share), e), default=start)
+        want.append(start)
+    assert sharding._even_cuts(row, capacity, total, shards) == [*want, total]
+
+
 # 7: license scans
 
 
@@ -362,6 +383,19 @@ def test_license_scan(spark, docs, empty):
     assert {r.doc_id for r in licenses.scan(ids).collect()} == {None}
 
 
+@pytest.mark.parametrize("switch", ["LISTED", "BROADCAST_SHINGLES"])
+def test_license_scan_of_a_long_list(spark, switch, monkeypatch):
+    """A table of templates, of which two have one name, and each of the ways around a limit: the same rows."""
+    body = prose(77, 400)
+    table = spark.createDataFrame([("own", body), ("own", licenses.NOTICES[0].text), (None, None), ("few", "too few")], "name string, text string")
+    docs = spark.createDataFrame(rows_of([f"{prose(1, 3000)} {body} {prose(2, 500)} {body}", f"{licenses.NOTICES[0].text} {prose(5, 20)}", body[:1200], None, "", prose(6, 90)] * 2), SCHEMA)
+    rows = lambda: sorted(tuple(r) for r in licenses.scan(docs, table).collect())
+    want = rows()
+    assert [r[0] for r in want] == [0, 1, 6, 7] and want[0][3] == 1.0 and 2800 < want[0][4] <= 3000
+    monkeypatch.setattr(licenses, switch, 0)
+    assert rows() == want
+
+
 def test_changed_notices_are_found(spark):
     """One word of a notice changed, in many texts: all that hold 80 hundredths of the shingles are found."""
     rng, rows, want = np.random.default_rng(4), [], 0

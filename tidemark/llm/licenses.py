@@ -26,6 +26,8 @@ SHINGLE, BANDS = 5, 12
 CONTAINED = 80
 #: Templates up to so many shingles together are held by every task.
 BROADCAST_SHINGLES = 200_000
+#: Least shingles up to so many are listed in the scan's filter; beyond, all places of a text are joined with them.
+LISTED = 20_000
 #: Constants of the bands' orders.
 ORDERS = [(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64)) - (1 << 63) for i in range(BANDS)]
 
@@ -65,51 +67,54 @@ def _least(hashes: Column, order: Column) -> Column:
     return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(order))).bitwiseXOR(order)
 
 
-def template_index(spark: SparkSession, templates: list[Template]) -> DataFrame:
-    """``name, shingles, m, step, span`` of each template of five words or more."""
-    rows = spark.createDataFrame([(t.name, t.text) for t in templates], "name string, text string")
-    rows = rows.select("name", F.array_distinct(shingles(F.col("text"))).alias("shingles")).where(F.size("shingles") > 0).withColumn("m", F.size("shingles"))
+def template_index(spark: SparkSession, templates: DataFrame | list[Template]) -> DataFrame:
+    """``id, name, shingles, m, step, span`` of each template of five words or more."""
+    rows = templates if isinstance(templates, DataFrame) else spark.createDataFrame([(t.name, t.text) for t in templates], "name string, text string")
+    rows = rows.select(F.monotonically_increasing_id().alias("id"), "name", F.array_distinct(shingles(F.col("text"))).alias("shingles")).where(F.size("shingles") > 0).withColumn("m", F.size("shingles"))
     step = F.greatest(F.lit(1), F.floor((F.col("m") + 3) / 4)).cast("int")
     rows = rows.withColumn("step", step)
     # m shingles from any offset lie in so many whole steps.
     return rows.withColumn("span", ((F.ceil((F.col("m") - 1) / F.col("step")) + 1) * F.col("step")).cast("int"))
 
 
-def scan(docs: DataFrame, templates: list[Template] = NOTICES, *, key: str = "doc_id", text: str = "text", contained: int = CONTAINED) -> DataFrame:
+def scan(docs: DataFrame, templates: DataFrame | list[Template] = NOTICES, *, key: str = "doc_id", text: str = "text", contained: int = CONTAINED) -> DataFrame:
     """``key, license, windows, containment, first_word`` for each row and template of which a window holds
     ``contained`` hundredths of the shingles: matching windows, the greatest share, and the first word (from 0) of the
     first matching window.
 
+    ``templates`` may be a table of ``name`` and ``text`` (whole licenses, say); templates of one name count together.
     Texts are scanned whole. Null and empty texts, and texts and templates of fewer than five words, match nothing.
     Rows with null keys are scanned, and rows of one key and text are counted together. No templates or an empty table
-    give no rows. Columns other than key and text are ignored.
+    give no rows. Columns other than key and text are ignored. A place that can match carries the words around it
+    alone, twice the widest window, however long its text is.
     """
     spark = docs.sparkSession
-    schema = "license string, windows long, containment double, first_word int"
-    index = common.written(template_index(spark, templates)) if templates else None
-    if index is None or index.isEmpty():
-        return docs.sparkSession.createDataFrame([], f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
-    small = F.broadcast if index.agg(F.sum("m")).first()[0] <= BROADCAST_SHINGLES else (lambda x: x)
+    index = common.written(template_index(spark, templates))
+    n, total, reach = index.agg(F.count(F.lit(1)), F.sum("m"), F.max("span")).first()
+    if not n:
+        schema = "license string, windows long, containment double, first_word int"
+        return spark.createDataFrame([], f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
+    small = F.broadcast if total <= BROADCAST_SHINGLES else (lambda x: x)
     order = F.element_at(F.array(*[F.lit(c).cast("long") for c in ORDERS]), F.col("band") + 1)
     banded = index.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).withColumn("least", _least(F.col("shingles"), order))
-    banded = common.written(banded.select("name", "band", "least", "step", "span"))
-    wanted = banded.select("least").distinct()
+    banded = common.written(banded.select("id", "band", "least", "step", "span"))
     rows = docs.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("t")).select("k", "row", shingles(F.col("t")).alias("hashes"))
-    held = [r.least for r in wanted.collect()]  # BANDS for each template at most
-    if len(held) <= BROADCAST_SHINGLES:
-        spots = F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("at"), h.alias("least"))), lambda s: s["least"].isin(held))
-    else:
-        spots = F.transform("hashes", lambda h, i: F.struct(i.alias("at"), h.alias("least")))
+    spots = F.transform("hashes", lambda h, i: F.struct(i.alias("at"), h.alias("least")))
+    if n * BANDS <= LISTED:
+        held = [r.least for r in banded.select("least").distinct().collect()]
+        spots = F.filter(spots, lambda s: s["least"].isin(held))
+    begin = lambda s: F.greatest(s["at"] - (reach - 1), F.lit(0))
+    spots = F.transform(spots, lambda s: F.struct(s["at"].alias("at"), s["least"].alias("least"), begin(s).alias("base"), F.slice("hashes", begin(s) + 1, 2 * reach).alias("around")))
     # An outer explode: an inner one would have its filter pushed down and the hashes made twice.
-    found = rows.withColumn("spots", F.filter(spots, lambda s: s.isNotNull())).select("k", "row", F.when(F.size("spots") > 0, F.col("hashes")).alias("hashes"), F.explode_outer("spots").alias("spot")).where("spot is not null")
-    hits = found.select("k", "row", "hashes", "spot.at", "spot.least").join(small(banded), "least")
+    found = rows.withColumn("spots", spots).select("k", "row", F.explode_outer("spots").alias("spot")).where("spot is not null")
+    hits = found.select("k", "row", "spot.*").join(small(banded), "least")
     # Windows begin at multiples of the step; those over the place are compared.
     first = F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("span") + 1) / F.col("step"))).cast("int")
     last = F.floor(F.col("at") / F.col("step")).cast("int")
     hits = hits.withColumn("window", F.explode(F.sequence(first, last))).withColumn("start", F.col("window") * F.col("step"))
-    inside = F.slice("hashes", F.col("start") + 1, F.col("span"))
+    inside = F.slice("around", F.col("start") - F.col("base") + 1, F.col("span"))
     collided = hits.withColumn("inside", inside).where(_least(F.col("inside"), order) == F.col("least"))
-    checked = collided.join(small(index.select("name", "shingles", "m")), "name").withColumn("shared", F.size(F.array_intersect("shingles", "inside")))
+    checked = collided.join(small(index.select("id", "name", "shingles", "m")), "id").withColumn("shared", F.size(F.array_intersect("shingles", "inside")))
     matched = checked.where(F.col("shared") * 100 >= F.col("m") * contained).select("k", "row", "name", "start", "shared", "m").distinct()
     out = matched.groupBy("k", "name").agg(F.countDistinct("row", "start").alias("windows"), F.round(F.max(F.col("shared") / F.col("m")), 4).alias("containment"), F.min("start").cast("int").alias("first_word"))
     return out.select(F.col("k").alias(key), F.col("name").alias("license"), "windows", "containment", "first_word")
