@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import ConfigurationError, InsufficientDataError, RiskError, SimulationError, WalkForwardError
 from tidemark.functions import series
 from tidemark.operators import engine, metrics, montecarlo, risk, strategies, walkforward
+from tidemark.plans.tables import kept
 from tidemark.sources.store import Store
 
 
@@ -78,6 +79,8 @@ class Service:
             raise InsufficientDataError(f"more than {rule.needs()} bars of a symbol are needed")
         run_id = run_key(bars, {"strategy": strategy, "params": rule.params(), "settings": asdict(s), "semantics": semantics})
         made = engine.run(rule.signals(bars), s.costs(), semantics=semantics)
+        if self.store:
+            made = kept(made)  # one fold for equity, fills and metrics
         out = Backtest(run_id, made.select("symbol", "ts", "equity", "r"), engine.fills(made), engine.performance(made, risk_free=s.risk_free, days=s.days))
         if self.store:
             self.store.save_run(run_id, strategy, rule.params(), out.equity, out.fills, out.metrics, {"interval": interval, "capital": s.capital, "commission": s.commission, "slippage": s.slippage})

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series
 from tidemark.operators import bars, engine, features, metrics, montecarlo, risk, strategies, walkforward
-from tidemark.plans.tables import kept
+from tidemark.plans import service
+from tidemark.plans.tables import fresh_path, kept
 from tidemark.sources import files, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,6 +498,26 @@ def runs_topk(spark: SparkSession, d: str) -> DataFrame:
     return measured.orderBy(F.desc("annualised_return"), "symbol").limit(3)
 
 
+def _stored(spark: SparkSession, d: str) -> store.Store:
+    """A store that holds the momentum run of the hourly bars."""
+    held = store.Store(spark, fresh_path(spark))
+    service.Service(store=held).backtest(hourly(spark, d), "momentum", interval="1h")
+    return held
+
+
+@query(f"""{_BACKTEST}, eq AS (SELECT symbol, ts, equity, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM run), {metrics_sql('eq', 'symbol', 'equity')}
+SELECT symbol, 'momentum' AS strategy, '1h' AS "interval", 100000.0::DOUBLE AS capital, annualised_return, max_drawdown, n_periods FROM m""")
+def stored_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs as the store lists them."""
+    return rounded(_stored(spark, d).runs("momentum").select("symbol", "strategy", "interval", "capital", "annualised_return", "max_drawdown", "n_periods"))
+
+
+@query(f"SELECT *, 'momentum' AS strategy FROM ({ORACLE_SQL['backtest_fills']})")
+def stored_fills(spark: SparkSession, d: str) -> DataFrame:
+    """Stored runs joined with their fills."""
+    return rounded(_stored(spark, d).fills_of_runs().drop("run_id", "params"), 4, quantity=5, fill_price=6)
+
+
 @query(f"WITH {HOURLY}, {NUMBERED}, {_MOM} SELECT symbol, direction, round(count(*) / sum(count(*)) OVER (PARTITION BY symbol), 4) AS share FROM sig GROUP BY symbol, direction")
 def signal_distribution(spark: SparkSession, d: str) -> DataFrame:
     return metrics.shares(strategies.get("momentum").signals(hourly(spark, d)), "direction", ["symbol"])
