@@ -175,22 +175,24 @@ class Best:
         np.maximum.at(self.floor, item[full], made.column("score").to_numpy()[full])
 
 
-def _score(block: Block, best: Best, keys: pa.Array, doc: np.ndarray, term: np.ndarray, share: np.ndarray) -> None:
+def _score(block: Block, best: Best, keys: pa.Array, doc: np.ndarray, term: np.ndarray, share: np.ndarray, most: int) -> None:
     """Scores documents (numbers of ``keys``; terms sorted within each) against all items of a block."""
     at = np.searchsorted(block.lead_terms, term)
     at[at == len(block.lead_terms)] = 0
     hit = np.flatnonzero(block.lead_terms[at] == term) if len(block.lead_terms) else np.zeros(0, np.int64)
     starts, sizes = block.lead_from[at[hit]], block.lead_from[at[hit] + 1] - block.lead_from[at[hit]]
     ends = np.cumsum(sizes)
+    hit_doc = doc[hit]
     n_items, n_terms = len(block.items), len(term)
     names, where = np.unique(term, return_inverse=True)
+    have = doc * len(names) + where
     lo = 0
     while lo < len(hit):
-        # Whole documents, of some PAIRS of terms.
-        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right"))
-        hi = len(hit) if hi >= len(hit) else max(int(np.searchsorted(doc[hit], doc[hit[hi]], "left")), 0)
+        # Whole documents, of some ``most`` pairs of terms.
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right"))
+        hi = len(hit) if hi >= len(hit) else int(np.searchsorted(hit_doc, hit_doc[hi], "left"))
         if hi <= lo:
-            hi = int(np.searchsorted(doc[hit], doc[hit[lo]], "right"))
+            hi = int(np.searchsorted(hit_doc, hit_doc[lo], "right"))
         row = block.lead[_spread(starts[lo:hi], sizes[lo:hi])]
         of = np.repeat(hit[lo:hi], sizes[lo:hi])
         pair = doc[of] * n_items + block.item[row]
@@ -202,13 +204,12 @@ def _score(block: Block, best: Best, keys: pa.Array, doc: np.ndarray, term: np.n
         pairs, score, item = pairs[keep], score[keep], item[keep]
         # The other terms of the candidates, looked up among their documents' terms.
         n_rest = block.rest_from[item + 1] - block.rest_from[item]
-        for a, z in _cuts(n_rest):
+        for a, z in _cuts(n_rest, most):
             row = block.rest[_spread(block.rest_from[item[a:z]], n_rest[a:z])]
             of = np.repeat(np.arange(a, z), n_rest[a:z])
             slot = np.searchsorted(names, block.term[row])
             slot[slot == len(names)] = 0
             want = (pairs[of] // n_items) * len(names) + slot
-            have = doc * len(names) + where
             found = np.searchsorted(have, want)
             found[found == n_terms] = 0
             ok = np.flatnonzero((have[found] == want) & (names[slot] == block.term[row]))
@@ -218,16 +219,16 @@ def _score(block: Block, best: Best, keys: pa.Array, doc: np.ndarray, term: np.n
         lo = hi
 
 
-def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges whose sizes sum up to some PAIRS."""
+def _cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges whose sizes sum up to some ``most``."""
     ends, lo = np.cumsum(sizes), 0
     while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
         yield lo, hi
         lo = hi
 
 
-def _searcher(names: list[str], k: int) -> Callable:
+def _searcher(names: list[str], k: int, most: int) -> Callable:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = best = None
         for batch in batches:
@@ -236,7 +237,7 @@ def _searcher(names: list[str], k: int) -> Callable:
                 best = Best(block, k)
             sizes = np.diff(batch.column("terms").offsets.to_numpy())
             share = _shares(batch.column("m").to_numpy(), _flat(batch, "counts"), sizes)
-            _score(block, best, batch.column("key"), np.repeat(np.arange(batch.num_rows), sizes), _flat(batch, "terms"), share)
+            _score(block, best, batch.column("key"), np.repeat(np.arange(batch.num_rows), sizes), _flat(batch, "terms"), share, most)
         if best is not None and best.rows is not None and len(best.rows):
             item, score, key = (best.rows.column(c).combine_chunks() for c in ("item", "score", "key"))
             yield pa.RecordBatch.from_arrays([pa.array(block.items[item.to_numpy()]), score, key], names=["item", "score", "key"])
@@ -310,7 +311,7 @@ def search(docs: DataFrame, items: DataFrame, *, k: int = 10, key: str = "doc_id
     ddl = f"item long, score long, key {kind}"
     found = spark.createDataFrame([], ddl)
     for block in _grouped(files.orderBy("file").collect()):  # a name for each block of up to a million terms
-        found = found.unionByName(having.mapInArrow(_searcher(block, k), ddl))
+        found = found.unionByName(having.mapInArrow(_searcher(block, k, PAIRS), ddl))
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("key")))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.join(names, "item").select(item_key, "rank", F.col("key").alias(key), "score")

@@ -181,6 +181,23 @@ ORACLE_SQL = {
         good AS (SELECT doc_id, name, start, count(DISTINCT s) / any_value(m) AS c FROM win GROUP BY ALL HAVING count(DISTINCT s) * 100 >= any_value(m) * 80)
         SELECT doc_id, name AS license, count(*) AS windows, round(max(c), 4) AS containment, min(start)::INTEGER AS first_word FROM good GROUP BY doc_id, name
     """,
+    "op11_resampling": r"""
+        WITH RECURSIVE bits(b, k, c) AS (SELECT b, 0, b FROM range(0, 256) x(b) UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+        lut AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+        d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        g AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        runs AS (SELECT r, unnest(w) AS f FROM d UNION ALL SELECT r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d),
+        aims AS (SELECT unnest(w) AS f FROM g UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM g),
+        named AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM runs UNION SELECT f FROM aims)),
+        hashed AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT)), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) % 10000 AS bucket FROM named, lut),
+        s AS (SELECT bucket, count(*) AS s FROM runs JOIN hashed USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM aims JOIN hashed USING (f) GROUP BY bucket),
+        gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+        sums AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM runs JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY r),
+        scored AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight, ('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h FROM d LEFT JOIN sums USING (r)),
+        noised AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored),
+        places AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM noised WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM places) // 100 THEN rank END AS rank FROM noised LEFT JOIN places USING (r)
+    """,
     "op12_chat_formatting": r"""
         WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                       UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),

@@ -26,6 +26,8 @@ from . import common, textcore
 BUCKETS = 10_000
 #: Scores of one range of the histogram; the ranges' totals are summed up first.
 RANGE_SCORES = 256
+#: Bytes of text that are hashed at once.
+PIECE_BYTES = textcore.CHUNK_BYTES
 #: Bytes of a word up to which words are hashed together; longer ones one by one.
 LONG_WORD = 64
 
@@ -86,31 +88,31 @@ def pair_crcs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, crcs: np.n
     return out
 
 
-def pieces(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-    """Runs of texts of some ``CHUNK_BYTES``: the first text's number, bytes, offsets, and whether the first text goes on
+def pieces(data: np.ndarray, offs: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """Runs of texts of some ``size`` bytes: the first text's number, bytes, offsets, and whether the first text goes on
     from the piece before. A longer text comes in several pieces, cut between words."""
-    for lo, hi in textcore.chunks(offs):
+    for lo, hi in textcore.chunks(offs, size):
         part, o = textcore.LOWER[data[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo]
         at = 0
-        while len(part) - at > textcore.CHUNK_BYTES:
-            gaps = np.flatnonzero(~textcore.BY_LETTER[part[at : at + textcore.CHUNK_BYTES]])
+        while len(part) - at > size:
+            gaps = np.flatnonzero(~textcore.BY_LETTER[part[at : at + size]])
             if len(gaps):
                 end = at + int(gaps[-1]) + 1
             else:  # one word: on to its end
-                end = at + textcore.CHUNK_BYTES
+                end = at + size
                 while end < len(part) and textcore.BY_LETTER[part[end]]:
-                    more = ~textcore.BY_LETTER[part[end : end + textcore.CHUNK_BYTES]]
+                    more = ~textcore.BY_LETTER[part[end : end + size]]
                     end += int(more.argmax()) if more.any() else len(more)
             yield lo, part[at:end], np.array([0, end - at]), at > 0
             at = end
         yield lo, part[at:], np.maximum(o - at, 0), at > 0
 
 
-def features(data: np.ndarray, offs: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def features(data: np.ndarray, offs: np.ndarray, buckets: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each piece: its first text, the buckets of its words and of its word pairs, and the texts (from the first) that
     they are of."""
     last = None
-    for lo, part, o, goes_on in pieces(data, offs):
+    for lo, part, o, goes_on in pieces(data, offs, size):
         starts, ends, bounds = textcore.spans(part, o, textcore.BY_LETTER)
         crcs = word_crcs(part, starts, ends)
         text = np.repeat(np.arange(len(o) - 1), np.diff(bounds))
@@ -121,14 +123,14 @@ def features(data: np.ndarray, offs: np.ndarray, buckets: int) -> Iterator[tuple
             first = zlib.crc32(part[starts[0] : ends[0]], int(_followed(np.array([last], np.uint32), 1)[0] ^ _SPACE))
             pairs, of = np.append(pairs, np.uint32(first)), np.append(of, 0)
         last = crcs[-1] if len(crcs) else last if goes_on else None
-        yield lo, (crcs % buckets).astype(np.int64), (pairs % buckets).astype(np.int64), text, of
+        yield lo, crcs.astype(np.int64) % buckets, pairs.astype(np.int64) % buckets, text, of
 
 
-def _counter(buckets: int) -> Callable:
+def _counter(buckets: int, size: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for _, words, pairs, _, _ in features(*textcore.buffers(batch.column(0)), buckets):
+            for _, words, pairs, _, _ in features(*textcore.buffers(batch.column(0)), buckets, size):
                 total += np.bincount(words, minlength=buckets) + np.bincount(pairs, minlength=buckets)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["bucket", "n"])
@@ -138,7 +140,7 @@ def _counter(buckets: int) -> Callable:
 
 def bucket_counts(docs: DataFrame, *, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """``bucket, n``: features of all texts in each bucket that has any. Each task sends at most a row a bucket."""
-    made = docs.select(F.col(text).cast("string")).mapInArrow(_counter(buckets), "bucket int, n long")
+    made = docs.select(F.col(text).cast("string")).mapInArrow(_counter(buckets, PIECE_BYTES), "bucket int, n long")
     return made.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
@@ -152,12 +154,12 @@ def gains(docs: DataFrame, target: DataFrame, *, text: str = "text", target_text
     return np.array([math.floor(1000 * math.log(x)) for x in over / under], np.int64)
 
 
-def _weigher(sent, text_at: int) -> Callable:
+def _weigher(sent, text_at: int, size: int) -> Callable:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = sent.value
         for batch in batches:
             n_words, n, total = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            for lo, words, pairs, text, of in features(*textcore.buffers(batch.column(text_at)), len(gain)):
+            for lo, words, pairs, text, of in features(*textcore.buffers(batch.column(text_at)), len(gain), size):
                 if not len(text):
                     continue
                 k = int(text[-1]) + 1
@@ -183,7 +185,7 @@ def scores(docs: DataFrame, gain: np.ndarray, *, key: str = "doc_id", text: str
     """``key, n_words, n_features, weight, score`` of each row of ``docs``."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     sent = docs.sparkSession.sparkContext.broadcast(gain)  # a number for each bucket
-    made = rows.mapInArrow(_weigher(sent, 1), f"key {rows.schema['k'].dataType.simpleString()}, n_words long, n_features long, weight long")
+    made = rows.mapInArrow(_weigher(sent, 1, PIECE_BYTES), f"key {rows.schema['k'].dataType.simpleString()}, n_words long, n_features long, weight long")
     return made.withColumn("score", F.col("weight") + noise(F.col("key"), seed))
 
 
