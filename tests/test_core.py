@@ -268,6 +268,7 @@ def test_monte_carlo(spark):
     for r in rows.values():
         assert r.p5 <= r.p50 <= r.p95 and r.cvar_95 >= r.var_95 and r.var_99 >= r.var_95
     again = montecarlo.summary(montecarlo.terminals(montecarlo.sampled(montecarlo.histories(history), 200, 40).repartition(7))).first()
+    assert again == rows["baseline"]
     assert math.isclose(again.p50, rows["baseline"].p50)
     flat = montecarlo.summary(montecarlo.terminals(montecarlo.sampled(montecarlo.histories(history), 200, 40, method="parametric"))).first()
     assert 0.7 < flat.p50 < 1.3
@@ -277,6 +278,39 @@ def test_monte_carlo(spark):
         montecarlo.Shock("x", 0.5)
 
 
+def test_monte_carlo_is_equal_to_the_last_bit(spark, monkeypatch):
+    """However rows are dealt out, by blocks or by steps, broadcast or shuffled, and from the formula itself."""
+    rng = np.random.default_rng(4)
+    two = returns(spark, rng.normal(0.001, 0.05, 90), "a").union(returns(spark, rng.normal(0.0, 0.03, 33), "b"))
+    shocks = [montecarlo.Shock("crash", -1.0, 1.5)]
+    sorted_ = lambda df: sorted(map(tuple, df.collect()))
+    for method in ("bootstrap", "parametric"):
+        history = montecarlo.histories(two, shocks)
+        found = [sorted_(montecarlo.ends(history, 50, 37, method=method))]
+        for parts, limit in ((1, 0), (3, 10**6), (13, 0)):
+            monkeypatch.setattr(montecarlo, "BROADCAST_PLACES", limit)
+            dealt = montecarlo.histories(two.repartition(parts), shocks)
+            found.append(sorted_(montecarlo.ends(dealt.repartition(parts), 50, 37, method=method)))
+            samples = montecarlo.sampled(dealt, 50, 37, method=method).repartition(parts)
+            if method == "parametric":
+                found.append(sorted_(montecarlo.terminals(samples)))
+            else:
+                steps = {r[:4]: r[4] for r in sorted_(montecarlo.courses(dealt, 50, 37))}
+                by_step = {r[:4]: r[4] for r in sorted_(montecarlo.paths(samples))}
+                assert steps.keys() == by_step.keys() and all(math.isclose(steps[k], v, rel_tol=1e-12, abs_tol=1e-15) for k, v in by_step.items())
+            assert sorted_(montecarlo.summary(montecarlo.ends(dealt, 50, 37, method=method).repartition(parts))) == sorted_(montecarlo.summary(montecarlo.ends(history, 50, 37, method=method)))
+        assert all(x == found[0] for x in found)
+    plain = dict(enumerate([r.r for r in two.where("series_id = 'b'").orderBy("ts").collect()]))
+    size, got = 33 // 4, {r.sim: r.value for r in montecarlo.ends(montecarlo.histories(two), 50, 37).where("series_id = 'b'").collect()}
+    draws = {(r.sim, r.part): r.x for r in spark.range(50).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("part")).withColumn("x", montecarlo.draw(42, F.lit(0), F.col("sim"), F.col("part"))).collect()}
+    for sim, value in got.items():
+        want = 1.0
+        for part in range(5):
+            for k in range(min(size, 37 - part * size)):
+                want *= 1 + plain[draws[sim, part] % (33 - size + 1) + k]
+        assert math.isclose(value, want, rel_tol=1e-12)
+
+
 def test_csv_folder(spark, tmp_path):
     valid(5).rename(columns={"ts": "Date", "close": "Adj Close", "volume": "Vol"}).drop(columns="symbol").to_csv(tmp_path / "abc.csv", index=False)
     valid(4).rename(columns={"ts": "timestamp"}).drop(columns="symbol").assign(extra="x").to_csv(tmp_path / "DEF.csv", index=False)

@@ -100,8 +100,8 @@ class Service:
         s = self.settings
         if not 100 <= s.n_sims <= 10_000:
             raise SimulationError("from 100 to 10,000 paths")
-        history = montecarlo.histories(returns, list(shocks))
-        out = montecarlo.summary(montecarlo.terminals(montecarlo.sampled(history, s.n_sims, s.horizon, method=method, block=s.block, seed=s.seed), value), value)
+        history = kept(montecarlo.histories(returns, list(shocks)))
+        out = montecarlo.summary(montecarlo.ends(history, s.n_sims, s.horizon, method=method, block=s.block, seed=s.seed, value=value), value)
         if self.store:
             run_id = run_key(returns, {"monte_carlo": method, "shocks": [asdict(x) for x in shocks], "value": value, "settings": asdict(s)})
             self.store.save_monte_carlo(run_id, out, s.horizon, method, of_run)

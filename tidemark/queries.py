@@ -416,28 +416,28 @@ su AS (SELECT series_id, scenario, count(*) AS n_sims, {", ".join(f"round(quanti
 
 
 def _mc(spark: SparkSession, d: str, shocks: list[montecarlo.Shock] = (), method: str = "bootstrap") -> DataFrame:
-    history = montecarlo.histories(small_returns(daily(spark, d)), list(shocks))
-    return montecarlo.sampled(history, MC["sims"], MC["horizon"], method=method, block=MC["block"], seed=MC["seed"])
+    history = kept(montecarlo.histories(small_returns(daily(spark, d)), list(shocks)))
+    return montecarlo.ends(history, MC["sims"], MC["horizon"], method=method, block=MC["block"], seed=MC["seed"])
 
 
 @query(f"{_MC} SELECT series_id, scenario, sim, round(value, 6) + 0.0 AS value FROM en WHERE scenario = 'baseline'")
 def mc_bootstrap_terminal(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(montecarlo.terminals(_mc(spark, d)))
+    return rounded(_mc(spark, d))
 
 
 @query(f"{_MC} SELECT * FROM su WHERE scenario = 'baseline'")
 def mc_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(montecarlo.summary(montecarlo.terminals(_mc(spark, d))))
+    return rounded(montecarlo.summary(_mc(spark, d)))
 
 
 @query(f"""{_MC} SELECT series_id, scenario, step, {", ".join(f"round(quantile_cont(value, {p / 100}), 6) + 0.0 AS p{p}" for p in montecarlo.BANDS)} FROM pa WHERE scenario = 'baseline' GROUP BY series_id, scenario, step""")
 def mc_fan(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(montecarlo.fan(montecarlo.paths(_mc(spark, d))))
+    return rounded(montecarlo.fan(montecarlo.courses(kept(montecarlo.histories(small_returns(daily(spark, d)))), MC["sims"], MC["horizon"], block=MC["block"], seed=MC["seed"])))
 
 
 @query(f"{_MC} SELECT * FROM su")
 def mc_stress(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(montecarlo.summary(montecarlo.terminals(_mc(spark, d, SHOCKS))))
+    return rounded(montecarlo.summary(_mc(spark, d, SHOCKS)))
 
 
 _U = [f"(({_lcg('0', 's', 't', str(k))} + 1) / 2147483648.0::DOUBLE)" for k in (1, 2)]
@@ -446,7 +446,7 @@ _U = [f"(({_lcg('0', 's', 't', str(k))} + 1) / 2147483648.0::DOUBLE)" for k in (
 @query(f"""WITH {DAILY}, {RETURNS}, f AS (SELECT series_id, avg(r) AS m, stddev_samp(r) AS sd FROM rets GROUP BY series_id)
 SELECT series_id, 'baseline' AS scenario, s AS sim, round(product(1 + m + sd * sqrt(-2 * ln({_U[0]})) * cos(2 * pi() * {_U[1]})), 6) + 0.0 AS value FROM f, range(0, 1000) x(s), range(0, 252) y(t) GROUP BY series_id, s""")
 def mc_parametric(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(montecarlo.terminals(_mc(spark, d, method="parametric")))
+    return rounded(_mc(spark, d, method="parametric"))
 
 
 def _ln(a: str, b: str) -> str:
