@@ -322,6 +322,16 @@ def test_csv_folder(spark, tmp_path):
         source.fetch(["none"])
     (tmp_path / "odd.csv").write_text('date,open,high,low,close,volume\n2024-01-01,1,2,1,2,5\n2024-01-02,1,2,1,2\n2024-01-03,1,2,1,2,"5,000"\n"2024-01-04","1",2,1,2,7\n')
     assert [r.volume for r in source.fetch(["odd"]).orderBy("ts").collect()] == [5, None, None, 7]
+    wide = [f"x{i}" for i in range(90)]
+    (tmp_path / "wide.csv").write_text(",".join(["date", "open", "high", "low", "close", *wide, '"a ""quoted"", name"', "volume"]) + "\n" + ",".join(["2024-01-01", "1", "2", "1", "2", *["0"] * 90, '"1,2"', "77"]) + "\n")
+    assert [r.volume for r in source.fetch(["wide"]).collect()] == [77]
+    (tmp_path / "lacks.csv").write_text("date,close,volume\n2024-01-01,1,1\n")
+    (tmp_path / "part.csv").write_text("date,open,high,close\n2024-01-01,1,1,1\n")
+    assert {"LACKS", "PART", "WIDE"} <= set(source.symbols()) and source.fetch(["def", "abc"]).count() == 9
+    with pytest.raises(errors.IngestionError, match="LACKS has no column timestamp|LACKS has no column open, high, low"):
+        source.fetch(["lacks", "abc"])
+    with pytest.raises(errors.IngestionError, match="PART has no column low, volume"):
+        source.fetch(["part"])
     (tmp_path / "bad.csv").write_text("date,open,high,low,close,volume\nnever,1,1,1,1,1\n")
     with pytest.raises(errors.IngestionError, match="times"):
         source.fetch(["bad"])
@@ -454,3 +464,23 @@ def test_store_and_service(spark, tmp_path, made):
     assert Settings.from_env({"TIDEMARK_CAPITAL": "5", "TIDEMARK_ALLOW_SHORT": "true"}).capital == 5
     with pytest.raises(errors.ConfigurationError):
         Settings.from_env({"TIDEMARK_CAPITAL": "x"})
+
+
+def test_upsert_reads_what_the_new_bars_can_meet(spark, tmp_path):
+    held = Store(spark, f"file://{tmp_path}")
+    a = spark.createDataFrame(valid(20), BARS)
+    b = a.withColumn("symbol", F.lit("OTHER"))
+    assert held.upsert_bars(a.union(b)) == 40 and held.upsert_bars(a.union(b)) == 0 and held.upsert_bars(a, "1h") == 20
+    late = a.where("ts >= timestamp_ntz '2022-01-15'").union(a.select("symbol", F.expr("ts + interval 100 days").alias("ts"), *[c for c in a.columns if c not in ("symbol", "ts")]))
+    plan = held.held(late, "1d")._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :]
+    assert "interval" in filters.split("]")[0] and "symbol" in filters.split("PushedFilters")[0] and "GreaterThanOrEqual(ts" in filters
+    assert held.upsert_bars(late) == 20 and held.table("ohlcv").count() == 80
+
+
+def test_runs_of_two_intervals_are_two_runs(spark, tmp_path):
+    held = Store(spark, f"file://{tmp_path}")
+    df = spark.createDataFrame(frame(120), BARS)
+    made = [Service(store=held).backtest(df, "momentum", interval=i) for i in ("1h", "1d", "1d")]
+    assert made[0].run_id != made[1].run_id == made[2].run_id
+    assert sorted(r.interval for r in held.runs().collect()) == ["1d", "1h"]

@@ -77,7 +77,7 @@ class Service:
         rule, s = strategies.get(strategy, **(params or {})), self.settings
         if bars.groupBy("symbol").count().where(F.col("count") > rule.needs()).isEmpty():
             raise InsufficientDataError(f"more than {rule.needs()} bars of a symbol are needed")
-        run_id = run_key(bars, {"strategy": strategy, "params": rule.params(), "settings": asdict(s), "semantics": semantics})
+        run_id = run_key(bars, {"strategy": strategy, "params": rule.params(), "settings": asdict(s), "semantics": semantics, "interval": interval})
         made = engine.run(rule.signals(bars), s.costs(), semantics=semantics)
         if self.store:
             made = kept(made)  # one fold for equity, fills and metrics

@@ -27,8 +27,8 @@ ALIASES = {
     "volume": ["volume", "vol"],
 }
 DAILY_ONLY = "1d"
-#: Columns of a CSV file that are looked at.
-MOST_COLUMNS = 64
+#: A cell of a CSV line that has a comma put before it: quoted, with quotes doubled, or up to the next comma.
+CELL = r',\s*("(?:[^"]|"")*"|[^,]*)'
 
 
 class Source(Protocol):
@@ -42,28 +42,34 @@ class Source(Protocol):
 class CsvFolder:
     """A folder of ``SYMBOL.csv`` files, read as one DataFrame with the symbol from the file's name.
 
-    All columns are read as text, with quoted cells kept together (a quoted line end is not). A time that can't be read
-    is an error; numbers that can't be (also such as "5,000"), and cells that a short line lacks, are missing values,
-    filled as ``fill`` says; no line is left out. Bars then are resampled to the interval and checked.
+    All columns are read as text, however many there are, with quoted cells kept together (a quoted line end is not). A
+    file that lacks a column of bars, or a time that can't be read, is an error; numbers that can't be (also such as
+    "5,000"), and cells that a short line lacks, are missing values, filled as ``fill`` says; no line is left out. Bars then
+    are resampled to the interval and checked.
     """
 
     def __init__(self, spark: SparkSession, path: str, fill: str = "ffill"):
         self.spark, self.path, self.fill = spark, path, fill
 
-    def _raw(self) -> DataFrame:
-        # Each file may have its own header: the line that has a cell named as an opening price.
-        path = F.col("_metadata.file_path")
-        lines = self.spark.read.text(f"{self.path}/*.csv").select(F.regexp_replace("value", "\r$", "").alias("line"), F.upper(F.regexp_extract("_metadata.file_name", r"^(.*)\.[cC][sS][vV]$", 1)).alias("symbol"), path.alias("path"))
-        names = [f"c{i}" for i in range(MOST_COLUMNS)]
-        schema = ", ".join(f"{n} string" for n in names)
+    def _symbol(self, name: Column) -> Column:
+        return F.upper(F.regexp_extract(name, r"([^/]*)\.[cC][sS][vV]$", 1))
+
+    def _raw(self, symbols: list[str] | None) -> DataFrame:
+        lines = self.spark.read.text(f"{self.path}/*.csv").select(F.regexp_replace("value", "\r$", "").alias("line"), self._symbol(F.col("_metadata.file_name")).alias("symbol"), F.col("_metadata.file_path").alias("path"))
+        if symbols:
+            lines = lines.where(F.col("symbol").isin([s.upper() for s in symbols]))
 
         def cells(line: Column) -> Column:
-            """The cells of a line; quotes are kept together, and cells that a line lacks are null."""
-            parsed = F.from_csv(line, schema, {"mode": "PERMISSIVE", "escape": '"'})
-            return F.array(*[F.trim(parsed[n]) for n in names])
+            bare = lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+            return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1)), lambda x: F.trim(bare(F.trim(x))))
 
-        named = lines.withColumn("cells", F.transform(cells(F.col("line")), lambda x: F.lower(x)))
-        heads = named.where(F.arrays_overlap("cells", F.array(*map(F.lit, ALIASES["open"])))).groupBy("path").agg(F.min(F.struct("line", "cells")).alias("head"))
+        # Each file may have its own header: the line that has a cell named as an opening price.
+        maybe = lines.where(F.lower("line").contains("open")).withColumn("cells", F.transform(cells(F.col("line")), lambda x: F.lower(x)))
+        heads = maybe.where(F.arrays_overlap("cells", F.array(*map(F.lit, ALIASES["open"])))).groupBy("path").agg(F.min(F.struct("line", "cells")).alias("head"))
+        files_ = lines.select("path", "symbol").distinct().join(heads, "path", "left")
+        lacking = F.filter(F.array(*[F.when(~F.coalesce(F.arrays_overlap("head.cells", F.array(*map(F.lit, names))), F.lit(False)), F.lit(c)) for c, names in ALIASES.items()]), lambda c: c.isNotNull())
+        if bad := files_.select("symbol", lacking.alias("lacking")).where(F.size("lacking") > 0).orderBy("symbol").limit(5).collect():
+            raise IngestionError("; ".join(f"{r.symbol} has no column {', '.join(r.lacking)}" for r in bad))
         body = lines.join(heads, "path").where(F.col("line") != F.col("head.line")).where(F.trim("line") != "").withColumn("cells", cells(F.col("line")))
 
         def cell(aliases: list[str]) -> Column:
@@ -73,12 +79,12 @@ class CsvFolder:
         return body.select("symbol", *[cell(aliases).alias(c) for c, aliases in ALIASES.items()])
 
     def symbols(self) -> list[str]:
-        return [r.symbol for r in self._raw().select("symbol").distinct().orderBy("symbol").collect()]
+        """The names of all files, also of those that can't be read as bars."""
+        names = self.spark.read.format("binaryFile").load(f"{self.path}/*.csv").select(self._symbol(F.col("path")).alias("symbol"))
+        return [r.symbol for r in names.distinct().orderBy("symbol").collect()]
 
     def fetch(self, symbols: list[str] | None = None, start: str | None = None, end: str | None = None, interval: str = "1d") -> DataFrame:
-        raw = self._raw()
-        if symbols:
-            raw = raw.where(F.col("symbol").isin([s.upper() for s in symbols]))
+        raw = self._raw(symbols)
         number = lambda c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double"))
         made = raw.select("symbol", F.to_timestamp_ntz(F.try_to_timestamp("timestamp").cast("string")).alias("ts"), *[number(c).alias(c) for c in [*bars.PRICES, "volume"]])
         if bad := made.where("ts is null").count():

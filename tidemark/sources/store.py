@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import StoreError
 from tidemark.operators import bars as bar_ops
 from tidemark.operators import metrics
+from tidemark.plans.tables import kept
 
 _ASKED = "interval string, start_at timestamp_ntz, end_at timestamp_ntz, capital double, commission double, slippage double"
 _RUNS = f"run_id string, strategy string, params string, created_at timestamp_ntz, symbol string, {_ASKED}, " + ", ".join(f"{m} {'long' if m == 'n_periods' else 'double'}" for m in metrics.NAMES)
@@ -24,6 +25,8 @@ SCHEMAS = {
     "montecarlo_runs": "run_id string, created_at timestamp_ntz, backtest_run_id string, horizon int, method string, series_id string, scenario string, n_sims long, p5 double, p50 double, p95 double, var_95 double, cvar_95 double, var_99 double, cvar_99 double",
     "deleted_runs": "run_id string, deleted_at timestamp_ntz",
 }
+#: Symbols that are named in a filter of partitions.
+LISTED = 1000
 #: A run is a partition of its tables: writing it again puts the same rows in the place of the old ones.
 RUN_TABLES = ("backtest_runs", "fills", "equity_curve", "walkforward_runs", "montecarlo_runs")
 PARTITIONS = {"ohlcv": ["interval", "symbol"], **{t: ["run_id"] for t in RUN_TABLES}}
@@ -69,13 +72,22 @@ class Store:
         self._rows(name, rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS[name]).parquet(f"{self.path}/{name}")
 
     def upsert_bars(self, new: DataFrame, interval: str = "1d") -> int:
-        """Appends the bars whose (symbol, interval, ts) is not there yet; returns how many."""
-        rows = absent(new.withColumn("interval", F.lit(interval)).dropDuplicates(["symbol", "ts"]), self.table("ohlcv"), ["symbol", "interval", "ts"])
+        """Appends the bars whose (symbol, interval, ts) is not there yet; returns how many. Of the stored bars only the keys
+        in the new bars' interval, symbols and range of time are read."""
+        rows = kept(new.withColumn("interval", F.lit(interval)).dropDuplicates(["symbol", "ts"]))
+        rows = kept(absent(rows, self.held(rows, interval), ["symbol", "interval", "ts"]))
         n = rows.count()
         if n:
             self.append("ohlcv", rows)
         return n
 
+    def held(self, rows: DataFrame, interval: str) -> DataFrame:
+        """Stored bars that rows may meet: partitions of the interval and, up to ``LISTED`` of them, of the symbols."""
+        first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+        symbols = [r.symbol for r in rows.select("symbol").distinct().limit(LISTED + 1).collect()]
+        held = self.table("ohlcv").where((F.col("interval") == interval) & F.col("ts").between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
+        return held.where(F.col("symbol").isin(symbols)) if len(symbols) <= LISTED else held
+
     def bars(self, symbol: str, interval: str = "1d", start: str | None = None, end: str | None = None) -> DataFrame:
         rows = self.table("ohlcv").where((F.col("symbol") == symbol) & (F.col("interval") == interval))
         return bar_ops.between(rows, start, end).drop("interval").orderBy("ts")
