@@ -13,7 +13,22 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import SCHEMA, prose, rows_of
 from tests.llm.test_operators import lettered
-from tidemark.llm import chat, lexical, queries, resample, textcore
+from tidemark.llm import chat, lexical, lm_score, queries, resample, textcore
+
+# 4: LM scoring
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, docs):
+    """Equal scores for the same rows in 1, 3 and 8 partitions, and in another order."""
+    rows = docs.unionByName(spark.createDataFrame(rows_of([prose(i, 80) for i in range(120)], 1000), SCHEMA))
+    found = []
+    for dealt in (rows.coalesce(1), rows.repartition(3), rows.repartition(8, "n_chars"), rows.orderBy(F.desc("text")).coalesce(2)):
+        scored = lm_score.score_texts(dealt, F.col("doc_id") % 5 == 0).collect()
+        found.append(sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.base_score, r.score) for r in scored))
+    for other in found[1:]:
+        for a, b in zip(found[0], other, strict=True):
+            assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-12) and math.isclose(a[4], b[4], rel_tol=1e-12)
+
 
 # 11: importance resampling
 
