@@ -21,15 +21,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, one row with the least id; rows without an id or with a blank text stay. Rows are
-    told apart by id and text, so that rows of one id with other texts stay or go by themselves."""
+    told apart by id and text, so that rows of one id with other texts stay or go by themselves. Of several rows with that
+    id and text the one whose columns, as JSON, have the least digest stays. A row's columns travel as one value, so that
+    they may have any names and kinds."""
     found = common.written(ngram_join.near_rows(docs).where("key is not null and n > 0").select("row", "key", "root"))
-    least = found.groupBy("root").agg(F.min(F.struct("key", "row")).alias("least")).select(F.col("least.row").alias("_row"))
-    rows = found.groupBy(F.col("row").alias("_row")).count()
-    copies = rows.join(least, "_row", "left_anti").select("_row")
-    repeated = rows.join(least, "_row", "left_semi").where("count > 1").select("_row")
-    stay = docs.withColumn("_row", ngram_join.row_hash()).join(copies, "_row", "left_anti")
-    once = stay.join(repeated, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
-    return stay.join(repeated, "_row", "left_anti").select(*docs.columns).unionByName(once)
+    least = found.groupBy("root").agg(F.min(F.struct("key", "row")).alias("least")).select(F.col("least.row").alias("row"))
+    rows = found.groupBy("row").count()
+    copies = rows.join(least, "row", "left_anti").select("row")
+    repeated = rows.join(least, "row", "left_semi").where("count > 1").select("row")
+    whole = docs.select(ngram_join.row_hash().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    stay = whole.join(copies, "row", "left_anti")
+    once = stay.join(repeated, "row", "left_semi").groupBy("row").agg(F.min_by("doc", F.md5(F.to_json("doc").cast("binary"))).alias("doc"))
+    return stay.join(repeated, "row", "left_anti").unionByName(once).select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,9 +11,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.conftest import SCHEMA, prose, rows_of
 from tests.llm.test_operators import lettered
-from tidemark.llm import chat, lexical, lm_score, queries, resample, textcore
+from tidemark.llm import chat, lexical, lm_score, resample, textcore
 
 # 4: LM scoring
 
@@ -195,14 +196,26 @@ def test_lexical_search_of_empty_tables_and_other_keys(spark, docs, empty):
     assert kinds == {"item_id": "string", "rank": "int", "doc_id": "string", "score": "bigint"}
 
 
-@pytest.mark.parametrize("name", ["op11_resampling", "op12_chat_formatting", "op13_lexical_search"])
-def test_new_queries_equal_their_sql(spark, name):
-    import duckdb
-
-    folder = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    got = queries.QUERIES[name](spark, folder)
-    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
-    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+# The pipeline
+
+
+def test_stages_with_columns_of_any_name_and_kind(spark, tmp_path):
+    """Columns named as the stages name theirs, and a map: near copies go, one of each repeated row stays, and no value
+    changes."""
+    a, b = prose(1, 60), prose(2, 60)
+    near = a.replace(a.split()[30], "changed", 1)
+    rows = [(0, a, 77, {"k": 1}, "en", "src0", 1), (1, near, 88, {"k": 2}, "en", "src0", 2), (2, b, 99, {}, "en", "src0", 3), (2, b, 98, None, "en", "src0", 3), (None, a, 1, {"z": 0}, "en", "src0", 4), (3, None, 5, {"n": 3}, "en", "src0", 5), (3, "", 6, {}, None, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, doc map<string,int>, lang string, source string, row long")
+    key = lambda r: (r[0], r[1], r[2], str(r[3]), *r[4:])
+    d = str(tmp_path)
+    spark.createDataFrame([(1, prose(9, 20))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    kept = collections.Counter(key(tuple(r)) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, d).collect())
+    whole = collections.Counter(map(key, rows))
+    assert kept <= whole and kept[key(rows[0])] == 1 and kept[key(rows[1])] == 0
+    assert kept[key(rows[2])] + kept[key(rows[3])] == 1 and all(kept[key(r)] == 1 for r in rows[4:])
+    for parts in (1, 5):
+        assert collections.Counter(key(tuple(r)) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs.repartition(parts), d).collect()) == kept
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, d)
+        assert got.columns == docs.columns and collections.Counter(key(tuple(r)) for r in got.collect()) <= whole, name
