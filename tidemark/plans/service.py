@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import ConfigurationError, InsufficientDataError, RiskError, SimulationError, WalkForwardError
-from tidemark.functions import series
+from tidemark.functions import orderstat, series
 from tidemark.operators import engine, metrics, montecarlo, risk, strategies, walkforward
 from tidemark.plans.tables import kept
 from tidemark.sources.store import Store
@@ -127,8 +127,8 @@ class Service:
         if self.store is None:
             raise ConfigurationError("a store is needed")
         curve = self.store.table("equity_curve").where(F.col("run_id") == run_id)
-        w = series.ordered(["symbol"], "ts")
-        return curve.select("symbol", "ts", series.rolling_volatility(F.col("r"), w, window).alias("volatility"), series.rolling_var(F.col("r"), w, window).alias("var_95"))
+        made = orderstat.with_risk(curve.select("symbol", "ts", "r"), "r", ["symbol"], ["ts"], window)
+        return made.select("symbol", "ts", series.rolling_volatility(F.col("r"), series.ordered(["symbol"], "ts"), window).alias("volatility"), F.col("var").alias("var_95"), F.col("cvar").alias("cvar_95"))
 
     def compare(self, runs: list[Backtest]) -> DataFrame:
         """Metrics of several runs, one under the other."""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import series
+from tidemark.functions import orderstat, segments, series
 from tidemark.operators import bars, engine, features, metrics, montecarlo, risk, strategies, walkforward
 from tidemark.plans import service
 from tidemark.plans.tables import fresh_path, kept
@@ -147,15 +147,53 @@ _FRAME = "(PARTITION BY series_id ORDER BY ts ROWS BETWEEN 251 PRECEDING AND CUR
 
 @query(f"WITH {DAILY}, {RETURNS} SELECT series_id, ts, CASE WHEN count(r) OVER w >= 126 THEN round(-quantile_cont(r, 0.05) OVER w, 6) + 0.0 END AS var_95 FROM rets WINDOW w AS {_FRAME}")
 def rolling_var(spark: SparkSession, d: str) -> DataFrame:
-    w = series.ordered(["series_id"], "ts")
-    return rounded(small_returns(daily(spark, d)).select("series_id", "ts", series.rolling_var(F.col("r"), w).alias("var_95")))
+    made = orderstat.with_risk(small_returns(daily(spark, d)), "r", ["series_id"], ["ts"])
+    return rounded(made.select("series_id", "ts", F.col("var").alias("var_95")))
 
 
 @query(f"""WITH {DAILY}, {RETURNS}, w AS (SELECT series_id, ts, count(r) OVER w AS n, list(r) OVER w AS l, quantile_cont(r, 0.05) OVER w AS q FROM rets WINDOW w AS {_FRAME})
 SELECT series_id, ts, CASE WHEN n >= 126 THEN round(-list_avg(list_filter(l, lambda x: x <= q)), 6) + 0.0 END AS cvar_95 FROM w""")
 def rolling_cvar(spark: SparkSession, d: str) -> DataFrame:
-    w = series.ordered(["series_id"], "ts")
-    return rounded(small_returns(daily(spark, d)).select("series_id", "ts", series.rolling_cvar(F.col("r"), w).alias("cvar_95")))
+    made = orderstat.with_risk(small_returns(daily(spark, d)), "r", ["series_id"], ["ts"])
+    return rounded(made.select("series_id", "ts", F.col("cvar").alias("cvar_95")))
+
+
+@query(f"WITH {DAILY}, {RETURNS} SELECT series_id, ts, CASE WHEN count(r) OVER w >= 30 THEN round(-100 * quantile_cont(r, 0.05) OVER w, 6) + 0.0 END AS loss FROM rets WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)")
+def rolling_quantile(spark: SparkSession, d: str) -> DataFrame:
+    """The loss in hundredths that one of twenty of the last 63 returns goes beyond; 30 must be there."""
+    made = orderstat.rolling(small_returns(daily(spark, d)), "r", {"q": orderstat.Rolling(63, 0.05, 30)}, ["series_id"], ["ts"])
+    return rounded(made.select("series_id", "ts", (-100 * F.col("q")).alias("loss")))
+
+
+# All events as one series, in the order of time and id: no window of these queries runs in one task.
+
+
+def ticks(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").select(F.lit("all").alias("book"), "ts", "event_id", F.col("value").cast("double").alias("value"))
+
+
+TICK_ROWS = 1 << 12
+_TICKS = "t AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS i FROM (SELECT ts, event_id, value::DOUBLE AS value FROM events))"
+
+
+@query(f"WITH {_TICKS} SELECT event_id, round(sum(value) OVER w, 4) + 0.0 AS total, round(max(value) OVER w, 6) + 0.0 AS top, round((value - max(value) OVER w) / nullif(max(value) OVER w, 0), 6) + 0.0 AS drawdown, i - 1 AS row FROM t WINDOW w AS (ORDER BY ts, event_id)")
+def ticks_running(spark: SparkSession, d: str) -> DataFrame:
+    made = segments.running(ticks(spark, d), ["book"], ["ts", "event_id"], {"total": ("sum", "value"), "top": ("max", "value"), "n": ("count", "value")}, TICK_ROWS)
+    return rounded(made.select("event_id", "total", "top", series.ratio(F.col("value") - F.col("top"), F.col("top")).alias("drawdown"), (F.col("n") - 1).alias("row")), total=4)
+
+
+@query(f"WITH {_TICKS} SELECT event_id, CASE WHEN i >= 50 THEN round(avg(value) OVER w, 6) + 0.0 END AS mean, CASE WHEN i >= 50 THEN round(stddev_samp(value) OVER w, 6) + 0.0 END AS deviation, CASE WHEN i >= 250 THEN round(quantile_cont(value, 0.9) OVER v, 6) + 0.0 END AS high FROM t WINDOW w AS (ORDER BY ts, event_id ROWS 49 PRECEDING), v AS (ORDER BY ts, event_id ROWS 499 PRECEDING)")
+def ticks_rolling(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("value")
+    frames = segments.rolling(ticks(spark, d), ["book"], ["ts", "event_id"], 49, lambda w: {"mean": series.rolling_mean(x, w, 50), "deviation": series.rolling_deviation(x, w, 50)}, TICK_ROWS)
+    made = orderstat.rolling(frames, "value", {"high": orderstat.Rolling(500, 0.9, 250)}, ["book"], ["ts", "event_id"], TICK_ROWS)
+    return rounded(made.select("event_id", "mean", "deviation", "high"))
+
+
+@query(f"WITH {_TICKS} SELECT a.event_id, round(sum(CASE WHEN b.i = 1 THEN 1 ELSE 2.0::DOUBLE / 21 END * b.value * pow(19.0::DOUBLE / 21, a.i - b.i)), 6) + 0.0 AS ema_20 FROM t a JOIN t b ON b.i BETWEEN a.i - 400 AND a.i GROUP BY a.event_id")
+def ticks_ema(spark: SparkSession, d: str) -> DataFrame:
+    made = segments.ema(ticks(spark, d), {"ema_20": ("value", series.span_alpha(20))}, ["book"], ["ts", "event_id"], TICK_ROWS)
+    return rounded(made.select("event_id", "ema_20"))
 
 
 @query(f"WITH RECURSIVE {HOURLY}, {NUMBERED}, {ema_sql('e', 'n', 'close', '(2.0::DOUBLE / 21)')} SELECT symbol, ts, round(y, 4) + 0.0 AS ema_20 FROM e JOIN n USING (symbol, i)")
