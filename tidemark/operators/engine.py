@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,70 +36,76 @@ class Costs:
 LEAST_ORDER, LEAST_POSITION, CASH_MARGIN, CASH_PART = 1e-6, 1e-8, 1.001, 0.99
 
 
-class _Account:
-    """Cash and position of one run, bar by bar."""
+class Accounts:
+    """Cash and positions of many runs, one a slot; each step takes the next bar of some of them."""
+
+    FIELDS = ("cash", "qty", "avg_cost", "episode", "equity")
 
     def __init__(self, costs: Costs):
-        self.c, self.cash, self.qty, self.episode = costs, costs.capital, 0.0, 0
-
-    def order(self, direction: int, close: float) -> float:
-        """Signed quantity that moves the position to its target."""
-        if not close > 0:
-            return 0.0
-        target = (self.cash + self.qty * close) * self.c.max_position / close * direction
-        if not self.c.allow_short:
-            target = max(target, 0.0)
-        delta = target - self.qty
-        if abs(delta) < LEAST_ORDER:
-            return 0.0
-        if delta > 0 and delta * close * CASH_MARGIN > self.cash:
-            delta = self.cash * CASH_PART / close
-            if delta < LEAST_ORDER:
-                return 0.0
-        return delta
-
-    def step(self, rows: pd.DataFrame) -> pd.DataFrame:
-        c, out = self.c, []
-        for direction, price, close in zip(rows["direction"].to_numpy(), rows["_fill_open"].to_numpy(), rows["close"].to_numpy(), strict=True):
-            delta = self.order(int(direction), float(close))
-            fill = fee = slip = 0.0
-            if delta and price > 0:
-                fill = price * (1 + c.slippage) if delta > 0 else price * (1 - c.slippage)
-                slip = price * c.slippage * abs(delta)
-                fee = fill * abs(delta) * c.commission
-                if self.qty == 0:
-                    self.episode += 1
-                self.qty += delta
-                self.cash -= delta * fill + fee + (slip if c.double_slippage else 0.0)
-                if abs(self.qty) < LEAST_POSITION:
-                    self.qty = 0.0
-            else:
-                delta = 0.0
-            out.append((delta, fill, fee, slip, self.cash, self.qty, self.episode))
-        return pd.DataFrame(out, columns=["traded", "fill_price", "commission", "slippage", "cash", "qty", "episode"], index=rows.index)
+        self.c = costs
+        for f in self.FIELDS:
+            setattr(self, f, np.zeros(0))
+
+    def grow(self, n: int) -> None:
+        for f in self.FIELDS:
+            setattr(self, f, np.concatenate([getattr(self, f), np.full(n, {"cash": self.c.capital, "equity": np.nan}.get(f, 0.0))]))
+
+    def orders(self, direction: np.ndarray, close: np.ndarray, cash: np.ndarray, qty: np.ndarray) -> np.ndarray:
+        """Signed quantities that move positions to their targets."""
+        priced = close > 0
+        close = np.where(priced, close, 1.0)
+        target = (cash + qty * close) * self.c.max_position / close * direction
+        delta = (target if self.c.allow_short else np.maximum(target, 0.0)) - qty
+        part = cash * CASH_PART / close
+        part = np.where(part < LEAST_ORDER, 0.0, part)
+        bought = np.where((delta > 0) & (delta * close * CASH_MARGIN > cash), part, delta)
+        return np.where(priced & (np.abs(delta) >= LEAST_ORDER), bought, 0.0)
+
+    def step(self, slots: np.ndarray, direction: np.ndarray, price: np.ndarray, close: np.ndarray) -> list[np.ndarray]:
+        c, cash, qty, avg = self.c, self.cash[slots], self.qty[slots], self.avg_cost[slots]
+        delta = self.orders(np.nan_to_num(direction), close, cash, qty)
+        delta = np.where(price > 0, delta, 0.0)
+        traded = delta != 0
+        price = np.where(traded, price, 0.0)
+        fill = np.where(delta > 0, price * (1 + c.slippage), price * (1 - c.slippage))
+        slip, fee = price * c.slippage * np.abs(delta), fill * np.abs(delta) * c.commission
+        episode = self.episode[slots] + (traded & (qty == 0))
+        held = qty + delta
+        mean = np.divide(qty * avg + delta * fill, held, out=avg.copy(), where=(delta > 0) & (held != 0))
+        closed = traded & (np.abs(held) < LEAST_POSITION)
+        held, mean = np.where(closed, 0.0, held), np.where(closed, 0.0, mean)
+        cash = np.where(traded, cash - (delta * fill + fee + (slip if c.double_slippage else 0.0)), cash)
+        equity, before = cash + held * close, self.equity[slots]
+        self.cash[slots], self.qty[slots], self.avg_cost[slots], self.episode[slots], self.equity[slots] = cash, held, mean, episode, equity
+        r = np.divide(equity, before, out=np.full(len(before), np.nan), where=before != 0) - 1
+        return [delta, fill, fee, slip, cash, held, mean, held * (close - mean), equity, r, episode]
+
+
+_ADDED = [*((c, "double") for c in ("traded", "fill_price", "commission", "slippage", "cash", "qty", "avg_cost", "unrealised", "equity", "r")), ("episode", "long")]
 
 
 def run(signals: DataFrame, costs: Costs = Costs(), keys: list[str] = ["symbol"], semantics: str = "corrected") -> DataFrame:  # noqa: B006,B008
     """One row for each bar with a signal: the bar, ``traded`` (signed), ``fill_price``, ``commission``, ``slippage``,
-    ``cash``, ``qty``, ``equity`` and ``r``, the return of equity since the bar before.
+    ``cash``, ``qty``, ``avg_cost`` (that of what was bought; a short has none), ``unrealised`` gain at the close, ``equity``
+    and ``r``, the return of equity since the bar before.
 
     Orders are sized at the bar's close and filled at the open ``fill_lag`` bars later; an open that is missing or not
     positive fills nothing. ``corrected`` equity is cash and position at the close. ``reference`` values every bar of
-    a position with the quantity that it had last, and nothing once it is closed.
+    a position with the quantity that it had last, and nothing once it is closed. All runs of a task go bar by bar side by
+    side, each step one of arrays.
     """
     if semantics not in ("corrected", "reference"):
         raise ConfigurationError(f"unknown semantics {semantics!r}")
     w = Window.partitionBy(*keys).orderBy("ts")
-    ready = signals.withColumn("_fill_open", F.coalesce(F.lead("open", costs.fill_lag).over(w) if costs.fill_lag else F.col("open"), F.lit(0.0)).cast("double"))
-    added = "traded double, fill_price double, commission double, slippage double, cash double, qty double, episode long"
-    made = folds.fold(ready, keys, ["ts"], lambda _: _Account(costs), added).drop("_fill_open")
+    filled = F.lead("open", costs.fill_lag).over(w) if costs.fill_lag else F.col("open")
+    ready = signals.withColumn("_fill_open", filled)
+    made = folds.side_by_side(ready, keys, ["ts"], [F.col("direction"), F.col("_fill_open"), F.col("close")], lambda: Accounts(costs), _ADDED).drop("_fill_open")
     if semantics == "reference":
         episode = Window.partitionBy(*keys, "episode").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         held = F.when(F.col("qty") == 0, F.lit(0.0)).otherwise(F.last("qty").over(episode))
         made = made.withColumn("equity", F.col("cash") + held * F.col("close"))
-    else:
-        made = made.withColumn("equity", F.col("cash") + F.col("qty") * F.col("close"))
-    return made.withColumn("r", series.change(F.col("equity"), w)).drop("episode")
+        made = made.withColumn("r", series.change(F.col("equity"), w))
+    return made.drop("episode")
 
 
 def fills(runs: DataFrame, keys: list[str] = ["symbol"]) -> DataFrame:  # noqa: B006
@@ -121,5 +127,6 @@ def exposure(runs: DataFrame) -> DataFrame:
 
 def combined(runs: DataFrame) -> DataFrame:
     """Equity of all symbols together, at times at which all have a bar."""
-    n = runs.select("symbol").distinct().count()
-    return runs.groupBy("ts").agg(F.sum("equity").alias("equity"), F.count(F.lit(1)).alias("n")).where(F.col("n") == n).drop("n")
+    n = runs.select("symbol").distinct().agg(F.count(F.lit(1)).alias("_symbols"))
+    sums = runs.groupBy("ts").agg(F.sum("equity").alias("equity"), F.count(F.lit(1)).alias("_bars"))
+    return sums.join(F.broadcast(n), F.col("_bars") == F.col("_symbols")).select("ts", "equity")  # one row

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +25,16 @@ def portfolio(signals: DataFrame, costs: engine.Costs = engine.Costs()) -> DataF
     symbol is kept in the state store. Bars of one micro-batch are taken in the order of time."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        account = engine._Account(costs)
+        account = engine.Accounts(costs)
+        account.grow(1)
         if state.exists:
-            account.cash, account.qty, account.episode = state.get
+            for f, v in zip(account.FIELDS, state.get, strict=True):
+                getattr(account, f)[0] = v
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        made = account.step(rows.assign(_fill_open=rows["open"]))
-        state.update((float(account.cash), float(account.qty), int(account.episode)))
-        equity = made["cash"] + made["qty"] * rows["close"]
-        yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"], "cash": made["cash"], "qty": made["qty"], "equity": equity})
+        slot, x = np.zeros(1, np.int64), rows[["direction", "open", "close"]].to_numpy(np.float64)
+        made = np.array([np.concatenate(account.step(slot, *bar.reshape(3, 1))) for bar in x])
+        state.update(tuple(float(getattr(account, f)[0]) for f in account.FIELDS))
+        at = {name: k for k, (name, _) in enumerate(engine._ADDED)}
+        yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"], **{c: made[:, at[c]] for c in ("cash", "qty", "equity")}})
 
-    return signals.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, cash double, qty double, equity double", "cash double, qty double, episode long", "append", "NoTimeout")
+    return signals.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, cash double, qty double, equity double", ", ".join(f"{f} double" for f in engine.Accounts.FIELDS), "append", "NoTimeout")
