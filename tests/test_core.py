@@ -1,5 +1,6 @@
 """Behaviour of bars, indicators, strategies, back-tests, risk, simulation and the store."""
 
+import dataclasses
 import json
 import math
 from datetime import datetime, timedelta
@@ -255,6 +256,75 @@ def test_walk_forward(spark):
     assert all(r.oos_n_bars == 0 and r.oos_sharpe is None for r in short)
 
 
+GRIDS = {
+    "ma_crossover": [{}, {"fast": 5, "slow": 12, "short": True}, {"fast": 3, "slow": 60}],
+    "mean_reversion": [{}, {"lookback": 10, "entry": 1.5, "exit": 0.2, "short": False}, {"lookback": 7, "entry": 1, "exit": 0.5}],
+    "momentum": [{}, {"lookback": 5, "vol_window": 9}, {"lookback": 20, "vol_window": 3, "short": False, "scaled": False}],
+    "volatility_breakout": [{}, {"bands": 5, "width": 1, "atr": 30, "short": True}, {"bands": 33, "atr": 3}],
+}
+
+
+@pytest.mark.parametrize("name", sorted(GRIDS))
+def test_a_grid_as_data_equals_its_sets(spark, name):
+    bars_ = spark.createDataFrame(pd.concat([frame(130, 1, "X"), frame(90, 2, "Y"), frame(9, 3, "Z")]), BARS)
+    rows = bars_.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(2)))).repartition(3)
+    got = {(r.symbol, r.grid, r.ts): r for r in strategies.grid_signals(rows, name, GRIDS[name], ["symbol", "grid"]).collect()}
+    want = {(r.symbol, k, r.ts): r for k, p in enumerate(GRIDS[name]) for r in strategies.get(name, **p).signals(bars_).collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k].direction == r.direction and (got[k].strength == r.strength or math.isclose(got[k].strength, r.strength, rel_tol=1e-6, abs_tol=1e-9)), k
+
+
+def test_a_grid_of_any_size_has_one_plan(spark):
+    bars_ = spark.createDataFrame(frame(200), BARS)
+    plans = []
+    for n in (2, 150):
+        params = walkforward.grid({"lookback": list(range(3, 3 + n)), "vol_window": [5]})
+        made = walkforward.select(bars_, "momentum", params, train=160, test=20, step=20)
+        plans.append(len(made._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert plans[0] == plans[1]
+    best = {r.window: r for r in made.collect()}
+    cut = walkforward._cut(bars_, 160, 20, 20, "train")
+    for k in (0, 77, 149):
+        alone = engine.performance(engine.run(strategies.get("momentum", **params[k]).signals(cut, ["symbol", "window"]), keys=["symbol", "window"]), ["symbol", "window"])
+        assert all(r.sharpe_ratio <= best[r.window].is_sharpe + 1e-9 for r in alone.collect())
+
+
+def test_own_strategies_in_a_grid(spark):
+    """A rule without a form of its own for grids is planned set by set."""
+
+    @dataclasses.dataclass(frozen=True)
+    class Always(strategies.Strategy):
+        way: int = 1
+
+        def needs(self):
+            return 1
+
+        def signals(self, bars, keys=strategies.KEYS):
+            return bars.withColumn("direction", F.lit(self.way)).withColumn("strength", F.lit(1.0))
+
+    strategies.register("always", Always)
+    try:
+        df = spark.createDataFrame(frame(60), BARS).withColumn("grid", F.explode(F.array(F.lit(0), F.lit(1))))
+        got = strategies.grid_signals(df, "always", [{"way": 0}, {"way": 1}], ["symbol", "grid"])
+        assert {(r.grid, r.direction) for r in got.collect()} == {(0, 0), (1, 1)} and got.count() == 120
+    finally:
+        strategies._known.pop("always")
+
+
+def test_average_cost_and_unrealised_gain(spark):
+    """Bought at two prices, sold in part, closed and opened again: figures by hand."""
+    closes, ways = [100.0, 50.0, 200.0, 200.0, 80.0], [1, 1, 1, 0, 1]
+    rows = [("X", datetime(2024, 1, 1) + timedelta(i), c, c, c, c, 1.0, w) for i, (c, w) in enumerate(zip(closes, ways))]
+    df = spark.createDataFrame(rows, f"{BARS}, direction int")
+    got = engine.run(df, engine.Costs(capital=1000.0, commission=0.0, slippage=0.0, max_position=0.5)).orderBy("ts").collect()
+    # 5 at 100; equity 750: 7.5 wanted, 2.5 more at 50; equity 1875: 4.6875 wanted, 2.8125 sold; all sold; opened at 80.
+    assert [round(r.qty, 6) for r in got] == [5, 7.5, 4.6875, 0, round(1875 * 0.5 / 80, 6)]
+    average = (5 * 100 + 2.5 * 50) / 7.5
+    assert [round(r.avg_cost, 6) for r in got] == [100, round(average, 6), round(average, 6), 0, 80]
+    assert [round(r.unrealised, 6) for r in got] == [0, round(7.5 * (50 - average), 6), round(4.6875 * (200 - average), 6), 0, 0]
+
+
 def test_monte_carlo(spark):
     rng = np.random.default_rng(0)
     history = returns(spark, rng.normal(0.0003, 0.015, 500)).select("ts", "r")

@@ -160,3 +160,28 @@ def drawdown(c: Column, w: WindowSpec, n: int | None = None) -> Column:
     """Distance from the highest value so far, or of the last n rows, as a share of it."""
     top = F.max(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) if n is None else rolling(F.max, c, w, n)
     return ratio(c - top, top)
+
+
+def lag_by(c: str, by: str, keys: list[str], most: int, at: str = "i") -> Column:
+    """The value of a column ``by`` rows before, where ``by`` is a column too: a whole number from 1 to ``most``, the same in
+    all rows of a series, whose rows ``at`` numbers without gaps. In the order of at / by that row lies 1 before."""
+    slack = 0.25 / most
+    series = ", ".join(f"`{k}`" for k in keys)
+    return F.expr(f"first(`{c}`) OVER (PARTITION BY {series} ORDER BY `{at}` / `{by}` RANGE BETWEEN {1 + slack!r}D PRECEDING AND {1 - slack!r}D PRECEDING)")
+
+
+def rolling_by(df: DataFrame, c: str, by: str, keys: list[str], most: int, mean: str, deviation: str, at: str = "i") -> DataFrame:
+    """Adds mean and sample deviation of the last ``by`` rows (see ``lag_by``), null unless all of them have a value: two
+    running sums, of which the ends are taken apart, so that any number of frame lengths takes one pass. Sums are of
+    distances from the series' first value, which keeps them small."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    every, so_far = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
+    made = df.withColumn("_x0", F.first(c, True).over(every)).withColumn("_x", F.col(c) - F.col("_x0"))
+    made = made.withColumns({"_s1": F.coalesce(F.sum("_x").over(so_far), F.lit(0.0)), "_s2": F.coalesce(F.sum(F.col("_x") * F.col("_x")).over(so_far), F.lit(0.0)), "_c": F.count("_x").over(so_far)})
+    made = made.withColumn("_ends", F.struct("_s1", "_s2", "_c")).withColumn("_before", lag_by("_ends", by, keys, most, at))
+    back = lambda n: F.col(n) - F.coalesce(F.col("_before")[n], F.lit(0.0))
+    n = F.col(by).cast("double")
+    full = F.col("_c") - F.coalesce(F.col("_before")["_c"], F.lit(0)) == F.col(by)
+    spread = F.when(n > 1, F.greatest(back("_s2") - back("_s1") * back("_s1") / n, F.lit(0.0)) / (n - 1))
+    made = made.withColumns({mean: F.when(full, F.col("_x0") + back("_s1") / n), deviation: F.when(full, F.sqrt(spread))})
+    return made.drop("_x0", "_x", "_s1", "_s2", "_c", "_ends", "_before")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import json
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,12 +42,13 @@ def grid(space: dict[str, list]) -> list[dict]:
 
 
 def _runs(cut: DataFrame, strategy: str, params: list[dict], costs: engine.Costs, chosen: DataFrame | None = None) -> DataFrame:
-    """Runs of all parameter sets on all windows or, with ``chosen``, of each window's set alone. The bars of windows are
-    written once, and each set's signals are made from that."""
-    cut = kept(cut if chosen is None else cut.join(chosen.select("symbol", "window", "grid"), ["symbol", "window"]))
-    of_set = lambda k: cut.withColumn("grid", F.lit(k)) if chosen is None else cut.where(F.col("grid") == k)
-    made = [strategies.get(strategy, **p).signals(of_set(k), RUN) for k, p in enumerate(params)]
-    return engine.run(reduce(DataFrame.unionByName, made), costs, RUN)
+    """Runs of all parameter sets on all windows or, with ``chosen``, of each window's set alone, in one plan."""
+    if chosen is None:
+        sets = cut.sparkSession.range(len(params)).select(F.col("id").cast("int").alias("grid"), F.lit(0).alias("_every"))
+        rows = cut.withColumn("_every", F.lit(0)).join(F.broadcast(sets), "_every").drop("_every")  # one row a set, as listed
+    else:
+        rows = cut.join(chosen.select("symbol", "window", F.col("grid").cast("int").alias("grid")), ["symbol", "window"])
+    return engine.run(strategies.grid_signals(rows, strategy, params, RUN), costs, RUN)
 
 
 def select(bars: DataFrame, strategy: str, params: list[dict], *, train: int = 252, test: int = 63, step: int = 21, costs: engine.Costs = engine.Costs(), **options) -> DataFrame:  # noqa: B008
