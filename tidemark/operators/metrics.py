@@ -26,6 +26,23 @@ def with_quantiles(rows: DataFrame, keys: list[str], column: str, shares: dict[s
     return rows.join(quantiles, same, "left").drop(*[f"_k_{k}" for k in keys])
 
 
+def _with_sharpe(sums: DataFrame, risk_free: float, days: int) -> DataFrame:
+    """Adds yearly return, volatility and their ratio to counts (``n``), products (``growth``) and deviations."""
+    n, zero = F.col("n").cast("double"), F.lit(0.0)
+    ret = F.when((F.col("n") < 2) | (F.col("growth") <= 0), zero).otherwise(F.pow("growth", F.lit(float(days)) / n) - 1)
+    vol = F.when(F.col("n") < 2, zero).otherwise(F.coalesce("deviation", zero) * days**0.5)
+    out = sums.withColumn("annualised_return", F.coalesce(ret, zero)).withColumn("annualised_volatility", vol)
+    over = F.col("annualised_return") - risk_free
+    return out.withColumn("sharpe_ratio", F.when(F.col("annualised_volatility") == 0, zero).otherwise(over / F.col("annualised_volatility")))
+
+
+def sharpe(series: DataFrame, keys: list[str], *, r: str = "r", risk_free: float = 0.04, days: int = 252) -> DataFrame:
+    """``keys, n_periods, sharpe_ratio``, as ``compute`` has them, by one aggregation."""
+    x = F.col(r)
+    sums = series.groupBy(*keys).agg(F.count(x).alias("n"), F.product(1 + x).alias("growth"), F.stddev_samp(x).alias("deviation"))
+    return _with_sharpe(sums, risk_free, days).select(*keys, F.col("n").alias("n_periods"), "sharpe_ratio")
+
+
 def compute(series: DataFrame, keys: list[str], *, order: str = "ts", r: str = "r", equity: str | None = None, risk_free: float = 0.04, days: int = 252) -> DataFrame:
     """All metrics (NAMES) of each key's returns ``r``; drawdown is that of ``equity``, or of the compounded returns.
 
@@ -54,15 +71,12 @@ def compute(series: DataFrame, keys: list[str], *, order: str = "ts", r: str = "
     )
     n = F.col("n").cast("double")
     zero = F.lit(0.0)
-    ret = F.when((F.col("n") < 2) | (F.col("growth") <= 0), zero).otherwise(F.pow("growth", F.lit(float(days)) / n) - 1)
-    vol = F.when(F.col("n") < 2, zero).otherwise(F.coalesce("deviation", zero) * days**0.5)
-    out = sums.withColumn("annualised_return", F.coalesce(ret, zero)).withColumn("annualised_volatility", vol)
+    out = _with_sharpe(sums, risk_free, days)
     over = F.col("annualised_return") - risk_free
     semi = F.coalesce("neg_deviation", zero)
     skew = F.col("g1") * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)
     kurt = (n - 1) / F.when(n > 3, (n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)
     more = {
-        "sharpe_ratio": F.when(F.col("annualised_volatility") == 0, zero).otherwise(over / F.col("annualised_volatility")),
         "sortino_ratio": F.when(F.col("n_neg") < 2, F.when(over > 0, _inf()).otherwise(zero)).when(semi == 0, zero).otherwise(over / (semi * days**0.5)),
         "max_drawdown": F.coalesce("max_drawdown", zero),
         "hit_rate": F.coalesce("hit_rate", zero),

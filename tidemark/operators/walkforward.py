@@ -54,7 +54,7 @@ def _runs(cut: DataFrame, strategy: str, params: list[dict], costs: engine.Costs
 def select(bars: DataFrame, strategy: str, params: list[dict], *, train: int = 252, test: int = 63, step: int = 21, costs: engine.Costs = engine.Costs(), **options) -> DataFrame:  # noqa: B008
     """``symbol, window, grid, is_sharpe``: each window's best parameter set by Sharpe ratio over its train part. Of
     equals the first wins; a window in which no set gives a run takes the first, with a null ratio."""
-    scored = engine.performance(_runs(_cut(bars, train, test, step, "train"), strategy, params, costs), RUN, **options)
+    scored = metrics.sharpe(_runs(_cut(bars, train, test, step, "train"), strategy, params, costs), RUN, **options)
     best = scored.where(~F.isnan("sharpe_ratio")).groupBy("symbol", "window").agg(F.max(F.struct("sharpe_ratio", -F.col("grid"))).alias("_best"))
     out = windows(bars, train, test, step).select("symbol", "window").join(best, ["symbol", "window"], "left")
     return out.select("symbol", "window", F.coalesce(-F.col("_best.col2"), F.lit(0)).alias("grid"), F.col("_best.sharpe_ratio").alias("is_sharpe"))
@@ -71,15 +71,19 @@ def report(bars: DataFrame, strategy: str, space: dict[str, list], *, train: int
     params = grid(space)
     chosen = kept(select(bars, strategy, params, train=train, test=test, step=step, costs=costs, **options))
     oos = out_of_sample(bars, chosen, strategy, params, train=train, test=test, step=step, costs=costs)
-    tested = engine.performance(oos, ["symbol", "window"], **options).select("symbol", "window", F.round("sharpe_ratio", 4).alias("oos_sharpe"), F.col("n_periods").alias("oos_n_bars"))
+    tested = metrics.sharpe(oos, ["symbol", "window"], **options).select("symbol", "window", F.round("sharpe_ratio", 4).alias("oos_sharpe"), F.col("n_periods").alias("oos_n_bars"))
     text = F.element_at(F.array(*[F.lit(json.dumps(p, sort_keys=True)) for p in params]), F.col("grid") + 1)
     out = windows(bars, train, test, step).join(chosen, ["symbol", "window"]).join(tested, ["symbol", "window"], "left")
     return out.withColumn("best_params", text).withColumn("is_sharpe", F.round("is_sharpe", 4)).withColumn("oos_n_bars", F.coalesce("oos_n_bars", F.lit(0))).drop("grid")
 
 
-def oos_metrics(oos: DataFrame, **options) -> DataFrame:
-    """Metrics of each symbol's out-of-sample returns, one window after the other."""
-    return metrics.compute(oos.where("r is not null").withColumn("_at", F.struct("ts", "window")), ["symbol"], order="_at", **options)
+def oos_metrics(oos: DataFrame, dedupe: bool = False, **options) -> DataFrame:
+    """Metrics of each symbol's out-of-sample returns, one window after the other; with ``dedupe`` a time that several
+    windows test counts once, as the first of them has it."""
+    rows = oos.where("r is not null")
+    if dedupe:
+        rows = rows.groupBy("symbol", "ts").agg(F.min("window").alias("window"), F.min_by("r", "window").alias("r"))
+    return metrics.compute(rows.withColumn("_at", F.struct("ts", "window")), ["symbol"], order="_at", **options)
 
 
 def stability(reported: DataFrame, space: dict[str, list]) -> DataFrame:

@@ -31,6 +31,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def changed(sql: str, *changes: tuple[str, str]) -> str:
+    """``sql`` with some of its text put in other words, each of which must be there."""
+    for old, new in changes:
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
+
+
 def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     """Doubles to so many digits, and never a negative zero."""
     return df.select(*[(F.round(c, other.get(c, digits)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -89,6 +97,24 @@ def bars_weekly(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bars.resample(daily(spark, d), "1w"), 4, volume=2)
 
 
+def minutes_sql(n: int) -> str:
+    return f"SELECT event_type AS symbol, time_bucket(INTERVAL {n} MINUTE, ts)::TIMESTAMP AS ts, round(first(value ORDER BY ts, event_id), 4) + 0.0 AS open, round(max(value), 4) + 0.0 AS high, round(min(value), 4) + 0.0 AS low, round(last(value ORDER BY ts, event_id), 4) + 0.0 AS close, round(sum(value), 4) + 0.0 AS volume FROM events GROUP BY 1, 2"
+
+
+def minutely(spark: SparkSession, d: str) -> DataFrame:
+    return bars.from_ticks(spark.read.parquet(f"{d}/events.parquet"), "event_type", "ts", "value", "event_id", "1min")
+
+
+@query(minutes_sql(5))
+def bars_5min(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bars.resample(minutely(spark, d), "5min"), 4)
+
+
+@query(minutes_sql(15))
+def bars_15min(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bars.resample(bars.resample(minutely(spark, d), "5min"), "15min"), 4)
+
+
 @query(f"""WITH {HOURLY}, w AS (SELECT *, abs(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1) AS step, row_number() OVER (PARTITION BY symbol, ts) AS again FROM hourly)
 SELECT symbol, count(*) AS n_rows, count(*) FILTER (again > 1) AS duplicate_rows, count(*) FILTER (high < greatest(open, close)) AS high_too_low, count(*) FILTER (low > least(open, close)) AS low_too_high,
 count(*) FILTER (least(open, high, low, close, volume) < 0) AS negative_values, count(*) FILTER (coalesce(open, high, low, close) IS NULL) AS empty_rows, count(*) FILTER (step > 0.5) AS jumps FROM w GROUP BY symbol""")
@@ -262,6 +288,11 @@ def signal_ma(spark: SparkSession, d: str) -> DataFrame:
     return rounded(strategies.get("ma_crossover").signals(hourly(spark, d)).select("symbol", "ts", "direction", "strength"))
 
 
+@query(changed(ORACLE_SQL["signal_ma"], ("f < s THEN 0 END", "f < s THEN -1 END")))
+def signal_ma_short(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(strategies.get("ma_crossover", short=True).signals(hourly(spark, d)).select("symbol", "ts", "direction", "strength"))
+
+
 _MR = """z AS (SELECT symbol, ts, i - 31 AS i, (close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0) AS z FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
 st AS (SELECT symbol, 0::BIGINT AS i, 0 AS s, NULL::DOUBLE AS z FROM (SELECT DISTINCT symbol FROM z) UNION ALL
 SELECT z.symbol, z.i, CASE WHEN z.z IS NULL THEN st.s WHEN st.s = 0 THEN CASE WHEN z.z < -2 THEN 1 WHEN z.z > 2 THEN -1 ELSE 0 END WHEN st.s = 1 AND z.z > 0.5 THEN 0 WHEN st.s = -1 AND z.z < -0.5 THEN 0 ELSE st.s END, z.z FROM st JOIN z ON z.symbol = st.symbol AND z.i = st.i + 1)"""
@@ -296,6 +327,11 @@ def signal_breakout(spark: SparkSession, d: str) -> DataFrame:
     return rounded(strategies.get("volatility_breakout").signals(hourly(spark, d)).select("symbol", "ts", "direction", "strength"))
 
 
+@query(changed(ORACLE_SQL["signal_breakout"], ("THEN 1 ELSE 0 END AS direction", "THEN 1 WHEN close < m - 2 * s THEN -1 ELSE 0 END AS direction")))
+def signal_breakout_short(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(strategies.get("volatility_breakout", short=True).signals(hourly(spark, d)).select("symbol", "ts", "direction", "strength"))
+
+
 _FOLD = """ac AS (SELECT symbol, 0::BIGINT AS i, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS qty, 0.0::DOUBLE AS dq, 0.0::DOUBLE AS fp, 0 AS ep FROM (SELECT DISTINCT symbol FROM sig) UNION ALL
 SELECT symbol, i, cash - CASE WHEN dq = 0 THEN 0 ELSE dq * fp + fp * abs(dq) * 0.0005 + open * 0.0002 * abs(dq) END, CASE WHEN abs(qty + dq) < 1e-8 THEN 0 ELSE qty + dq END, dq, fp, ep + CASE WHEN dq <> 0 AND qty = 0 THEN 1 ELSE 0 END FROM (
 SELECT symbol, i, cash, qty, ep, open, dq, CASE WHEN dq > 0 THEN open * (1 + 0.0002) WHEN dq < 0 THEN open * (1 - 0.0002) ELSE 0 END AS fp FROM (
@@ -314,6 +350,22 @@ def backtest_equity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(momentum_run(spark, d).select("symbol", "ts", "cash", "qty", "equity"), 3, qty=5)
 
 
+_COST = "CASE WHEN dq <> 0 AND abs(qty + dq) < 1e-8 THEN 0 WHEN dq > 0 THEN (qty * avg_cost + dq * fp) / (qty + dq) ELSE avg_cost END"
+_POSITIONS = changed(
+    _BACKTEST,
+    ("0.0::DOUBLE AS dq,", "0.0::DOUBLE AS avg_cost, 0.0::DOUBLE AS dq,"),
+    ("qty + dq END, dq, fp,", f"qty + dq END, {_COST}, dq, fp,"),
+    ("cash, qty, ep, open", "cash, qty, avg_cost, ep, open"),
+    ("ac.qty, ac.ep, s.open", "ac.qty, ac.avg_cost, ac.ep, s.open"),
+    ("ac.qty, dq, fp", "ac.qty, ac.avg_cost, dq, fp"),
+)
+
+
+@query(f"{_POSITIONS} SELECT symbol, ts, round(qty, 5) + 0.0 AS qty, round(avg_cost, 3) + 0.0 AS avg_cost, round(qty * (close - avg_cost), 3) + 0.0 AS unrealised FROM run")
+def backtest_positions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(momentum_run(spark, d).select("symbol", "ts", "qty", "avg_cost", "unrealised"), 3, qty=5)
+
+
 @query(f"{_BACKTEST} SELECT symbol, ts, round(cash + CASE WHEN qty = 0 THEN 0 ELSE last_value(qty) OVER (PARTITION BY symbol, ep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END * close, 3) + 0.0 AS equity FROM run")
 def backtest_equity_reference(spark: SparkSession, d: str) -> DataFrame:
     return rounded(momentum_run(spark, d, "reference").select("symbol", "ts", "equity"), 3)
@@ -429,6 +481,37 @@ def param_stability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(walkforward.stability(walkforward.report(hourly(spark, d), "momentum", WF_SPACE, **WF), WF_SPACE), 4)
 
 
+@query(f"""{_WF}, oos AS (SELECT tag.sym AS symbol, eq.ts, eq.r FROM eq JOIN tag USING (symbol) JOIN best USING (sym, wnd, g) WHERE part = 'test' AND eq.r IS NOT NULL)
+SELECT * FROM (WITH {metrics_sql('oos', 'symbol', 'product(1 + r) OVER (PARTITION BY symbol ORDER BY ts)')} SELECT * FROM m)""")
+def walkforward_oos_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of all test parts of a symbol, one after the other."""
+    made, params = _walk(spark, d)
+    chosen = kept(walkforward.select(made, "momentum", params, **WF))
+    return rounded(walkforward.oos_metrics(walkforward.out_of_sample(made, chosen, "momentum", params, **WF)))
+
+
+#: Two hundred sets: their table is joined with the bars, and the plan is that of two sets.
+WF_GRID = {"lookback": list(range(5, 45)), "vol_window": [5, 10, 15, 20, 25]}
+_WF_MANY = changed(
+    _WF,
+    ("grid(g, lookback) AS (VALUES (0, 10), (1, 20))", "grid(g, lookback, vol) AS (SELECT (row_number() OVER (ORDER BY l, v) - 1)::INTEGER, l, v FROM range(5, 45) x(l), (VALUES (5), (10), (15), (20), (25)) y(v))"),
+    ("parts(part, offs, len_) AS (VALUES ('train', 0, 120), ('test', 120, 60))", "parts(part, offs, len_) AS (VALUES ('train', 0, 120))"),
+    ("g, lookback, ts", "g, lookback, vol, ts"),
+    ("CASE WHEN lookback = 10 THEN lag(close, 10) OVER w ELSE lag(close, 20) OVER w END", "lag(close, lookback) OVER w"),
+    ("i - lookback - 1 AS i", "i - greatest(lookback, vol) - 1 AS i"),
+    ("WHERE i > lookback + 1", "WHERE i > greatest(lookback, vol) + 1"),
+)
+
+
+@query(f"""{_WF_MANY} SELECT best.sym AS symbol, best.wnd AS "window", round(sign(best.sharpe_ratio) * ln(1 + abs(best.sharpe_ratio)), 6) + 0.0 AS log_sharpe FROM best""")
+def walkforward_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The best ratio of each window among two hundred sets (as a logarithm: ratios of such prices are large)."""
+    made, _ = _walk(spark, d)
+    best = F.col("is_sharpe")
+    chosen = walkforward.select(made, "momentum", walkforward.grid(WF_GRID), **WF)
+    return rounded(chosen.select("symbol", "window", (F.signum(best) * F.log(1 + F.abs(best))).alias("log_sharpe")))
+
+
 MC = {"sims": 1000, "horizon": 252, "block": 10, "seed": 42}
 SHOCKS = [montecarlo.Shock("crash", -0.10, 1.5), montecarlo.Shock("panic", -0.20, 2.0)]
 
@@ -575,7 +658,13 @@ def vendor_json(spark: SparkSession, d: str) -> DataFrame:
     return rounded(files.parse_vendor_json(texts), 4)
 
 
-@query("SELECT 'A' AS symbol, count(*) AS n, min(d)::TIMESTAMP AS first, max(d)::TIMESTAMP AS last FROM (SELECT unnest(generate_series(DATE '2015-01-01', DATE '2023-12-31', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6")
+@query("""WITH r AS (SELECT o_orderpriority AS symbol, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS z FROM orders GROUP BY 1), d AS (SELECT symbol, unnest(generate_series(a, z, INTERVAL 1 DAY)) AS d FROM r)
+SELECT symbol, count(*) AS n, min(d)::TIMESTAMP AS first, max(d)::TIMESTAMP AS last, 0::BIGINT AS bad FROM d WHERE isodow(d) < 6 GROUP BY symbol""")
 def generated_bars(spark: SparkSession, d: str) -> DataFrame:
-    made = bars.checked(files.generated(spark, {"A": (100.0, 0.08, 0.2)}, "2015-01-01", "2023-12-31"))
-    return made.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    """Walks from the mean price of each priority's orders, over their dates: their days, and bars that break a rule."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderpriority").alias("symbol"))
+    rows = rows.agg(F.avg("o_totalprice").alias("price"), F.lit(0.08).alias("mu"), F.lit(0.2).alias("sigma"), F.min("o_orderdate").cast("date").alias("start"), F.max("o_orderdate").cast("date").alias("end"))
+    made = kept(files.generated_of(rows))
+    counts = made.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    broken = bars.report(made).select("symbol", sum(F.col(c) for c in bars.CHECKS).alias("bad"))
+    return counts.join(broken, "symbol")

@@ -149,7 +149,12 @@ def generated(spark: SparkSession, symbols: dict[str, tuple[float, float, float]
     """Bars of geometric walks on business days, for ``{symbol: (first price, drift, volatility) a year}``. Draws depend
     on seed, symbol and day alone. Prices have two decimals and are 0.01 at least; some days trade three times as much."""
     rows = spark.createDataFrame([(s, *map(float, v)) for s, v in symbols.items()], "symbol string, price double, mu double, sigma double")
-    days = rows.withColumn("day", F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date")))).where(F.dayofweek("day").between(2, 6))
+    return generated_of(rows.withColumns({"start": F.lit(start).cast("date"), "end": F.lit(end).cast("date")}), seed)
+
+
+def generated_of(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """``generated`` bars for a table of ``symbol, price, mu, sigma, start, end``."""
+    days = rows.withColumn("day", F.explode(F.sequence("start", "end"))).where(F.dayofweek("day").between(2, 6))
     uniform = lambda k: (F.pmod(F.xxhash64(F.lit(seed), "symbol", "day", F.lit(k)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
     normal = lambda k: F.sqrt(-2 * F.log(uniform(k))) * F.cos(2 * math.pi * uniform(k + 100))
     dt = 1 / 252
