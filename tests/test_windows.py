@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import orderstat, segments, series
 from tidemark.functions.orderstat import Rolling
+from tidemark.operators import metrics, selection
 
 SCHEMA = "k string, at long, x double, note string"
 
@@ -129,3 +130,29 @@ def test_no_window_of_one_key_in_the_plan(spark):
     plan = segments.rolling(df, ["k"], ["at"], 4, lambda w: {"m": series.rolling_mean(F.col("x"), w, 5)}, 16)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert any("_segment_" in line for line in windows) and all("_segment_" in line or "_n" in line for line in windows)
+
+
+def test_exact_percentiles_by_narrowing_ranges(spark):
+    rng = np.random.default_rng(3)
+    data = {"wide": rng.standard_cauchy(4000), "ties": rng.integers(0, 3, 3000).astype(float), "one": np.array([2.5]), "same": np.full(900, 7.0), None: rng.exponential(size=1500), "two": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([r for k, v in data.items() for r in rows_of(k, v)] + [("none", 0, None, "")], SCHEMA).repartition(6)
+    shares = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    for most, accuracy in ((100_000, 10_000), (40, 10_000), (3, 100)):
+        got = {r.k: r for r in selection.quantiles(df, ["k"], "x", shares, most, accuracy).collect()}
+        assert got.keys() == data.keys()
+        for k, values in data.items():
+            assert all(close(got[k][name], float(np.percentile(values, 100 * q))) for name, q in shares.items()), (k, most)
+    assert selection.quantiles(df.limit(0), ["k"], "x", shares).count() == 0
+
+
+def test_metrics_in_segments_equal_those_in_one_task(spark):
+    rng = np.random.default_rng(6)
+    rows = [r for k in ("a", "b") for r in rows_of(k, rng.normal(0.001, 0.02, 500))] + rows_of("c", [0.01]) + rows_of("d", [0.01, 0.02, 0.03, 0.04])
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = {r.k: r for r in metrics.compute(df, ["k"], order="at", r="x").collect()}
+    for size in (64, 333):
+        for r in metrics.compute(df, ["k"], order=["at"], r="x", segment=size).collect():
+            assert all(close(r[c], whole[r.k][c]) or r[c] == whole[r.k][c] for c in metrics.NAMES), (r, whole[r.k])
+    equity = df.withColumn("e", 100 + F.col("x"))
+    a, b = (sorted(map(tuple, metrics.compute(equity, ["k"], order="at", r="x", equity="e", segment=s).select("k", F.round("max_drawdown", 9)).collect())) for s in (None, 50))
+    assert a == b

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import segments
+from tidemark.operators import selection
+
 # Names of the metrics.
 NAMES = [
     "annualised_return", "annualised_volatility", "sharpe_ratio", "sortino_ratio", "max_drawdown", "calmar_ratio", "hit_rate",
@@ -19,11 +22,16 @@ def _inf() -> Column:
 def with_quantiles(rows: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
     """Adds exact, interpolated percentiles of a column within each key: aggregated once (partly before the shuffle) and
     joined back; null keys are a key."""
-    quantiles = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*[F.percentile(column, F.lit(q)).alias(name) for name, q in shares.items()])
+    return joined(rows, rows.groupBy(*keys).agg(*[F.percentile(column, F.lit(q)).alias(name) for name, q in shares.items()]), keys)
+
+
+def joined(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the facts of their key; null keys are a key."""
+    facts = facts.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return rows.join(quantiles, same, "left").drop(*[f"_k_{k}" for k in keys])
+    return rows.join(facts, same, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def _with_sharpe(sums: DataFrame, risk_free: float, days: int) -> DataFrame:
@@ -43,16 +51,26 @@ def sharpe(series: DataFrame, keys: list[str], *, r: str = "r", risk_free: float
     return _with_sharpe(sums, risk_free, days).select(*keys, F.col("n").alias("n_periods"), "sharpe_ratio")
 
 
-def compute(series: DataFrame, keys: list[str], *, order: str = "ts", r: str = "r", equity: str | None = None, risk_free: float = 0.04, days: int = 252) -> DataFrame:
+def compute(series: DataFrame, keys: list[str], *, order: str = "ts", r: str = "r", equity: str | None = None, risk_free: float = 0.04, days: int = 252, segment: int | None = None) -> DataFrame:
     """All metrics (NAMES) of each key's returns ``r``; drawdown is that of ``equity``, or of the compounded returns.
 
     Null returns are left out. Metrics that too few returns or no variance leave open are 0; Sortino, Calmar and profit
     factor are infinite where there is gain and nothing to divide it by. Percentiles are exact and interpolated.
+    ``segment``: for keys with more rows than a task should hold, the rows of a series that go to a task together;
+    ``order`` may then be a list of columns.
     """
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    level = F.col(equity) if equity else F.product(1 + F.col(r)).over(w)
-    made = series.withColumn("_level", level).withColumn("_top", F.max("_level").over(w))
-    made = with_quantiles(made, keys, r, {f"_q{c}": round(1 - c / 100, 2) for c in (95, 99)})
+    quantiles = {f"_q{c}": round(1 - c / 100, 2) for c in (95, 99)}
+    if segment is None:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        level = F.col(equity) if equity else F.product(1 + F.col(r)).over(w)
+        made = series.withColumn("_level", level).withColumn("_top", F.max("_level").over(w))
+        made = with_quantiles(made, keys, r, quantiles)
+    else:
+        at = [order] if isinstance(order, str) else list(order)
+        made = series.select(*keys, *at, F.col(r), (F.col(equity) if equity else 1 + F.col(r)).alias("_level"))
+        made = made if equity else segments.running(made, keys, at, {"_grown": ("product", "_level")}, segment).drop("_level").withColumnRenamed("_grown", "_level")
+        made = segments.running(made, keys, at, {"_top": ("max", "_level")}, segment)
+        made = joined(made, selection.quantiles(made, keys, r, quantiles, segment), keys)
     x = F.col(r)
     sums = made.groupBy(*keys).agg(
         F.count(x).alias("n"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import orderstat, segments, series
-from tidemark.operators import bars, engine, features, metrics, montecarlo, risk, strategies, walkforward
+from tidemark.operators import bars, engine, features, metrics, montecarlo, risk, selection, strategies, walkforward
 from tidemark.plans import service
 from tidemark.plans.tables import fresh_path, kept
 from tidemark.sources import files, store
@@ -278,6 +278,18 @@ def metrics_all(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.compute(book, ["book"]))
 
 
+@query(f"WITH {_TICKS} SELECT 'all' AS book, {', '.join(f'round(quantile_cont(value, {q}), 6) + 0.0 AS p{round(100 * q)}' for q in (0.01, 0.25, 0.5, 0.9, 0.99))} FROM t")
+def ticks_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(selection.quantiles(ticks(spark, d), ["book"], "value", {f"p{round(100 * q)}": q for q in (0.01, 0.25, 0.5, 0.9, 0.99)}, most=500))
+
+
+@query(f"""WITH {_TICKS}, tr AS (SELECT 'all' AS book, i AS ts, (value - 100) / 100000 AS r FROM t), {metrics_sql('tr', 'book', 'product(1 + r) OVER (PARTITION BY book ORDER BY ts)')} SELECT * FROM m""")
+def ticks_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """All metrics of one long book, whose rows are dealt out in segments."""
+    made = ticks(spark, d).withColumn("r", (F.col("value") - 100) / 100000)
+    return rounded(metrics.compute(made, ["book"], order=["ts", "event_id"], segment=TICK_ROWS))
+
+
 _MA = f"""{ema_sql('a', 'n', 'close', '(2.0::DOUBLE / 21)')}, {ema_sql('b', 'n', 'close', '(2.0::DOUBLE / 51)')},
 x AS (SELECT symbol, ts, i, a.y AS f, b.y AS s, lag(a.y) OVER w AS pf, lag(b.y) OVER w AS ps FROM a JOIN b USING (symbol, i) JOIN n USING (symbol, i) WINDOW w AS (PARTITION BY symbol ORDER BY i)),
 ev AS (SELECT *, CASE WHEN pf <= ps AND f > s THEN 1 WHEN pf >= ps AND f < s THEN 0 END AS e FROM x WHERE i > 51)"""
