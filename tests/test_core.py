@@ -224,6 +224,29 @@ def test_beta_and_correlation(spark):
     assert risk.report(returns(spark, [0.1] * 4)).count() == 0
 
 
+def test_correlations_by_tiles(spark, monkeypatch):
+    """More series than a tile has, some that don't vary, over several tasks and blocks of times."""
+    rng = np.random.default_rng(2)
+    values = rng.normal(size=(11, 70))
+    values[3] = 0.5 * values[0] + 0.1 * values[3]
+    values[7] = 4.0
+    rows = [(f"s{k:02d}", datetime(2024, 1, 1) + timedelta(i), float(x)) for k, row in enumerate(values) for i, x in enumerate(row)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, r double").repartition(5)
+    monkeypatch.setattr(risk, "TIMES", 16)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        want = np.corrcoef(values)
+    for tile in (None, 4, 11, 1):
+        got = {(r.a, r.b): r.corr for r in risk.products(df, "series_id", tile).collect()}
+        assert len(got) == 121
+        for i in range(11):
+            for j in range(11):
+                c = got[f"s{i:02d}", f"s{j:02d}"]
+                assert (c is None) if 7 in (i, j) else math.isclose(c, want[i, j], abs_tol=1e-9), (i, j, tile)
+    many = spark.range(300).select(F.concat(F.lit("k"), "id").alias("series_id"), F.explode(F.expr("sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-02-09', interval 1 day)")).alias("ts")).withColumn("r", (F.pmod(F.xxhash64("series_id", "ts"), F.lit(1000)) / 1000))
+    made = risk.correlation(many)
+    assert made.count() == 90_000 and made.where("a = b").agg(F.min("corr")).first()[0] > 0.999999
+
+
 def kendall(x, y):
     s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(len(x)) for j in range(i))
     return s / (len(x) * (len(x) - 1) / 2)
