@@ -3,6 +3,7 @@
 import dataclasses
 import json
 import math
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -503,6 +504,32 @@ def test_live_bars_and_portfolio(spark, tmp_path, made):
     assert len(out) > 20 and all(r.low <= r.open <= r.high and r.low <= r.close <= r.high for r in out)
 
 
+def test_a_live_strategy_equals_the_batch(spark, tmp_path):
+    """Bars in any order within the lateness, over several micro-batches and symbols; those behind it don't count."""
+    df = pd.concat([frame(150, 4, "X"), frame(120, 5, "Y")])
+    rule = strategies.MovingAverageCrossover(3, 8, True)
+    want = engine.run(rule.signals(spark.createDataFrame(df, BARS))).toPandas().sort_values(["symbol", "ts"])
+    rng = np.random.default_rng(0)
+    df["come"] = df["ts"] + pd.to_timedelta(rng.integers(0, 4, len(df)), "D")
+    df = df.sort_values("come", kind="stable").drop(columns="come").reset_index(drop=True)
+    end = df["ts"].max()
+    last = pd.DataFrame([("Z", end + pd.Timedelta(days=d), 1.0, 1.0, 1.0, 1.0, 1.0) for d in (30, 60)], columns=df.columns)
+    behind = df.iloc[:1].assign(ts=df["ts"].min() - pd.Timedelta(days=3), close=1e9)
+    parts = [*(df.iloc[k : k + 45] for k in range(0, len(df), 45)), pd.concat([last.iloc[:1], behind]), last.iloc[1:]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, BARS).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/p{k}")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in (tmp_path / f"p{k}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{k:02d}-{f.name}")
+            os.utime(tmp_path / "in" / f"{k:02d}-{f.name}", (1_700_000_000 + k, 1_700_000_000 + k))
+    schema = BARS.replace("timestamp_ntz", "timestamp")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = live.crossover(stream, rule, late="5 days").writeStream.format("memory").queryName("crossings").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.table("crossings").where("symbol <> 'Z'").toPandas().sort_values(["symbol", "ts"])
+    assert len(got) == len(want) and list(got.symbol) == list(want.symbol) and np.allclose(got.direction, want.direction) and np.allclose(got.equity, want.equity) and np.allclose(got.qty, want.qty)
+
+
 def test_errors_of_the_service(spark, made):
     service = Service(Settings(n_sims=100, horizon=20))
     with pytest.raises(errors.InsufficientDataError):

@@ -1,4 +1,4 @@
-"""Bars and running portfolios of live streams."""
+"""Bars, running portfolios and running strategies of live streams."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tidemark.operators import engine
+from tidemark.operators import engine, strategies
 
 
 def bars(ticks: DataFrame, symbol: str, ts: str, price: str, interval: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -20,21 +21,82 @@ def bars(ticks: DataFrame, symbol: str, ts: str, price: str, interval: str = "1
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+class _Run:
+    """The account of one symbol and, with a rule, the rule's averages, as numbers that a state store keeps."""
+
+    def __init__(self, costs: engine.Costs, rule: strategies.MovingAverageCrossover | None, kept: list[float] | None):
+        self.account, self.rule, self.signals, self.i = engine.Accounts(costs), rule, strategies._Crossings(), 0
+        self.account.grow(1)
+        self.signals.grow(1)
+        if kept:
+            n = len(self.account.FIELDS)
+            for f, v in zip(self.account.FIELDS, kept[:n], strict=True):
+                getattr(self.account, f)[0] = v
+            self.signals.state[:, 0], self.i = kept[n:-1], int(kept[-1])
+
+    def numbers(self) -> list[float]:
+        return [*(float(getattr(self.account, f)[0]) for f in self.account.FIELDS), *self.signals.state[:, 0].tolist(), float(self.i)]
+
+    def step(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """What each bar leaves, of those that have a signal."""
+        slot, at, out, keep = np.zeros(1, np.int64), {name: k for k, (name, _) in enumerate(engine._ADDED)}, [], []
+        one = lambda x: np.array([x], np.float64)
+        for k, r in enumerate(rows.itertuples(index=False)):
+            if self.rule is None:
+                direction = one(r.direction)
+            else:
+                direction, _ = self.signals.step(slot, one(r.close), one(self.i), *(one(getattr(self.rule, c)) for c in ("fast", "slow", "short")))
+                self.i += 1
+                if self.i <= self.rule.needs():
+                    continue
+            made = self.account.step(slot, direction, one(r.open), one(r.close))
+            out.append([direction[0], *(made[at[c]][0] for c in ("cash", "qty", "equity"))])
+            keep.append(k)
+        made = pd.DataFrame(out, columns=["direction", "cash", "qty", "equity"], dtype=np.float64)
+        return pd.concat([rows[["ts"]].iloc[keep].reset_index(drop=True), made], axis=1)
+
+
+_OUT = "symbol string, ts timestamp, direction double, cash double, qty double, equity double"
+_KEPT = "numbers array<double>, ts array<timestamp>, open array<double>, close array<double>"
+
+
 def portfolio(signals: DataFrame, costs: engine.Costs = engine.Costs()) -> DataFrame:  # noqa: B008
     """Cash, position and equity after each bar of a stream of ``symbol, ts, open, close, direction``; the account of a
     symbol is kept in the state store. Bars of one micro-batch are taken in the order of time."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        account = engine.Accounts(costs)
-        account.grow(1)
-        if state.exists:
-            for f, v in zip(account.FIELDS, state.get, strict=True):
-                getattr(account, f)[0] = v
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        slot, x = np.zeros(1, np.int64), rows[["direction", "open", "close"]].to_numpy(np.float64)
-        made = np.array([np.concatenate(account.step(slot, *bar.reshape(3, 1))) for bar in x])
-        state.update(tuple(float(getattr(account, f)[0]) for f in account.FIELDS))
-        at = {name: k for k, (name, _) in enumerate(engine._ADDED)}
-        yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"], **{c: made[:, at[c]] for c in ("cash", "qty", "equity")}})
-
-    return signals.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, cash double, qty double, equity double", ", ".join(f"{f} double" for f in engine.Accounts.FIELDS), "append", "NoTimeout")
+        run = _Run(costs, None, list(state.get[0]) if state.exists else None)
+        made = run.step(pd.concat(list(batches)).sort_values("ts", kind="stable"))
+        state.update((run.numbers(), [], [], []))
+        made.insert(0, "symbol", key[0])
+        yield made
+
+    return signals.groupBy("symbol").applyInPandasWithState(step, _OUT, _KEPT, "append", GroupStateTimeout.NoTimeout)
+
+
+def crossover(bars_: DataFrame, rule: strategies.MovingAverageCrossover = strategies.MovingAverageCrossover(), costs: engine.Costs = engine.Costs(), late: str = "2 hours") -> DataFrame:  # noqa: B008
+    """The moving average crossover and its account on a stream of bars, as a batch of the same bars gives them.
+
+    Bars wait in the state store until the watermark, which stays ``late`` behind the latest bar, has passed them, and then
+    are taken in the order of time, in whatever order they came; a timer gives out those after which nothing comes. Bars that
+    come behind the watermark are dropped. What is kept of a symbol are its averages, its account and the waiting bars.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        numbers, *waiting = state.get if state.exists else (None, [], [], [])
+        held = pd.DataFrame(dict(zip(("ts", "open", "close"), waiting, strict=True)))
+        passed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        new = [b[["ts", "open", "close"]] for b in batches] if not state.hasTimedOut else []
+        rows = pd.concat([x for x in (held, *new) if len(x)] or [held]).astype({"ts": "datetime64[ns]", "open": float, "close": float})
+        rows = rows.sort_values("ts", kind="stable")
+        due, wait = rows[rows["ts"] < passed], rows[rows["ts"] >= passed]
+        run = _Run(costs, rule, list(numbers) if numbers is not None else None)
+        made = run.step(due)
+        state.update((run.numbers(), [t.to_pydatetime() for t in wait["ts"]], wait["open"].tolist(), wait["close"].tolist()))
+        if len(wait):
+            state.setTimeoutTimestamp(int(wait["ts"].iloc[0].value // 1_000_000) + 1)
+        made.insert(0, "symbol", key[0])
+        yield made
+
+    watched = bars_.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return watched.groupBy("symbol").applyInPandasWithState(step, _OUT, _KEPT, "append", GroupStateTimeout.EventTimeTimeout)
