@@ -1,7 +1,7 @@
 """Benchmark decontamination: sparse word suffix arrays of the documents, searched for every suffix of every test item.
 
-The test items are hashed word by word and written as blocks in the shared folder; a task that holds a shard of
-documents maps one block at a time, so neither side has to fit in memory. For a block, the shard's suffix array has
+The test items are hashed word by word and written as blocks in the shared folder; a task takes a batch of documents as
+shards and maps one block after the other for it, so neither side has to fit in memory. For a block, the shard's suffix array has
 the suffixes whose first word pair occurs in the block (no other suffix can match two words), in the order of their
 word hashes. All test suffixes are binary-searched in it together, word by word; what is left of a suffix's range
 after ``window`` words are its verbatim occurrences, which are then extended to the longest match.
@@ -10,6 +10,7 @@ after ``window`` words are its verbatim occurrences, which are then extended to
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -26,6 +27,8 @@ WINDOW = 13
 #: Bytes of text in a shard of documents, and in a block of test items; a longer text stands alone, whole.
 SHARD_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
 _LEAD_BITS = 22
+#: Words of the items of a block, at most (or those of one file).
+BLOCK_WORDS = 1 << 20
 #: Blocks that a task holds at once, each some 100 MB at most.
 HELD_BLOCKS = 2
 _MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_pos", pa.int64()), ("doc_pos", pa.int64()), ("length", pa.int64())]))
@@ -46,19 +49,21 @@ def _block_writer(folder: str) -> Callable:
                     with common.open_out(f"{name}.{kind}") as f:
                         f.write(values.tobytes())
                 with common.open_out(f"{name}.ids") as f:
-                    f.write("\0".join(ids[lo:hi]).encode())
-                yield pa.RecordBatch.from_pydict({"file": [name]})
+                    f.write(json.dumps(ids[lo:hi]).encode())
+                yield pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([len(starts)], pa.int64())})
 
     return write
 
 
 class Block:
-    """Hashed items, mapped from a written block."""
-
-    def __init__(self, name: str, window: int):
-        self.words = np.frombuffer(common.map_in(f"{name}.words"), np.uint64)
-        self.bounds = np.frombuffer(common.map_in(f"{name}.bounds"), np.int64)
-        self.ids = bytes(common.map_in(f"{name}.ids")).decode().split("\0")
+    """Hashed items, mapped from written files."""
+
+    def __init__(self, names: tuple[str, ...], window: int):
+        words, bounds = ([np.frombuffer(common.map_in(f"{name}.{kind}"), dtype) for name in names] for kind, dtype in (("words", np.uint64), ("bounds", np.int64)))
+        before = np.cumsum([0, *map(len, words[:-1])])
+        self.words = np.concatenate(words)
+        self.bounds = np.concatenate([np.zeros(1, np.int64), *(b[1:] + n for b, n in zip(bounds, before, strict=True))])
+        self.ids = [x for name in names for x in json.loads(bytes(common.map_in(f"{name}.ids")))]
         n = np.diff(self.bounds)
         item = np.repeat(np.arange(len(n)), n)
         pos = np.arange(len(self.words))
@@ -136,51 +141,59 @@ def longest(words: np.ndarray, bounds: np.ndarray, block: Block, at: np.ndarray,
     return at, item, pos - block.bounds[item], n
 
 
-def _finder(blocks: list[str], window: int, share: int, text_at: int, only_clean: bool, detail: bool = True) -> Callable:
+class _Shard:
+    """Some texts of a batch as hashed words, and what was found in them."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, first: int, last: int):
+        part, o = data[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
+        starts, ends, self.bounds = textcore.spans(part, o, textcore.BY_LETTER)
+        self.first, self.last, self.words = first, last, textcore.word_hashes(part, starts, ends)
+        self.cover, self.longest = np.zeros(len(self.words) + 1, np.int32), np.zeros(last - first, np.int64)
+        self.items: dict[int, set] = defaultdict(set)
+        self.matches: dict[int, list] = defaultdict(list)
+
+    def search(self, block: Block, listed: bool, detail: bool) -> None:
+        for at, suffix in search(self.words, self.bounds, block) if len(self.words) else ():
+            at, item, pos, n = longest(self.words, self.bounds, block, at, suffix)
+            np.add.at(self.cover, at, 1)
+            np.add.at(self.cover, at + n, -1)
+            doc = np.searchsorted(self.bounds, at, "right") - 1
+            np.maximum.at(self.longest, doc, n)
+            if listed:
+                for d, i in zip(*np.unique(np.stack([doc, item]), axis=1).tolist(), strict=True):
+                    self.items[d].add(block.ids[i])
+            if detail:
+                for d, i, p, a, m in zip(doc.tolist(), item.tolist(), pos.tolist(), (at - self.bounds[doc]).tolist(), n.tolist(), strict=True):
+                    self.matches[d].append({"item_id": block.ids[i], "item_pos": p, "doc_pos": a, "length": m})
+
+
+def _finder(blocks: list[tuple[str, ...]], window: int, share: int, text_at: int, only_clean: bool, detail: bool = True) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load = lru_cache(HELD_BLOCKS)(lambda name: Block(name, window))
+        load = lru_cache(HELD_BLOCKS)(lambda names: Block(names, window))
         for batch in batches:
             data, offs = textcore.buffers(batch.column(text_at))
-            for first, last in textcore.chunks(offs, SHARD_BYTES):
-                part, o = data[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
-                starts, ends, bounds = textcore.spans(part, o, textcore.BY_LETTER)
-                words = textcore.word_hashes(part, starts, ends)
-                cover = np.zeros(len(words) + 1, np.int64)
-                items: dict[int, set] = defaultdict(set)
-                matches: dict[int, list] = defaultdict(list)
-                greatest = np.zeros(last - first, np.int64)
-                for name in blocks if len(words) else []:
-                    block = load(name)
-                    for at, suffix in search(words, bounds, block):
-                        at, item, pos, n = longest(words, bounds, block, at, suffix)
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + n, -1)
-                        doc = np.searchsorted(bounds, at, "right") - 1
-                        np.maximum.at(greatest, doc, n)
-                        if only_clean:
-                            continue
-                        for d, i in zip(*np.unique(np.stack([doc, item]), axis=1).tolist(), strict=True):
-                            items[d].add(block.ids[i])
-                        if detail:
-                            for d, i, p, a, m in zip(doc.tolist(), item.tolist(), pos.tolist(), (at - bounds[doc]).tolist(), n.tolist(), strict=True):
-                                matches[d].append({"item_id": block.ids[i], "item_pos": p, "doc_pos": a, "length": m})
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
-                n_words, n_hit = np.diff(bounds), hit[bounds[1:]] - hit[bounds[:-1]]
+            shards = [_Shard(data, offs, first, last) for first, last in textcore.chunks(offs, SHARD_BYTES)]
+            for names in blocks:  # each is read once for a batch
+                for shard in shards:
+                    shard.search(load(names), not only_clean, detail and not only_clean)
+            for s in shards:
+                hit = np.concatenate([[0], np.cumsum(np.cumsum(s.cover[:-1]) > 0)])
+                n_words, n_hit, rows = np.diff(s.bounds), hit[s.bounds[1:]] - hit[s.bounds[:-1]], batch.slice(s.first, s.last - s.first)
                 contaminated = (n_hit > 0) & (share * n_hit >= n_words)
                 if only_clean:
-                    yield batch.slice(first, last - first).filter(pa.array(~contaminated))
+                    yield rows.filter(pa.array(~contaminated))
                     continue
-                docs = range(last - first)
+                docs = range(s.last - s.first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, last - first),
+                        rows.column(0),
                         pa.array(n_words, pa.int64()),
                         pa.array(n_hit, pa.int64()),
-                        pa.array([len(items.get(d, ())) for d in docs], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(sorted(items.get(d, ()))).encode()).hexdigest() for d in docs], pa.string()),
+                        pa.array([len(s.items.get(d, ())) for d in docs], pa.int64()),
+                        pa.array([hashlib.sha256(",".join(sorted(s.items.get(d, ()))).encode()).hexdigest() for d in docs], pa.string()),
                         pa.array(contaminated),
-                        pa.array(greatest),
-                        pa.array([matches.get(d, []) if detail else None for d in docs], _MATCHES),
+                        pa.array(s.longest),
+                        pa.array([s.matches.get(d, []) if detail else None for d in docs], _MATCHES),
                     ],
                     names=["key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "matches"],
                 )
@@ -188,11 +201,18 @@ def _finder(blocks: list[str], window: int, share: int, text_at: int, only_clean
     return find
 
 
-def _write_blocks(spark: SparkSession, items: DataFrame, item_key: str, item_text: str) -> list[str]:
+def _write_blocks(spark: SparkSession, items: DataFrame, item_key: str, item_text: str) -> list[tuple[str, ...]]:
+    """Files of items, put together to blocks of some BLOCK_WORDS words (a file has up to 4 MB of text)."""
     folder = common.shared_dir(spark)
     tests = items.select(F.col(item_key).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
-    blocks = common.written(tests.mapInArrow(_block_writer(folder), "file string"), f"{folder}/blocks.parquet")
-    return sorted(r.file for r in blocks.collect())  # one name for each block of up to 4 MB of items
+    files = common.written(tests.mapInArrow(_block_writer(folder), "file string, n long"), f"{folder}/blocks.parquet")
+    out, n = [], 0
+    for r in files.orderBy("file").collect():  # one name for each file
+        if not out or n + r.n > BLOCK_WORDS:
+            out, n = [*out, ()], 0
+        out[-1] += (r.file,)
+        n += r.n
+    return out
 
 
 def find_matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20, detail: bool = True) -> DataFrame:

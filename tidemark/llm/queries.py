@@ -48,7 +48,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), detail=False).drop("matches", "longest")
+    return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), detail=False).drop("matches")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,11 +134,14 @@ ORACLE_SQL = {
         dw AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
         dt AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS t FROM dw, sizes WHERE i + n - 1 <= len(w)),
         found AS (SELECT doc_id, i, n, item_id FROM dt JOIN windows USING (n, t)),
+        same AS (SELECT doc_id, i, item_id, j FROM found JOIN (SELECT item_id, i AS j, least(n, 13) AS m, array_to_string(w[i : i + least(n, 13) - 1], ' ') AS u FROM bw) USING (item_id) JOIN dt USING (doc_id, i, n) WHERE dt.t = u AND m = n),
+        steps AS (SELECT doc_id, item_id, i - j AS k, i, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS g FROM (SELECT DISTINCT * FROM same)),
+        runs AS (SELECT doc_id, max(length) AS longest FROM (SELECT doc_id, count(*) - 1 + any_value(least(n, 13)) AS length FROM steps JOIN (SELECT item_id, any_value(n) AS n FROM bw GROUP BY item_id) USING (item_id) GROUP BY doc_id, item_id, k, g) GROUP BY doc_id),
         hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS k FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM found) GROUP BY doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(k, '')) AS items_sha256,
-               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest, 0)::BIGINT AS longest
+        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN runs USING (doc_id)
     """,
     "op10_mixing": r"""
         WITH doms(domain, domain_weight, lo, hi) AS (VALUES ('web', 50, 0, 9), ('books', 30, 10, 14), ('forums', 20, 15, 19)),
