@@ -77,35 +77,53 @@ def fill(bars: DataFrame, how: str = "ffill") -> DataFrame:
 
 
 #: Checks in the order in which the first that fails is raised.
-CHECKS = ["duplicate_rows", "high_too_low", "low_too_high", "negative_values", "empty_rows"]
+CHECKS = ["unsorted_rows", "duplicate_rows", "high_too_low", "low_too_high", "negative_values", "empty_rows"]
 
 
-def report(bars: DataFrame, jump: float = 0.5) -> DataFrame:
-    """One row for each symbol: rows, violations by check, and closes that moved by more than ``jump`` (a warning)."""
+def report(bars: DataFrame, jump: float = 0.5, max_gap_days: float = 5, place: str | None = None) -> DataFrame:
+    """One row for each symbol: rows, violations by check, and, as warnings, closes that moved by more than ``jump`` and times
+    that are more than ``max_gap_days`` after the ones before them. Rows of a DataFrame have no order of their own; where
+    ``place`` names a column with each row's place in what was read, rows whose time is before that of the row at the place
+    before are counted as unsorted (else none)."""
     w = Window.partitionBy("symbol").orderBy("ts")
     step = F.abs(F.col("close") / F.nullif(F.lag("close").over(w), F.lit(0.0)) - 1)
+    gap = F.col("ts") - F.lag("ts").over(w) > F.make_dt_interval(secs=F.lit(max_gap_days * 86400))
     again = F.row_number().over(Window.partitionBy("symbol", "ts").orderBy("ts")) > 1
-    seen = bars.withColumn("_step", step).withColumn("_again", again)
+    back = F.col("ts") < F.lag("ts").over(Window.partitionBy("symbol").orderBy(place)) if place else F.lit(False)
+    seen = bars.withColumns({"_step": step, "_gap": gap, "_again": again, "_back": back})
     negative = F.lit(False)
     for c in [*PRICES, "volume"]:
         negative = negative | F.coalesce(F.col(c) < 0, F.lit(False))
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return seen.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_rows"),
+        count(F.col("_back")).alias("unsorted_rows"),
         count(F.col("_again")).alias("duplicate_rows"),
         count(F.col("high") < F.greatest("open", "close")).alias("high_too_low"),
         count(F.col("low") > F.least("open", "close")).alias("low_too_high"),
         count(negative).alias("negative_values"),
         count(F.coalesce(*PRICES).isNull()).alias("empty_rows"),
         count(F.col("_step") > jump).alias("jumps"),
+        count(F.col("_gap")).alias("gaps"),
     )
 
 
-def checked(bars: DataFrame) -> DataFrame:
+def zone_warnings(bars: DataFrame) -> list[str]:
+    """What may be wrong with the times of bars: they are times of UTC without a zone, so a column with one is read by the
+    session's zone, which should then be UTC; a text or a date is no time."""
+    kind, zone = dict(bars.dtypes)["ts"], bars.sparkSession.conf.get("spark.sql.session.timeZone")
+    if kind == "timestamp_ntz":
+        return []
+    if kind == "timestamp":
+        return [] if zone in ("UTC", "Etc/UTC", "GMT", "+00:00") else [f"ts has a zone and the session's is {zone}"]
+    return [f"ts is a {kind}"]
+
+
+def checked(bars: DataFrame, place: str | None = None) -> DataFrame:
     """``bars``, or DataIntegrityError with the first check that fails and its count."""
     if lost := [c for c in COLUMNS if c not in bars.columns]:
         raise DataIntegrityError(f"missing columns: {lost}")
-    totals = report(bars).agg(*[F.sum(c).alias(c) for c in CHECKS]).first()
+    totals = report(bars, place=place).agg(*[F.sum(c).alias(c) for c in CHECKS]).first()
     for c in CHECKS:
         if totals[c]:
             raise DataIntegrityError(f"{c.replace('_', ' ')}: {totals[c]}")

@@ -14,7 +14,7 @@ from tidemark.functions import orderstat, segments, series
 from tidemark.operators import bars, engine, features, metrics, montecarlo, risk, selection, strategies, walkforward
 from tidemark.plans import service
 from tidemark.plans.tables import fresh_path, kept
-from tidemark.sources import files, store
+from tidemark.sources import files, formats, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,7 +119,15 @@ def bars_15min(spark: SparkSession, d: str) -> DataFrame:
 SELECT symbol, count(*) AS n_rows, count(*) FILTER (again > 1) AS duplicate_rows, count(*) FILTER (high < greatest(open, close)) AS high_too_low, count(*) FILTER (low > least(open, close)) AS low_too_high,
 count(*) FILTER (least(open, high, low, close, volume) < 0) AS negative_values, count(*) FILTER (coalesce(open, high, low, close) IS NULL) AS empty_rows, count(*) FILTER (step > 0.5) AS jumps FROM w GROUP BY symbol""")
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
-    return bars.report(hourly(spark, d))
+    return bars.report(hourly(spark, d)).drop("unsorted_rows", "gaps")
+
+
+@query("""WITH w AS (SELECT event_type AS symbol, ts < lag(ts) OVER (PARTITION BY event_type ORDER BY event_id) AS back, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) > INTERVAL 1728 SECOND AS gap FROM events)
+SELECT symbol, count(*) AS n_rows, count(*) FILTER (back) AS unsorted_rows, count(*) FILTER (gap) AS gaps FROM w GROUP BY symbol""")
+def order_and_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Single prices as bars in the order of their ids: those before the time of the one before, and gaps of over 28.8 minutes."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("symbol"), "ts", *[F.col("value").alias(c) for c in [*bars.PRICES, "volume"]], "event_id")
+    return bars.report(rows, max_gap_days=0.02, place="event_id").select("symbol", "n_rows", "unsorted_rows", "gaps")
 
 
 @query(f"""WITH {HOURLY}, {GAPS} SELECT symbol, ts, {", ".join(f"round(coalesce(last_value({c} IGNORE NULLS) OVER b, first_value({c} IGNORE NULLS) OVER f), 4) + 0.0 AS {c}" for c in [*bars.PRICES, "volume"])}
@@ -502,6 +510,23 @@ def walkforward_oos_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(walkforward.oos_metrics(walkforward.out_of_sample(made, chosen, "momentum", params, **WF)))
 
 
+#: The train part gives the 21 bars that the larger set needs; all bars of a test part are run.
+_WF_WARM = changed(
+    _WF,
+    ("('test', 120, 60)", "('test', 99, 81)"),
+    ("i - lookback - 1 AS i, open", "i - CASE WHEN part = 'test' THEN 21 ELSE lookback + 1 END AS i, open"),
+    ("WHERE i > lookback + 1", "WHERE i > CASE WHEN part = 'test' THEN 21 ELSE lookback + 1 END"),
+)
+
+
+@query(f"""{_WF_WARM} SELECT tag.sym AS symbol, tag.wnd AS "window", tag.g AS grid, eq.ts, round(equity, 3) + 0.0 AS equity FROM eq JOIN tag USING (symbol) JOIN best USING (sym, wnd, g) WHERE part = 'test'""")
+def walkforward_warm(spark: SparkSession, d: str) -> DataFrame:
+    """Test parts that start with the history that the train part has."""
+    made, params = _walk(spark, d)
+    chosen = kept(walkforward.select(made, "momentum", params, **WF))
+    return rounded(walkforward.out_of_sample(made, chosen, "momentum", params, warm_start=True, **WF).select("symbol", "window", "grid", "ts", "equity"), 3)
+
+
 #: Two hundred sets: their table is joined with the bars, and the plan is that of two sets.
 WF_GRID = {"lookback": list(range(5, 45)), "vol_window": [5, 10, 15, 20, 25]}
 _WF_MANY = changed(
@@ -670,6 +695,33 @@ def vendor_json(spark: SparkSession, d: str) -> DataFrame:
     return rounded(files.parse_vendor_json(texts), 4)
 
 
+@query(f"""WITH {HOURLY}, f AS (SELECT *, CASE WHEN close = 0 THEN 1 ELSE 0.5::DOUBLE END AS f FROM hourly)
+SELECT symbol, ts, round(open * f, 4) + 0.0 AS open, round(high * f, 4) + 0.0 AS high, round(low * f, 4) + 0.0 AS low, round(close * f, 4) + 0.0 AS close, NULL::DOUBLE AS volume FROM f""")
+def vendor_json_scaled(spark: SparkSession, d: str) -> DataFrame:
+    """Answers in which the adjusted close is half of the close: all prices are halved."""
+    cells = F.map_from_entries(F.array(*[F.struct(F.lit(f"{k}. {c}"), x.cast("string")) for k, (c, x) in enumerate([*((c, F.col(c)) for c in bars.PRICES), ("adjusted close", F.col("close") * 0.5)], 1)]))
+    member = F.map_from_entries(F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), cells)))
+    texts = hourly(spark, d).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.to_json(F.struct(member.alias("Time Series (60min)"))).alias("body"))
+    return rounded(files.parse_vendor_json(texts, scaled=True), 4)
+
+
+@query(f"WITH {HOURLY} SELECT upper(symbol) AS symbol, ts, round(open, 4) + 0.0 AS open, round(high, 4) + 0.0 AS high, round(low, 4) + 0.0 AS low, round(close, 4) + 0.0 AS close, round(volume, 4) + 0.0 AS volume, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS place FROM hourly")
+def csv_format(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars written as a folder of CSV files, a file for each symbol, and read again by the format."""
+    path = fresh_path(spark)
+    formats.write_csv(hourly(spark, d), path)
+    return rounded(formats.csv_bars(spark, path), 4)
+
+
+@query(minutes_sql(60))
+def bars_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Hours that are kept up to date while the minutes come in three batches, each with minutes of all hours."""
+    held, minutes = store.Store(spark, fresh_path(spark)), kept(minutely(spark, d))
+    for k in range(3):
+        held.add(minutes.where(F.pmod(F.xxhash64("symbol", "ts"), F.lit(3)) == k), "1min", ["1h"])
+    return rounded(held.made_bars("1h"), 4)
+
+
 @query("""WITH r AS (SELECT o_orderpriority AS symbol, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS z FROM orders GROUP BY 1), d AS (SELECT symbol, unnest(generate_series(a, z, INTERVAL 1 DAY)) AS d FROM r)
 SELECT symbol, count(*) AS n, min(d)::TIMESTAMP AS first, max(d)::TIMESTAMP AS last, 0::BIGINT AS bad FROM d WHERE isodow(d) < 6 GROUP BY symbol""")
 def generated_bars(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import math
 import time
-import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import IngestionError
 from tidemark.operators import bars
+from tidemark.plans.tables import kept
 
 # Column names that files use for those of bars. An adjusted close wins over a plain one.
 ALIASES = {
@@ -96,50 +96,84 @@ class CsvFolder:
         return bars.checked(made if interval == DAILY_ONLY else bars.resample(made, interval))
 
 
-def parse_vendor_json(texts: DataFrame, column: str = "body", symbol: str = "symbol") -> DataFrame:
+def parse_vendor_json(texts: DataFrame, column: str = "body", symbol: str = "symbol", scaled: bool = False) -> DataFrame:
     """Bars of vendor answers (one JSON text a row): the first member whose name begins with "Time Series" maps times
-    to fields such as "4. close". An adjusted close wins. Answers without such a member give no rows."""
+    to fields such as "4. close". An adjusted close wins. Answers without such a member give no rows.
+
+    An adjusted close beside prices that are not adjusted may lie outside of low and high after a split or a dividend, and
+    then fails the checks. ``scaled`` adjusts the other prices by the same factor, adjusted close over close (as they are
+    where one of these is missing, or the close is zero)."""
     members = F.from_json(column, "map<string,string>")
     series = F.element_at(F.map_values(F.map_filter(members, lambda k, _: k.startswith("Time Series"))), 1)
     rows = texts.where(F.size(F.map_filter(members, lambda k, _: k.startswith("Time Series"))) > 0).select(F.col(symbol).alias("symbol"), F.explode(F.from_json(series, "map<string,map<string,string>>")).alias("at", "fields"))
     named = F.transform_keys("fields", lambda k, _: F.lower(F.trim(F.regexp_replace(k, r"^[^.]*\.", ""))))
     rows = rows.withColumn("f", named)
     get = lambda *names: F.coalesce(*[F.try_element_at("f", F.lit(n)) for n in names]).try_cast("double")
-    return rows.select("symbol", F.col("at").cast("timestamp_ntz").alias("ts"), get("open").alias("open"), get("high").alias("high"), get("low").alias("low"), get("adjusted close", "close").alias("close"), get("volume").alias("volume"))
+    factor = F.coalesce(get("adjusted close") / F.nullif(get("close"), F.lit(0.0)), F.lit(1.0)) if scaled else F.lit(1.0)
+    prices = [(get(c) * factor if scaled else get(c)).alias(c) for c in ("open", "high", "low")]
+    return rows.select("symbol", F.col("at").cast("timestamp_ntz").alias("ts"), *prices, get("adjusted close", "close").alias("close"), get("volume").alias("volume"))
+
+
+ATTEMPTS, WAIT = 3, 2.0
+# What the vendor calls the intervals.
+VENDOR_INTERVALS = {
+    "1d": {"function": "TIME_SERIES_DAILY_ADJUSTED"},
+    "1min": {"function": "TIME_SERIES_INTRADAY", "interval": "1min"},
+    "5min": {"function": "TIME_SERIES_INTRADAY", "interval": "5min"},
+    "15min": {"function": "TIME_SERIES_INTRADAY", "interval": "15min"},
+    "1h": {"function": "TIME_SERIES_INTRADAY", "interval": "60min"},
+}
+
+
+def vendor_params(symbol: str, interval: str, key: str) -> dict:
+    if interval not in VENDOR_INTERVALS:
+        raise IngestionError(f"unknown interval {interval!r}")
+    return VENDOR_INTERVALS[interval] | {"symbol": symbol.upper(), "outputsize": "full", "apikey": key}
+
+
+def _got(url: str) -> str:
+    with urllib.request.urlopen(url, timeout=30) as found:
+        return found.read().decode()
+
+
+def answer(url: str, params: dict, get: Callable[[str], str] = _got, sleep: Callable[[float], None] = time.sleep, wait: float = WAIT) -> str:
+    """The vendor's text. A request without an answer is sent again, ``ATTEMPTS`` times in all; an answer that says that
+    something is wrong is an error at once."""
+    for attempt in range(1, ATTEMPTS + 1):
+        try:
+            text = get(f"{url}?{urllib.parse.urlencode(params)}")
+            break
+        except OSError as e:
+            if attempt == ATTEMPTS:
+                raise IngestionError(f"no answer after {attempt} attempts") from e
+            sleep(wait**attempt)
+    found = json.loads(text)
+    for k in ("Error Message", "Note"):
+        if k in found:
+            raise IngestionError(found[k])
+    return text
 
 
 class VendorHttp:
-    """A vendor's JSON over HTTP, fetched on the driver (one answer a symbol) and parsed by Spark."""
-
-    ATTEMPTS, WAIT = 3, 2.0
-
-    def __init__(self, spark: SparkSession, url: str, key: str, get: Callable[[str], str] | None = None, sleep: Callable[[float], None] = time.sleep):
-        self.spark, self.url, self.key, self.sleep = spark, url, key, sleep
-        self.get = get or (lambda u: urllib.request.urlopen(u, timeout=30).read().decode())
-
-    def _answer(self, params: dict) -> str:
-        address = f"{self.url}?{urllib.parse.urlencode(params | {'apikey': self.key})}"
-        for attempt in range(1, self.ATTEMPTS + 1):
-            try:
-                text = self.get(address)
-            except (OSError, urllib.error.URLError) as e:
-                if attempt == self.ATTEMPTS:
-                    raise IngestionError(f"no answer after {attempt} attempts") from e
-                self.sleep(self.WAIT**attempt)
-                continue
-            found = json.loads(text)
-            for k in ("Error Message", "Note"):
-                if k in found:
-                    raise IngestionError(found[k])
-            return text
-        raise IngestionError("no attempts")
+    """A vendor's JSON over HTTP: each symbol is asked for by a task of its own, once, and parsed by Spark. With a ``get`` of
+    one's own the driver asks. ``scaled`` as in ``parse_vendor_json``."""
+
+    def __init__(self, spark: SparkSession, url: str, key: str, get: Callable[[str], str] | None = None, sleep: Callable[[float], None] = time.sleep, scaled: bool = False):
+        self.spark, self.url, self.key, self.get, self.sleep, self.scaled = spark, url, key, get, sleep, scaled
+
+    def _texts(self, symbols: list[str], interval: str) -> DataFrame:
+        if self.get:
+            texts = [(s.upper(), answer(self.url, vendor_params(s, interval, self.key), self.get, self.sleep)) for s in symbols]
+            return self.spark.createDataFrame(texts, "symbol string, body string")
+        from tidemark.sources import formats  # reads with this module
+
+        formats.register(self.spark)
+        options = {"url": self.url, "key": self.key, "interval": interval, "symbols": ",".join(symbols)}
+        return kept(self.spark.read.format("tidemark_answers").options(**options).load())
 
     def fetch(self, symbols: list[str], start: str | None = None, end: str | None = None, interval: str = "1d") -> DataFrame:
-        kinds = {"1d": {"function": "TIME_SERIES_DAILY_ADJUSTED"}, "1min": {"function": "TIME_SERIES_INTRADAY", "interval": "1min"}, "5min": {"function": "TIME_SERIES_INTRADAY", "interval": "5min"}, "15min": {"function": "TIME_SERIES_INTRADAY", "interval": "15min"}, "1h": {"function": "TIME_SERIES_INTRADAY", "interval": "60min"}}
-        if interval not in kinds:
-            raise IngestionError(f"unknown interval {interval!r}")
-        texts = [(s.upper(), self._answer(kinds[interval] | {"symbol": s.upper(), "outputsize": "full"})) for s in symbols]
-        made = bars.between(parse_vendor_json(self.spark.createDataFrame(texts, "symbol string, body string")), start, end)
+        vendor_params("", interval, "")
+        made = bars.between(parse_vendor_json(self._texts(symbols, interval), scaled=self.scaled), start, end)
         if made.isEmpty():
             raise IngestionError("no bars in the range")
         return bars.checked(made)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +18,7 @@ _ASKED = "interval string, start_at timestamp_ntz, end_at timestamp_ntz, capital
 _RUNS = f"run_id string, strategy string, params string, created_at timestamp_ntz, symbol string, {_ASKED}, " + ", ".join(f"{m} {'long' if m == 'n_periods' else 'double'}" for m in metrics.NAMES)
 SCHEMAS = {
     "ohlcv": "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, interval string",
+    "made_bars": "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, interval string, period string",
     "backtest_runs": _RUNS,
     "fills": "run_id string, symbol string, ts timestamp_ntz, side string, quantity double, fill_price double, commission double, slippage double",
     "equity_curve": "run_id string, symbol string, ts timestamp_ntz, equity double, r double",
@@ -29,7 +30,7 @@ SCHEMAS = {
 LISTED = 1000
 #: A run is a partition of its tables: writing it again puts the same rows in the place of the old ones.
 RUN_TABLES = ("backtest_runs", "fills", "equity_curve", "walkforward_runs", "montecarlo_runs")
-PARTITIONS = {"ohlcv": ["interval", "symbol"], **{t: ["run_id"] for t in RUN_TABLES}}
+PARTITIONS = {"ohlcv": ["interval", "symbol"], "made_bars": ["interval", "symbol", "period"], **{t: ["run_id"] for t in RUN_TABLES}}
 
 
 def _now() -> Column:
@@ -68,7 +69,7 @@ class Store:
         self._rows(name, rows).write.mode("append").partitionBy(*PARTITIONS.get(name, [])).parquet(f"{self.path}/{name}")
 
     def replace_run(self, name: str, rows: DataFrame) -> None:
-        """Puts the rows in the place of those of the same runs."""
+        """Puts the rows in the place of those of the same partitions (runs)."""
         self._rows(name, rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS[name]).parquet(f"{self.path}/{name}")
 
     def upsert_bars(self, new: DataFrame, interval: str = "1d") -> int:
@@ -88,6 +89,43 @@ class Store:
         held = self.table("ohlcv").where((F.col("interval") == interval) & F.col("ts").between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
         return held.where(F.col("symbol").isin(symbols)) if len(symbols) <= LISTED else held
 
+    def add(self, new: DataFrame, interval: str, longer: list[str]) -> int:
+        """Adds bars as ``upsert_bars`` does, and makes those bars of the ``longer`` intervals again that the new ones lie in,
+        whether these come in order or late; returns how many bars were added. Bars of other intervals of time are neither
+        read from the stored ones nor computed. May be called again with the same bars, also after it was interrupted."""
+        new = kept(new)
+        n = self.upsert_bars(new, interval)
+        for i in longer:
+            self.remake(new, interval, i)
+        return n
+
+    def remake(self, new: DataFrame, interval: str, longer: str) -> None:
+        """Makes the longer bars that ``new`` ones lie in from the stored ones. They take the place of the old ones in
+        ``made_bars``, whose partitions are an interval, a symbol and a month (a year, for days and weeks): only
+        partitions with such bars are written, with the bars in them that stay. Called with all stored bars it makes the
+        table anew."""
+        label = bar_ops.interval_start(F.col("ts"), longer)
+        touched = kept(new.select("symbol", label.alias("ts"), _period(label, longer).alias("period")).distinct())
+        first, last = touched.agg(F.min("ts"), F.max("ts")).first()
+        if first is None:
+            return
+        # A label is at most a week from the times that have it; so much more is read, and then left out.
+        near = F.col("ts").between(F.lit(first - timedelta(days=7)).cast("timestamp_ntz"), F.lit(last + timedelta(days=7)).cast("timestamp_ntz"))
+        symbols = [r.symbol for r in touched.select("symbol").distinct().limit(LISTED + 1).collect()]
+        listed = F.col("symbol").isin(symbols) if len(symbols) <= LISTED else F.lit(True)
+        source = self.table("ohlcv").where((F.col("interval") == interval) & listed & near)
+        source = source.withColumn("_label", label)
+        source = source.join(touched.select("symbol", F.col("ts").alias("_label")), ["symbol", "_label"], "left_semi")
+        made = bar_ops.resample(source, longer).withColumns({"interval": F.lit(longer), "period": _period(F.col("ts"), longer)})
+        periods = touched.select("symbol", "period").distinct()
+        held = self.table("made_bars").where((F.col("interval") == longer) & listed).join(periods, ["symbol", "period"], "left_semi")
+        stay = absent(held, touched, ["symbol", "ts"])
+        both = kept(self._rows("made_bars", stay).unionByName(self._rows("made_bars", made)))  # before what it reads is replaced
+        self.replace_run("made_bars", both)
+
+    def made_bars(self, interval: str) -> DataFrame:
+        return self.table("made_bars").where(F.col("interval") == interval).drop("interval", "period")
+
     def bars(self, symbol: str, interval: str = "1d", start: str | None = None, end: str | None = None) -> DataFrame:
         rows = self.table("ohlcv").where((F.col("symbol") == symbol) & (F.col("interval") == interval))
         return bar_ops.between(rows, start, end).drop("interval").orderBy("ts")
@@ -135,6 +173,10 @@ class Store:
         self.append("deleted_runs", self.spark.range(1).select(F.lit(run_id).alias("run_id"), _now().alias("deleted_at")))
 
 
+def _period(ts: Column, interval: str) -> Column:
+    return F.date_format(ts, "yyyy" if interval in ("1d", "1w") else "yyyy-MM")
+
+
 def absent(new: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """The new rows whose keys are not held."""
     return new.join(held.select(*keys), keys, "left_anti")

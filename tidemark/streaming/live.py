@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidemark.operators import engine, strategies
+from tidemark.sources.store import Store
 
 
 def bars(ticks: DataFrame, symbol: str, ts: str, price: str, interval: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -21,6 +23,12 @@ def bars(ticks: DataFrame, symbol: str, ts: str, price: str, interval: str = "1
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+def keep_up_to_date(stream: DataFrame, held: Store, interval: str, longer: list[str]) -> DataStreamWriter:
+    """Writes a stream of bars to the store, and makes the longer bars again that its micro-batches touch, however late their
+    rows are. A batch that is sent again after a failure changes nothing. Set a checkpoint and a trigger, and start it."""
+    return stream.writeStream.foreachBatch(lambda rows, _: held.add(rows, interval, longer) and None)
+
+
 class _Run:
     """The account of one symbol and, with a rule, the rule's averages, as numbers that a state store keeps."""
 
