@@ -486,6 +486,20 @@ def test_nearest_ties_go_by_number():
     assert [sorted(r) for r in quality.nearest(c, 3).tolist()] == [[0, 1, 2], [2, 3, 4]]
 
 
+@pytest.mark.parametrize("piece", [1, 3, 64])
+def test_quality_counts_terms_by_pieces(monkeypatch, piece):
+    rng = np.random.default_rng(0)
+    parts = [bytes(rng.choice(list(b"aB3 \n,x"), k).astype(np.uint8)) for k in (0, 1, 2, 3, 50, 7, 0, 200, 1)]
+    data, offs = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+    whole = quality.term_shares(data, offs)
+    monkeypatch.setattr(textcore, "CHUNK_BYTES", piece)
+    assert (quality.term_shares(data, offs) == whole).all()
+    for p, counts in zip(parts, quality._trigram_counts(data, offs), strict=True):
+        kind = [int(quality._SHAPE[c]) for c in p]
+        terms = [int(quality._TERM[(x * quality._KINDS + y) * quality._KINDS + z]) for x, y, z in zip(kind, kind[1:], kind[2:], strict=False)]
+        assert counts.tolist() == np.bincount(np.array(terms, np.int64), minlength=quality.TRIGRAMS).tolist()
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
 def test_quality_of_held_out_labels(spark):
     """Held-out rows of ``labels``: accuracy and how often a good text scores above a bad one."""

@@ -42,31 +42,49 @@ _KINDS = 64
 _TERM = (textcore.mix(np.arange(_KINDS**3, dtype=np.uint64)) % np.uint64(TRIGRAMS)).astype(np.int64)
 
 
-def _roots(of: np.ndarray, term: np.ndarray, n: int, terms: int) -> np.ndarray:
-    counts = np.bincount(of * terms + term, minlength=n * terms).reshape(n, terms)
+def _roots(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
 
 
+def _trigram_counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How often each text has each trigram, counted by pieces of the bytes."""
+    n, piece = len(offs) - 1, textcore.CHUNK_BYTES
+    counts = np.zeros(n * TRIGRAMS, np.int64)
+    for lo in range(0, len(data) - 2, piece):
+        shape = _SHAPE[data[lo : lo + piece + 2]]
+        term = _TERM[(shape[:-2] * _KINDS + shape[1:-1]) * _KINDS + shape[2:]]
+        of = np.repeat(np.arange(n), np.diff(np.clip(offs, lo, lo + len(shape))))
+        inside = of[:-2] == of[2:]
+        counts += np.bincount(of[:-2][inside] * TRIGRAMS + term[inside], minlength=len(counts))
+    return counts.reshape(n, TRIGRAMS)
+
+
+def _word_counts(of: np.ndarray, term: np.ndarray, n: int, terms: int) -> np.ndarray:
+    """How often each text has each of its words' terms, counted by pieces of the words."""
+    counts, piece = np.zeros(n * terms, np.int64), textcore.CHUNK_BYTES
+    for lo in range(0, len(of), piece):
+        at = slice(lo, lo + piece)
+        counts += np.bincount(of[at] * np.int64(terms) + (term[at] % term.dtype.type(terms)).astype(np.int64), minlength=len(counts))
+    return counts.reshape(n, terms)
+
+
 def term_shares(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of each text's terms: a row for each text; trigrams, words and repeats each of length 1."""
+    """Square roots of the shares of each text's terms: a row for each text; trigrams, words and repeats each of length 1.
+    A long text takes a few bytes for each of its bytes, and some 50 for each of its words, whose repeats are found whole."""
     n = len(offs) - 1
     out = np.zeros((n, TERMS), np.float32)
-    if len(data) > 2:
-        shape = _SHAPE[data]
-        term = _TERM[(shape[:-2] * _KINDS + shape[1:-1]) * _KINDS + shape[2:]]
-        of = np.repeat(np.arange(n), np.diff(offs))
-        inside = of[:-2] == of[2:]
-        out[:, :TRIGRAMS] = _roots(of[:-2][inside], term[inside], n, TRIGRAMS)
+    out[:, :TRIGRAMS] = _roots(_trigram_counts(data, offs))
     starts, ends, bounds = textcore.spans(data, offs, textcore.BY_SPACE)
     if len(starts):
         words = textcore.word_hashes(data, starts, ends)
-        of = np.repeat(np.arange(n), np.diff(bounds))
-        out[:, TRIGRAMS : TRIGRAMS + WORDS] = _roots(of, (words % np.uint64(WORDS)).astype(np.int64), n, WORDS)
+        del starts, ends
+        of = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
+        out[:, TRIGRAMS : TRIGRAMS + WORDS] = _roots(_word_counts(of, words, n, WORDS))
         order = np.lexsort([words, of])  # stable: of equal words the first comes first
-        again = np.zeros(len(words), np.int64)
+        again = np.zeros(len(words), np.int8)
         again[order[1:]] = (words[order[1:]] == words[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
         again[1:] += (words[1:] == words[:-1]) & (of[1:] == of[:-1])
-        out[:, TERMS - 3 :] = _roots(of, again, n, 3)
+        out[:, TERMS - 3 :] = _roots(_word_counts(of, again, n, 3))
     return out
 
 
