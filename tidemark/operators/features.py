@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import InsufficientDataError
-from tidemark.functions import series
+from tidemark.functions import segments, series
+from tidemark.operators import boosting
 from tidemark.operators.metrics import shares
 from tidemark.plans.tables import kept
 
@@ -22,6 +21,8 @@ NAMES = [
     "vol_ratio", "parkinson_vol", "z_score_21d", "rsi_14", "volume_ratio", "log_volume", "drawdown_from_high", "atr_pct",
 ]
 LEAST_ROWS = 50
+#: Share that a direction without rows in a model's folds starts with.
+LEAST_SHARE = 1e-7
 
 
 def build(bars: DataFrame, short: int = 10, medium: int = 21, long: int = 63, vol: int = 21, keys: list[str] = ["symbol"]) -> DataFrame:  # noqa: B006
@@ -56,86 +57,108 @@ def build(bars: DataFrame, short: int = 10, medium: int = 21, long: int = 63, vo
 
 
 class Explainer:
-    """Boosted trees that tell signals apart by features, and what shuffling each feature costs them. Each direction has
-    a model of its own against the others; the one with the greatest margin is predicted."""
+    """Boosted trees that tell signals apart by features, what shuffling each feature costs them, and what each feature adds to
+    each row's margin. All directions share a softmax; the direction with the greatest margin is predicted, the least of equal
+    ones. Trees don't change with the scale of a feature, so none is scaled."""
 
-    def __init__(self, trees: int = 100, depth: int = 3, step: float = 0.05, seed: int = 42, folds: int = 5, threads: int = 8):
-        self.trees, self.depth, self.step, self.seed, self.folds, self.threads, self.models = trees, depth, step, seed, folds, threads, None
+    def __init__(self, trees: int = 100, depth: int = 3, step: float = 0.05, seed: int = 42, folds: int = 5, share: float = 0.8):
+        self.trees, self.depth, self.step, self.seed, self.folds, self.share, self.model = trees, depth, step, seed, folds, share, None
 
     def aligned(self, features: DataFrame, signals: DataFrame) -> DataFrame:
-        return features.join(signals.select("symbol", "ts", "direction"), ["symbol", "ts"]).dropna(subset=[*NAMES, "direction"])
-
-    def _fitted(self, rows: list[DataFrame]) -> list[dict]:
-        """Models by direction for each table of ``raw`` and ``direction``; Spark fits them beside each other."""
-        found = [[r.direction for r in x.select("direction").distinct().orderBy("direction").collect()] for x in rows]
-        scaled = [StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x) for x in rows]
-        tasks = [(i, c) for i, classes in enumerate(found) for c in classes]
-
-        def fit(task: tuple[int, int]):
-            i, c = task
-            trees = GBTClassifier(maxIter=self.trees, maxDepth=self.depth, stepSize=self.step, subsamplingRate=0.8, seed=self.seed)
-            return trees.fit(scaled[i].transform(rows[i]).select("features", (F.col("direction") == c).cast("double").alias("label")))
-
-        with ThreadPoolExecutor(self.threads) as pool:
-            made = list(pool.map(fit, tasks))
-        return [{"scaler": scaled[i], "models": {c: m for (j, c), m in zip(tasks, made, strict=True) if j == i}} for i in range(len(rows))]
-
-    def _raw(self, rows: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=NAMES, outputCol="raw").transform(rows)
-
-    @staticmethod
-    def _right(fitted: dict, rows: DataFrame) -> DataFrame:
-        """``rows`` (with ``raw``) and whether the predicted direction is theirs."""
-        made = fitted["scaler"].transform(rows)
-        margins = []
-        for k, (c, m) in enumerate(fitted["models"].items()):
-            made = m.copy().setRawPredictionCol(f"_r{k}").setProbabilityCol(f"_p{k}").setPredictionCol(f"_y{k}").transform(made)
-            margins.append(F.struct(vector_to_array(f"_r{k}")[1].alias("margin"), F.lit(c).alias("direction")))
-        best = F.greatest(*margins) if len(margins) > 1 else margins[0]
-        return made.withColumn("right", (best["direction"] == F.col("direction")).cast("double")).select(*rows.columns, "right")
+        """Rows of both with all features and a direction; other columns, whatever their names, are left out."""
+        return features.select("symbol", "ts", *NAMES).join(signals.select("symbol", "ts", "direction"), ["symbol", "ts"]).dropna(subset=[*NAMES, "direction"])
 
     def fit(self, features: DataFrame, signals: DataFrame, cross_validated: bool = False) -> Explainer:
         """Fits on all rows. With ``cross_validated``, ``diagnostics`` also has the accuracies of ``folds`` models that are
-        each fitted without one fold (by a hash of symbol and time) and tried on it."""
-        rows = self.aligned(features, signals)
-        self.rows = kept(self._raw(rows).select("symbol", "ts", "direction", "raw", F.pmod(F.xxhash64("symbol", "ts"), F.lit(self.folds)).alias("fold")))
-        n = self.rows.count()
+        each fitted without one fold (by a hash of symbol and time) and tried on it; folds without rows don't count."""
+        fold = F.pmod(F.xxhash64("symbol", "ts"), F.lit(self.folds)).cast("int")
+        rows = self.aligned(features, signals).select("symbol", "ts", "direction", *NAMES, fold.alias("fold"), F.xxhash64(F.lit(self.seed), "symbol", "ts").alias("draw"))
+        self.rows = kept(rows)
+        counts = {(r.fold, r.direction): r["count"] for r in self.rows.groupBy("fold", "direction").count().collect()}
+        n = sum(counts.values())
         if n < LEAST_ROWS:
             raise InsufficientDataError(f"{LEAST_ROWS} rows with features and a signal are needed, not {n}")
-        parts = [self.rows] + [self.rows.where(F.col("fold") != k) for k in range(self.folds)] * cross_validated
-        self.models, *others = self._fitted(parts)
-        self.diagnostics = {"n_samples": n, "n_features": len(NAMES), "train_accuracy": round(self._accuracy(self.models, self.rows), 4)}
+        self.classes = sorted({c for _, c in counts})
+        self.cuts = boosting.cuts_of(self.rows, NAMES)
+        label = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col("direction")) - 1
+        self.labelled = self.rows.withColumn("label", label.cast("int"))
+        without = [None, *range(self.folds)] if cross_validated else [None]
+        seen = np.array([[sum(v for (k, d), v in counts.items() if d == c and k != f) for c in self.classes] for f in without], float)
+        base = np.log(np.maximum(seen / np.maximum(seen.sum(1, keepdims=True), 1), LEAST_SHARE))
+        table = boosting.blocks(self.labelled, self.cuts, NAMES, n)
+        trees, tried = boosting.fit(table, base, len(NAMES), self.trees, self.depth, self.step, self.share)
+        self.model, self.accuracy = trees.first(), tried[1, 0] / tried[0, 0]
+        self.diagnostics = {"n_samples": n, "n_features": len(NAMES), "train_accuracy": round(float(self.accuracy), 4)}
         if cross_validated:
-            scores = [self._accuracy(m, self.rows.where(F.col("fold") == k)) for k, m in enumerate(others)]
+            scores = [float(right / rows) for rows, right in tried.T[1:] if rows]
             mean = sum(scores) / len(scores)
             self.diagnostics |= {"cv_accuracy_mean": round(mean, 4), "cv_accuracy_std": round(math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores)), 4)}
         return self
 
-    def _accuracy(self, fitted: dict, rows: DataFrame) -> float:
-        return self._right(fitted, rows).agg(F.avg("right")).first()[0]
+    def _fitted(self) -> tuple[boosting.Trees, list[list[float]]]:
+        if self.model is None:
+            raise InsufficientDataError("fit first")
+        return self.model, self.cuts
 
     def importance(self, repeats: int = 20) -> DataFrame:
         """``feature, importance_mean, importance_std``: the accuracy lost when a feature's values are dealt anew among the
-        rows of a symbol. All features and repeats are rows of one plan: for each repeat, a row meets the row whose
-        place in a hashed order is its own in the order of time, and takes one feature at a time from it."""
-        if self.models is None:
-            raise InsufficientDataError("fit first")
-        base = self._accuracy(self.models, self.rows)
-        placed = self.rows.select("symbol", "ts", "direction", vector_to_array("raw").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("k"))
-        w = Window.partitionBy("symbol", "k")
-        placed = placed.withColumn("place", F.row_number().over(w.orderBy("ts"))).withColumn("dealt", F.row_number().over(w.orderBy(F.xxhash64(F.lit(self.seed), "k", "ts"), "ts")))
-        donors = placed.select("symbol", "k", F.col("dealt").alias("place"), F.col("own").alias("other"))
-        pairs = placed.join(donors, ["symbol", "k", "place"]).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(NAMES) - 1))))
-        mixed = F.transform("own", lambda x, i: F.when(i == F.col("f"), F.get("other", i)).otherwise(x))
-        tried = self._right(self.models, pairs.select("f", "k", "direction", array_to_vector(mixed).alias("raw")))
-        lost = tried.groupBy("f", "k").agg((F.lit(base) - F.avg("right")).alias("lost"))
+        rows of a symbol. For each repeat a row meets the row whose place in a hashed order is its own in the order of time;
+        tasks take one feature at a time from it. Places are numbered by ranges, so no symbol goes to one task."""
+        model, cuts = self._fitted()
+
+        def binned(batches):
+            for batch in batches:
+                bins = pa.array([x.tobytes() for x in boosting.binned(batch, cuts, NAMES)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("symbol", "ts", "label")], bins], ["symbol", "ts", "label", "own"])
+
+        def tried(batches):
+            for batch in batches:
+                k, label = batch.column("k").to_numpy(), batch.column("label").to_numpy()
+                own, other = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, len(NAMES)) for c in ("own", "other")]
+                right = model.with_other(own, other).argmax(1) == label
+                for one in np.unique(k):
+                    here = right[:, k == one]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(len(here)), pa.int32()), pa.array([one] * len(here), pa.int32()), pa.array(here.sum(1), pa.int64()), pa.array([here.shape[1]] * len(here), pa.int64())], ["f", "k", "good", "n"])
+
+        own = self.labelled.select("symbol", "ts", "label", *NAMES).mapInArrow(binned, "symbol string, ts timestamp_ntz, label int, own binary")
+        placed = segments.numbered(own, ["symbol"], ["ts", "own", "label"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+        order = F.xxhash64(F.lit(self.seed), "k", "ts")
+        dealt = segments.numbered(placed.select("symbol", "k", order.alias("at"), "ts", F.col("own").alias("other")), ["symbol", "k"], ["at", "ts", "other"])
+        pairs = placed.join(dealt.select("symbol", "k", segments.ROW, "other"), ["symbol", "k", segments.ROW])
+        counted = pairs.select("k", "label", "own", "other").mapInArrow(tried, "f int, k int, good long, n long")
+        lost = counted.groupBy("f", "k").agg((F.lit(float(self.accuracy)) - F.sum("good") / F.sum("n")).alias("lost"))
         name = F.element_at(F.array(*map(F.lit, NAMES)), F.col("f") + 1)
         out = lost.groupBy(name.alias("feature")).agg(F.avg("lost").alias("importance_mean"), F.stddev_pop("lost").alias("importance_std"))
         return out.orderBy(F.desc("importance_mean"), "feature")
 
-    def shap_values(self) -> None:
-        """Not available without an optional package, which is not among the requirements."""
-        return None
+    def shap_values(self, features: DataFrame) -> DataFrame:
+        """``symbol, ts, direction, expected`` and for each feature what it adds to the row's margin for that direction: exact
+        Shapley values of the trees, where a feature that isn't known sends a row both ways by shares of the training rows.
+        ``expected`` and a row's values sum up to its margin. Rows without all features are left out."""
+        model, cuts = self._fitted()
+        classes = self.classes
+
+        def explained(batches):
+            for batch in batches:
+                expected, values = model.shapley(boosting.binned(batch, cuts, NAMES))
+                for c, direction in enumerate(classes):
+                    n = batch.num_rows
+                    columns = [batch.column("symbol"), batch.column("ts"), pa.array([direction] * n, pa.int32()), pa.array([expected[c]] * n, pa.float64())]
+                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array(v, pa.float64()) for v in values[c].T]], ["symbol", "ts", "direction", "expected", *NAMES])
+
+        schema = "symbol string, ts timestamp_ntz, direction int, expected double, " + ", ".join(f"{c} double" for c in NAMES)
+        return features.select("symbol", "ts", *NAMES).dropna(subset=NAMES).mapInArrow(explained, schema)
+
+    def shap_ranking(self, features: DataFrame) -> DataFrame:
+        """``direction, feature, mean_abs_shap``, the greatest first."""
+        sizes = self.shap_values(features).groupBy("direction").agg(*[F.avg(F.abs(c)).alias(c) for c in NAMES])
+        return sizes.unpivot("direction", NAMES, "feature", "mean_abs_shap").orderBy("direction", F.desc("mean_abs_shap"), "feature")
 
     def report(self, repeats: int = 20) -> dict:
-        return {"signal_distribution": shares(self.rows, "direction"), "importance": (table := self.importance(repeats)), "top_features": table.limit(10), "shap_available": False}
+        return {
+            "signal_distribution": shares(self.rows, "direction"),
+            "importance": (table := self.importance(repeats)),
+            "top_features": table.limit(10),
+            "shap_available": True,
+            "shap_feature_ranking": self.shap_ranking(self.rows),
+        }

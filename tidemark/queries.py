@@ -626,6 +626,16 @@ def features_all(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.build(hourly(spark, d)))
 
 
+_FEATURES_HEAD, _FEATURES_ROWS = _FEATURES.rsplit("\nSELECT * FROM (", 1)
+
+
+@query(f"{_FEATURES_HEAD}, {_MOM}, f AS (SELECT * FROM ({_FEATURES_ROWS}) SELECT f.*, direction FROM f JOIN sig USING (symbol, ts) WHERE direction IS NOT NULL")
+def explain_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Features joined with the signals that they explain."""
+    made = hourly(spark, d)
+    return rounded(features.Explainer().aligned(features.build(made), strategies.get("momentum").signals(made)))
+
+
 def _explainer(spark: SparkSession, d: str, **options) -> features.Explainer:
     made = hourly(spark, d)
     return features.Explainer().fit(features.build(made), strategies.get("momentum").signals(made), **options)
@@ -643,6 +653,12 @@ def explain_fit(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([found], "n_samples long, n_features long, train_accuracy double, cv_accuracy_mean double, cv_accuracy_std double")
 
 
+@query()
+def explain_shap(spark: SparkSession, d: str) -> DataFrame:
+    """What each feature adds to the margin of each row and direction."""
+    return _explainer(spark, d).shap_values(features.build(hourly(spark, d)))
+
+
 @query(f"WITH {HOURLY} SELECT symbol, ts, round(close, 4) + 0.0 AS close FROM hourly WHERE ts >= TIMESTAMP '2024-01-15'")
 def upsert_antijoin(spark: SparkSession, d: str) -> DataFrame:
     made = hourly(spark, d)
