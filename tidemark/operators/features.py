@@ -25,8 +25,9 @@ LEAST_ROWS = 50
 LEAST_SHARE = 1e-7
 
 
-def build(bars: DataFrame, short: int = 10, medium: int = 21, long: int = 63, vol: int = 21, keys: list[str] = ["symbol"]) -> DataFrame:  # noqa: B006
-    """``symbol, ts`` and the features NAMES; rows where one is missing are left out."""
+def build(bars: DataFrame, short: int = 10, medium: int = 21, long: int = 63, vol: int = 21, keys: list[str] = ["symbol"], no_range: float | None = None) -> DataFrame:  # noqa: B006
+    """``symbol, ts`` and the features NAMES; rows where one is missing are left out. A bar whose high or low isn't positive
+    has no logarithmic range: where one of the last ``vol`` bars has none, parkinson_vol is ``no_range``, missing by default."""
     alpha = series.span_alpha
     made = series.ema(bars, {"_s": ("close", alpha(short)), "_m": ("close", alpha(medium)), "_l": ("close", alpha(long))}, keys, "ts")
     made = series.with_rsi(series.with_atr(made, 14, keys, "ts", "_atr"), 14, keys, "ts", name="rsi_14")
@@ -52,7 +53,7 @@ def build(bars: DataFrame, short: int = 10, medium: int = 21, long: int = 63, vo
         "atr_pct": series.ratio(F.col("_atr"), close),
     }
     whole = series.rolling_mean(F.col("_hl"), w, vol)
-    out["parkinson_vol"] = F.when(whole.isNotNull(), out["parkinson_vol"])
+    out["parkinson_vol"] = F.when(whole.isNotNull(), out["parkinson_vol"]).otherwise(F.lit(no_range).cast("double"))
     return made.withColumns(out).select(*keys, "ts", *NAMES).dropna(subset=NAMES)
 
 
