@@ -31,6 +31,52 @@ def test_lm_scores_do_not_depend_on_partitions(spark, docs):
             assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-12) and math.isclose(a[4], b[4], rel_tol=1e-12)
 
 
+def test_lm_words_of_one_form_depend_on_what_is_before(spark):
+    """400 words of one length and ending, more than have places of their own, each after one and the same word: a text with
+    its words so is likelier than one with the same words after others."""
+    pairs = [(f"ctx{i % 20}q", f"word{i:03d}xx") for i in range(400)]
+    texts = [" ".join(f"{a} {b}" for a, b in (pairs[(i * 7 + j * 13) % 400] for j in range(60))) for i in range(200)]
+    some = pairs[:20]
+    held = [" ".join(f"{a} {b}" for a, b in some), " ".join(f"{a} {b}" for (a, _), (_, b) in zip(some, some[1:] + some[:1]))]
+    got = {r.doc_id: r for r in lm_score.score_texts(spark.createDataFrame(rows_of([*texts, *held]), SCHEMA), F.col("doc_id") >= 200).where("held_out").collect()}
+    assert got[200].n_known == got[201].n_known == 41 and math.isclose(got[200].base_score, got[201].base_score, rel_tol=1e-12)
+    assert got[200].score > got[201].score + 20 * 0.3
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_lm_words_of_a_place_and_unseen_ones_add_up_to_one(groups, tmp_path):
+    """Over all words, with any weights and with common words taken out of their kinds' branches."""
+    rng = np.random.default_rng(8)
+    words, side = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)), 4
+    words[1:9] = words[0] + np.arange(1, 9, dtype=np.uint64) * np.uint64(1 << 13)
+    words = np.unique(words)
+    kinds = np.where(np.arange(len(words)) < 9, 77, rng.integers(0, 5000, len(words)) % 7 * 512).astype(np.uint32)
+    counts = rng.geometric(0.02, len(words)).astype(np.int64)
+    b = lm_score._ranges_of(words, kinds, groups)
+    deals = [pa.table({"b": [i], "chunk": ["c"], "words": [words[b == i].tobytes()], "kinds": [kinds[b == i].tobytes()], "counts": [counts[b == i].astype(np.int32).tobytes()]}) for i in np.unique(b)]
+    parts = [lm_score._totals(f"file://{tmp_path}")(t).to_pylist()[0] for t in deals]
+    shared, by_kind = np.zeros((2, side * side), np.int64), np.zeros((lm_score.KINDS, 1 << lm_score.FIRST_BITS), np.int64)
+    for p in parts:
+        tokens = np.frombuffer(p["tokens"], np.int64).reshape(2, -1)
+        by_kind[:, p["b"] // groups] += tokens.sum(0)
+        for k in range(2):
+            np.add.at(shared[k], lm_score.Layout.shared_places(np.arange(lm_score.KINDS), side), tokens[k])
+    order = np.argsort(-counts, kind="stable")
+    layout = lm_score.Layout.of(words[order], kinds[order], counts[order], *shared, side, (64, 128))
+    tree = lm_score.Tree.of(side, by_kind, words[order], kinds[order], counts[order], len(words))
+    assert tree.masses.min() >= 0 and (tree.masses > 0).any()
+    chunk = lm_score.Chunk(words, kinds, counts.astype(np.int32), np.arange(len(words)), np.array([len(words)]))
+    places, shares, _, c, forks = lm_score._placed(layout, tree, chunk, groups, parts)
+    assert (c == counts).all() and (np.diff(forks.first)[~shares] == 0).all() and np.diff(forks.first)[:9].min() > 1
+    weights = rng.normal(size=(tree.rows, 2)).astype(np.float32)
+    hashes = np.repeat(rng.integers(0, 1 << 60, (lm_score.FEATURES, 1)).astype(np.uint64), len(words), axis=1)
+    gains = forks.log_gains(np.arange(len(words)), hashes, weights)
+    assert np.abs(gains[shares]).max() > 1 and (gains[~shares] == 0).all()
+    whole = np.bincount(places, 10.0 ** (layout.log_shared(places, shares, c) + gains), side * side)
+    for place in np.unique(places[shares]):
+        assert math.isclose(whole[place] + 1 / (layout.tokens[place] + layout.distinct[place] + 1), 1, rel_tol=1e-5)
+
+
 # 11: importance resampling
 
 

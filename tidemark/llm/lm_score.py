@@ -1,4 +1,5 @@
-"""LM scoring: a hashed maximum-entropy model, a softmax over classes of words times one over the words of a class.
+"""LM scoring: a hashed maximum-entropy model, a softmax over classes of words, one over the places of a class, and then
+choices down a tree of the words of a place.
 
 The log-probability of a token given the tokens before it has three terms.
 
@@ -8,10 +9,14 @@ The log-probability of a token given the tokens before it has three terms.
 2. Its word among the class: a softmax over the places of the class, with weights of the same features hashed
    together with the class. The commonest words have a place each. All others share the rest of the places by their
    kind, a hash of their last letters and length, so that rare words are told apart by form.
-3. For a shared place, the token among its words: (c + 1) / (tokens + distinct tokens + 1) for a token that c of the
-   place's training tokens are. With one part for what training has never seen, a place adds up to 1, and so does all.
-
-Without weights, classes and places have their shares of the training tokens. Weights are learnt by distributed
+3. For a shared place, its word: a choice of one of two branches at each fork of a tree of all training words of the
+   place, by the bits of their kinds and hashes, down to the one word; however many words there are, each has a path of its
+   own. A choice is a softmax of two, whose weights belong to the same features hashed together with the fork. One part of
+   the place is for what training has never seen: 1 / (tokens + distinct tokens + 1).
+
+Without weights, classes, places and branches have their shares of the training tokens (of branches, tokens and distinct
+tokens together), so that a word of a shared place has (c + 1) / (tokens + distinct tokens + 1) of it for its c training
+tokens. The words of a place and what is unseen add up to 1, and so does all. Weights are learnt by distributed
 gradient steps: in each, tasks add up observed and expected features over a part of all training texts, the sums are
 shuffled by ranges of weights, and the driver adds the step. A text's part is a hash of it, and all parts together are
 every training text once. Sums are whole numbers (a probability counts in units), so that neither weights nor scores
@@ -19,7 +24,9 @@ depend on how texts are dealt out to tasks. Classes,
 places and feature buckets grow with the number of distinct training tokens up to stated sizes.
 
 Counts of tokens are exact and distributed: each chunk of documents writes its tokens once, numbered within the chunk,
-to a file in the shared folder, and sends its distinct tokens to ranges of their hash, which send the totals back.
+to a file in the shared folder, and sends its distinct tokens to ranges of their hash and kind, which send the totals
+back, and for each fork on a word's path the total of its other branch. Forks by the first bits, which lie in several
+ranges, come from a table of kinds and first bits that every task has.
 """
 
 from __future__ import annotations
@@ -48,15 +55,17 @@ CHUNK_BYTES = 3 << 20
 BLOCK_TOKENS = 16_384
 #: Tokens whose features are counted together.
 PIECE_TOKENS = 8 * BLOCK_TOKENS
-#: Classes (and places of a class) at most; weight rows of classes and of places, at most.
-MOST_SIDE, MOST_CLASS_ROWS, MOST_PLACE_ROWS = 64, 1 << 13, 1 << 16
+#: Classes (and places of a class) at most; weight rows of classes, of places and of forks, at most.
+MOST_SIDE, MOST_CLASS_ROWS, MOST_PLACE_ROWS, MOST_FORK_ROWS = 64, 1 << 13, 1 << 16, 1 << 18
+#: Kinds that are told apart, and first bits of a hash that ranges are made by; forks by later bits lie in one range each.
+KINDS, FIRST_BITS = MOST_SIDE**2, 6
+#: Bits of a hash by which words of a place and kind are told apart.
+FORK_BITS = 52
 #: Bytes of distinct tokens of a range, in which their counts are summed up.
 RANGE_BYTES = 32 << 20
-#: Rows into which the ranges' commonest words and kinds are merged for the driver; 100 kB each at most.
-MERGED = 64
 #: Units of a probability in the sums of what is expected.
 UNITS = 4096
-#: Rows of weights that are summed up together.
+#: Rows of weights that are summed up together; of forks as many more as they are shorter.
 SLICE_ROWS = 2048
 _END = textcore.mix(np.array([0x454E44], np.uint64))[0]
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -132,10 +141,150 @@ class Layout:
         return np.log(classes / classes.sum()).astype(np.float32), np.log(places / places.sum(1, keepdims=True)).astype(np.float32)
 
     def log_shared(self, places: np.ndarray, shares: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of each word's part in its place."""
+        """log10 of each word's part in its place, before any weights of forks."""
         return np.where(shares, np.log10(counts + 1.0) - np.log10(self.tokens[places] + self.distinct[places] + 1.0), 0.0)
 
 
+@dataclass(frozen=True)
+class Tree:
+    """First forks of the words that share places, and the common words, which have left their kinds' branches.
+
+    ``masses`` are training tokens and distinct training tokens of all other words by place, kind in the place and first
+    bits of the hash. Common words are in the order of kind and hash; ``common_sums`` adds up their masses."""
+
+    kind_bits: int
+    rows: int
+    masses: np.ndarray
+    common_keys: np.ndarray
+    common_sums: np.ndarray
+
+    @staticmethod
+    def keys(kinds: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return (kinds.astype(np.uint64) << np.uint64(FORK_BITS)) | (words >> np.uint64(64 - FORK_BITS))
+
+    @classmethod
+    def of(cls, side: int, by_kind: np.ndarray, words: np.ndarray, kinds: np.ndarray, counts: np.ndarray, distinct: int) -> Tree:
+        """From masses of all words by kind and first bits, and the commonest words."""
+        half = side // 2
+        words, kinds, counts = words[: side * half], kinds[: side * half].astype(np.int64) % KINDS, counts[: side * half]
+        masses = by_kind.copy()
+        np.subtract.at(masses, (kinds, (words >> np.uint64(64 - FIRST_BITS)).astype(np.int64)), counts + 1)
+        k = np.arange(KINDS)
+        order = np.lexsort([k // (side * half), k // side % half, k % side])
+        keys = cls.keys(kinds, words)
+        by_key = np.argsort(keys, kind="stable")
+        sums = np.concatenate([[0], np.cumsum(counts[by_key] + 1)]).astype(np.int64)
+        return cls((KINDS // (side * half)).bit_length() - 1, _power_of_two(2 * distinct, 1 << 12, MOST_FORK_ROWS), masses[order].reshape(side * half, -1), keys[by_key], sums)
+
+    def common_mass(self, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Mass of the common words that have a key's kind and first bits."""
+        low = (np.uint64(1) << (FORK_BITS - bits).astype(np.uint64)) - np.uint64(1)
+        return self.common_sums[np.searchsorted(self.common_keys, keys | low, "right")] - self.common_sums[np.searchsorted(self.common_keys, keys & ~low)]
+
+
+@dataclass(frozen=True)
+class Forks:
+    """Forks on the paths of a chunk's words: those of word w are ``first[w]`` to ``first[w + 1]``."""
+
+    first: np.ndarray
+    nodes: np.ndarray  # a hash of each fork
+    ones: np.ndarray  # whether the word is on the branch of bit 1
+    logits: np.ndarray  # logarithm of the word's branch's mass over the other one's
+
+    @classmethod
+    def of(cls, layout: Layout, tree: Tree, words: np.ndarray, kinds: np.ndarray, counts: np.ndarray, inner: tuple[np.ndarray, ...]) -> Forks:
+        """``counts`` are training tokens; ``inner`` are, below the first forks, each word's number of forks, and in the order
+        of words the bits before each and the mass of the other branch, common words included. Words of no shared place and
+        those that training hasn't seen have no forks."""
+        side, half, top = layout.side, layout.side // 2, tree.kind_bits + FIRST_BITS
+        kinds = kinds.astype(np.int64) % KINDS
+        place, shares = layout.places_of(words, kinds)
+        path = ((kinds // (side * half)).astype(np.uint64) << np.uint64(64 - tree.kind_bits)) | (words >> np.uint64(tree.kind_bits))
+        known = np.flatnonzero(shares & (counts > 0))
+        at, child, masses = (kinds % side * half + kinds // side % half)[known], (path[known] >> np.uint64(64 - top)).astype(np.int64), tree.masses
+        own, other = np.zeros((2, len(words), top), np.int64)
+        for depth in range(top - 1, -1, -1):
+            own[known, depth], other[known, depth] = masses[at, child], masses[at, child ^ 1]
+            child >>= 1
+            masses = masses.reshape(len(masses), -1, 2).sum(2)
+        w1, depth1 = np.nonzero(other)
+        own1, other1 = own[w1, depth1], other[w1, depth1]
+        # A branch has the mass of what is below it: of the word itself, and of the other branches of further forks.
+        n, bits, other = inner
+        w2, so_far = np.repeat(np.arange(len(words)), n), np.cumsum(other)
+        last = np.cumsum(n)[w2] - 1
+        own = counts[w2] + 1 + so_far[last] - so_far
+        keys = Tree.keys(kinds[w2], words[w2])
+        below = tree.common_mass(keys, bits + 1)
+        other = other - (tree.common_mass(keys, bits) - below)
+        fork = np.flatnonzero(shares[w2] & (other > 0))
+        w2, depth2, own2, other2 = w2[fork], bits[fork] + tree.kind_bits, (own - below)[fork], other[fork]
+        # First forks, and then the others of each word.
+        n1, n2 = np.bincount(w1, minlength=len(words)), np.bincount(w2, minlength=len(words))
+        first = np.concatenate([[0], np.cumsum(n1 + n2)])
+        to = np.arange(len(w1)) + (first[:-1] - np.cumsum(n1) + n1)[w1], np.arange(len(w2)) + (first[:-1] + n1 - np.cumsum(n2) + n2)[w2]
+
+        def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out = np.empty(first[-1], a.dtype)
+            out[to[0]], out[to[1]] = a, b
+            return out
+
+        w, depth, logits = both(w1, w2), both(depth1, depth2).astype(np.uint64), both(np.log(own1 / other1), np.log(own2 / other2))
+        bits = path[w] >> (np.uint64(63) - depth)
+        nodes = textcore.mix((bits >> np.uint64(1)) * _ODD + depth * _SALT + textcore.mix(place.astype(np.uint64))[w])
+        return cls(first, nodes, (bits & np.uint64(1)).astype(bool), logits.astype(np.float32))
+
+    def taken(self, ids: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
+        """For each token's forks: which token, which fork, and the weight row of each feature."""
+        n = self.first[ids + 1] - self.first[ids]
+        token = np.repeat(np.arange(len(ids)), n)
+        fork = np.arange(len(token)) + np.repeat(self.first[ids] - np.cumsum(n) + n, n)
+        short, nodes = hashes.astype(np.uint32), np.take(self.nodes, fork).astype(np.uint32)  # 32 mixed bits of each
+        every, x = np.empty((len(hashes), len(token)), np.int64), np.empty(len(token), np.uint32)
+        for row, h in zip(every, short, strict=True):
+            np.take(h, token, out=x, mode="clip")
+            x += nodes
+            x *= np.uint32(0x9E3779B1)
+            x >>= np.uint32(33 - rows.bit_length())
+            row[:] = x
+        return token, fork, every
+
+    def chosen(self, fork: np.ndarray, every: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Probability of the branch that the word is on."""
+        lead, one = np.zeros(len(fork), np.float32), np.empty(len(fork), np.float32)
+        for r in every:
+            lead += np.take(weights, r, out=one, mode="clip")
+        lead = np.where(self.ones[fork], lead, -lead) + self.logits[fork]
+        return 1 / (1 + np.exp(-lead))
+
+    def log_gains(self, ids: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """By how much each token's path has a higher log10 probability than its words' masses give it."""
+        out, lead = np.zeros(len(ids)), weights[:, 1] - weights[:, 0]
+        prior = np.log1p(np.exp(-self.logits.astype(np.float64)))
+        for lo in range(0, len(ids), BLOCK_TOKENS):
+            part = slice(lo, lo + BLOCK_TOKENS)
+            token, fork, every = self.taken(ids[part], hashes[:, part], len(weights))
+            gain = np.log(self.chosen(fork, every, lead).astype(np.float64)) + prior[fork]
+            out[part] = np.bincount(token, gain, len(out[part])) / np.log(10)
+        return out
+
+    def seen(self, ids: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Observed counts, and expected ones in UNITS, of (feature row, branch)."""
+        seen, expected = np.zeros(weights.shape, np.int64), np.zeros(weights.shape, np.int64)
+        lead = weights[:, 1] - weights[:, 0]
+        for lo in range(0, len(ids), 2 * BLOCK_TOKENS):
+            part = slice(lo, lo + 2 * BLOCK_TOKENS)
+            _, fork, every = self.taken(ids[part], hashes[:, part], len(weights))
+            p = (self.chosen(fork, every, lead) * np.float32(UNITS) + np.float32(0.5)).astype(np.int32).astype(np.float64)
+            every *= 2
+            every += self.ones[fork]
+            n = np.bincount(every.ravel(), minlength=seen.size).reshape(seen.shape)
+            own = np.bincount(every.ravel(), np.broadcast_to(p, every.shape).ravel(), seen.size).astype(np.int64).reshape(seen.shape)
+            seen += n
+            expected += own + (UNITS * n - own)[:, ::-1]
+        return seen, expected
+
+
 def contexts(tokens: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A hash of each feature of each token's context: a row for each feature. Before a text's first token is nothing."""
     at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -286,27 +435,83 @@ class Chunk:
 _DEALT = pa.schema([("b", pa.int32()), ("chunk", pa.string()), ("words", pa.binary()), ("kinds", pa.binary()), ("counts", pa.binary())])
 
 
+def _ranges_of(words: np.ndarray, kinds: np.ndarray, n: int) -> np.ndarray:
+    """Ranges of words: by the first bits of their hash, and by n groups of kinds."""
+    group = textcore.mix((kinds % np.uint32(KINDS)).astype(np.uint64)) % np.uint64(n)
+    return (words >> np.uint64(64 - FIRST_BITS)).astype(np.int64) * n + group.astype(np.int64)
+
+
 def _by_range(n: int) -> Callable:
-    """A chunk's distinct tokens, dealt out by ranges of their hash."""
+    """A chunk's distinct tokens, dealt out by ranges."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk, read = row["chunk"], Chunk.of(row)
-                words, kinds, counts = read.words, read.kinds, read.counts
-                cuts = np.searchsorted((words >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1))
+                b = _ranges_of(read.words, read.kinds, n)
+                order = np.argsort(b, kind="stable")
+                words, kinds, counts = read.words[order], read.kinds[order], read.counts[order]
+                cuts = np.searchsorted(b[order], np.arange((n << FIRST_BITS) + 1))
                 rows = [{"b": i, "chunk": chunk, "words": words[a:z].tobytes(), "kinds": kinds[a:z].tobytes(), "counts": counts[a:z].tobytes()} for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
                 yield pa.RecordBatch.from_pylist(rows, _DEALT)
 
     return deal
 
 
-_TOTALS_DDL = "chunk string, b int, sums binary, distinct long, words binary, kinds binary, counts binary, tokens binary"
-
-
-def _totals(table: pa.Table) -> pa.Table:
-    """Each chunk's tokens with their counts in all training texts. Once for a range: its distinct training tokens, the
-    commonest of them, and for each kind of the greatest layout's places its tokens and distinct tokens."""
+_BACK = ["b", "file", "at", "size", "raw"]
+_TOTALS_DDL = "chunk string, b int, file string, at long, size long, raw long, distinct long, words binary, kinds binary, counts binary, tokens binary"
+
+
+def _forks(words: np.ndarray, kinds: np.ndarray, masses: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Forks below the first bits on the paths of different words: each word's number of forks, and in the order of words
+    the bits before each and the mass of the branch that the word is not on."""
+    order = np.lexsort([words, kinds])
+    kinds, words = kinds[order], words[order]
+    sums = np.concatenate([[0], np.cumsum(masses[order])])
+    prefix = np.stack([kinds.astype(np.int64), (words >> np.uint64(64 - FIRST_BITS)).astype(np.int64)])
+    new = np.flatnonzero(np.concatenate([[True], (prefix[:, 1:] != prefix[:, :-1]).any(0)])) if len(words) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(new, len(words)))
+    lo, hi, at = np.repeat(new, sizes), np.repeat(new + sizes, sizes), np.arange(len(words))
+    found = [np.zeros((3, 0), np.int64)]
+    for bits in range(FIRST_BITS, FORK_BITS):
+        at = at[hi[at] - lo[at] > 1]
+        if not len(at):
+            break
+        one = (words >> np.uint64(63 - bits)) & np.uint64(1)
+        zeros = np.concatenate([[0], np.cumsum(one == 0)])
+        cut = lo[at] + zeros[hi[at]] - zeros[lo[at]]
+        right = one[at] == 1
+        left, whole = sums[cut] - sums[lo[at]], sums[hi[at]] - sums[lo[at]]
+        own = np.where(right, whole - left, left)
+        fork = (cut > lo[at]) & (cut < hi[at])
+        found.append(np.stack([order[at], np.full(len(at), bits), whole - own])[:, fork])
+        lo[at], hi[at] = np.where(right, cut, lo[at]), np.where(right, hi[at], cut)
+    w, bits, other = np.concatenate(found, axis=1)
+    by_word = np.argsort(w, kind="stable")
+    return np.bincount(w, minlength=len(words)), bits[by_word], other[by_word]
+
+
+def _packed(arrays: list[np.ndarray]) -> tuple[bytes, int]:
+    planes = [_planes(x) if len(x) else b"" for x in arrays]
+    raw = np.array([*map(len, arrays), *map(len, planes)], "<i8").tobytes() + b"".join(planes)
+    return pa.compress(raw, "zstd", asbytes=True), len(raw)
+
+
+def _unpacked(packed: bytes, raw: int) -> list[np.ndarray]:
+    data = pa.decompress(packed, raw, "zstd", asbytes=True)
+    cells, sizes = np.frombuffer(data, "<i8", 8).reshape(2, 4)
+    ends = 64 + np.cumsum(sizes)
+    return [_numbers(data[z - n : z], c) for c, n, z in zip(cells, sizes, ends, strict=True)]
+
+
+def _totals(folder: str) -> Callable:
+    """Each chunk's tokens with their counts in all training texts, and the forks on their paths: in a file for each range,
+    which the rows point into. Once for a range: its distinct training tokens, the commonest of them, and for each kind its
+    tokens and distinct tokens."""
+    return lambda table: _range_totals(folder, table)
+
+
+def _range_totals(folder: str, table: pa.Table) -> pa.Table:
     pieces = table.column("words").to_pylist()
     sizes = [len(p) // 8 for p in pieces]
     words, kinds, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("words", np.uint64), ("kinds", np.uint32), ("counts", np.int32)))
@@ -315,11 +520,22 @@ def _totals(table: pa.Table) -> pa.Table:
     known = np.flatnonzero(sums)
     best = known[np.lexsort([textcore.signed(words[known]), -sums[known]])][: MOST_SIDE**2 // 2]
     # Shares of kinds by the two numbers that any layout takes its places from.
-    folded = kinds[known].astype(np.int64) % MOST_SIDE**2
-    by_kind = np.stack([np.bincount(folded, sums[known], MOST_SIDE**2), np.bincount(folded, minlength=MOST_SIDE**2)]).astype(np.int64)
+    folded = kinds[known].astype(np.int64) % KINDS
+    by_kind = np.stack([np.bincount(folded, sums[known], KINDS), np.bincount(folded, minlength=KINDS)]).astype(np.int64)
+    n_forks = np.zeros(len(words), np.int64)
+    n_forks[known], *path = _forks(words[known], folded, sums[known] + 1)
+    starts = np.cumsum(n_forks) - n_forks
+    name, back = f"{folder}/range-{table.column('b')[0].as_py():05d}-{uuid.uuid4().hex}", []
+    with common.open_out(name) as out:
+        for ids in np.split(at, np.cumsum(sizes)[:-1]):
+            n = n_forks[ids]
+            taken = np.arange(n.sum()) + np.repeat(starts[ids] - np.cumsum(n) + n, n)
+            packed, raw = _packed([sums[ids], n, *(x[taken] for x in path)])
+            back.append((back[-1][0] + back[-1][1] if back else 0, len(packed), raw))
+            out.write(packed)
     once = lambda x: [x, *[None] * (len(pieces) - 1)]
     columns = {
-        "chunk": table.column("chunk").cast(pa.string()), "b": table.column("b").cast(pa.int32()), "sums": pa.array([x.tobytes() for x in np.split(sums[at], np.cumsum(sizes)[:-1])], pa.binary()),
+        "chunk": table.column("chunk").cast(pa.string()), "b": table.column("b").cast(pa.int32()), "file": pa.array([name] * len(back)), **{c: pa.array(x, pa.int64()) for c, x in zip(("at", "size", "raw"), zip(*back, strict=True), strict=True)},
         "distinct": pa.array(once(len(known)), pa.int64()), "words": pa.array(once(words[best].tobytes()), pa.binary()), "kinds": pa.array(once(kinds[best].tobytes()), pa.binary()),
         "counts": pa.array(once(sums[best].tobytes()), pa.binary()), "tokens": pa.array(once(by_kind.tobytes()), pa.binary()),
     }
@@ -327,24 +543,30 @@ def _totals(table: pa.Table) -> pa.Table:
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """One row of several ranges: their commonest words, and the sums of their kinds."""
+    """One row of several ranges: their commonest words, and the sums of their kinds. ``g`` is that of the first."""
     words, kinds, counts, tokens = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("words", np.uint64), ("kinds", np.uint32), ("counts", np.int64), ("tokens", np.int64)))
     best = np.lexsort([textcore.signed(words), -counts])[: MOST_SIDE**2 // 2]
-    row = {"distinct": sum(table.column("distinct").to_pylist()), "words": words[best].tobytes(), "kinds": kinds[best].tobytes(), "counts": counts[best].tobytes(), "tokens": tokens.reshape(-1, 2 * MOST_SIDE**2).sum(0).tobytes()}
-    return pa.Table.from_pylist([row], pa.schema([("distinct", pa.int64()), *[(c, pa.binary()) for c in ("words", "kinds", "counts", "tokens")]]))
+    row = {"g": table.column("g")[0].as_py(), "distinct": sum(table.column("distinct").to_pylist()), "words": words[best].tobytes(), "kinds": kinds[best].tobytes(), "counts": counts[best].tobytes(), "tokens": tokens.reshape(-1, 2 * KINDS).sum(0).tobytes()}
+    return pa.Table.from_pylist([row], pa.schema([("g", pa.int32()), ("distinct", pa.int64()), *[(c, pa.binary()) for c in ("words", "kinds", "counts", "tokens")]]))
 
 
-def _layout(totals: DataFrame) -> Layout:
-    once = totals.where("distinct is not null").select((F.col("b") % MERGED).alias("g"), "distinct", "words", "kinds", "counts", "tokens")
-    rows = once.groupBy("g").applyInArrow(_merged, "distinct long, words binary, kinds binary, counts binary, tokens binary").toArrow()
+def _layout(totals: DataFrame, n: int) -> tuple[Layout, Tree]:
+    """From one row for each value of a hash's first bits, of 200 kB at most."""
+    once = totals.where("distinct is not null").select(F.floor(F.col("b") / n).cast("int").alias("g"), "distinct", "words", "kinds", "counts", "tokens")
+    rows = once.groupBy("g").applyInArrow(_merged, "g int, distinct long, words binary, kinds binary, counts binary, tokens binary").toArrow()
+    by_kind = np.zeros((KINDS, 1 << FIRST_BITS), np.int64)
     if not rows.num_rows:
-        return Layout.of(*np.zeros((3, 0), np.int64), *np.zeros((2, 64), np.int64), 8, Layout.sizes(0)[1:])
-    whole = _merged(rows).to_pylist()[0]  # of MERGED rows
+        none = np.zeros((3, 0), np.int64)
+        return Layout.of(*none, *np.zeros((2, 64), np.int64), 8, Layout.sizes(0)[1:]), Tree.of(8, by_kind, none[0].astype(np.uint64), *none[1:], 0)
+    for row in rows.select(["g", "tokens"]).to_pylist():
+        by_kind[:, row["g"]] = np.frombuffer(row["tokens"], np.int64).reshape(2, -1).sum(0)
+    whole = _merged(rows).to_pylist()[0]
     side, *weight_rows = Layout.sizes(whole["distinct"])
     shared = np.zeros((2, side * side), np.int64)
-    for k, by_kind in enumerate(np.frombuffer(whole["tokens"], np.int64).reshape(2, -1)):
-        np.add.at(shared[k], Layout.shared_places(np.arange(MOST_SIDE**2), side), by_kind)
-    return Layout.of(np.frombuffer(whole["words"], np.uint64), np.frombuffer(whole["kinds"], np.uint32), np.frombuffer(whole["counts"], np.int64), *shared, side, tuple(weight_rows))
+    for k, of_kind in enumerate(np.frombuffer(whole["tokens"], np.int64).reshape(2, -1)):
+        np.add.at(shared[k], Layout.shared_places(np.arange(KINDS), side), of_kind)
+    common = np.frombuffer(whole["words"], np.uint64), np.frombuffer(whole["kinds"], np.uint32), np.frombuffer(whole["counts"], np.int64)
+    return Layout.of(*common, *shared, side, tuple(weight_rows)), Tree.of(side, by_kind, *common, whole["distinct"])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -356,27 +578,45 @@ def _planes(x: np.ndarray) -> bytes:
 
 def _numbers(x: bytes, cells: int) -> np.ndarray:
     out = np.zeros((cells, 8), np.uint8)
+    if not cells:
+        return np.zeros(0, np.int64)
     planes = np.frombuffer(x, np.uint8).reshape(-1, cells)
     out[:, : len(planes)] = planes.T
     return out.view("<i8").reshape(-1)
 
 
-def _placed(layout: Layout, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the chunk's words, which of these share one, and the context features of its tokens."""
-    places, shares = layout.places_of(chunk.words, chunk.kinds % np.uint32(MOST_SIDE**2))
-    return places, shares, contexts(chunk.words[chunk.ids], places[chunk.ids], chunk.sizes)
-
-
-def _gradient(model) -> Callable:
+def _placed(layout: Layout, tree: Tree, chunk: Chunk, n: int, parts: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Forks]:
+    """Places of the chunk's words, which of these share one, the context features of its tokens, and of its words the
+    training counts and the forks, by what the ranges have sent back."""
+    places, shares = layout.places_of(chunk.words, chunk.kinds % np.uint32(KINDS))
+    order = np.argsort(_ranges_of(chunk.words, chunk.kinds, n), kind="stable")
+    back = []
+    for part in sorted(parts, key=lambda p: p["b"]):
+        with common.open_in(part["file"]) as f:
+            f.seek(part["at"])
+            back.append(_unpacked(f.read(part["size"]), part["raw"]))
+    sums, n_forks, *inner = (np.concatenate(x) for x in zip(*back, strict=True))
+    c, of_word = np.empty((2, len(order)), np.int64)
+    c[order], of_word[order] = sums, n_forks
+    # From the order of ranges to that of words.
+    starts = np.empty(len(order), np.int64)
+    starts[order] = np.cumsum(n_forks) - n_forks
+    at = np.arange(len(inner[0])) + np.repeat(starts - np.cumsum(of_word) + of_word, of_word)
+    forks = Forks.of(layout, tree, chunk.words, chunk.kinds, c, (of_word, *(x[at] for x in inner)))
+    return places, shares, contexts(chunk.words[chunk.ids], places[chunk.ids], chunk.sizes), c, forks
+
+
+def _gradient(model, n: int) -> Callable:
     def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout, weights = model.value
+        layout, tree, weights = model.value
         total = None
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.of(row)
-                places, _, hashes = _placed(layout, chunk)
+                places, _, hashes, _, forks = _placed(layout, tree, chunk, n, row["parts"])
                 learn = np.repeat(~np.array(row["held"], bool), chunk.sizes)
-                made = features_seen(hashes[:, learn], places[chunk.ids[learn]], layout, weights)
+                hashes, ids = hashes[:, learn], chunk.ids[learn]
+                made = tuple((*a, b) for a, b in zip(features_seen(hashes, places[ids], layout, weights[:2]), forks.seen(ids, hashes, weights[2]), strict=True))
                 if total is None:
                     total = made
                 else:
@@ -384,14 +624,23 @@ def _gradient(model) -> Callable:
                         a += b
         if total is None:
             return
-        for k in range(2):
-            for lo in range(0, len(weights[k]), SLICE_ROWS):
-                part = slice(lo, lo + SLICE_ROWS)
+        for k in range(3):
+            for lo in range(0, len(weights[k]), _slice_rows(weights[k], layout)):
+                part = slice(lo, lo + _slice_rows(weights[k], layout))
                 yield pa.RecordBatch.from_pydict({"factor": [k], "lo": [lo], "cells": [total[0][k][part].size], "seen": [_planes(total[0][k][part])], "expected": [_planes(total[1][k][part])]})
 
     return gradient
 
 
+def _dealt(chunks: DataFrame) -> DataFrame:
+    """Rows of chunks are short, since texts and what came back lie in files: Spark would read many of them in one task."""
+    return chunks.repartition(common.parts(chunks.sparkSession), "file", "at")
+
+
+def _slice_rows(weights: np.ndarray, layout: Layout) -> int:
+    return SLICE_ROWS * layout.side // weights.shape[1]
+
+
 def _step(table: pa.Table) -> pa.Table:
     """What one slice of the weights moves by: the gradient over the curvature that it can have."""
     cells = table.column("cells")[0].as_py()
@@ -400,35 +649,34 @@ def _step(table: pa.Table) -> pa.Table:
     return pa.table({"factor": table.column("factor").slice(0, 1), "lo": table.column("lo").slice(0, 1), "move": [((seen - expected) / ((seen + expected) / 2 + 1)).astype(np.float32).tobytes()]})
 
 
-def train(chunks: DataFrame, layout: Layout, steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of classes and of places. A step is one job over the chunks of its part. What comes to the driver, and goes
-    out again, has the weights' size (18 MB at most) however large the corpus is."""
+def train(chunks: DataFrame, layout: Layout, tree: Tree, n: int, steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, ...]:
+    """Weights of classes, of places and of forks. A step is one job over the chunks of its part, which have what the ranges
+    sent back. What comes to the driver, and goes out again, has the weights' size (21 MB at most) however large the corpus is."""
     spark = chunks.sparkSession
-    weights = tuple(np.zeros((rows, layout.side), np.float32) for rows in (layout.class_rows, layout.place_rows))
-    rows = chunks.select("part", "held", *_PLACE)
+    weights = tuple(np.zeros(shape, np.float32) for shape in ((layout.class_rows, layout.side), (layout.place_rows, layout.side), (tree.rows, 2)))
+    rows = chunks.select("part", "held", *_PLACE, "parts")
     for k in range(steps):
-        sent = spark.sparkContext.broadcast((layout, weights))
-        sums = rows.where(F.col("part") == k).drop("part").mapInArrow(_gradient(sent), "factor long, lo long, cells long, seen binary, expected binary")
+        sent = spark.sparkContext.broadcast((layout, tree, weights))
+        sums = _dealt(rows.where(F.col("part") == k).drop("part")).mapInArrow(_gradient(sent, n), "factor long, lo long, cells long, seen binary, expected binary")
         moves = sums.groupBy("factor", "lo").applyInArrow(_step, "factor long, lo long, move binary").collect()
         weights = tuple(w.copy() for w in weights)
         for r in moves:
             w = weights[r.factor]
-            w[r.lo : r.lo + SLICE_ROWS] += rate / FEATURES * np.frombuffer(r.move, np.float32).reshape(-1, layout.side)
+            w[r.lo : r.lo + _slice_rows(w, layout)] += rate / FEATURES * np.frombuffer(r.move, np.float32).reshape(-1, w.shape[1])
         sent.unpersist()
     return weights
 
 
-def _scorer(model) -> Callable:
+def _scorer(model, n: int) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout, weights = model.value
+        layout, tree, weights = model.value
         base = np.log10(float(layout.train_tokens + layout.train_distinct + 1))
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.of(row)
                 sizes, ids = chunk.sizes, chunk.ids
-                places, shares, hashes = _placed(layout, chunk)
-                c = np.frombuffer(b"".join(p["sums"] for p in sorted(row["parts"], key=lambda p: p["b"])), np.int64)
-                own = layout.log_shared(places, shares, c)[ids] + log_probabilities(hashes, places[ids], layout, weights)
+                places, shares, hashes, c, forks = _placed(layout, tree, chunk, n, row["parts"])
+                own = layout.log_shared(places, shares, c)[ids] + log_probabilities(hashes, places[ids], layout, weights[:2]) + forks.log_gains(ids, hashes, weights[2])
                 firsts = np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["keys"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64)[ids], firsts)), pa.array(np.full(len(sizes), layout.train_tokens)), pa.array(np.add.reduceat((np.log10(c + 1.0) - base)[ids], firsts)), pa.array(np.add.reduceat(own, firsts))],
@@ -450,18 +698,17 @@ def score_texts(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "
     Neither counts nor scores depend on how the table is partitioned.
     """
     spark = docs.sparkSession
-    n = common.parts(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), held_out.alias("h"), F.col(text).cast("string").alias("t"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.coalesce("t", F.lit(""))), F.lit(steps)).cast("int"))
     folder = common.shared_dir(spark)
     chunks = common.written(rows.mapInArrow(_chunks(folder, steps), _CHUNK_DDL), f"{folder}/chunks.parquet")
-    ranges = max(n, -(-16 * (chunks.agg(F.sum("n_words")).first()[0] or 0) // RANGE_BYTES))
-    dealt = chunks.select(*_PLACE).mapInArrow(_by_range(ranges), "b int, chunk string, words binary, kinds binary, counts binary")
-    totals = common.written(dealt.repartition(ranges, "b").groupBy("b").applyInArrow(_totals, _TOTALS_DDL))
-    layout = _layout(totals)
-    weights = train(chunks, layout, steps)
-    sent = spark.sparkContext.broadcast((layout, weights))  # 18 MB of weights at most
-    parts = totals.groupBy("chunk").agg(F.collect_list(F.struct("b", "sums")).alias("parts"))
-    whole = chunks.select("keys", "held", *_PLACE).join(parts, "chunk")
-    out = whole.mapInArrow(_scorer(sent), "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    n = max(1, -(-16 * (chunks.agg(F.sum("n_words")).first()[0] or 0) // (RANGE_BYTES << FIRST_BITS)))
+    dealt = chunks.select(*_PLACE).mapInArrow(_by_range(n), "b int, chunk string, words binary, kinds binary, counts binary")
+    totals = common.written(dealt.repartition(n << FIRST_BITS, "b").groupBy("b").applyInArrow(_totals(folder), _TOTALS_DDL))
+    layout, tree = _layout(totals, n)
+    parts = totals.groupBy("chunk").agg(F.collect_list(F.struct(*_BACK)).alias("parts"))
+    whole = common.written(chunks.join(parts, "chunk"))
+    weights = train(whole, layout, tree, n, steps)
+    sent = spark.sparkContext.broadcast((layout, tree, weights))  # 23 MB at most
+    out = _dealt(whole.select("keys", "held", *_PLACE, "parts")).mapInArrow(_scorer(sent, n), "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)
