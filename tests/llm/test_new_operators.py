@@ -77,6 +77,63 @@ def test_lm_words_of_a_place_and_unseen_ones_add_up_to_one(groups, tmp_path):
         assert math.isclose(whole[place] + 1 / (layout.tokens[place] + layout.distinct[place] + 1), 1, rel_tol=1e-5)
 
 
+def test_lm_chunk_files_are_packed(spark, tmp_path):
+    """They hold the tokens as they are, in at most two thirds of what plain numbers take."""
+    rows = spark.createDataFrame(rows_of([prose(i, 200) for i in range(150)]), SCHEMA).coalesce(1)
+    rows = rows.selectExpr("doc_id", "doc_id % 7 = 2", "text", "0 AS part")
+    got = [r.asDict() for r in rows.mapInArrow(lm_score._chunks(f"file://{tmp_path}", 1), lm_score._CHUNK_DDL).collect()]
+    plain = sum(16 * r["n_words"] + 4 * r["n_tokens"] + 4 * r["n_docs"] for r in got)
+    assert sum(f.stat().st_size for f in tmp_path.iterdir() if f.name.startswith("chunks-")) < plain * 2 / 3
+    texts = {r.doc_id: (r.text or "").encode() for r in rows.collect()}
+    for r in got:
+        chunk, raws = lm_score.Chunk.of(r), [texts[k] for k in r["keys"]]
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in raws])])
+        sizes, tokens, kinds = lm_score._tokens(np.frombuffer(b"".join(raws), np.uint8), offs)
+        assert (chunk.sizes == sizes).all() and (chunk.words[chunk.ids] == tokens).all() and (chunk.kinds[chunk.ids] == kinds % lm_score.KINDS).all()
+        learnt = np.repeat(~np.array(r["held"]), sizes)
+        assert (chunk.counts == np.bincount(chunk.ids[learnt], minlength=len(chunk.words))).all()
+
+
+def test_lm_sums_two_in_one_number_are_exact():
+    """Where one weight row gets everything, more than a number holds at once."""
+    rng = np.random.default_rng(3)
+    sums, want = lm_score.RowSums((16, 8)), np.zeros((16, 8), np.int64)
+    for k in range(6):
+        rows, values = (np.full(lm_score.SEEN_TOKENS, 5) if k < 4 else rng.integers(0, 16, lm_score.SEEN_TOKENS)).astype(np.uint16), rng.integers(0, lm_score.UNITS + 1, (lm_score.SEEN_TOKENS, 8)).astype(np.float32)
+        values[:, 3] = lm_score.UNITS
+        sums.add(rows, lm_score.RowSums.packed(values))
+        np.add.at(want, rows, values.astype(np.int64))
+    sums.take_apart()
+    assert (sums.out == want).all()
+
+
+def test_lm_fork_sums_equal_plain_loops(monkeypatch):
+    """Words with up to six forks, sums taken apart often, against a loop over tokens, forks and features."""
+    rng = np.random.default_rng(4)
+    n, width, rows = 6, 5, 1 << 10
+    each = [lm_score.Paths(rng.integers(0, 1 << 32, (-(-k // 4), width)).astype(np.uint32), rng.integers(2, 32, (k, width)), rng.normal(size=(k, width)).astype(np.float32), np.zeros(width)) for k in range(1, n + 1)]
+    words = rng.permutation((n + 1) * width).astype(np.int32)  # ranks: the first words have no forks
+    forks = lm_score.Forks(np.zeros(0), words, np.arange(1, n + 2) * width, each)
+    ids, hashes = rng.integers(0, len(words), 4000), rng.integers(0, 1 << 62, (lm_score.FEATURES, 4000)).astype(np.uint64) % np.uint64(50)
+    weights = (rng.normal(size=(rows, 2)) / 4).astype(np.float32)
+    monkeypatch.setattr(lm_score, "MOST_ADDED", 1 << 10)
+    seen, expected = forks.seen(ids, hashes, weights)
+    gains, lead = forks.log_gains(ids, hashes, weights), (weights - weights[:, ::-1]).reshape(-1).astype(np.float64)
+    want, gain = np.zeros((2, 2 * rows)), np.zeros(4000)
+    for t, w in enumerate(words[ids].tolist()):
+        k, column = divmod(w, width)
+        for f in range(k):
+            paths = each[k - 1]
+            at = [((((int(h) + int(paths.blocks[f // 4, column])) % 2**32 * 0x9E3779B1) % 2**32 >> 21) & ~1) ^ int(paths.cells[f, column]) for h in hashes[:, t]]
+            p = 1 / (1 + math.exp(-lead[at].sum() - float(paths.logits[f, column])))
+            gain[t] += math.log10(p)
+            for a in at:
+                want[:, a] += 1, p * lm_score.UNITS
+                want[1, a ^ 1] += (1 - p) * lm_score.UNITS
+    assert (seen.reshape(-1) == want[0]).all() and np.allclose(gains, gain, atol=1e-5)
+    assert (np.abs(expected.reshape(-1) - want[1]) <= 0.51 * (want[0] + want[0].reshape(-1, 2)[:, ::-1].reshape(-1)) + 1e-6).all()
+
+
 # 11: importance resampling
 
 

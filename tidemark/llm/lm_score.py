@@ -11,8 +11,9 @@ The log-probability of a token given the tokens before it has three terms.
    kind, a hash of their last letters and length, so that rare words are told apart by form.
 3. For a shared place, its word: a choice of one of two branches at each fork of a tree of all training words of the
    place, by the bits of their kinds and hashes, down to the one word; however many words there are, each has a path of its
-   own. A choice is a softmax of two, whose weights belong to the same features hashed together with the fork. One part of
-   the place is for what training has never seen: 1 / (tokens + distinct tokens + 1).
+   own. A choice is a softmax of two, whose weights belong to the same features hashed together with the fork: with the first
+   of four on the path, whose weights lie side by side. One part of the place is for what training has never seen:
+   1 / (tokens + distinct tokens + 1).
 
 Without weights, classes, places and branches have their shares of the training tokens (of branches, tokens and distinct
 tokens together), so that a word of a shared place has (c + 1) / (tokens + distinct tokens + 1) of it for its c training
@@ -34,6 +35,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,8 @@ BACK, FEATURES = 5, 6
 CHUNK_BYTES = 3 << 20
 #: Tokens whose softmaxes are computed together.
 BLOCK_TOKENS = 16_384
+#: Tokens whose expected features are computed together: fewer than SUM_UNIT / UNITS.
+SEEN_TOKENS = 8192
 #: Tokens whose features are counted together.
 PIECE_TOKENS = 8 * BLOCK_TOKENS
 #: Classes (and places of a class) at most; weight rows of classes, of places and of forks, at most.
@@ -63,8 +67,16 @@ KINDS, FIRST_BITS = MOST_SIDE**2, 6
 FORK_BITS = 52
 #: Bytes of distinct tokens of a range, in which their counts are summed up.
 RANGE_BYTES = 32 << 20
+#: Forks of a path whose weights lie side by side, in a block of two for each way to come to each.
+BLOCK_FORKS = 4
+#: Tokens whose forks are computed together.
+FORK_TOKENS = 16_384
 #: Units of a probability in the sums of what is expected.
 UNITS = 4096
+#: Two sums in one number: the second is in these units, and the first stays below one.
+SUM_UNIT = 1 << 26
+#: The same for forks, where numbers are looked at after so many additions: twice as many of UNITS stay below one unit.
+FORK_UNIT_BITS, MOST_ADDED = 33, 1 << 19
 #: Rows of weights that are summed up together; of forks as many more as they are shorter.
 SLICE_ROWS = 2048
 _END = textcore.mix(np.array([0x454E44], np.uint64))[0]
@@ -176,113 +188,184 @@ class Tree:
         sums = np.concatenate([[0], np.cumsum(counts[by_key] + 1)]).astype(np.int64)
         return cls((KINDS // (side * half)).bit_length() - 1, _power_of_two(2 * distinct, 1 << 12, MOST_FORK_ROWS), masses[order].reshape(side * half, -1), keys[by_key], sums)
 
+    @cached_property
+    def logits(self) -> list[np.ndarray]:
+        """For each of the first forks' bits, by place and the bits up to it: logarithm of the mass of that branch over the
+        other one's; NaN where the other one has none."""
+        masses, out = self.masses, []
+        while masses.shape[1] > 1:
+            other = masses.reshape(len(masses), -1, 2)[:, :, ::-1].reshape(masses.shape)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out.append(np.where(other > 0, np.log(masses / other), np.nan).astype(np.float32))
+            masses = masses.reshape(len(masses), -1, 2).sum(2)
+        return out[::-1]
+
     def common_mass(self, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Mass of the common words that have a key's kind and first bits."""
         low = (np.uint64(1) << (FORK_BITS - bits).astype(np.uint64)) - np.uint64(1)
         return self.common_sums[np.searchsorted(self.common_keys, keys | low, "right")] - self.common_sums[np.searchsorted(self.common_keys, keys & ~low)]
 
 
+@dataclass(frozen=True)
+class Paths:
+    """Paths of words that have equally many forks: a column for each word, a row for each fork (or block of forks)."""
+
+    blocks: np.ndarray  # a hash of the first fork of each block
+    cells: np.ndarray  # where in its block the word's branch is, by the choices in it so far and its own
+    logits: np.ndarray  # logarithm of the word's branch's mass over the other one's
+    priors: np.ndarray  # minus the logarithm of the word's part in the mass of its place
+
+    def leads(self, columns: np.ndarray, hashes: np.ndarray, lead: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For tokens with these words and features, block by block: the logits of the words' branches (a row for each fork),
+        and these branches' weights of each feature. Both are good until the next block."""
+        shift, within = np.uint32(33 - len(lead).bit_length()), np.uint32(len(lead) - 2)
+        at, start = np.empty(len(columns), np.uint32), np.empty(len(columns), np.int64)
+        most = min(BLOCK_FORKS, len(self.cells))
+        all_cells, all_every = np.empty((most, len(columns)), np.int64), np.empty((FEATURES, most, len(columns)), np.int64)
+        all_x, all_one = np.empty((2, most, len(columns)), np.float32)
+        for lo in range(0, len(self.cells), BLOCK_FORKS):
+            n = min(BLOCK_FORKS, len(self.cells) - lo)
+            block = np.take(self.blocks[lo // BLOCK_FORKS], columns, mode="clip")
+            cells, x, one, every = all_cells[:n], all_x[:n], all_one[:n], all_every[:, :n]
+            for k in range(n):
+                np.take(self.cells[lo + k], columns, out=cells[k], mode="clip")
+                np.take(self.logits[lo + k], columns, out=x[k], mode="clip")
+            for row, h in zip(every, hashes, strict=True):
+                np.add(h, block, out=at)  # 32 mixed bits of each
+                at *= np.uint32(0x9E3779B1)
+                at >>= shift
+                at &= within
+                start[:] = at
+                np.bitwise_xor(cells, start, out=row)  # in one block, and no weight of it is used more than another
+                x += np.take(lead, row, out=one, mode="clip")
+            yield x, every
+
+
 @dataclass(frozen=True)
 class Forks:
-    """Forks on the paths of a chunk's words: those of word w are ``first[w]`` to ``first[w + 1]``."""
+    """Forks on the paths of a chunk's words: word w has ``first[w + 1] - first[w]``. ``ranks`` are the words in the order of
+    their numbers of forks; ``paths`` are those of each number, from rank ``starts`` on."""
 
     first: np.ndarray
-    nodes: np.ndarray  # a hash of each fork
-    ones: np.ndarray  # whether the word is on the branch of bit 1
-    logits: np.ndarray  # logarithm of the word's branch's mass over the other one's
+    ranks: np.ndarray
+    starts: np.ndarray
+    paths: list[Paths]
 
     @classmethod
     def of(cls, layout: Layout, tree: Tree, words: np.ndarray, kinds: np.ndarray, counts: np.ndarray, inner: tuple[np.ndarray, ...]) -> Forks:
         """``counts`` are training tokens; ``inner`` are, below the first forks, each word's number of forks, and in the order
         of words the bits before each and the mass of the other branch, common words included. Words of no shared place and
         those that training hasn't seen have no forks."""
-        side, half, top = layout.side, layout.side // 2, tree.kind_bits + FIRST_BITS
+        side, half = layout.side, layout.side // 2
         kinds = kinds.astype(np.int64) % KINDS
         place, shares = layout.places_of(words, kinds)
         path = ((kinds // (side * half)).astype(np.uint64) << np.uint64(64 - tree.kind_bits)) | (words >> np.uint64(tree.kind_bits))
         known = np.flatnonzero(shares & (counts > 0))
-        at, child, masses = (kinds % side * half + kinds // side % half)[known], (path[known] >> np.uint64(64 - top)).astype(np.int64), tree.masses
-        own, other = np.zeros((2, len(words), top), np.int64)
-        for depth in range(top - 1, -1, -1):
-            own[known, depth], other[known, depth] = masses[at, child], masses[at, child ^ 1]
-            child >>= 1
-            masses = masses.reshape(len(masses), -1, 2).sum(2)
-        w1, depth1 = np.nonzero(other)
-        own1, other1 = own[w1, depth1], other[w1, depth1]
+        at, child = (kinds % side * half + kinds // side % half)[known], path[known]
+        top, priors = np.empty((len(known), len(tree.logits)), np.float32), np.zeros(len(words))
+        for depth, logits in enumerate(tree.logits):
+            top[:, depth] = logits.reshape(-1)[(at << (depth + 1)) | (child >> np.uint64(63 - depth)).astype(np.int64)]
+        priors[known] = np.log(tree.masses.sum(1)[at]) - np.log(counts[known] + 1.0)
+        is_fork = ~np.isnan(top)
+        depth1, logits1 = np.nonzero(is_fork)[1].astype(np.uint8), top[is_fork]
+        n1 = np.zeros(len(words), np.int64)
+        n1[known] = is_fork.sum(1)
         # A branch has the mass of what is below it: of the word itself, and of the other branches of further forks.
         n, bits, other = inner
-        w2, so_far = np.repeat(np.arange(len(words)), n), np.cumsum(other)
-        last = np.cumsum(n)[w2] - 1
-        own = counts[w2] + 1 + so_far[last] - so_far
-        keys = Tree.keys(kinds[w2], words[w2])
-        below = tree.common_mass(keys, bits + 1)
-        other = other - (tree.common_mass(keys, bits) - below)
-        fork = np.flatnonzero(shares[w2] & (other > 0))
-        w2, depth2, own2, other2 = w2[fork], bits[fork] + tree.kind_bits, (own - below)[fork], other[fork]
+        so_far = np.concatenate([[0], np.cumsum(other)])
+        ends = np.cumsum(n)
+        own = np.repeat(counts + 1 + so_far[ends], n) - so_far[1:]
+        # Common words have left their branches: those that begin as one of them does.
+        begins = np.zeros(KINDS << FIRST_BITS, bool)
+        begins[(tree.common_keys >> np.uint64(FORK_BITS - FIRST_BITS)).astype(np.int64)] = True
+        less = np.flatnonzero(np.repeat(begins[(kinds << FIRST_BITS) | (words >> np.uint64(64 - FIRST_BITS)).astype(np.int64)] & shares, n))
+        if len(less):
+            w = np.searchsorted(ends, less, "right")
+            keys, other = Tree.keys(kinds[w], words[w]), other.copy()
+            below = tree.common_mass(keys, bits[less] + 1)
+            other[less] -= tree.common_mass(keys, bits[less]) - below
+            own[less] -= below
+        is_fork = np.repeat(shares, n) & (other > 0)
+        depth2, logits2 = (bits[is_fork] + tree.kind_bits).astype(np.uint8), np.log((own[is_fork] / other[is_fork]).astype(np.float32))
+        kept = np.concatenate([[0], np.cumsum(is_fork)])
+        n2 = kept[ends] - kept[ends - n]
         # First forks, and then the others of each word.
-        n1, n2 = np.bincount(w1, minlength=len(words)), np.bincount(w2, minlength=len(words))
-        first = np.concatenate([[0], np.cumsum(n1 + n2)])
-        to = np.arange(len(w1)) + (first[:-1] - np.cumsum(n1) + n1)[w1], np.arange(len(w2)) + (first[:-1] + n1 - np.cumsum(n2) + n2)[w2]
-
-        def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            out = np.empty(first[-1], a.dtype)
-            out[to[0]], out[to[1]] = a, b
-            return out
-
-        w, depth, logits = both(w1, w2), both(depth1, depth2).astype(np.uint64), both(np.log(own1 / other1), np.log(own2 / other2))
-        bits = path[w] >> (np.uint64(63) - depth)
-        nodes = textcore.mix((bits >> np.uint64(1)) * _ODD + depth * _SALT + textcore.mix(place.astype(np.uint64))[w])
-        return cls(first, nodes, (bits & np.uint64(1)).astype(bool), logits.astype(np.float32))
-
-    def taken(self, ids: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
-        """For each token's forks: which token, which fork, and the weight row of each feature."""
-        n = self.first[ids + 1] - self.first[ids]
-        token = np.repeat(np.arange(len(ids)), n)
-        fork = np.arange(len(token)) + np.repeat(self.first[ids] - np.cumsum(n) + n, n)
-        short, nodes = hashes.astype(np.uint32), np.take(self.nodes, fork).astype(np.uint32)  # 32 mixed bits of each
-        every, x = np.empty((len(hashes), len(token)), np.int64), np.empty(len(token), np.uint32)
-        for row, h in zip(every, short, strict=True):
-            np.take(h, token, out=x, mode="clip")
-            x += nodes
-            x *= np.uint32(0x9E3779B1)
-            x >>= np.uint32(33 - rows.bit_length())
-            row[:] = x
-        return token, fork, every
-
-    def chosen(self, fork: np.ndarray, every: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Probability of the branch that the word is on."""
-        lead, one = np.zeros(len(fork), np.float32), np.empty(len(fork), np.float32)
-        for r in every:
-            lead += np.take(weights, r, out=one, mode="clip")
-        lead = np.where(self.ones[fork], lead, -lead) + self.logits[fork]
-        return 1 / (1 + np.exp(-lead))
+        count = n1 + n2
+        first = np.concatenate([[0], np.cumsum(count)])
+        from1, from2 = np.cumsum(n1) - n1, np.cumsum(n2) - n2 + len(depth1) - n1
+        depth, logits = np.concatenate([depth1, depth2]), np.concatenate([logits1, logits2])
+        order = np.argsort(count.astype(np.uint8), kind="stable")
+        ranks, starts = np.empty(len(words), np.int32), np.searchsorted(count[order], np.arange(1, count.max(initial=0) + 2))
+        ranks[order] = np.arange(len(words))
+        hashes = textcore.mix(place.astype(np.uint64))
+        return cls(first, ranks, starts, [cls._paths(w, k + 1, n1[w], from1[w], from2[w], depth, logits, path[w], hashes[w], priors[w]) for k, w in enumerate(np.split(order, starts)[1:-1])])
+
+    @staticmethod
+    def _paths(w: np.ndarray, n: int, n1: np.ndarray, from1: np.ndarray, from2: np.ndarray, depth: np.ndarray, logits: np.ndarray, path: np.ndarray, place: np.ndarray, priors: np.ndarray) -> Paths:
+        blocks, cells, own = np.empty((-(-n // BLOCK_FORKS), len(w)), np.uint32), np.empty((n, len(w)), np.int64), np.empty((n, len(w)), np.float32)
+        for k in range(n):
+            at = np.where(k < n1, from1, from2) + k
+            d = depth[at].astype(np.uint64)
+            bits = path >> (np.uint64(63) - d)
+            if k % BLOCK_FORKS == 0:
+                blocks[k // BLOCK_FORKS] = textcore.mix((bits >> np.uint64(1)) * _ODD + d * _SALT + place).astype(np.uint32)
+            cells[k] = (2 * cells[k - 1] if k % BLOCK_FORKS else 2) + (bits & np.uint64(1)).astype(np.int64)
+            own[k] = logits[at]
+        return Paths(blocks, cells, own, priors)
+
+    def _tokens(self, ids: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[Paths, np.ndarray, np.ndarray, np.ndarray]]:
+        """Tokens whose words have forks, in the order of words: paths, columns in them, which tokens, and their features."""
+        ranks = self.ranks[ids]
+        order = np.argsort(ranks.astype(np.uint16), kind="stable")  # 16 bits: linear
+        order = order[np.argsort((ranks >> 16).astype(np.uint16)[order], kind="stable")]
+        ranks, short = ranks[order], np.take(hashes.astype(np.uint32), order, axis=1)
+        cuts = np.searchsorted(ranks, self.starts)
+        for paths, start, lo, hi in zip(self.paths, self.starts[:-1], cuts[:-1], cuts[1:], strict=True):
+            for at in range(lo, hi, FORK_TOKENS):
+                part = slice(at, min(hi, at + FORK_TOKENS))
+                yield paths, ranks[part].astype(np.int64) - start, order[part], short[:, part]
 
     def log_gains(self, ids: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """By how much each token's path has a higher log10 probability than its words' masses give it."""
-        out, lead = np.zeros(len(ids)), weights[:, 1] - weights[:, 0]
-        prior = np.log1p(np.exp(-self.logits.astype(np.float64)))
-        for lo in range(0, len(ids), BLOCK_TOKENS):
-            part = slice(lo, lo + BLOCK_TOKENS)
-            token, fork, every = self.taken(ids[part], hashes[:, part], len(weights))
-            gain = np.log(self.chosen(fork, every, lead).astype(np.float64)) + prior[fork]
-            out[part] = np.bincount(token, gain, len(out[part])) / np.log(10)
+        out, lead = np.zeros(len(ids)), (weights - weights[:, ::-1]).reshape(-1)
+        for paths, columns, tokens, short in self._tokens(ids, hashes):
+            gain = paths.priors[columns]
+            for x, _ in paths.leads(columns, short, lead):
+                np.exp(np.negative(x, out=x), out=x)
+                x += 1
+                gain -= np.log(x, out=x).sum(0)
+            out[tokens] = gain / np.log(10)
         return out
 
     def seen(self, ids: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Observed counts, and expected ones in UNITS, of (feature row, branch)."""
-        seen, expected = np.zeros(weights.shape, np.int64), np.zeros(weights.shape, np.int64)
-        lead = weights[:, 1] - weights[:, 0]
-        for lo in range(0, len(ids), 2 * BLOCK_TOKENS):
-            part = slice(lo, lo + 2 * BLOCK_TOKENS)
-            _, fork, every = self.taken(ids[part], hashes[:, part], len(weights))
-            p = (self.chosen(fork, every, lead) * np.float32(UNITS) + np.float32(0.5)).astype(np.int32).astype(np.float64)
-            every *= 2
-            every += self.ones[fork]
-            n = np.bincount(every.ravel(), minlength=seen.size).reshape(seen.shape)
-            own = np.bincount(every.ravel(), np.broadcast_to(p, every.shape).ravel(), seen.size).astype(np.int64).reshape(seen.shape)
-            seen += n
-            expected += own + (UNITS * n - own)[:, ::-1]
-        return seen, expected
+        seen, own = np.zeros((2, weights.size), np.int64)
+        lead = (weights - weights[:, ::-1]).reshape(-1)
+        # One addition for two sums: how many, times FORK_UNIT, and of how many units.
+        sums, added = np.zeros(weights.size), 0
+
+        def take_apart() -> None:
+            whole = sums.astype(np.int64)
+            seen[:] += whole >> FORK_UNIT_BITS
+            own[:] += whole & ((1 << FORK_UNIT_BITS) - 1)
+            sums[:] = 0
+
+        for paths, columns, _, short in self._tokens(ids, hashes):
+            for x, every in paths.leads(columns, short, lead):
+                np.exp(np.negative(x, out=x), out=x)
+                x += 1
+                np.floor(np.divide(np.float32(UNITS), x, out=x) + np.float32(0.5), out=x)
+                value = x.reshape(-1) + np.float64(1 << FORK_UNIT_BITS)
+                added += every.size
+                if added > MOST_ADDED:
+                    if sums.max() > MOST_ADDED << FORK_UNIT_BITS:
+                        take_apart()
+                    added = every.size
+                for row in every:
+                    np.add.at(sums, row.reshape(-1), value)
+        take_apart()
+        seen, own = seen.reshape(weights.shape), own.reshape(weights.shape)
+        return seen, own + (UNITS * seen - own)[:, ::-1]
 
 
 def contexts(tokens: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -290,61 +373,91 @@ def contexts(tokens: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.nd
     at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
     def back(x: np.ndarray, k: int) -> np.ndarray:
-        out = np.zeros(len(x), np.uint64)
+        out = np.zeros(len(x), x.dtype)
         out[k:] = x[: len(x) - k]
         out[at < k] = 0
         return out
 
-    single, out = places.astype(np.uint64) + np.uint64(1), np.empty((FEATURES, len(tokens)), np.uint64)
+    single, out = places + 1, np.empty((FEATURES, len(tokens)), np.uint64)
+    every = np.arange(places.max(initial=0) + 2, dtype=np.uint64)
     for i in range(FEATURES):
-        x = back(single, i + 1) if i < BACK else back(tokens, 1) * _ODD + back(tokens, 2)
-        out[i] = textcore.mix(x + np.uint64((i + 1) * int(_ODD) % (1 << 64)))
+        salt = np.uint64((i + 1) * int(_ODD) % (1 << 64))
+        if i < BACK:
+            np.take(textcore.mix(every + salt), back(single, i + 1), out=out[i], mode="clip")
+        else:
+            out[i] = textcore.mix(back(tokens, 1) * _ODD + back(tokens, 2) + salt)
     return out
 
 
 def _rows(hashes: np.ndarray, classes: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
     """Weight rows of each feature, for the class and, given the class, for the place."""
-    of_class = (hashes % np.uint64(layout.class_rows)).astype(np.uint16)
+    of_class = hashes.astype(np.uint16) & np.uint16(layout.class_rows - 1)  # as many as a power of two, of 16 bits at most
     mixed = textcore.mix(hashes + classes.astype(np.uint64) * _SALT)
-    return of_class, (mixed % np.uint64(layout.place_rows)).astype(np.uint16)
+    return of_class, mixed.astype(np.uint16) & np.uint16(layout.place_rows - 1)
 
 
-def softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Probabilities of what has the logits ``prior`` (0 at most) and the sum of the features' weight rows. A step moves
-    a weight by less than one, so no logit comes near what ``exp`` of 32 bits can't hold."""
-    x, row = np.empty((rows.shape[1], weights.shape[1]), np.float32), np.empty((rows.shape[1], weights.shape[1]), np.float32)
+def softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of what has the logits ``prior`` (0 at most) and the sum of the features' weight rows, each times its
+    row's total, and these totals. A step moves a weight by less than one, so no logit comes near what ``exp`` of 32 bits
+    can't hold."""
+    x, row = np.empty((2, rows.shape[1], weights.shape[1]), np.float32)
     x[:] = prior
     for r in rows:
         x += np.take(weights, r, axis=0, out=row, mode="clip")
     np.exp(x, out=x)
-    x /= x.sum(1)[:, None]  # row by row in one order, unlike a product of matrices
-    return x
+    return x, np.einsum("ij->i", x)  # row by row in one order, unlike a product of matrices
 
 
 def log_probabilities(hashes: np.ndarray, places: np.ndarray, layout: Layout, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """log10 of the probability of each token's place after its context."""
     of_class, of_place = layout.priors()
-    out = np.empty(len(places))
+    out = np.zeros(len(places))
     for lo in range(0, len(places), BLOCK_TOKENS):
         part = slice(lo, lo + BLOCK_TOKENS)
         cls, place = np.divmod(places[part], layout.side)
-        rows = _rows(hashes[:, part], cls, layout)
         i = np.arange(len(cls))
-        out[part] = np.log10(softmax(weights[0], rows[0], of_class)[i, cls].astype(np.float64)) + np.log10(softmax(weights[1], rows[1], of_place[cls])[i, place].astype(np.float64))
+        for w, rows, prior, is_ in zip(weights, _rows(hashes[:, part], cls, layout), (of_class, of_place[cls]), (cls, place), strict=True):
+            x, totals = softmax(w, rows, prior)
+            out[part] += np.log10((x[i, is_] / totals).astype(np.float64))
     return out
 
 
-def _add_by_row(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")  # 16 bits: linear
-    r = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    out[r[first]] += np.add.reduceat(np.take(values, order, axis=0), first, axis=0)
+class RowSums:
+    """Sums of rows of whole numbers of UNITS at most, by weight row. Neighbours are summed up in one number, the second in
+    SUM_UNIT, and two such numbers in one addition; they are taken apart before the first reaches SUM_UNIT."""
+
+    def __init__(self, shape: tuple[int, int]):
+        self.sums, self.rows, self.out = np.zeros((shape[0], shape[1] // 4), np.complex128), np.zeros(shape[0], np.int64), np.zeros(shape, np.int64)
+
+    @staticmethod
+    def packed(values: np.ndarray) -> np.ndarray:
+        two = values.astype("<i4").view("<i8")
+        return (two - (two >> 32) * ((1 << 32) - SUM_UNIT)).astype(np.float64).view(np.complex128).reshape(-1)
+
+    def add(self, rows: np.ndarray, packed: np.ndarray) -> None:
+        n = np.bincount(rows, minlength=len(self.rows))
+        if (self.rows + n).max() >= SUM_UNIT // UNITS:
+            self.take_apart()
+        self.rows += n
+        each = self.sums.shape[1]
+        at = np.empty((len(rows), each), np.int64)
+        at[:, 0] = rows
+        at[:, 0] *= each
+        for k in range(1, each):
+            np.add(at[:, 0], k, out=at[:, k])
+        np.add.at(self.sums.reshape(-1), at.reshape(-1), packed)
+
+    def take_apart(self) -> None:
+        two = self.sums.view(np.float64).astype(np.int64)
+        self.out[:, ::2] += two % SUM_UNIT
+        self.out[:, 1::2] += two // SUM_UNIT
+        self.sums[:], self.rows[:] = 0, 0
 
 
 def features_seen(hashes: np.ndarray, places: np.ndarray, layout: Layout, weights: tuple[np.ndarray, np.ndarray]) -> tuple[tuple, tuple]:
     """Observed counts, and expected ones in UNITS, of (feature row, class) and of (feature row, place)."""
     side, priors = layout.side, layout.priors()
-    seen, expected = [tuple(np.zeros(w.shape, np.int64) for w in weights) for _ in range(2)]
+    seen, expected = tuple(np.zeros(w.shape, np.int64) for w in weights), tuple(RowSums(w.shape) for w in weights)
     for at in range(0, len(places), PIECE_TOKENS):
         piece = slice(at, at + PIECE_TOKENS)
         classes, place = np.divmod(places[piece], side)
@@ -352,19 +465,24 @@ def features_seen(hashes: np.ndarray, places: np.ndarray, layout: Layout, weight
         for k, is_ in enumerate((classes, place)):
             for r in every[k]:
                 seen[k].reshape(-1)[:] += np.bincount(r.astype(np.int64) * side + is_, minlength=seen[k].size)
-        for lo in range(0, len(classes), BLOCK_TOKENS):
-            part = slice(lo, lo + BLOCK_TOKENS)
+        for lo in range(0, len(classes), SEEN_TOKENS):
+            part = slice(lo, lo + SEEN_TOKENS)
             for k, prior in enumerate((priors[0], priors[1][classes[part]])):
-                p = (softmax(weights[k], every[k][:, part], prior) * np.float32(UNITS) + np.float32(0.5)).astype(np.int32)
+                x, totals = softmax(weights[k], every[k][:, part], prior)
+                x *= (np.float32(UNITS) / totals)[:, None]
+                x += np.float32(0.5)
+                p = RowSums.packed(x)
                 for r in every[k][:, part]:
-                    _add_by_row(expected[k], r, p)
-    return seen, expected
+                    expected[k].add(r, p)
+    for sums in expected:
+        sums.take_apart()
+    return seen, tuple(sums.out for sums in expected)
 
 
-_SIZES = [("at", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_words", pa.int64())]
+_SIZES = [("at", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("size", pa.int64()), ("raw", pa.int64())]
 _CHUNK = pa.schema([("part", pa.int32()), ("chunk", pa.string()), ("file", pa.string()), *_SIZES, ("keys", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))])
 _PLACE = ["chunk", "file", *(c for c, _ in _SIZES)]
-_CHUNK_DDL = "part int, chunk string, file string, at long, n_docs long, n_tokens long, n_words long, keys array<bigint>, held array<boolean>"
+_CHUNK_DDL = "part int, chunk string, file string, at long, n_docs long, n_tokens long, n_words long, size long, raw long, keys array<bigint>, held array<boolean>"
 
 
 def _chunks(folder: str, steps: int) -> Callable:
@@ -387,10 +505,11 @@ def _chunks(folder: str, steps: int) -> Callable:
                     held = np.asarray(batch.column(1).slice(lo, hi - lo).fill_null(False))
                     counts = np.bincount(ids[np.repeat(~held, sizes)], minlength=len(words))
                     out = out or common.open_out(name)
-                    for x in (words, kinds[first], counts.astype("<i4"), ids.astype("<i4"), sizes.astype("<i4")):
-                        out.write(x.tobytes())
-                    yield pa.RecordBatch.from_pylist([{"part": part, "chunk": uuid.uuid4().hex, "file": name, "at": at, "n_docs": hi - lo, "n_tokens": len(tokens), "n_words": len(words), "keys": batch.column(0).slice(lo, hi - lo).to_pylist(), "held": held.tolist()}], _CHUNK)
-                    at += 16 * len(words) + 4 * len(tokens) + 4 * (hi - lo)
+                    # Words ascend: steps between them are shorter.
+                    packed, raw = _packed([np.diff(words, prepend=np.uint64(0)), kinds[first] % np.uint32(KINDS), counts, ids, sizes])
+                    out.write(packed)
+                    yield pa.RecordBatch.from_pylist([{"part": part, "chunk": uuid.uuid4().hex, "file": name, "at": at, "n_docs": hi - lo, "n_tokens": len(tokens), "n_words": len(words), "size": len(packed), "raw": raw, "keys": batch.column(0).slice(lo, hi - lo).to_pylist(), "held": held.tolist()}], _CHUNK)
+                    at += len(packed)
         if out is not None:
             out.close()
 
@@ -421,15 +540,10 @@ class Chunk:
 
     @classmethod
     def of(cls, row: dict) -> Chunk:
-        n, at = row["n_words"], 0
         with common.open_in(row["file"]) as f:
             f.seek(row["at"])
-            raw = f.read(16 * n + 4 * row["n_tokens"] + 4 * row["n_docs"])
-        out = []
-        for kind, size in (("<u8", n), ("<u4", n), ("<i4", n), ("<i4", row["n_tokens"]), ("<i4", row["n_docs"])):
-            out.append(np.frombuffer(raw, kind, size, at))
-            at += out[-1].nbytes
-        return cls(*out)
+            steps, kinds, counts, ids, sizes = _unpacked(f.read(row["size"]), row["raw"], 5)
+        return cls(np.cumsum(steps.view(np.uint64)), kinds.astype(np.uint32), counts.astype(np.int32), ids, sizes)
 
 
 _DEALT = pa.schema([("b", pa.int32()), ("chunk", pa.string()), ("words", pa.binary()), ("kinds", pa.binary()), ("counts", pa.binary())])
@@ -497,10 +611,10 @@ def _packed(arrays: list[np.ndarray]) -> tuple[bytes, int]:
     return pa.compress(raw, "zstd", asbytes=True), len(raw)
 
 
-def _unpacked(packed: bytes, raw: int) -> list[np.ndarray]:
+def _unpacked(packed: bytes, raw: int, n: int = 4) -> list[np.ndarray]:
     data = pa.decompress(packed, raw, "zstd", asbytes=True)
-    cells, sizes = np.frombuffer(data, "<i8", 8).reshape(2, 4)
-    ends = 64 + np.cumsum(sizes)
+    cells, sizes = np.frombuffer(data, "<i8", 2 * n).reshape(2, n)
+    ends = 16 * n + np.cumsum(sizes)
     return [_numbers(data[z - n : z], c) for c, n, z in zip(cells, sizes, ends, strict=True)]
 
 
